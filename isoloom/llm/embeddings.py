@@ -73,7 +73,7 @@ def _stars(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _tile(threshold: float):
-    """One (label, dimension, block, block): rows of kind 'n' count links, rows of kind 'e' are edges."""
+    """One (label, dimension, block, block): link counts of vectors, or edges."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -97,7 +97,7 @@ def _tile(threshold: float):
         star = np.array(_stars(linked) or np.zeros((0, 2), int), int)
         some = np.flatnonzero(counts)
         return pd.DataFrame({
-            "kind": ["n"] * len(some) + ["e"] * len(star),
+            "edge": np.r_[np.zeros(len(some), bool), np.ones(len(star), bool)],
             "u": np.r_[ids[some], ids[star[:, 0]]].astype("int64"),
             "v": np.r_[counts[some], ids[star[:, 1]]].astype("int64"),
         })
@@ -120,7 +120,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < bad))
         & F.exists("embedding", lambda x: x != 0)
     )
-    # Each vec_id once. Almost all are unique, so only ids met twice pass through the aggregation of whole vectors.
     one = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x"))
     good = materialise(one.select("vec_id", "x.*").where(F.col("label").isNotNull() & F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("embedding")), "vectors")
     sizes = good.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
@@ -128,9 +127,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "label", "dim", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vec_id", "embedding"
     )
-    found = materialise(tiles.groupBy("label", "dim", "i", "j").applyInPandas(_tile(threshold), "kind string, u long, v long"), "vector-links")
-    counts = found.where("kind = 'n'").groupBy(F.col("u").alias("vec_id")).agg(F.sum("v").alias("n_links"))
-    parts = connected_components(found.where("kind = 'e'")).withColumnRenamed("node", "vec_id").withColumnRenamed("component", "component_id")
+    found = materialise(tiles.groupBy("label", "dim", "i", "j").applyInPandas(_tile(threshold), "edge boolean, u long, v long"), "vector-links")
+    counts = found.where("not edge").groupBy(F.col("u").alias("vec_id")).agg(F.sum("v").alias("n_links"))
+    parts = connected_components(found.where("edge")).withColumnRenamed("node", "vec_id").withColumnRenamed("component", "component_id")
     component = F.coalesce("component_id", "vec_id")
     return (
         rows.select("vec_id").join(counts, "vec_id", "left").join(parts, "vec_id", "left")

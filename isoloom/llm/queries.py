@@ -2,26 +2,78 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isoloom.llm import embeddings, simhash
+from isoloom.llm import decontaminate, embeddings, licenses, mixing, secrets, simhash, tokens, warc
+from isoloom.shared import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_pages(_table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("places")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op4_mixing, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings)}
 
 SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex),
+        g AS (SELECT DISTINCT hex, unnest(range(8)) AS k FROM p),
+        c AS (SELECT hex, k, CAST('0x' || substr(hex, CAST(k * 5 + 1 AS INT), 5) AS BIGINT) AS v FROM g),
+        b AS (SELECT hex, string_agg(
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> 15) & 31) + 1 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> 10) & 31) + 1 AS INT), 1)
+             || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> 5) & 31) + 1 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v & 31) + 1 AS INT), 1), '' ORDER BY k) AS payload_digest
+              FROM c GROUP BY hex)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p JOIN f USING (hex) JOIN b USING (hex)""",
+    "op2_decontaminate": r"""
+        WITH w AS (
+          SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents
+          UNION ALL SELECT 'q', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark WHERE text IS NOT NULL),
+        n AS (SELECT side, id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0),
+        s AS (SELECT DISTINCT side, id, array_to_string(ws[i : i + 4], ' ') AS s FROM n),
+        q AS (SELECT id, count(*) AS n FROM s WHERE side = 'q' GROUP BY id),
+        hit AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM s d JOIN s b ON d.s = b.s AND d.side = 'd' AND b.side = 'q' GROUP BY 1, 2),
+        ok AS (SELECT doc_id, item_id, CAST(k AS DOUBLE) / n AS x FROM hit JOIN q ON q.id = item_id WHERE k >= 0.8 * n - 1e-9),
+        per AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(x) AS containment FROM ok GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment, n_items IS NOT NULL AS contaminated
+        FROM documents LEFT JOIN per USING (doc_id)""",
     "op10_embeddings": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
