@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isoloom.llm import decontaminate, embeddings, licenses, mixing, secrets, simhash, tokens, warc
+from isoloom.llm import decontaminate, embeddings, licenses, mixing, quality, secrets, simhash, substrings, tokens, warc
 from isoloom.shared import new_path
 
 
@@ -23,10 +23,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -47,7 +56,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op4_mixing, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_mixing, op5_substrings, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings)}
 
 SQL: dict[str, str] = {
     "op1_warc": """
@@ -74,6 +83,18 @@ SQL: dict[str, str] = {
         per AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(x) AS containment FROM ok GROUP BY doc_id)
         SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment, n_items IS NOT NULL AS contaminated
         FROM documents LEFT JOIN per USING (doc_id)""",
+    "op5_substrings": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        n AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+        s AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS s FROM n),
+        f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+        hit AS (SELECT doc_id, unnest(range(i, i + 50)) AS k FROM s JOIN f USING (s) WHERE first < doc_id),
+        gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM hit GROUP BY doc_id),
+        word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM w),
+        gone_words AS (SELECT DISTINCT doc_id, k FROM hit),
+        kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.k) AS t FROM word LEFT JOIN gone_words g ON g.doc_id = word.doc_id AND g.k = word.k WHERE g.k IS NULL GROUP BY word.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept ON kept.doc_id = w.doc_id""",
     "op10_embeddings": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -51,14 +51,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, rows: int = 1 << 15) -
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per row of ``docs``; null texts count as empty."""
+    """(doc_id, text_key, fp) per row of ``docs``; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _stars(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -144,6 +145,15 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_link_tiles(max_bits), "u long, v long").distinct()
 
 
+def _grouped(docs: DataFrame, max_bits: int, shingle: int) -> DataFrame:
+    """(doc_id, text_key, fp, component_id) per row of ``docs``."""
+    prints = materialise(fingerprints(docs, shingle), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    parts = connected_components(links(nodes.where("rep is not null"), max_bits))
+    named = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """Every row of ``docs`` as (doc_id, fingerprint, component_id).
 
@@ -151,8 +161,18 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     other. Equal texts share a fingerprint and so a component, without pairs among them. Repeated rows
     give repeated rows; rows without a doc_id are returned with the component of their fingerprint.
     """
-    prints = materialise(fingerprints(docs, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(links(nodes.where("rep is not null"), max_bits))
-    named = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, max_bits, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each component of near duplicates, that with the smallest doc_id.
+
+    A row without a doc_id stays only if its whole component has none. All columns are returned.
+    """
+    rows = _grouped(docs, max_bits, shingle)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = rows.groupBy("component_id", alone.alias("alone")).agg(first.alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
+    keyed = docs.withColumn("kept_id_", F.col("doc_id").cast("long")).withColumn("kept_key_", F.xxhash64("text"))
+    on = keyed.kept_id_.eqNullSafe(kept.kept_id) & (keyed.kept_key_ == kept.kept_key)
+    return keyed.join(kept, on, "left_semi").dropDuplicates(["kept_id_", "kept_key_"]).drop("kept_id_", "kept_key_")
