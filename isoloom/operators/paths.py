@@ -43,7 +43,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def edge_log_likelihood(edges: DataFrame) -> DataFrame:
     """-ln of the share of an edge's weight among the edges out of its node."""
-    return edges.withColumn("nll", -F.log(F.col("weight") / F.sum("weight").over(W.partitionBy("cluster", "u"))))
+    return edges.withColumn("nll", F.lit(0.0) - F.log(F.col("weight") / F.sum("weight").over(W.partitionBy("cluster", "u"))))
 
 
 def best_successor(edges: DataFrame) -> DataFrame:

@@ -105,20 +105,23 @@ def branch_support(nodes: DataFrame) -> DataFrame:
     # The stretch itself, the node before it and the node after it.
     inside = rows.where("not on").select("rid", "ref", "b", "step", "node")
     before = rows.withColumn("b", F.lead("b").over(w)).withColumn("next_opens", F.lead("opens").over(w)).where("on and next_opens").select("rid", "ref", "b", "step", "node")
-    after = rows.where("on").withColumn("first", F.lag("on").over(w)).where("jump or not first").select("rid", "ref", "b", "step", "node")
+    after = rows.withColumn("first", F.lag("on").over(w)).where("on and (jump or not first)").select("rid", "ref", "b", "step", "node")
     parts = inside.union(before).union(after).where("b > 0").groupBy("rid", "ref", "b")
     branch = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]), " ")
     return parts.agg(branch.alias("branch")).groupBy("ref", "branch").agg(F.count("*").alias("n_reads"))
 
 
-def drop_branches(branches: DataFrame, walk: DataFrame) -> DataFrame:
+def drop_branches(branches: DataFrame, walk: DataFrame, alive: DataFrame | None = None) -> DataFrame:
     """``branches(ref, branch, n_reads)`` that stay beside ``walk(ref, node)``.
 
     A branch both of whose ends are on the walk is settled by it, whether it agrees or not, and goes; one that runs off the
-    walk stays.
+    walk stays, unless an end of it is no node of ``alive(ref, node)`` any more.
     """
     ends = branches.withColumn("nodes", F.split("branch", " ")).withColumn("a", F.get("nodes", F.lit(0))).withColumn("z", F.element_at("nodes", -1))
     on = lambda c, name: walk.select(F.col("ref"), F.col("node").alias(c), F.lit(True).alias(name))
+    if alive is not None:
+        for end in ("a", "z"):
+            ends = ends.join(alive.select("ref", F.col("node").alias(end)), ["ref", end], "left_semi")
     told = ends.join(on("a", "on_a"), ["ref", "a"], "left").join(on("z", "on_z"), ["ref", "z"], "left")
     return told.where(~(F.coalesce("on_a", F.lit(False)) & F.coalesce("on_z", F.lit(False)))).select("ref", "branch", "n_reads")
 

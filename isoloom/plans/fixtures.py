@@ -46,8 +46,9 @@ VIEWS: dict[str, str] = {
     "v_aln": """
         SELECT rid, ref, start, a || '=' || b || 'X' || c || 'I' || '4=' || d || 'D' || (28 - a - b - c) || '=' AS cigar,
                translate(md5('read' || rid), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq
-        FROM (SELECT l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS rid, l_orderkey % 50 AS ref, l_partkey % 150 AS start,
-                     5 + l_partkey % 5 AS a, 1 + l_suppkey % 2 AS b, 1 + l_linenumber % 3 AS c, 1 + CAST(l_quantity AS INT) % 3 AS d FROM lineitem) x""",
+        FROM (SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS rid, l_orderkey % 50 AS ref, l_partkey % 150 AS start,
+                     5 + l_partkey % 5 AS a, 1 + l_suppkey % 2 AS b, 1 + l_linenumber % 3 AS c, 1 + CAST(min(l_quantity) AS INT) % 3 AS d
+              FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) x""",
     "v_spliced": """
         SELECT tx AS read_id, tx % 500 AS contig, strand, n, s, e FROM (
           SELECT tx, strand, n, lag(e) OVER (PARTITION BY tx ORDER BY n) AS s, s AS e FROM v_exon) x WHERE s IS NOT NULL""",

@@ -451,3 +451,259 @@ def kde_maxima(v: Fixtures) -> DataFrame:
 def latest_version(v: Fixtures) -> DataFrame:
     rows = v.events.select((F.col("user_id") % 10).alias("cluster"), "event_id", (F.col("event_id") % 5).alias("iteration"))
     return T.latest_version(rows, "cluster", "iteration")
+
+
+# ---- path graphs -------------------------------------------------------------------------------
+
+_EDGE = """step AS (SELECT cluster, read, support, node AS u, lead(node) OVER (PARTITION BY cluster, read ORDER BY pos) AS v FROM v_path),
+  edge AS (SELECT cluster, u, v, sum(support) AS weight, count(*) AS n_reads FROM step WHERE v IS NOT NULL GROUP BY cluster, u, v)"""
+_SUCC = _EDGE + ", succ AS (SELECT cluster, u, v, weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster, u ORDER BY weight DESC, v) AS rn FROM edge) x WHERE rn = 1)"
+_PRED = _SUCC + ", pred AS (SELECT cluster, u, v, weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster, v ORDER BY weight DESC, u) AS rn FROM edge) x WHERE rn = 1)"
+
+
+@query(duck("v_path", "SELECT * FROM edge", more=_EDGE))
+def edge_weights(v: Fixtures) -> DataFrame:
+    return P.edge_weights(v.v_path)
+
+
+@query(duck("v_path", "SELECT cluster, node, count(*) AS n_reads, sum(support) AS support FROM v_path GROUP BY cluster, node"))
+def node_support(v: Fixtures) -> DataFrame:
+    return P.node_support(v.v_path)
+
+
+@query(duck("v_path", """SELECT cluster, node, bool_and(NOT target) AS is_source, bool_and(target) AS is_sink FROM
+    (SELECT cluster, u AS node, false AS target FROM edge UNION ALL SELECT cluster, v, true FROM edge) x GROUP BY cluster, node HAVING bool_and(NOT target) OR bool_and(target)""", more=_EDGE))
+def sources_sinks(v: Fixtures) -> DataFrame:
+    return P.sources_sinks(P.edge_weights(v.v_path))
+
+
+@query(duck("v_path", "SELECT cluster, node, sum(i) AS indegree, sum(o) AS outdegree FROM (SELECT cluster, u AS node, 0 AS i, 1 AS o FROM edge UNION ALL SELECT cluster, v, 1, 0 FROM edge) x GROUP BY cluster, node", more=_EDGE))
+def degrees(v: Fixtures) -> DataFrame:
+    return P.degrees(P.edge_weights(v.v_path))
+
+
+@query(duck("v_path", "SELECT cluster, u, v, round(0.0 - ln(weight / (sum(weight) OVER (PARTITION BY cluster, u))::DOUBLE), 9) AS nll FROM edge", more=_EDGE))
+def edge_log_likelihood(v: Fixtures) -> DataFrame:
+    return P.edge_log_likelihood(P.edge_weights(v.v_path)).select("cluster", "u", "v", F.round("nll", 9).alias("nll"))
+
+
+@query(duck("v_path", "SELECT * FROM succ", more=_SUCC))
+def best_successor(v: Fixtures) -> DataFrame:
+    return P.best_successor(P.edge_weights(v.v_path))
+
+
+@query(duck("v_path", "SELECT * FROM pred", more=_PRED))
+def best_predecessor(v: Fixtures) -> DataFrame:
+    return P.best_predecessor(P.edge_weights(v.v_path))
+
+
+_WALKS = _SUCC + """, starts AS (SELECT DISTINCT cluster, min(node) AS source FROM v_path GROUP BY cluster, read),
+  reach AS (SELECT cluster, source, source AS node, 0 AS step FROM starts UNION ALL SELECT r.cluster, r.source, s.v, r.step + 1 FROM reach r JOIN succ s ON s.cluster = r.cluster AND s.u = r.node),
+  owned AS (SELECT *, min(source) OVER (PARTITION BY cluster, node) AS owner FROM reach),
+  walk AS (SELECT cluster, source, step, node, min(CASE WHEN owner <> source THEN step END) OVER (PARTITION BY cluster, source) AS gone FROM owned),
+  walks AS (SELECT cluster, source, step, node FROM walk WHERE coalesce(gone, 1) > 0 AND (gone IS NULL OR step <= gone + 15))"""
+
+
+@query(duck("v_path", "SELECT * FROM walks", recursive=True, more=_WALKS))
+def greedy_walks(v: Fixtures) -> DataFrame:
+    return P.greedy_walks(v.v_path)
+
+
+_HEAVY = _PRED + """, top AS (SELECT cluster, node FROM (SELECT cluster, node, row_number() OVER (PARTITION BY cluster ORDER BY sum(support) DESC, node) AS rn FROM v_path GROUP BY cluster, node) x WHERE rn = 1),
+  ahead AS (SELECT cluster, node FROM top UNION ALL SELECT a.cluster, s.v FROM ahead a JOIN succ s ON s.cluster = a.cluster AND s.u = a.node),
+  back AS (SELECT cluster, node FROM top UNION ALL SELECT a.cluster, s.u FROM back a JOIN pred s ON s.cluster = a.cluster AND s.v = a.node),
+  heavy AS (SELECT cluster, node FROM ahead UNION SELECT cluster, node FROM back)"""
+
+
+@query(duck("v_path", "SELECT * FROM heavy", recursive=True, more=_HEAVY))
+def heaviest_path(v: Fixtures) -> DataFrame:
+    return P.heaviest_path(v.v_path)
+
+
+_ALIGNED = _HEAVY + """, every AS (SELECT cluster, read, node, true AS p, false AS w FROM v_path UNION ALL SELECT r.cluster, r.read, h.node, false, true FROM (SELECT DISTINCT cluster, read FROM v_path) r JOIN heavy h ON h.cluster = r.cluster),
+  aligned AS (SELECT cluster, read, node, CASE WHEN bool_or(p) AND bool_or(w) THEN 'M' WHEN bool_or(p) THEN 'I' ELSE 'D' END AS op FROM every GROUP BY cluster, read, node)"""
+
+
+@query(duck("v_path", "SELECT * FROM aligned", recursive=True, more=_ALIGNED))
+def align_paths(v: Fixtures) -> DataFrame:
+    return P.align_paths(v.v_path, P.heaviest_path(v.v_path))
+
+
+_CORRECTED = _ALIGNED + """, isle AS (SELECT *, sum(CASE WHEN op = 'M' THEN 1 ELSE 0 END) OVER (PARTITION BY cluster, read ORDER BY node ROWS UNBOUNDED PRECEDING) AS k, sum(CASE WHEN op = 'M' THEN 1 ELSE 0 END) OVER (PARTITION BY cluster, read) AS m FROM aligned),
+  sized AS (SELECT *, count(*) FILTER (WHERE op = 'I') OVER (PARTITION BY cluster, read, k) AS i, count(*) FILTER (WHERE op = 'D') OVER (PARTITION BY cluster, read, k) AS d, k > 0 AND k < m AS inner_ FROM isle),
+  kept AS (SELECT cluster, read, node FROM sized WHERE op = 'M' OR (op = 'I' AND (NOT inner_ OR i >= 3)) OR (op = 'D' AND inner_ AND d < 3 AND i < 3))"""
+
+
+@query(duck("v_path", "SELECT kept.cluster, kept.read, support, row_number() OVER (PARTITION BY kept.cluster, kept.read ORDER BY node) AS pos, node FROM kept JOIN (SELECT DISTINCT cluster, read, support FROM v_path) s ON s.cluster = kept.cluster AND s.read = kept.read", recursive=True, more=_CORRECTED))
+def correct_paths(v: Fixtures) -> DataFrame:
+    return P.correct_paths(v.v_path, P.heaviest_path(v.v_path), psi=3)[0]
+
+
+@query(duck("v_path", "SELECT cluster, read, bool_or(CASE WHEN inner_ THEN i >= 3 OR d >= 3 ELSE i >= 3 END) AS differs FROM sized GROUP BY cluster, read", recursive=True, more=_CORRECTED))
+def path_differs(v: Fixtures) -> DataFrame:
+    return P.correct_paths(v.v_path, P.heaviest_path(v.v_path), psi=3)[1]
+
+
+@query(duck("v_path", "SELECT cluster, u, v, weight, n_reads FROM (SELECT cluster, u, v, sum(support) AS weight, count(*) AS n_reads FROM (SELECT kept.cluster, kept.read, support, node AS u, lead(node) OVER (PARTITION BY kept.cluster, kept.read ORDER BY node) AS v FROM kept JOIN (SELECT DISTINCT cluster, read, support FROM v_path) s ON s.cluster = kept.cluster AND s.read = kept.read) x WHERE v IS NOT NULL GROUP BY cluster, u, v) y", recursive=True, more=_CORRECTED))
+def rebuild_graph(v: Fixtures) -> DataFrame:
+    return P.edge_weights(P.correct_paths(v.v_path, P.heaviest_path(v.v_path), psi=3)[0])
+
+
+_COMPATIBLE = _HEAVY + """, len AS (SELECT *, count(*) OVER (PARTITION BY cluster, read) AS n FROM v_path),
+  mid AS (SELECT cluster, read, node FROM len WHERE pos > 12 AND pos <= n - 12),
+  span AS (SELECT cluster, read, min(node) AS lo, max(node) AS hi, count(*) AS n FROM mid GROUP BY cluster, read),
+  cmp AS (SELECT s.cluster, s.read, s.n, (SELECT count(*) FROM mid m JOIN heavy h ON h.cluster = m.cluster AND h.node = m.node WHERE m.cluster = s.cluster AND m.read = s.read) AS b,
+    (SELECT count(*) FROM heavy h WHERE h.cluster = s.cluster AND h.node BETWEEN s.lo AND s.hi) AS w FROM span s)"""
+
+
+@query(duck("v_path", "SELECT DISTINCT p.cluster, p.read, support FROM v_path p LEFT JOIN cmp c ON c.cluster = p.cluster AND c.read = p.read WHERE c.n IS NULL OR (c.n = c.b AND c.n = c.w)", recursive=True, more=_COMPATIBLE))
+def compatible_reads(v: Fixtures) -> DataFrame:
+    return P.compatible_reads(v.v_path, P.heaviest_path(v.v_path), ends_delta=12)
+
+
+@query()
+def decompose_paths(v: Fixtures) -> DataFrame:
+    return P.decompose_paths(v.v_path)
+
+
+_LETTER = "substr('ACGT', CAST(node % 4 + 1 AS INT), 1)"
+
+
+@query(duck("v_path", f"SELECT cluster, read, string_agg({_LETTER}, '' ORDER BY pos) AS seq FROM v_path GROUP BY cluster, read"))
+def path_sequence(v: Fixtures) -> DataFrame:
+    nodes = v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER))
+    return P.path_sequence(v.v_path, nodes)
+
+
+@query(duck("v_path", "SELECT cluster, node, max(d) AS layer FROM walk GROUP BY cluster, node", recursive=True, more=_EDGE + """,
+  nodes AS (SELECT DISTINCT cluster, node FROM v_path), walk AS (SELECT cluster, node, 0 AS d FROM nodes UNION SELECT w.cluster, e.v, w.d + 1 FROM walk w JOIN edge e ON e.cluster = w.cluster AND e.u = w.node)"""))
+def topological_layers(v: Fixtures) -> DataFrame:
+    return P.topological_layers(P.edge_weights(v.v_path))
+
+
+@query(duck("v_path", "SELECT cluster, head, string_agg(" + _LETTER + ", '' ORDER BY step) AS nts, count(*) AS n FROM run GROUP BY cluster, head", recursive=True, more=_SUCC + """,
+  rare AS (SELECT cluster, u, v FROM succ WHERE weight >= 1),
+  one AS (SELECT cluster, u, v FROM (SELECT *, count(*) OVER (PARTITION BY cluster, v) AS ins FROM rare) x WHERE ins = 1),
+  run AS (SELECT cluster, node AS head, node, 0 AS step FROM (SELECT DISTINCT cluster, node FROM v_path) n WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.cluster = n.cluster AND o.v = n.node)
+    UNION ALL SELECT r.cluster, r.head, o.v, r.step + 1 FROM run r JOIN one o ON o.cluster = r.cluster AND o.u = r.node)"""))
+def compact_chains(v: Fixtures) -> DataFrame:
+    edges = P.best_successor(P.edge_weights(v.v_path))
+    return P.compact_chains(edges, v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER)))
+
+
+@query(duck("v_path", "SELECT p.cluster, p.read, p.support, p.pos, dense_rank() OVER (PARTITION BY p.cluster ORDER BY p.node) - 1 AS node FROM v_path p JOIN (SELECT cluster, read FROM v_path GROUP BY cluster, read HAVING count(*) > 20) k ON k.cluster = p.cluster AND k.read = p.read"))
+def select_paths(v: Fixtures) -> DataFrame:
+    long = v.v_path.groupBy("cluster", "read").agg(F.count("*").alias("n")).where("n > 20").select("cluster", "read")
+    return P.select_paths(v.v_path, long)
+
+
+@query(duck("", """SELECT node, min(m) AS column_id FROM reach GROUP BY node""", recursive=True, more="""pair AS (SELECT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1),
+  both_ AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach AS (SELECT DISTINCT a AS node, a AS m FROM both_ UNION SELECT r.node, b.b FROM reach r JOIN both_ b ON b.a = r.m)"""))
+def alignment_columns(v: Fixtures) -> DataFrame:
+    pairs = v.lineitem.where("l_quantity = 50 and l_discount = 0.1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
+    return P.alignment_columns(pairs)
+
+
+@query(duck("v_path", f"SELECT r.cluster, r.read, string_agg(coalesce(p.nts, '-'), '' ORDER BY c.node) AS row FROM (SELECT DISTINCT cluster, read FROM v_path) r JOIN (SELECT DISTINCT cluster, node FROM v_path) c ON c.cluster = r.cluster LEFT JOIN (SELECT cluster, read, node, {_LETTER} AS nts FROM v_path) p ON p.cluster = r.cluster AND p.read = r.read AND p.node = c.node GROUP BY r.cluster, r.read"))
+def gapped_matrix(v: Fixtures) -> DataFrame:
+    return P.gapped_rows(v.v_path, F.expr(_LETTER), v.v_path.select("cluster", "node").distinct())
+
+
+@query(duck("v_backbone", "SELECT ref, k AS node, substr(seq, CAST(k + 1 AS INT), 1) AS nts FROM (SELECT ref, seq, unnest(range(length(seq))) AS k FROM v_backbone) x"))
+def linear_graph(v: Fixtures) -> DataFrame:
+    return P.linear_graph(v.v_backbone)
+
+
+@query(duck("v_path", "SELECT cluster, u, v, n_reads AS weight, round(0.0 - ln(n_reads / (sum(n_reads) OVER (PARTITION BY cluster, u))::DOUBLE), 9) AS nll FROM edge", more=_EDGE))
+def consensus_graph(v: Fixtures) -> DataFrame:
+    return P.consensus_graph(v.v_path).select("cluster", "u", "v", "weight", F.round("nll", 9).alias("nll"))
+
+
+@query(duck("v_path", f"""SELECT n.cluster, n.node, {_LETTER.replace('node', 'n.node')} || ':' || coalesce((SELECT string_agg('L' || u, '' ORDER BY u) FROM edge e WHERE e.cluster = n.cluster AND e.v = n.node), '')
+    || coalesce((SELECT string_agg('S' || read, '' ORDER BY read) FROM v_path p WHERE p.cluster = n.cluster AND p.node = n.node), '') AS line FROM (SELECT DISTINCT cluster, node FROM v_path) n""", more=_EDGE))
+def graph_node_lines(v: Fixtures) -> DataFrame:
+    nodes = v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER))
+    return IO.graph_node_lines(nodes, P.edge_weights(v.v_path), v.v_path.select("cluster", "node", "read"))
+
+
+# ---- pileups -----------------------------------------------------------------------------------
+
+_STEPS = """part AS (SELECT rid, ref, start, seq, unnest(regexp_extract_all(cigar, '[0-9]+[=XID]')) AS o, unnest(range(len(regexp_extract_all(cigar, '[0-9]+[=XID]')))) AS i FROM v_aln),
+  op AS (SELECT rid, ref, start, seq, i, right(o, 1) AS op, CAST(left(o, length(o) - 1) AS INT) AS n FROM part),
+  placed AS (SELECT *, start + coalesce(sum(CASE WHEN op = 'I' THEN 0 ELSE n END) OVER w, 0) AS r0, coalesce(sum(CASE WHEN op = 'D' THEN 0 ELSE n END) OVER w, 0) AS q0
+    FROM op WINDOW w AS (PARTITION BY rid, ref, start ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  step AS (SELECT rid, ref, i, op, k, CAST(CASE WHEN op = 'I' THEN r0 - 1 ELSE r0 + k END AS BIGINT) AS rpos, CAST(CASE WHEN op = 'D' THEN q0 - 1 ELSE q0 + k END AS BIGINT) AS qpos,
+    CASE WHEN op <> 'D' THEN substr(seq, CAST(q0 + k + 1 AS INT), 1) END AS base FROM (SELECT *, unnest(range(n)) AS k FROM placed) x)"""
+_NODES = _STEPS + """, ins AS (SELECT rid, ref, i, string_agg(base, '' ORDER BY k) AS text FROM step WHERE op = 'I' GROUP BY rid, ref, i),
+  node AS (SELECT rid, ref, row_number() OVER (PARTITION BY rid, ref ORDER BY i, k) AS step,
+    CASE WHEN op = '=' THEN 'r:' || rpos WHEN op = 'X' THEN 'x:' || rpos || ':' || base ELSE 'i:' || rpos || ':' || text || ':' || k END AS node FROM step LEFT JOIN ins USING (rid, ref, i) WHERE op <> 'D'),
+  link AS (SELECT rid, ref, u, v FROM (SELECT rid, ref, node AS u, lead(node) OVER (PARTITION BY rid, ref ORDER BY step) AS v FROM node) x WHERE v IS NOT NULL),
+  base AS (SELECT ref, 'r:' || k AS u, 'r:' || (k + 1) AS v, k + 1 AS at_, n FROM (SELECT ref, length(seq) AS n, unnest(range(length(seq) - 1)) AS k FROM v_backbone) x)"""
+
+
+@query(duck("v_aln", "SELECT * FROM step", more=_STEPS))
+def expand_cigar(v: Fixtures) -> DataFrame:
+    return U.expand_cigar(v.v_aln)
+
+
+@query(duck("v_aln", "SELECT * FROM step WHERE op <> 'D'", more=_STEPS))
+def drop_ambiguous(v: Fixtures) -> DataFrame:
+    return U.drop_ambiguous(U.trim_to_matches(U.expand_cigar(v.v_aln))).where("op <> 'D'")
+
+
+@query(duck("v_aln v_backbone", "SELECT rid, ref, step, node FROM node", more=_NODES))
+def alignment_nodes(v: Fixtures) -> DataFrame:
+    return U.alignment_nodes(U.expand_cigar(v.v_aln))
+
+
+@query(duck("v_aln v_backbone", "SELECT ref, u, v, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT ref, u, v, 10 AS w FROM link UNION ALL SELECT ref, u, v, 1 FROM base) x GROUP BY ref, u, v", more=_NODES))
+def pileup_edges(v: Fixtures) -> DataFrame:
+    return U.pileup_edges(v.v_backbone, U.alignment_nodes(U.expand_cigar(v.v_aln)))
+
+
+@query(duck("v_aln v_backbone", "SELECT ref, bool_and(EXISTS (SELECT 1 FROM link l WHERE l.ref = b.ref AND l.u = b.u AND l.v = b.v) OR NOT (at_ >= 100 AND at_ < n - 100)) AS ok FROM base b GROUP BY ref", more=_NODES))
+def stringency_check(v: Fixtures) -> DataFrame:
+    return U.stringency_check(v.v_backbone, U.supported(U.alignment_nodes(U.expand_cigar(v.v_aln))))
+
+
+_BRANCH = _NODES + """, flag AS (SELECT *, node LIKE 'r:%' AS on_, CASE WHEN node LIKE 'r:%' THEN CAST(substr(node, 3) AS INT) END AS p FROM node),
+  seen AS (SELECT *, lag(on_) OVER w AS before_on, lag(p) OVER w AS before_p, lag(node) OVER w AS before_node FROM flag WINDOW w AS (PARTITION BY rid, ref ORDER BY step)),
+  jumps AS (SELECT rid, ref, before_node || ' ' || node AS branch FROM seen WHERE on_ AND before_on AND p - before_p > 1),
+  runs AS (SELECT *, sum(CASE WHEN on_ THEN 1 ELSE 0 END) OVER (PARTITION BY rid, ref ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM flag),
+  offs AS (SELECT r.rid, r.ref, r.g, string_agg(r.node, ' ' ORDER BY r.step) AS mid FROM runs r WHERE NOT on_ GROUP BY r.rid, r.ref, r.g),
+  branch AS (SELECT o.rid, o.ref, coalesce(a.node || ' ', '') || mid || coalesce(' ' || z.node, '') AS branch FROM offs o LEFT JOIN runs a ON a.rid = o.rid AND a.ref = o.ref AND a.g = o.g AND a.on_ LEFT JOIN runs z ON z.rid = o.rid AND z.ref = o.ref AND z.g = o.g + 1 AND z.on_
+    UNION ALL SELECT * FROM jumps),
+  branches AS (SELECT ref, branch, count(*) AS n_reads FROM branch GROUP BY ref, branch)"""
+
+
+@query(duck("v_aln v_backbone", "SELECT * FROM branches", more=_BRANCH))
+def branch_support(v: Fixtures) -> DataFrame:
+    return U.branch_support(U.alignment_nodes(U.expand_cigar(v.v_aln)))
+
+
+@query(duck("v_aln v_backbone", "SELECT * FROM branches WHERE NOT (CAST(string_split(string_split(branch, ' ')[1], ':')[2] AS INT) % 3 > 0 AND CAST(string_split(string_split(branch, ' ')[-1], ':')[2] AS INT) % 3 > 0)", more=_BRANCH))
+def drop_branches(v: Fixtures) -> DataFrame:
+    nodes = U.alignment_nodes(U.expand_cigar(v.v_aln))
+    walk = P.linear_graph(v.v_backbone).where("node % 3 > 0").select("ref", F.concat(F.lit("r:"), "node").alias("node"))
+    return U.drop_branches(U.branch_support(nodes), walk)
+
+
+@query(duck("v_aln v_backbone", """SELECT ref, string_agg(base, '' ORDER BY rpos) AS seq FROM (
+    SELECT ref, rpos, base, row_number() OVER (PARTITION BY ref, rpos ORDER BY votes DESC, own DESC, base) AS rn FROM (
+      SELECT ref, rpos, base, sum(w) AS votes, max(own) AS own FROM (
+        SELECT s.ref, s.rpos, CASE WHEN op = '=' THEN substr(b.seq, CAST(rpos + 1 AS INT), 1) ELSE coalesce(s.base, '') END AS base, 10 AS w, 0 AS own FROM step s JOIN v_backbone b ON b.ref = s.ref WHERE op <> 'I' AND rpos < length(b.seq)
+        UNION ALL SELECT ref, k, substr(seq, CAST(k + 1 AS INT), 1), 1, 1 FROM (SELECT ref, seq, unnest(range(length(seq))) AS k FROM v_backbone) y) x
+      GROUP BY ref, rpos, base) z) q WHERE rn = 1 GROUP BY ref""", more=_STEPS))
+def pileup_consensus(v: Fixtures) -> DataFrame:
+    return U.pileup_consensus(v.v_backbone, v.v_aln)
+
+
+@query(duck("v_path", "SELECT cluster, u, v, weight FROM edge", more=_EDGE))
+def merge_chunks(v: Fixtures) -> DataFrame:
+    chunked = P.steps(v.v_path).withColumn("chunk", F.pmod(F.xxhash64("read"), F.lit(7))).groupBy("cluster", "chunk", "u", "v").agg(F.sum("support").alias("weight"))
+    return U.merge_chunks(chunked)
+
+
+@query()
+def iterate_until_stable(v: Fixtures) -> DataFrame:
+    return U.correct_until_stable(v.v_path.select("cluster", "read", "support", "pos", "node"), psi=3)
