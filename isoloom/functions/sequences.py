@@ -38,11 +38,11 @@ def find_all(c: Column, motif: str) -> Column:
     whole text is walked once however many occurrences there are.
     """
     pieces = F.split(c, f"(?={motif})")
-    ends = F.aggregate(
+    starts = F.aggregate(
         pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.startswith(motif), F.concat(acc["all"], F.array(acc["at"]))).otherwise(acc["all"]).alias("all")),
-    )
-    return ends["all"]
+        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+    )["all"]
+    return F.when(c.startswith(motif), starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
 
 
 def translate_frame(c: Column, frame: int = 0) -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from isoloom.functions import sequences as S
 
-_FILE = F.col("_metadata.file_path")
+_FILE = "_metadata.file_path"
 
 
 def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """Text cut at ``sep``: (file, ord, value), ord grows in file order."""
-    return spark.read.option("lineSep", sep).text(path).select(_FILE.alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
+    return spark.read.option("lineSep", sep).text(path).select(F.col(_FILE).alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +34,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     Quality lines may begin with @, so records are counted by lines: line numbers within each file come from a
     zip with index, which needs no sort and no single task.
     """
-    lines = spark.read.text(path).select(_FILE.alias("file"), "value")
+    lines = spark.read.text(path).select(F.col(_FILE).alias("file"), "value")
     numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0].file, x[1], x[0].value)).toDF("file string, line long, value string")
     first = numbered.groupBy("file").agg(F.min("line").alias("first"))
     placed = numbered.join(first, "file").withColumn("at", F.col("line") - F.col("first"))
@@ -112,7 +112,7 @@ def read_blastp_report(spark: SparkSession, path: str) -> DataFrame:
 
 def read_graph_text(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``nodes(file, node, nts)``, ``edges(file, u, v)``, ``paths(file, read, name, node)``, ``rings(file, a, b)`` of graph text."""
-    lines = spark.read.text(path, wholetext=True).select(_FILE.alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "t"))
+    lines = spark.read.text(path, wholetext=True).select(F.col(_FILE).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "t"))
     node_line = r"^([^:\s]+):((?:[LSA][0-9]+)*)$"
     node = F.row_number().over(W.partitionBy("file").orderBy("line")) - 1
     nodes = lines.where(F.col("t").rlike(node_line)).select("file", node.alias("node"), F.regexp_extract("t", node_line, 1).alias("nts"), F.regexp_extract("t", node_line, 2).alias("x"))
