@@ -33,6 +33,8 @@ PERMUTATIONS = 32
 ITEMS_PER_BLOCK = 20_000
 _WORDS = re.compile(r"[^\W_]+")  # runs of letters and digits
 _SEED = 11
+_TOGETHER = 1 << 17
+_NONE = np.uint64(2**64 - 1)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -51,9 +53,8 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(_SEED)
-    return rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, n, np.uint64)
+def _permutations(n: int) -> np.ndarray:
+    return np.random.default_rng(_SEED).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
 
 
 def _class(n: int) -> int:
@@ -68,7 +69,7 @@ class Index:
     """Minima of the items of one block, by size class and permutation, and their distinct shingles."""
 
     def __init__(self, items: list[tuple[int, str | None]], threshold: float, permutations: int = PERMUTATIONS):
-        self.threshold, (self.a, self.b) = threshold, _permutations(permutations)
+        self.threshold, self.a = threshold, _permutations(permutations)
         self.items = {i: s for i, text in items if len(s := np.unique(shingles(text)))}
         self.classes: dict[int, list[tuple[np.ndarray, list[list[int]]]]] = {}
         by_class: dict[int, list[int]] = {}
@@ -87,31 +88,55 @@ class Index:
 
     def _hash(self, s: np.ndarray, k: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = (s ^ self.b[k]) * self.a[k]
-        return x ^ (x >> np.uint64(32))
-
-    def candidates(self, s: np.ndarray) -> set[int]:
-        found: set[int] = set()
+            return s * self.a[k]  # an odd factor permutes the 64-bit values; shingles are mixed already
+
+    def candidates(self, parts: list[np.ndarray]) -> list[set[int]]:
+        """For each document, given by its shingles in order, the items that share a minimum with a window of it."""
+        found: list[set[int]] = [set() for _ in parts]
+        sizes = np.array([len(p) for p in parts])
+        if not sizes.sum():
+            return found
+        s, begin = np.concatenate(parts), np.r_[0, np.cumsum(sizes)[:-1]]
+        cuts = {}
+        for c in self.classes:  # blocks begin anew in each document; a window is a block and the two after it there
+            step = -(-c // 2)
+            n = -(-sizes // step)
+            doc = np.repeat(np.arange(len(parts)), n)
+            nth = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+            cuts[c] = begin[doc] + nth * step, doc, np.flatnonzero(doc[1:] != doc[:-1])
         for k in range(len(self.a)):
             h = self._hash(s, k)
             for c, tables in self.classes.items():
-                block = np.minimum.reduceat(h, np.arange(0, len(h), -(-c // 2)))
-                window = np.minimum(np.minimum(block[:-2], block[1:-1]), block[2:]) if len(block) > 2 else block.min(keepdims=True)
+                at, doc, last = cuts[c]
+                block = np.minimum.reduceat(h, at)
+                after = np.r_[block[1:], _NONE]
+                after[last] = _NONE
+                two = np.minimum(block, after)
+                after = np.r_[two[1:], _NONE]
+                after[last] = _NONE
+                window = np.minimum(two, after)
                 keys, ids = tables[k]
-                at = np.minimum(np.searchsorted(keys, window), len(keys) - 1)
-                for j in np.unique(at[keys[at] == window]):
-                    found.update(ids[j])
+                place = np.searchsorted(keys, window)
+                place[place == len(keys)] = 0
+                for w in np.flatnonzero(keys[place] == window):
+                    found[doc[w]].update(ids[place[w]])
         return found
 
-    def search(self, text: str | None) -> list[tuple[int, float]]:
-        """(item, containment) of the items that the text contains, by item."""
-        s = shingles(text)
-        if not len(s) or not self.items:
-            return []
-        ids = self.candidates(s)
-        there = np.unique(s) if ids else s
-        shares = ((i, float(np.isin(self.items[i], there).mean())) for i in sorted(ids))
-        return [(i, x) for i, x in shares if x >= self.threshold - 1e-12]
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
+        """For each text (item, containment) of the items that it contains, by item."""
+        out: list[list[tuple[int, float]]] = []
+        at = 0
+        while at < len(texts):  # as many texts at a time as make up enough shingles for whole-array work
+            parts, total = [], 0
+            while at + len(parts) < len(texts) and total < _TOGETHER:
+                parts.append(shingles(texts[at + len(parts)]))
+                total += len(parts[-1])
+            for s, ids in zip(parts, self.candidates(parts) if self.items else [set()] * len(parts), strict=True):
+                there = np.unique(s) if ids else s
+                shares = ((i, float(np.isin(self.items[i], there).mean())) for i in sorted(ids))
+                out.append([(i, x) for i, x in shares if x >= self.threshold - 1e-12])
+            at += len(parts)
+        return out
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str | None]], threshold: float) -> DataFrame:
@@ -121,7 +146,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value, threshold)
         for b in batches:
-            found = [index.search(t.as_py()) for t in b.column(1)]
+            found = index.search(b.column(1).to_pylist())
             columns = [b.column(0), [[i for i, _ in f] for f in found], [max((x for _, x in f), default=0.0) for f in found]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -170,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, threshold)
             for b in batches:
-                yield b.filter(pa.array([not index.search(t.as_py()) for t in b.column(names.index("text"))], pa.bool_()))
+                yield b.filter(pa.array([not f for f in index.search(b.column(names.index("text")).cast(pa.string()).to_pylist())], pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept
