@@ -264,10 +264,10 @@ def assign_by_chain(v: Fixtures) -> DataFrame:
     return C.assign_by_chain(chains.where("kind = 'O'"), chains.where("kind = 'F'"))
 
 
-@query(duck("v_query_iv v_gene", """SELECT q.qid, q.l_partkey, q.l_suppkey, coalesce(CAST(arg_min(g.gid, g.s * 10000000 + g.e) AS VARCHAR), '.') AS gene
-    FROM v_query_iv q LEFT JOIN v_gene g ON q.chr = g.chr AND q.s <= g.e AND q.e >= g.s GROUP BY q.qid, q.l_partkey, q.l_suppkey"""))
+@query(duck("v_query_iv v_gene", """SELECT q.qid, q.l_partkey, q.l_suppkey, q.e, coalesce(CAST(arg_min(g.gid, g.s * 10000000 + g.e) AS VARCHAR), '.') AS gene
+    FROM v_query_iv q LEFT JOIN v_gene g ON q.chr = g.chr AND q.s <= g.e AND q.e >= g.s GROUP BY q.qid, q.l_partkey, q.l_suppkey, q.e"""))
 def assign_by_overlap(v: Fixtures) -> DataFrame:
-    q = v.v_query_iv.withColumn("qid", F.struct("qid", "l_partkey", "l_suppkey")).distinct()
+    q = v.v_query_iv.withColumn("qid", F.struct("qid", "l_partkey", "l_suppkey", "e")).distinct()
     return C.assign_by_overlap(q, v.v_gene).select("qid.*", "gene")
 
 
