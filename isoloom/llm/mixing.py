@@ -149,7 +149,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     lines = placed(sizes)
     last = F.col("start") + F.col("size") - 1
     spread = lines.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))))
-    reads = reads.select(F.col("source").alias("s"), F.col("block").alias("b"), "n_words", "times")
+    # Slots are made from a small table, so their number can't be estimated beforehand: never broadcast them.
+    reads = reads.select(F.col("source").alias("s"), F.col("block").alias("b"), "n_words", "times").hint("merge")
     met = spread.join(reads, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     words = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("n_words")) - F.greatest("start", F.col("block") * block)
     taken = met.groupBy("row").agg(F.sum(F.greatest(words, F.lit(0)) * F.col("times")).alias("taken"))
