@@ -52,21 +52,30 @@ def translate_frame(c: Column, frame: int = 0) -> Column:
     return F.array_join(F.transform(codons, lambda k: table[k]), "")
 
 
+#: Reading on in frame: codons before an ATG, then the ATG and all up to its stop.
+_ORF = r"\G(?:(?!ATG)...)*+(ATG(?:(?!TAA|TAG|TGA)...)*+(?:TAA|TAG|TGA))"
+
+
 def longest_orf(c: Column) -> Column:
     """Longest translation from an ATG to the first stop in its frame; without a stop there is none.
 
     A struct (protein, offset): among equally long ones the first in the sequence; empty with offset -1 if
-    there is none. ``c`` holds upper-case ACGT.
+    there is none. ``c`` holds upper-case ACGT. Each frame is read once by a pattern; only the longest is translated.
     """
     best = []
     for frame in range(3):
-        protein = translate_frame(c, frame)
-        longest = F.aggregate(F.regexp_extract_all(protein, F.lit(r"(M[^*]*)\*"), F.lit(1)), F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))
-        # The first place of a longest one is its own: inside an earlier one it would have been longer.
-        offset = F.when(longest != "", 3 * (F.position(F.concat(longest, F.lit("*")), protein) - 1) + frame).otherwise(-1)
-        best.append(F.struct(F.length(longest).alias("n"), (-offset).alias("first"), longest.alias("protein"), offset.alias("offset")))
-    top = F.greatest(*best)
-    return F.struct(top["protein"].alias("protein"), top["offset"].cast("int").alias("offset"))
+        rest = F.substring(c, frame + 1, 2**31 - 1)
+        found = F.arrays_zip(F.regexp_extract_all(rest, F.lit(_ORF), F.lit(0)).alias("read"), F.regexp_extract_all(rest, F.lit(_ORF), F.lit(1)).alias("orf"))
+        none = F.struct(F.lit(frame).alias("at"), F.lit(0).alias("n"), F.lit(1).alias("first"), F.lit("").alias("orf"))
+
+        def longer(acc, x):
+            at, n = acc["at"] + F.length(x["read"]), F.length(x["orf"])
+            return F.when(n > acc["n"], F.struct(at.alias("at"), n.alias("n"), (n - at).alias("first"), x["orf"].alias("orf"))).otherwise(F.struct(at.alias("at"), acc["n"].alias("n"), acc["first"].alias("first"), acc["orf"].alias("orf")))
+
+        top = F.aggregate(found, none, longer)
+        best.append(F.struct(top["n"].alias("n"), top["first"].alias("first"), top["orf"].alias("orf")))
+    top = F.greatest(*best)  # the longest, then the least offset
+    return F.struct(F.rtrim(translate_frame(top["orf"]), F.lit("*")).alias("protein"), (-top["first"]).alias("offset"))
 
 
 def parse_attributes(c: Column) -> Column:
