@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.shared import discard, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, least_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = least_of(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, least_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = least_of(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -30,17 +32,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Both star steps keep the components and only re-hang edges on smaller nodes; when a round changes
     nothing the graph is one star per component. A round is two aggregations and two joins of the edge
-    table, whatever the shape of the components, and hubs are ordinary skewed join keys that adaptive
-    execution splits. Each round is written to the shared folder, so that a lost executor repeats one
-    round at most. Self loops give a node its own component; null ends are dropped.
+    table, whatever the shape of the components. The smallest neighbours are written before they are joined:
+    both sides of the join are then plain shuffles, so that adaptive execution can split a hub's edges. Each
+    round is written to the shared folder, and a lost executor repeats one round at most. Self loops
+    give a node its own component; null ends are dropped.
     """
+    written: list[DataFrame] = []
+
+    def least_of(df: DataFrame) -> DataFrame:
+        written.append(materialise(df, "least"))
+        return written[-1]
+
     edges = edges.select("u", "v").where("u is not null and v is not null")
     loops = edges.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    now = materialise(_small_star(edges.where("u <> v")).distinct(), "components")
+    now = materialise(_small_star(edges.where("u <> v"), least_of).distinct(), "components")
     state = _state(now)
     for _ in range(max_rounds):
-        after = materialise(_small_star(_large_star(now)).distinct(), "components")
-        discard(now)
+        large = materialise(_large_star(now, least_of).distinct(), "components")
+        after = materialise(_small_star(large, least_of).distinct(), "components")
+        for old in (now, large, *written):
+            discard(old)
+        written.clear()
         now, before, state = after, state, _state(after)
         if state == before:
             break
