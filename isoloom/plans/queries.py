@@ -13,6 +13,7 @@ from isoloom.operators import pileup as U
 from isoloom.operators import structure as I
 from isoloom.operators import transcripts as T
 from isoloom.plans.fixtures import Fixtures, duck
+from isoloom.shared import new_path
 from isoloom.sources import files as IO
 
 QUERIES: dict = {}
@@ -707,3 +708,78 @@ def merge_chunks(v: Fixtures) -> DataFrame:
 @query()
 def iterate_until_stable(v: Fixtures) -> DataFrame:
     return U.correct_until_stable(v.v_path.select("cluster", "read", "support", "pos", "node"), psi=3)
+
+
+# ---- files: written from the tables to the shared folder and read back ---------------------------
+
+
+def _written(v: Fixtures, lines: DataFrame, name: str) -> str:
+    path = new_path(v.spark, name)
+    lines.write.text(path)
+    return path
+
+
+@query(duck("v_seq", "SELECT CAST(read_id AS VARCHAR) AS read_id, seq AS sequence FROM v_seq"))
+def read_fasta(v: Fixtures) -> DataFrame:
+    path = _written(v, IO.fasta_text(v.v_seq.select(F.col("read_id").cast("string").alias("read_id"), F.col("seq").alias("sequence"))), "fasta")
+    return IO.read_fasta(v.spark, path).select("read_id", "sequence")
+
+
+@query(duck("v_seq", "SELECT CAST(read_id AS VARCHAR) AS read_id, seq AS sequence, repeat('@', length(seq)) AS qualities FROM v_seq"))
+def read_fastq(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "fastq")
+    IO.write_fastq(v.v_seq.select(F.col("read_id").cast("string").alias("read_id"), F.col("seq").alias("sequence"), F.translate("seq", "ACGT", "@@@@").alias("qualities")), path)
+    return IO.read_fastq(v.spark, path).select("read_id", "sequence", "qualities")
+
+
+def _bed_lines(v: Fixtures) -> DataFrame:
+    numbers = lambda c: F.concat(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(","))
+    return _bed(v).select(F.concat_ws("\t", "chr", "start", "end", "name", F.lit("0"), "strand", F.lit("0"), F.lit("0"), F.lit("0"), F.size("block_sizes"), numbers("block_sizes"), numbers("block_starts")).alias("value"))
+
+
+@query(duck("v_exon", "SELECT chr, CAST(tx AS VARCHAR) AS name, strand, string_agg(CAST(e - s AS VARCHAR), ',' ORDER BY n) AS sizes, min(s) AS start, max(e) AS \"end\" FROM v_exon GROUP BY chr, tx, strand"))
+def read_bed12(v: Fixtures) -> DataFrame:
+    bed = IO.read_bed12(v.spark, _written(v, _bed_lines(v), "bed"))
+    return bed.select("chr", "name", "strand", F.array_join(F.transform("block_sizes", lambda x: x.cast("string")), ",").alias("sizes"), "start", "end")
+
+
+@query(duck("v_exon", "SELECT chr, CAST(tx AS VARCHAR) AS transcript_id, CAST(n AS VARCHAR) AS exon_number, s AS start, e AS \"end\" FROM v_exon"))
+def read_gtf(v: Fixtures) -> DataFrame:
+    rows = I.bed12_to_gtf(_bed(v)).withColumn("name", F.col("name").cast("string"))
+    exons, _ = IO.read_gtf(v.spark, _written(v, IO.gtf_text(rows), "gtf"))
+    return exons.select("chr", "transcript_id", F.col("attributes")["exon_number"].alias("exon_number"), "start", "end")
+
+
+@query(duck("v_exon", "SELECT CAST(tx AS VARCHAR) AS rid, chr AS contig, CASE WHEN strand = '-' THEN 16 ELSE 0 END AS flag, min(s) AS start, count(*) AS n_exons FROM v_exon GROUP BY tx, chr, strand"))
+def read_alignments(v: Fixtures) -> DataFrame:
+    sam = _genomic(v).select(F.concat_ws("\t", "rid", "flag", "contig", F.col("start") + 1, F.lit("60"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*")).alias("value"))
+    aln = IO.read_alignments(v.spark, _written(v, sam, "sam"))
+    return aln.select("rid", "contig", "flag", "start", F.size(F.filter(S.cigar_ops(F.col("cigar")), lambda o: o["op"] == "M")).cast("long").alias("n_exons"))
+
+
+@query(duck("v_intron", "SELECT 'int' || tx || '_' || support AS name, CAST(support AS BIGINT) AS support, chr, CAST(s AS BIGINT) AS first, CAST(e AS BIGINT) AS last, strand FROM v_intron"))
+def read_intron_names(v: Fixtures) -> DataFrame:
+    name = F.concat(F.lit("int"), "tx", F.lit("_"), "support", F.lit("::"), "chr", F.lit(":"), "s", F.lit("-"), "e", F.lit("("), "strand", F.lit(")"))
+    got = IO.read_intron_names(v.spark, _written(v, v.v_intron.select(name.alias("value")), "names"))
+    return got.select("name", "support", "chr", F.col("start").alias("first"), F.col("end").alias("last"), "strand")
+
+
+@query("SELECT lower(o_orderstatus) AS code, 'tx' || o_orderkey AS read_id FROM orders WHERE o_orderpriority <> '5-LOW'")
+def read_tracking(v: Fixtures) -> DataFrame:
+    sample = F.when(F.col("o_orderpriority") == "5-LOW", "-").otherwise(F.concat(F.lit("q1:tx"), "o_orderkey", F.lit("|g|1")))
+    lines = v.orders.select(F.concat_ws("\t", F.lit("T"), F.lit("X"), F.lit("-"), F.lower("o_orderstatus"), sample).alias("value"))
+    return IO.read_tracking(v.spark, _written(v, lines, "tracking"))
+
+
+@query(SQL["bin_by_support"])
+def write_by_bin(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "bins")
+    IO.write_by(T.bin_by_support(v.v_name).withColumn("sequence", F.lit("A")), "bin", path)
+    return v.spark.read.text(path).where("value like '>%'").groupBy("bin").agg(F.count("*").alias("n_records"))
+
+
+@query("SELECT lang AS cluster, count(*) AS n_records FROM documents GROUP BY lang")
+def write_by_cluster(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "clusters")
+    IO.write_by(v.v_seq.select("cluster", F.col("read_id").cast("string").alias("read_id"), F.col("seq").alias("sequence")), "cluster", path)
+    return v.spark.read.text(path).where("value like '>%'").groupBy("cluster").agg(F.count("*").alias("n_records"))

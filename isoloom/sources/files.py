@@ -31,13 +31,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, read_id, sequence, qualities): strict records of four lines, U read as T.
 
-    Quality lines may begin with @, so records are counted by lines: line numbers within each file come from a
-    zip with index, which needs no sort and no single task.
+    Quality lines may begin with @, so records are counted by lines. A block of a file is read in order by one
+    task, so a line's number is its place in the block plus the lines of the blocks before it: no sort, no single task.
     """
-    lines = spark.read.text(path).select(F.col(_FILE).alias("file"), "value")
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0].file, x[1], x[0].value)).toDF("file string, line long, value string")
-    first = numbered.groupBy("file").agg(F.min("line").alias("first"))
-    placed = numbered.join(first, "file").withColumn("at", F.col("line") - F.col("first"))
+    lines = spark.read.text(path).select(F.col(_FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    ahead = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    placed = lines.join(blocks, ["file", "block"]).withColumn("at", F.col("ahead") + F.col("id") - F.col("first"))
     pick = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("value")))
     rows = placed.groupBy("file", F.floor(F.col("at") / 4).alias("ord")).agg(pick(0).alias("h"), pick(1).alias("s"), pick(3).alias("qualities"))
     return rows.where(F.col("h").startswith("@")).select("file", "ord", F.expr("substr(h, 2)").alias("read_id"), S.u_to_t(F.col("s")).alias("sequence"), "qualities")
