@@ -123,7 +123,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     one = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x"))
     good = materialise(one.select("vec_id", "x.*").where(F.col("label").isNotNull() & F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("embedding")), "vectors")
     sizes = good.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    cut = good.join(sizes, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int"))
+    # Written first, so that adaptive execution can split the rows of a label that very many have.
+    cut = good.join(materialise(sizes, "labels"), ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("nb")).cast("int"))
     tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "label", "dim", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vec_id", "embedding"
     )
