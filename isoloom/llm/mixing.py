@@ -126,7 +126,8 @@ def placed(sizes: DataFrame, group: int = _ROW_GROUP) -> DataFrame:
     """
     counts = sizes.groupBy("source").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    cut = sizes.join(counts.withColumnRenamed("source", "s"), same("source", "s")).drop("s").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")).drop("groups")
+    counts = materialise(counts.withColumnRenamed("source", "s"), "sources")
+    cut = sizes.join(counts, same("source", "s")).drop("s").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")).drop("groups")
     total = cut.groupBy("source", "group").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
     total = total.select(F.col("source").alias("s"), F.col("group").alias("g"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
