@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
+from isoloom.shared import materialise
+
 MANIFEST = "_archives.json"
 COLUMNS = {
     "record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "payload_digest": pa.string(), "refers_to": pa.string(),
@@ -307,7 +309,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("payload_sha1", F.sha1(F.encode("html", "utf-8")))
     large = rows.where(F.octet_length("html") >= least_bytes)
     first = large.groupBy("payload_sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_sha1", "first")
-    rows = rows.join(first, "payload_sha1", "left")
+    # Written first, so that adaptive execution can split the pages of a payload that very many have.
+    rows = rows.join(materialise(first, "responses"), "payload_sha1", "left")
     refers = F.when((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows.select("page_id", "url", "html", "payload_sha1", refers.alias("refers_to")).write.format("warc").mode("append").save(path)
 
