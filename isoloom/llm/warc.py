@@ -100,7 +100,7 @@ class _Stream:
         return True
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
-        while self._need(1):
+        while self._need(2) or self.data:
             if self.data[:2] == b"\x1f\x8b":
                 yield from self._gzip()
             else:

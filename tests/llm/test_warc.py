@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import io
 
 from isoloom.llm import warc
 
@@ -50,6 +51,16 @@ def test_foreign_archives(spark, tmp_path):
     assert spark.read.format("warc").load(f"file://{tmp_path}").count() == 12
 
 
+def test_records_across_reads():
+    bodies = [b"a" * k for k in range(0, 90, 7)]
+    plain = [warc.record(k, "u", b, warc.digest(b), None, "1970-01-01T00:00:00Z") for k, b in enumerate(bodies)]
+    for data in (b"".join(plain), b"".join(map(warc.member, plain)), b"".join(map(gzip.compress, plain))):
+        for step in (1, 2, 3, 5, 64, 1 << 20):
+            got = [(head["warc-record-id"], block() if k % 2 else None) for k, (head, block) in enumerate(warc._Stream(io.BytesIO(data), step))]
+            assert [h for h, _ in got] == [f"<urn:page:{k}>" for k in range(len(bodies))]
+            assert [b.partition(b"\r\n\r\n")[2] for _, b in got if b is not None] == bodies[1::2]
+
+
 def test_empty(spark, tmp_path):
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_pages(spark, f"file://{tmp_path}/e").count() == 0
