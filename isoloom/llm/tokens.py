@@ -6,17 +6,19 @@ Inside a piece the count at every byte follows the same way over vocabulary toke
 BPE of the prefix without its last token, plus that token, and the last token is the only one that stays
 apart from its predecessor when both are encoded together:
     count[i] = count[i - len(t)] + 1.
-Stored boundaries answer how many tokens a prefix has and where a budget ends without encoding the text
-again: only the piece at the cut is looked at.
+Counts are stored at every code point, so how many tokens a prefix has and where a budget ends are looked
+up without encoding the text again. A cut changes how the text before it is split in three places, which
+are counted on their own: white space before a word, contractions, and added tokens that are cut.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -36,24 +38,27 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class _Counts(dict):
-    """Piece -> number of tokens, filled when first asked for."""
+    """Piece -> its prefix counts as the bytes of an array, filled when first asked for."""
 
-    def __init__(self, encode):
+    def __init__(self, points, short: int):
         super().__init__()
-        self.encode = encode
+        self.points, self.short = points, short
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self.encode(piece.encode("utf-8", "replace")))
-        return n
+    def __missing__(self, piece: str) -> bytes:
+        found = array("i", self.points(piece)).tobytes()
+        if len(piece) <= self.short:
+            self[piece] = found
+        return found
 
 
 class PrefixCounter:
     """Token counts of the vocabulary in ``path``, a .json file of byte-level BPE.
 
-    ``cached`` bounds the pieces whose counts are remembered; the memory is started afresh beyond it.
+    ``cached`` bounds the pieces, of at most ``short`` characters, whose counts are remembered; the memory is
+    started afresh beyond it.
     """
 
-    def __init__(self, path: str, cached: int = 1 << 19):
+    def __init__(self, path: str, cached: int = 1 << 19, short: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec["pre_tokenizer"] or {}
@@ -65,11 +70,15 @@ class PrefixCounter:
         alphabet = _byte_alphabet()
         names = {t["content"] for t in added}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in names}
-        self.ranks, self.longest = ranks, max(map(len, ranks))
+        self.ranks, self.token, self.none = ranks, {i: token for token, i in ranks.items()}, max(ranks.values()) + 1
+        self.reach = [0] * 256  # the longest token that ends with each byte
+        for token in ranks:
+            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
         self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.pieces = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(sorted(map(regex.escape, names), key=len, reverse=True))) if names else None
-        self.cached, self.counts, self.apart = cached, _Counts(self.encode), {}
+        self.spaces = regex.compile(r"\s{2,}(?=\S)").finditer
+        self.cached, self.counts, self.apart = cached, _Counts(self.points, short), {}
 
     def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
@@ -81,88 +90,118 @@ class PrefixCounter:
         if at < len(text):
             yield text[at:], False
 
-    def count(self, text: str) -> int:
-        """Tokens of the whole text: the last prefix count."""
+    def boundaries(self, text: str) -> np.ndarray:
+        """Token count of text[:n] for every n from 0 to len(text)."""
         if len(self.counts) > self.cached:
             self.counts.clear()
-        get = self.counts.__getitem__
-        return sum(1 if special else sum(map(get, self.pieces(part))) for part, special in self._parts(text))
-
-    def boundaries(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the pieces in code points, and the token count of the prefix that ends there."""
-        if len(self.counts) > self.cached:
-            self.counts.clear()
-        ends, counts = [0], [0]
+        out, at, total = np.zeros(len(text) + 1, np.int32), 0, 0
+        ends: list[int] = []  # of the pieces between the last added token and the next
         for part, special in self._parts(text):
-            pieces = [part] if special else self.pieces(part)
-            tokens = [1] if special else list(map(self.counts.__getitem__, pieces))
-            ends += list(accumulate(map(len, pieces), initial=ends[-1]))[1:]
-            counts += list(accumulate(tokens, initial=counts[-1]))[1:]
-        return ends, counts
+            if special:
+                # A cut added token is plain text, which may join the pieces before it.
+                k, words = len(ends), 0
+                while k and words < 2:
+                    k -= 1
+                    words += not text[ends[k - 1] if k else begin : ends[k]].isspace()
+                safe = (ends[k - 1] if k else begin) if ends else at
+                for n in range(at + 1, at + len(part)):
+                    out[n] = base[k] + self._plain(text[safe:n]) if ends else total + self._plain(part[: n - at])
+                at, total, ends = at + len(part), total + 1, []
+                out[at] = total
+                continue
+            pieces = self.pieces(part)
+            own = np.frombuffer(b"".join(map(self.counts.__getitem__, pieces)), np.int32)
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            stop = np.cumsum(lengths)
+            base = np.cumsum(np.r_[total, own[stop - 1]])
+            out[at + 1 : at + len(part) + 1] = own + np.repeat(base[:-1], lengths)
+            # Before a word the last white space stands apart; a prefix that ends there has it with the rest.
+            for m in self.spaces(part):
+                out[at + m.end()] = base[np.searchsorted(stop, m.start(), "right")] + self._last(m.group())
+            begin, ends = at, (at + stop).tolist() if self.special else []
+            at, total = at + len(part), int(base[-1])
+        return out
+
+    def _last(self, piece: str) -> int:
+        return int(np.frombuffer(self.counts[piece], np.int32)[-1])
+
+    def _plain(self, text: str) -> int:
+        return sum(1 if special else sum(map(self._last, self.pieces(part))) for part, special in self._parts(text))
+
+    def points(self, piece: str) -> list[int]:
+        """Token count of piece[:n] for every n from 1, whose pieces are the prefix itself but in contractions."""
+        counts = self.inside(piece.encode("utf-8", "replace"))
+        if not piece.isascii():
+            counts = [counts[n] for n in accumulate((len(c.encode("utf-8", "replace")) for c in piece), initial=0)]
+        for n in (2, 3)[: len(piece) - 1] if piece[0] == "'" else ():
+            if len(cut := self.pieces(piece[:n])) > 1:
+                counts[n] = sum(self.inside(p.encode("utf-8", "replace"))[-1] for p in cut)
+        return counts[1:]
 
     def inside(self, piece: bytes) -> list[int]:
-        """Token count of piece[:i] for every i, by the recurrence over last tokens."""
-        counts, last = [0], [b""]
-        for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = piece[j:i]
-                if token in self.ranks and self._stay_apart(last[j], token):
+        """Token count of piece[:i] for every byte i, by the recurrence over last tokens."""
+        if len(self.apart) > self.cached:
+            self.apart.clear()
+        rank, apart, reach = self.ranks.get, self.apart.get, self.reach
+        counts, last = [0], [self.none]
+        for i, end in enumerate(piece, 1):
+            for j in range(i - reach[end] if i > reach[end] else 0, i):
+                token = rank(piece[j:i])
+                if token is None:
+                    continue
+                pair = last[j] << 32 | token
+                alone = apart(pair)
+                if alone is None:
+                    alone = self.apart[pair] = self._stay_apart(last[j], token)
+                if alone:
                     counts.append(counts[j] + 1)
                     last.append(token)
                     break
         return counts
 
-    def _stay_apart(self, a: bytes, b: bytes) -> bool:
-        if len(self.apart) > self.cached:
-            self.apart.clear()
-        if (a, b) not in self.apart:
-            self.apart[a, b] = self.encode(a + b) == ([self.ranks[a]] if a else []) + [self.ranks[b]]
-        return self.apart[a, b]
-
-    def count_prefix(self, text: str, n: int, stored: tuple[list[int], list[int]] | None = None) -> int:
-        """Tokens of text[:n], from stored boundaries and the few pieces before the cut."""
-        ends, counts = stored or self.boundaries(text)
-        k = bisect_right(ends, n) - 1
-        # A cut changes how white space before it is split, so white-space pieces are looked at again.
-        while k and (text[ends[k - 1] : ends[k]].isspace() or ends[k] == n):
-            k -= 1
-        total = counts[k]
-        for part, special in self._parts(text[ends[k] : n]):
-            total += 1 if special else sum(self.inside(p.encode("utf-8", "replace"))[-1] for p in self.pieces(part))
-        return total
-
-    def truncate(self, text: str, budget: int, stored: tuple[list[int], list[int]] | None = None) -> int:
-        """Length of the longest prefix of at most ``budget`` tokens that ends where a piece ends."""
-        ends, counts = stored or self.boundaries(text)
-        k = bisect_right(counts, budget) - 1
-        while k and self.count_prefix(text, ends[k], (ends, counts)) > budget:
-            k -= 1
-        return ends[k]
+    def _stay_apart(self, a: int, b: int) -> bool:
+        both = [b] if a == self.none else [a, b]
+        return self.encode(b"".join(map(self.token.__getitem__, both))) == both
 
+    def count_prefix(self, text: str, n: int, stored: np.ndarray | None = None) -> int:
+        """Tokens of text[:n], looked up in stored counts."""
+        return int((self.boundaries(text) if stored is None else stored)[n])
+
+    def truncate(self, text: str, budget: int, stored: np.ndarray | None = None) -> int:
+        """Length of the longest prefix of at most ``budget`` tokens, wherever it ends."""
+        within = np.flatnonzero((self.boundaries(text) if stored is None else stored) <= budget)
+        return int(within[-1]) if len(within) else 0
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for every row; with ``prefixes`` also the stored boundaries.
+
+def prefix_counts(docs: DataFrame, path: str, points: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_bytes, counts) for every row: ``counts[n]``, from 0, is the token count of the first n code points.
 
     ``path`` must be readable by every executor. Null texts count as empty: no bytes, no tokens. Texts of
-    any length are encoded whole; repeated rows and null ids are returned as they are.
+    any length are encoded whole; repeated rows and null ids are returned as they are. Rows are handed on
+    when they have ``points`` counts together.
     """
-    kind = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + ", ends array<int>, counts array<int>" * prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(path)
         for b in batches:
-            n_bytes, n_tokens, stored = [], [], []
-            for x in b.column(1):
+            first, n_bytes, counts, held = 0, [], [], 0
+            for k, x in enumerate(b.column(1), 1):
                 text = x.as_py() or ""
                 n_bytes.append(len(text.encode("utf-8", "replace")))
-                if prefixes:
-                    stored.append(counter.boundaries(text))
-                n_tokens.append(stored[-1][1][-1] if prefixes else counter.count(text))
-            columns = [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
-            if prefixes:
-                columns += [pa.array([s[k] for s in stored], pa.list_(pa.int32())) for k in (0, 1)]
-                names += ["ends", "counts"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+                counts.append(counter.boundaries(text))
+                held += len(counts[-1])
+                if held >= points or k == len(b):
+                    ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k - first), pa.array(n_bytes, pa.int64()), lists], names=["doc_id", "n_bytes", "counts"])
+                    first, n_bytes, counts, held = k, [], [], 0
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, counts array<int>")
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) for every row, from its prefix counts; with ``prefixes`` also these."""
+    n = F.element_at("counts", -1).cast("long")
+    rows = prefix_counts(docs, path).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), "counts")
+    return rows if prefixes else rows.drop("counts")

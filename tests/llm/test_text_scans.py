@@ -115,6 +115,24 @@ def test_token_counts(spark):
     assert counter.inside("unbelievably".encode()) == [0, *(len(library.encode("unbelievably"[:n], add_special_tokens=False).ids) for n in range(1, 13))]
 
 
+def test_prefix_counts_cover_every_position(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(5)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    bits = ["!", " ", "\n", "'", "'r", "'re", "l", " =", "<|endoftext|>", "<|end", "é", "日本", "🙂", "abc", " the", "42"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(1, 30))) for _ in range(150)]
+    texts += ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=600)), "unbelievably" * 20, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counter = tokens.PrefixCounter(path)
+    for r in tokens.token_counts(docs, path, prefixes=True).collect():
+        t = texts[r.doc_id] or ""
+        want = [count(t[:n]) for n in range(len(t) + 1)]
+        assert r.counts == want and r.n_tokens == want[-1]
+        for budget in (0, 1, 7, 100, 10_000):
+            assert counter.truncate(t, budget) == max(n for n, c in enumerate(want) if c <= budget)
+
+
 # ---- benchmark
 
 
