@@ -6,19 +6,23 @@ source an output shard gets is a multinomial draw (given the source's total, so
 targets). Slot j of a pass reads block P(j), P a keyed pseudorandom permutation of the whole blocks'
 indexes computed for each j alone (a Feistel network with cycle walking); a last, shorter block comes last. The
 slot of a pass therefore begins at word j * BLOCK of that pass, and only the last slot of a source is cut.
+Blocks are rows with their words and the spans of documents in them; joined to the slots by index, they are
+written as shards in slot order, and what is taken of a document is the sum of its spans there.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isoloom.shared import materialise
+from isoloom.shared import materialise, new_path
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -26,13 +30,20 @@ MOST = 2.0
 BLOCK = 1024
 SHARD_SLOTS = 8192
 SEED = 20240229
+_FILE_SLOTS = 1024  # slots of a shard in one file
+_WORD = r"[^\x20\x09-\x0D]+"
 _ROW_GROUP = 4096  # documents of a source whose offsets one window task adds up
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).withColumn(
+        "size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    ).withColumn("text_key", F.xxhash64("text"))
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size): size is the number of words, 0 for null texts."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")).withColumn("row", F.monotonically_increasing_id())
+    """(doc_id, source, size, text_key): size is the number of words, 0 for null texts."""
+    return _keyed(docs).drop("text")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -79,8 +90,9 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) ->
 
 
 def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, source, pass, block, n_words): what every output shard reads, one row per slot.
+    """(shard, pos, source, pass, block, n_words): what every output shard reads, one row per slot.
 
+    ``pos`` is the slot's place in its shard, from 0; sources are shuffled among each other.
     ``goals`` as from :func:`targets`. The same input gives the same slots in every run.
     """
     size, goal = F.col("source_size"), F.round("target").cast("long")
@@ -115,45 +127,100 @@ def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
 
     full = F.floor(F.col("size") / block)
     index = F.when(F.col("j") < full, place(F.least("j", F.greatest(full - 1, F.lit(0))), F.greatest(full, F.lit(1)), F.xxhash64("key", "pass"))).otherwise(F.col("j"))
-    return each.select("shard", "source", "pass", index.alias("block"), F.col("n_words").cast("long").alias("n_words"))
+    pos = F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("key", "slot"), "source", "slot")) - 1
+    return each.select("shard", pos.alias("pos"), "source", "pass", index.alias("block"), F.col("n_words").cast("long").alias("n_words"))
 
 
-def placed(sizes: DataFrame, group: int = _ROW_GROUP) -> DataFrame:
-    """``sizes`` with ``start``: the words of the document's source before it, documents in order of id.
+def placed(rows: DataFrame, sizes: DataFrame, group: int = _ROW_GROUP) -> DataFrame:
+    """``rows`` with ``start``: the words of the document's source before it, documents in order of id.
 
-    Documents fall into row groups by hash; offsets are added up inside row groups and over row groups, so a
-    source with most of the rows is many small windows.
+    ``rows`` are those of ``sizes``, perhaps with more columns. Documents fall into row groups by hash; offsets are
+    added up inside row groups and over row groups, so a source with most of the rows is many small windows.
+    Rows that nothing tells apart are equal, so that starts come out the same each time.
     """
     counts = sizes.groupBy("source").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     counts = materialise(counts.withColumnRenamed("source", "s"), "sources")
-    cut = sizes.join(counts, same("source", "s")).drop("s").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")).drop("groups")
-    total = cut.groupBy("source", "group").agg(F.sum("size").alias("words"))
+    dealt = lambda d: d.join(counts, same("source", "s")).drop("s").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")).drop("groups")
+    total = dealt(sizes).groupBy("source", "group").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
     total = total.select(F.col("source").alias("s"), F.col("group").alias("g"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    inside = W.partitionBy("source", "group").orderBy("doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
-    cut = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return cut.join(total, same("source", "s") & (F.col("group") == F.col("g"))).select("row", "doc_id", "source", "size", (F.col("base") + F.col("inside")).alias("start"))
+    inside = W.partitionBy("source", "group").orderBy("doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)
+    cut = dealt(rows).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return cut.join(total, same("source", "s") & (F.col("group") == F.col("g"))).select(*rows.columns, (F.col("base") + F.col("inside")).alias("start"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """``source`` as two columns without nulls, so that equal keys meet without another shuffle."""
+    return df.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("absent", F.col("source").isNull()).drop("source")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` as (doc_id, size, source_size, target, taken).
+def word_blocks(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(name, absent, block, n, words, spans): the words of each source in rows of ``block`` words, the last one shorter.
 
-    ``taken`` counts the words of the document that the slots of all shards read, repeats included. Null
-    texts have size 0 and are never taken; a null source is a source of its own, the last; repeated rows are
-    documents of their own. No document is taken more than ``most`` times its size.
+    ``lines(doc_id, source, text, start)``. Words are separated by one space. ``spans`` has (first, n, start, doc_id) in
+    order: n words from word ``first`` of the block are those of the document that starts at ``start``. The
+    source is ``name``, or null if ``absent``.
+    """
+    find = re.compile(_WORD).findall
+    kind = "name string, absent boolean, start long, doc_id long, block long, first int, n int, part string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, cut = [], []
+            for k, (text, start) in enumerate(zip(b.column(4), b.column(2).to_pylist(), strict=True)):
+                words, at = find(text.as_py() or ""), 0
+                while at < len(words):
+                    first = (start + at) % block
+                    n = min(block - first, len(words) - at)
+                    rows.append(k)
+                    cut.append(((start + at) // block, first, n, " ".join(words[at : at + n])))
+                    at += n
+            kept = b.select([0, 1, 2, 3]).take(pa.array(rows, pa.int64()))
+            added = [pa.array([c[i] for c in cut], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *added], names=["name", "absent", "start", "doc_id", "block", "first", "n", "part"])
+
+    parts = _named(lines).select("name", "absent", "start", "doc_id", "text").mapInArrow(run, kind)
+    rows = parts.groupBy("name", "absent", "block").agg(F.array_sort(F.collect_list(F.struct("first", "n", "start", "doc_id", "part"))).alias("parts"))
+    spans = F.transform("parts", lambda x: F.struct(x["first"].alias("first"), x["n"].alias("n"), x["start"].alias("start"), x["doc_id"].alias("doc_id")))
+    n = F.element_at("parts", -1)
+    return rows.select("name", "absent", "block", (n["first"] + n["n"]).alias("n"), F.array_join("parts.part", " ").alias("words"), spans.alias("spans"))
+
+
+def write_shards(lines: DataFrame, goals: DataFrame, path: str, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix, written to ``path`` with a folder per shard: (shard, pos, source, pass, block, n_words, words, spans).
+
+    A shard's rows are its slots; files hold runs of them in order of ``pos``.
+    """
+    # Slots are made from a small table, so their number can't be estimated beforehand: never broadcast them.
+    reads = _named(slots(goals, block, seed=seed)).hint("merge")
+    met = reads.join(word_blocks(lines, block), ["name", "absent", "block"])
+    words = F.when(F.col("n_words") < F.col("n"), F.expr("substring_index(words, ' ', CAST(n_words AS INT))")).otherwise(F.col("words"))
+    spans = F.transform(
+        F.filter("spans", lambda x: x["first"] < F.col("n_words")),
+        lambda x: F.struct(x["first"].alias("first"), F.least(x["n"].cast("long"), F.col("n_words") - x["first"]).alias("n"), x["start"].alias("start"), x["doc_id"].alias("doc_id")),
+    )
+    source = F.when(~F.col("absent"), F.col("name"))
+    out = met.select("shard", "pos", source.alias("source"), "pass", "block", "n_words", words.alias("words"), spans.alias("spans"))
+    out = out.repartition("shard", F.floor(F.col("pos") / _FILE_SLOTS)).sortWithinPartitions("shard", "pos")
+    out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return out.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, path: str | None = None) -> DataFrame:
+    """Every row of ``docs`` as (doc_id, size, source_size, target, taken); the mix itself is written to ``path``.
+
+    ``path`` is a new path in the shared folder if not given, see :func:`write_shards`. ``taken`` counts the words of
+    the document in all shards, repeats included. Null texts have size 0 and are never taken; a null source is a
+    source of its own, the last; repeated rows are documents of their own. No document is taken more than ``most``
+    times its size.
     """
     sizes = materialise(document_sizes(docs), "sizes")
     goals = materialise(targets(sizes, weights, share, most), "targets")
-    # How often each block is read, and the part of it that a cut slot reads once more.
-    reads = slots(goals, block, seed=seed).groupBy("source", "block", "n_words").agg(F.count("*").alias("times"))
-    lines = placed(sizes)
-    last = F.col("start") + F.col("size") - 1
-    spread = lines.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))))
-    # Slots are made from a small table, so their number can't be estimated beforehand: never broadcast them.
-    reads = reads.select(F.col("source").alias("s"), F.col("block").alias("b"), "n_words", "times").hint("merge")
-    met = spread.join(reads, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    words = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("n_words")) - F.greatest("start", F.col("block") * block)
-    taken = met.groupBy("row").agg(F.sum(F.greatest(words, F.lit(0)) * F.col("times")).alias("taken"))
+    mixed = write_shards(placed(_keyed(docs), sizes), goals, path or new_path(docs.sparkSession, "shards"), block, seed)
+    spans = mixed.select(F.col("source").alias("s"), F.explode("spans").alias("x"))
+    taken = spans.groupBy("s", F.col("x.start").alias("at")).agg(F.sum("x.n").alias("taken"))
+    # Of rows with the same start only one has words.
+    met = placed(sizes, sizes).join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left").drop("s")
     goals = goals.withColumnRenamed("source", "s")
-    return sizes.join(taken, "row", "left").join(goals, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return met.join(goals, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

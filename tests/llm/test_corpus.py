@@ -121,6 +121,32 @@ def test_slots_meet_targets_and_shards_share_them(spark):
     assert max(reads.values()) == 1
 
 
+def test_mix_is_written_as_shards(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(i, " \n".join(f"w{i}.{k}" for k in range(rnd.randint(0, 150))), rnd.choice(["a", "a", "b", None])) for i in range(120)] + [(500, "é z", "b")] * 2
+    path = str(tmp_path / "shards")
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=32, path=path).collect()
+    lines = {s: [w for _, t, x in sorted(rows, key=lambda r: r[0]) if x == s for w in words(t)] for s in ("a", "b", None)}
+    source, seen, blocks = {w: s for _, t, s in rows for w in words(t)}, Counter(), {}
+    mixed = spark.read.parquet(path).collect()
+    for r in mixed:
+        ws = r.words.split(" ")
+        assert len(ws) == r.n_words == sum(x.n for x in r.spans) and all(source[w] == r.source for w in ws)
+        for x in r.spans:
+            assert all(w in ("é", "z") if x.doc_id == 500 else w.startswith(f"w{x.doc_id}.") for w in ws[x["first"] : x["first"] + x.n])
+        seen.update(ws)
+        blocks[r.source, r.block] = max(blocks.get((r.source, r.block), []), ws, key=len)
+    for s, line in lines.items():  # a source's blocks, one after another, are all its words, if they are read at all
+        whole = [w for k in sorted(k for x, k in blocks if x == s) for w in blocks[s, k]]
+        assert set(whole) <= set(line) and (len(whole) < len(line) or Counter(whole) == Counter(line))
+    assert sorted(r.pos for r in mixed if r.shard == 0) == list(range(sum(r.shard == 0 for r in mixed)))
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id] += r.taken
+    for i, t, _ in rows:
+        assert taken[i] == sum(seen[w] for w in set(words(t)))
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
