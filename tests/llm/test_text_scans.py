@@ -141,6 +141,17 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def test_short_items_are_never_missed():
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=7))
+    items = [(i, " ".join(word() for _ in range(3 + i % 10))) for i in range(4000)]
+    texts = [" ".join([*(word() for _ in range(30)), t, *(word() for _ in range(30))]) for _, t in items]
+    found = decontaminate.Index(items, 0.8).search(texts)
+    # Fewer words than a shingle are one shingle, found only in texts that are nothing else.
+    assert [i for i, f in enumerate(found) if i % 10 >= 2 and f != [(i, 1.0)]] == []
+    assert [i for i, f in enumerate(decontaminate.Index(items, 0.8).search([t for _, t in items])) if f != [(i, 1.0)]] == []
+
+
 def test_decontamination(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choices("abcdefgh", k=3))
