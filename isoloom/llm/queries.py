@@ -73,13 +73,13 @@ SQL: dict[str, str] = {
         FROM p JOIN f USING (hex) JOIN b USING (hex)""",
     "op2_decontaminate": r"""
         WITH w AS (
-          SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents
-          UNION ALL SELECT 'q', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark WHERE text IS NOT NULL),
-        n AS (SELECT side, id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0),
-        s AS (SELECT DISTINCT side, id, array_to_string(ws[i : i + 4], ' ') AS s FROM n),
-        q AS (SELECT id, count(*) AS n FROM s WHERE side = 'q' GROUP BY id),
-        hit AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM s d JOIN s b ON d.s = b.s AND d.side = 'd' AND b.side = 'q' GROUP BY 1, 2),
-        ok AS (SELECT doc_id, item_id, CAST(k AS DOUBLE) / n AS x FROM hit JOIN q ON q.id = item_id WHERE k >= 0.8 * n - 1e-9),
+          SELECT 'd' AS side, doc_id AS id, '' AS one, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents
+          UNION ALL SELECT DISTINCT 'q', item_id, md5(text), regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        n AS (SELECT side, id, one, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0),
+        s AS (SELECT DISTINCT side, id, one, array_to_string(ws[i : i + 4], ' ') AS s FROM n),
+        q AS (SELECT id, one, count(*) AS n FROM s WHERE side = 'q' GROUP BY id, one),
+        hit AS (SELECT d.id AS doc_id, b.id AS item_id, b.one, count(*) AS k FROM s d JOIN s b ON d.s = b.s AND d.side = 'd' AND b.side = 'q' GROUP BY 1, 2, 3),
+        ok AS (SELECT doc_id, item_id, max(CAST(k AS DOUBLE) / n) AS x FROM hit JOIN q ON q.id = item_id AND q.one = hit.one WHERE k >= 0.8 * n - 1e-9 GROUP BY doc_id, item_id),
         per AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(x) AS containment FROM ok GROUP BY doc_id)
         SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment, n_items IS NOT NULL AS contaminated
         FROM documents LEFT JOIN per USING (doc_id)""",
