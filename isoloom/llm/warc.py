@@ -6,15 +6,17 @@ out, or whose payload nobody asked for, is neither decoded nor, where the archiv
 compressed members are, inflated.
 
 Writing: a task streams its rows into archives of its own, one gzip member per record, each member with
-the "sl" field that gives its length. Only the names that tasks report are committed, to a manifest, so
-archives left by lost or repeated tasks are never read.
+the "sl" field that gives its length. Only the names that tasks report are committed, to a manifest of each
+write, so archives left by lost or repeated tasks are never read, and appended writes add to those before.
+
+Paths may have any scheme that Arrow knows (s3a and s3n are read as s3); :func:`write_pages` and :func:`read_pages` complete a path
+without one from the cluster's default file system. An archive is read as a stream; a record is held whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import struct
 import uuid
@@ -30,19 +32,26 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from isoloom.shared import materialise
 
-MANIFEST = "_archives.json"
-COLUMNS = {
-    "record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "payload_digest": pa.string(), "refers_to": pa.string(),
-    "content_length": pa.int64(), "payload_length": pa.int64(), "payload": pa.binary(),
+MANIFEST = "_archives-"
+_FROM_HEADER = {
+    "record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type",
+    "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to",
 }
-SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, content_length long, payload_length long, payload binary"
-_FROM_HEADER = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
+COLUMNS = {**dict.fromkeys(_FROM_HEADER, pa.string()), "content_length": pa.int64(), "payload_length": pa.int64(), "payload": pa.binary()}
+SCHEMA = ", ".join([*(f"{c} string" for c in _FROM_HEADER), "content_length long, payload_length long, payload binary"])
 _MEMBER = struct.Struct("<2sBBIBBH2sHII")  # gzip header with FEXTRA and its one subfield
 _ROLL = 256 << 20
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    scheme, colon, rest = path.partition(":/")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest) if colon else (fs.LocalFileSystem(), path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of the cluster's default file system where it has none."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path if ":/" in path else name.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(name).toString()
 
 
 def member(record: bytes, level: int = 6) -> bytes:
@@ -85,64 +94,70 @@ def _headers(block: bytes) -> dict[str, str]:
 class _Stream:
     """Records of one archive, plain or gzip: headers are given first, blocks only when asked for."""
 
-    def __init__(self, source: pa.NativeFile | io.BytesIO, step: int = 1 << 20):
-        self.source, self.step, self.data, self.inflate = source, step, b"", None
+    def __init__(self, source, step: int = 1 << 20):
+        self.source, self.step, self.data, self.at = source, step, b"", 0
+
+    def held(self) -> int:
+        return len(self.data) - self.at
 
-    def _more(self) -> bool:
-        raw = self.source.read(self.step)
-        self.data += raw
+    def more(self, n: int = 0) -> bool:
+        raw = self.source.read(max(self.step, n))
+        self.data, self.at = self.data[self.at :] + raw, 0
         return bool(raw)
 
+    def take(self, n: int) -> bytes:
+        self.at += n
+        return self.data[self.at - n : self.at]
+
     def _need(self, n: int) -> bool:
-        while len(self.data) < n:
-            if not self._more():
+        while self.held() < n:
+            if not self.more(n - self.held()):
                 return False
         return True
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
-        while self._need(2) or self.data:
-            if self.data[:2] == b"\x1f\x8b":
+        while self._need(2) or self.held():
+            if self.data.startswith(b"\x1f\x8b", self.at):
                 yield from self._gzip()
+            elif self.data[self.at] in b"\r\n":
+                self.at += 1
             else:
-                self.data = self.data.lstrip(b"\r\n")
-                if self.data:
-                    yield from self._plain()
+                yield from self._plain()
 
     def _plain(self) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
-            if not self._more():
+        while (end := self.data.find(b"\r\n\r\n", self.at)) < 0:
+            if not self.more():
                 raise ValueError("an archive ends inside a record's headers")
-        head = _headers(self.data[:end])
-        n, self.data = int(head["content-length"]), self.data[end + 4 :]
-        read = []
+        head = _headers(self.take(end - self.at))
+        self.at += 4
+        n, read = int(head["content-length"]), []
 
         def block() -> bytes:
             if not self._need(n):
                 raise ValueError("an archive ends inside a record")
-            read.append(self.data[:n])
-            self.data = self.data[n:]
-            return read[0]
+            read.append(True)
+            return self.take(n)
 
         yield head, block
         if not read:
             self._pass(n)
 
     def _pass(self, n: int) -> None:
-        if n <= len(self.data):
-            self.data = self.data[n:]
-        else:
-            rest, self.data = n - len(self.data), b""
-            self.source.seek(self.source.tell() + rest) if self.source.seekable() else self.source.read(rest)
+        here = min(n, self.held())
+        self.at, n = self.at + here, n - here
+        if n and self.source.seekable():
+            self.source.seek(self.source.tell() + n)
+        while n and not self.source.seekable() and (raw := self.source.read(min(n, self.step))):
+            n -= len(raw)
 
     def _gzip(self) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
-        self._need(_MEMBER.size)
         size = 0
-        if len(self.data) >= _MEMBER.size:
-            *_, flags, _, _, _, extra, name, n, size, _ = _MEMBER.unpack_from(self.data)
+        if self._need(_MEMBER.size):
+            *_, flags, _, _, _, extra, name, n, size, _ = _MEMBER.unpack_from(self.data, self.at)
             size = size if flags == 4 and extra == 12 and name == b"sl" and n == 8 else 0
         if size and self._need(size):  # one member, its length known
-            whole, self.data = self.data[:size], self.data[size:]
-            inflate, start = zlib.decompressobj(-15), b""
+            whole = self.take(size)
+            inflate = zlib.decompressobj(-15)
             start = inflate.decompress(whole[_MEMBER.size :], 1 << 12)
             while b"\r\n\r\n" not in start and inflate.unconsumed_tail:
                 start += inflate.decompress(inflate.unconsumed_tail, 1 << 12)
@@ -150,13 +165,31 @@ class _Stream:
             head = _headers(head)
             yield head, lambda: (body + inflate.decompress(inflate.unconsumed_tail))[: int(head["content-length"])]
         else:
-            inflate, out = zlib.decompressobj(31), []
-            while not inflate.eof:
-                if not self.data and not self._more():
+            yield from _Stream(_Member(self))
+
+
+class _Member:
+    """The inflated bytes of the gzip member that comes next in ``outer``."""
+
+    def __init__(self, outer: _Stream):
+        self.outer, self.inflate = outer, zlib.decompressobj(31)
+
+    def seekable(self) -> bool:
+        return False
+
+    def read(self, n: int) -> bytes:
+        out = []
+        while n > 0 and not self.inflate.eof:
+            raw = self.inflate.unconsumed_tail
+            if not raw:
+                if not self.outer.held() and not self.outer.more():
                     raise ValueError("an archive ends inside a compressed record")
-                out.append(inflate.decompress(self.data))
-                self.data = inflate.unused_data
-            yield from _Stream(io.BytesIO(b"".join(out)))
+                raw = self.outer.take(self.outer.held())
+            out.append(self.inflate.decompress(raw, n))
+            n -= len(out[-1])
+            if self.inflate.eof:  # what follows is the next member
+                self.outer.data, self.outer.at = self.inflate.unused_data, 0
+        return b"".join(out)
 
 
 @dataclass
@@ -184,14 +217,15 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, path = _filesystem(self.path)
-        if system.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{path}/{MANIFEST}") as f:
-                names = json.loads(f.read())
-        elif system.get_file_info(path).type == fs.FileType.File:
+        if system.get_file_info(path).type == fs.FileType.File:
             return [_File(self.path)]
-        else:
-            names = [i.path.rpartition("/")[2] for i in system.get_file_info(fs.FileSelector(path)) if i.path.endswith((".warc", ".warc.gz"))]
-        return [_File(f"{self.path.rstrip('/')}/{n}") for n in sorted(names)] or [_File("")]
+        names = [i.path.rpartition("/")[2] for i in system.get_file_info(fs.FileSelector(path))]
+        if manifests := [n for n in names if n.startswith(MANIFEST)]:
+            names = []
+            for m in manifests:
+                with system.open_input_stream(f"{path}/{m}") as f:
+                    names += json.loads(f.read())
+        return [_File(f"{self.path.rstrip('/')}/{n}") for n in sorted(names) if n.endswith((".warc", ".warc.gz"))] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, COLUMNS[c]) for c in self.columns])
@@ -237,10 +271,13 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows (page_id, url, html, payload_sha1 in hexadecimal, refers_to)."""
+    """Writes rows (page_id, url, html, payload_sha1 in hexadecimal, refers_to).
+
+    Appended writes keep what is there; with ``overwrite`` the archives committed before are taken out after the commit.
+    """
 
-    def __init__(self, options: dict):
-        self.path, self.date = options["path"], options.get("date", "1970-01-01T00:00:00Z")
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.date, self.overwrite = options["path"], options.get("date", "1970-01-01T00:00:00Z"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, path = _filesystem(self.path)
@@ -266,8 +303,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, path = _filesystem(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{MANIFEST}") as f:
+        old = [i.path for i in system.get_file_info(fs.FileSelector(path)) if i.path.rpartition("/")[2].startswith(MANIFEST)] if self.overwrite else []
+        with system.open_output_stream(f"{path}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        for manifest in old:
+            with system.open_input_stream(manifest) as f:
+                names = json.loads(f.read())
+            system.delete_file(manifest)
+            for n in names:
+                system.delete_file(f"{path}/{n}")
 
     def abort(self, messages: list) -> None:
         system, path = _filesystem(self.path)
@@ -289,7 +333,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options), schema.names)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -302,7 +346,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Of the records with equal payloads of at least ``least_bytes`` bytes the one with the smallest page_id is
     a response, the others revisit it; smaller payloads are all responses. Rows that repeat the smallest
-    page_id are all responses. A null url leaves its header out; a null page_id has an empty name.
+    page_id are all responses. A null or blank url leaves its header out; a null page_id has an empty name and comes back
+    null. An empty table leaves no archive. Pages already committed to ``path`` stay; other columns aren't read.
     """
     register(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -312,7 +357,7 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     # Written first, so that adaptive execution can split the pages of a payload that very many have.
     rows = rows.join(materialise(first, "responses"), "payload_sha1", "left")
     refers = F.when((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows.select("page_id", "url", "html", "payload_sha1", refers.alias("refers_to")).write.format("warc").mode("append").save(path)
+    rows.select("page_id", "url", "html", "payload_sha1", refers.alias("refers_to")).write.format("warc").mode("append").save(qualified(pages.sparkSession, path))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -321,7 +366,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     Payloads of responses are decoded and checked against their digests; of revisits only the headers are read.
     """
     register(spark)
-    records = spark.read.format("warc").schema(SCHEMA.rpartition(",")[0]).option("verify", "true").load(path)
+    records = spark.read.format("warc").schema(SCHEMA.rpartition(",")[0]).option("verify", "true").load(qualified(spark, path))
     page = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]*)>", 1).try_cast("long")
     return records.where(F.col("record_type").isin("response", "revisit")).select(
         page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.expr("substr(payload_digest, 6)").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to")

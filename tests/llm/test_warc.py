@@ -64,3 +64,31 @@ def test_records_across_reads():
 def test_empty(spark, tmp_path):
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_pages(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_appended_archives_stay_and_overwritten_go(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    kind = "page_id long, url string, html string"
+    warc.write_pages(spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], kind), path)
+    warc.write_pages(spark.createDataFrame([(3, "c", "y")], kind), path)
+    assert sorted((r.page_id, r.record_type) for r in warc.read_pages(spark, path).collect()) == [(1, "response"), (2, "revisit"), (3, "response")]
+    rows = spark.createDataFrame([(9, "d", "z", hashlib.sha1(b"z").hexdigest(), None)], "page_id long, url string, html string, payload_sha1 string, refers_to long")
+    rows.write.format("warc").mode("overwrite").save(path)
+    assert [r.page_id for r in warc.read_pages(spark, path).collect()] == [9]
+    assert len(list((tmp_path / "a").glob("*.warc.gz"))) == 1
+    dated = spark.read.format("warc").load(path).where("date = '1970-01-01T00:00:00Z' and content_type like 'application/http%'")
+    assert dated.count() == 1 and spark.read.format("warc").load(path).where("date = '2000'").count() == 0
+
+
+def test_paths(spark, tmp_path):
+    assert warc.qualified(spark, f"{tmp_path}/p") == f"file:{tmp_path}/p" and warc.qualified(spark, "s3a://b/p") == "s3a://b/p"
+    system, path = warc._filesystem(f"file:{tmp_path}/p")
+    assert path == f"{tmp_path}/p" and system.type_name == "local"
+    assert warc._filesystem("s3a://bucket/p?region=us-east-1")[1] == "bucket/p"
+
+
+def test_one_member_for_a_whole_archive_is_streamed():
+    plain = [warc.record(k, "u", bytes([k]) * 200_000, "x", None, "d") for k in range(20)]
+    stream = warc._Stream(io.BytesIO(gzip.compress(b"".join(plain)) + b"".join(plain[:2])), 1 << 12)
+    got = [block()[-1] for _, block in stream]
+    assert got == [*range(20), 0, 1] and len(stream.data) < 1 << 20
