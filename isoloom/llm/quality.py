@@ -119,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int
     """Fit on at most ``sample`` labelled documents that are not held out, chosen by the hash of their id.
 
     ``labels(doc_id, quality)``; labels other than 0 and 1 are left out, an id labelled twice counts with its
-    larger label. Without any labelled document every score is 0.5.
+    larger label, and of the rows of ``docs`` that share an id the one with the least text is learnt from, so no more than
+    ``sample`` rows come to the driver. Null and empty texts are learnt from as empty. Without any labelled document
+    every score is 0.5.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -130,14 +132,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["doc_id", "quality", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary")
-    got = sorted({(r.doc_id, r.quality, bytes(r.x)) for r in rows.collect()})
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
+    rows = one.mapInArrow(run, "doc_id long, quality int, x binary")
+    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in rows.collect())
     x = np.array([np.frombuffer(v, np.float32) for _, _, v in got], np.float32).reshape(len(got), TERMS)
     return fit(x, np.array([q for _, q, _ in got], np.float64), latent, neighbours)
 
 
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row. Null and empty texts get the share of label 1 in the sample."""
+    """(doc_id, held_out, score, predicted) for every row, repeated ones and those without a doc_id (never held out) too.
+
+    Null and empty texts get the share of label 1 in the sample; long ones are read whole. Other columns aren't read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +164,11 @@ def _scores(model: Model, texts: pa.Array, rows: int = 1024) -> np.ndarray:
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` predicted to be good, with all their columns."""
+    """The rows of ``docs`` predicted to be good, with all their columns.
+
+    Each row is judged by its whole text alone, repeated rows and those without a doc_id too; null and empty texts stay only if
+    the share of label 1 in the sample reaches ``cut``. An empty table stays empty.
+    """
     sent, k = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
