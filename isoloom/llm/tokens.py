@@ -64,6 +64,12 @@ class PrefixCounter:
         before = spec["pre_tokenizer"] or {}
         if spec["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError(f"{path} isn't plain byte-level BPE")
+        model = spec["model"]
+        if before.get("use_regex") is False or model.get("ignore_merges") or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            raise ValueError(f"{path} splits or merges in a way that isn't counted here")
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError(f"{path} has merges that aren't in the order of their tokens' ids")
         added = spec.get("added_tokens", [])
         if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path} has added tokens that change the text around them")
