@@ -1,13 +1,18 @@
 """Mixing sources to target weights: fixed-length blocks, drawn slots, permuted indexes, a join by index.
 
-The words of a source lie in one line, documents in order, cut into blocks of BLOCK words. A source whose
-target is t words gets slots for t words: whole passes over its blocks and a rest. How many slots of a
-source an output shard gets is a multinomial draw (given the source's total, so that totals meet their
-targets). Slot j of a pass reads block P(j), P a keyed pseudorandom permutation of the whole blocks'
-indexes computed for each j alone (a Feistel network with cycle walking); a last, shorter block comes last. The
-slot of a pass therefore begins at word j * BLOCK of that pass, and only the last slot of a source is cut.
-Blocks are rows with their words and the spans of documents in them; joined to the slots by index, they are
-written as shards in slot order, and what is taken of a document is the sum of its spans there.
+The documents of a source are dealt by hash to groups, and the words of a group, documents in order of id, are
+packed into blocks of BLOCK words; the last block of a group is shorter. A small source is one group, one that has more
+than a GROUPS-th of all words is several. The whole blocks of a source are indexed group after group from 0, its short
+blocks follow. A source whose target is t words gets slots for t words: whole passes over its blocks and a rest. How
+many slots of a source an output shard gets is a multinomial draw (given the source's total, so that totals meet their
+targets). Slot j of a pass reads block P(j), P a keyed pseudorandom permutation of the whole blocks' indexes
+computed for each j alone (a Feistel network with cycle walking); short blocks come last, and only the last slot of a
+source is cut.
+
+Texts move twice. Slots are joined to the index of blocks, which holds no words, and sent to the groups of their
+blocks along with the documents; a group is packed in one pass and gives each block to the slots that read it. The filled
+slots are then written as shards in slot order. What is taken of a document is the sum of its spans there. Words travel and are
+kept as zstandard-compressed text.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,23 +33,21 @@ from isoloom.shared import materialise, new_path
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BLOCK = 1024
-SHARD_SLOTS = 8192
+BLOCK = 4096
+SHARD_SLOTS = 2048
 SEED = 20240229
-_FILE_SLOTS = 1024  # slots of a shard in one file
+GROUPS = 4096
+GROUP_WORDS = 1 << 20  # no source of fewer words is split
+_FILE_SLOTS = 256  # slots of a shard in one file
+_LEVEL = 6
 _WORD = r"[^\x20\x09-\x0D]+"
-_ROW_GROUP = 4096  # documents of a source whose offsets one window task adds up
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).withColumn(
-        "size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    ).withColumn("text_key", F.xxhash64("text"))
+_SOURCE = ["name", "absent"]
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, text_key): size is the number of words, 0 for null texts."""
-    return _keyed(docs).drop("text")
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -89,18 +93,61 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) ->
     return out
 
 
-def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, pos, source, pass, block, n_words): what every output shard reads, one row per slot.
+def _named(df: DataFrame) -> DataFrame:
+    """``source`` as two columns without nulls, so that equal keys meet in a plain join."""
+    return df.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("absent", F.col("source").isNull()).drop("source")
+
+
+def deal(rows: DataFrame, goals: DataFrame, groups: int = GROUPS, group_words: int = GROUP_WORDS) -> DataFrame:
+    """``rows(doc_id, text_key, name, absent, ...)`` with ``group``, the group of its source to which a document is dealt.
+
+    Only sources of more than a ``groups``-th of all words are split, so fewer than ``groups`` of them are broadcast.
+    """
+    total = goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    each = max(group_words, -(-total // groups))
+    split = _named(goals.where(F.col("source_size") > each)).select(*_SOURCE, F.ceil(F.col("source_size") / each).cast("int").alias("groups"))
+    n = F.coalesce("groups", F.lit(1))
+    return rows.join(F.broadcast(split), _SOURCE, "left").withColumn("group", F.pmod(F.xxhash64("doc_id", "text_key"), n).cast("int")).drop("groups")
+
+
+def block_index(sizes: DataFrame, goals: DataFrame, block: int = BLOCK, group_words: int = GROUP_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(blocks, plan). blocks(name, absent, index, group, k, n, before): every block of every source, k-th of its
+    group, n words long; ``before`` is what a pass has read before a short block, null for whole ones. plan(name, absent,
+    size, goal, whole, full, short, rest): whole blocks, short ones, and the slots of the pass that is not whole.
+    """
+    per = deal(_named(sizes.where("size > 0")), goals, group_words=group_words).groupBy(*_SOURCE, "group").agg(F.sum("size").alias("words"))
+    ahead = W.partitionBy(*_SOURCE).orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("full", F.floor(F.col("words") / block)).withColumn("left", F.col("words") % block).withColumn("some", (F.col("left") > 0).cast("long"))
+    for name, what in (("base", "full"), ("nth", "some"), ("words_before", "left")):
+        per = per.withColumn(name, F.coalesce(F.sum(what).over(ahead), F.lit(0)))
+    per = materialise(per, "groups")
+    plan = _named(goals.where("source_size > 0")).select(*_SOURCE, F.col("source_size").alias("size"), F.round("target").cast("long").alias("goal"))
+    plan = plan.withColumn("whole", F.floor(F.col("goal") / F.col("size")))
+    plan = plan.join(per.groupBy(*_SOURCE).agg(F.sum("full").alias("full"), F.sum("some").alias("short")), _SOURCE)
+    over = plan.select(*_SOURCE, (F.col("goal") - F.col("whole") * F.col("size") - F.col("full") * block).alias("over"))
+    late = per.where("some = 1").join(over, _SOURCE).groupBy(*_SOURCE).agg(F.count_if(F.col("words_before") < F.col("over")).alias("late"))
+    rest = F.least(F.ceil((F.col("goal") - F.col("whole") * F.col("size")) / block), F.col("full")) + F.coalesce("late", F.lit(0))
+    plan = plan.join(late, _SOURCE, "left").withColumn("rest", rest.cast("long")).drop("late")
+    all_full = plan.select(*_SOURCE, F.col("full").alias("all_full"))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1 + F.col("some")))
+    rows = per.where("words > 0").join(all_full, _SOURCE).select("*", k.alias("k"))
+    whole = F.col("k") < F.col("full")
+    blocks = rows.select(
+        *_SOURCE, F.when(whole, F.col("base") + F.col("k")).otherwise(F.col("all_full") + F.col("nth")).alias("index"), "group", "k",
+        F.when(whole, F.lit(block).cast("long")).otherwise(F.col("left")).alias("n"), F.when(~whole, F.col("all_full") * block + F.col("words_before")).alias("before"),
+    )
+    return blocks, plan
+
+
+def slots(blocks: DataFrame, plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(name, absent, group, k, index, pass, shard, pos, n_words): what every output shard reads, one row per slot.
 
     ``pos`` is the slot's place in its shard, from 0; sources are shuffled among each other.
-    ``goals`` as from :func:`targets`. The same input gives the same slots in every run.
+    ``blocks`` and ``plan`` as from :func:`block_index`. The same input gives the same slots in every run.
     """
-    size, goal = F.col("source_size"), F.round("target").cast("long")
-    per_pass = F.ceil(size / block)
-    whole = F.when(size > 0, F.floor(goal / size)).otherwise(F.lit(0))
-    n = (whole * per_pass + F.ceil((goal - whole * size) / block)).cast("long")
-    plan = goals.where(size > 0).select("source", size.alias("size"), goal.alias("goal"), per_pass.cast("long").alias("per_pass"), n.alias("n"), F.xxhash64(F.col("source"), F.lit(seed)).alias("key"))
-    plan = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n").over(W.partitionBy()) / shard_slots)).cast("int"))
+    per_pass = F.col("full") + F.col("short")
+    drawing = plan.select(*_SOURCE, "size", "goal", "full", per_pass.alias("per_pass"), (F.col("whole") * per_pass + F.col("rest")).alias("n"), F.xxhash64(F.when(~F.col("absent"), F.col("name")), F.lit(seed)).alias("key")).where("n > 0")
+    drawing = drawing.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("n").over(W.partitionBy()) / shard_slots)).cast("int"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,114 +160,153 @@ def slots(goals: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
                     counts = rng.multinomial(part, np.full(k, 1 / k))
                     starts = at + np.r_[0, np.cumsum(counts)[:-1]]
                     left, at = left - part, at + part
-                    yield pd.DataFrame({"source": r.source, "size": r.size, "goal": r.goal, "per_pass": r.per_pass, "key": r.key, "shard": first + np.arange(k), "first": starts, "count": counts})
+                    yield pd.DataFrame({"name": r.name, "absent": r.absent, "size": r.size, "goal": r.goal, "full": r.full, "per_pass": r.per_pass, "key": r.key, "shard": first + np.arange(k), "first": starts, "count": counts})
 
-    drawn = plan.mapInPandas(draw, "source string, size long, goal long, per_pass long, key long, shard int, first long, count long").where("count > 0")
-    each = drawn.repartition("source", "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
-    j = F.col("slot") % F.col("per_pass")
-    each = each.withColumn("pass", F.floor(F.col("slot") / F.col("per_pass"))).withColumn("j", j)
-    each = each.withColumn("n_words", F.least(F.lit(block), F.col("size") - F.col("j") * block, F.col("goal") - F.col("pass") * F.col("size") - F.col("j") * block))
+    kind = "name string, absent boolean, size long, goal long, full long, per_pass long, key long, shard int, first long, count long"
+    drawn = drawing.mapInPandas(draw, kind).where("count > 0")
+    each = drawn.repartition(*_SOURCE, "shard").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    each = each.withColumn("pass", F.floor(F.col("slot") / F.col("per_pass"))).withColumn("j", F.col("slot") % F.col("per_pass"))
 
     @F.pandas_udf("long")
     def place(j: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series(permuted(*(x.to_numpy().astype(np.uint64) for x in (j, n, key))).astype(np.int64))
 
-    full = F.floor(F.col("size") / block)
+    full = F.col("full")
     index = F.when(F.col("j") < full, place(F.least("j", F.greatest(full - 1, F.lit(0))), F.greatest(full, F.lit(1)), F.xxhash64("key", "pass"))).otherwise(F.col("j"))
-    pos = F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("key", "slot"), "source", "slot")) - 1
-    return each.select("shard", pos.alias("pos"), "source", "pass", index.alias("block"), F.col("n_words").cast("long").alias("n_words"))
+    pos = F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("key", "slot"), *_SOURCE, "slot")) - 1
+    asked = each.select(*_SOURCE, index.alias("index"), "pass", "shard", pos.alias("pos"), "j", (F.col("goal") - F.col("pass") * F.col("size")).alias("left"))
+    # Slots are made from a small table, so their number can't be estimated beforehand: never broadcast them.
+    met = asked.hint("merge").join(blocks, [*_SOURCE, "index"])
+    n = F.least("n", F.col("left") - F.coalesce("before", F.col("j") * block))
+    return met.select(*_SOURCE, "group", "k", "index", "pass", "shard", "pos", n.alias("n_words"))
 
 
-def placed(rows: DataFrame, sizes: DataFrame, group: int = _ROW_GROUP) -> DataFrame:
-    """``rows`` with ``start``: the words of the document's source before it, documents in order of id.
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their words joined by one space, compressed; rows without a word are left out."""
+    pack, find = zstandard.ZstdCompressor(level=_LEVEL).compress, re.compile(_WORD).findall
+    for b in batches:
+        joined = [" ".join(find(t.as_py() or "")) for t in b.column("text")]
+        kept = pa.array([bool(t) for t in joined])
+        b = b.set_column(b.schema.get_field_index("text"), "text", pa.array([pack(t.encode("utf-8", "replace")) if t else None for t in joined], pa.binary()))
+        yield b.filter(kept)
 
-    ``rows`` are those of ``sizes``, perhaps with more columns. Documents fall into row groups by hash; offsets are
-    added up inside row groups and over row groups, so a source with most of the rows is many small windows.
-    Rows that nothing tells apart are equal, so that starts come out the same each time.
-    """
-    counts = sizes.groupBy("source").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    counts = materialise(counts.withColumnRenamed("source", "s"), "sources")
-    dealt = lambda d: d.join(counts, same("source", "s")).drop("s").withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("groups")).cast("int")).drop("groups")
-    total = dealt(sizes).groupBy("source", "group").agg(F.sum("size").alias("words"))
-    ahead = W.partitionBy("source").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
-    total = total.select(F.col("source").alias("s"), F.col("group").alias("g"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    inside = W.partitionBy("source", "group").orderBy("doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)
-    cut = dealt(rows).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return cut.join(total, same("source", "s") & (F.col("group") == F.col("g"))).select(*rows.columns, (F.col("base") + F.col("inside")).alias("start"))
 
+_SPAN = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64())])
+_FILLED = pa.schema([("name", pa.string()), ("absent", pa.bool_()), ("shard", pa.int32()), ("pos", pa.int32()), ("pass", pa.int64()), ("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("spans", pa.list_(_SPAN))])
 
-def _named(df: DataFrame) -> DataFrame:
-    """``source`` as two columns without nulls, so that equal keys meet without another shuffle."""
-    return df.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("absent", F.col("source").isNull()).drop("source")
 
+class _Group:
+    """The blocks of one group, filled word by word, and the slots that read them."""
 
-def word_blocks(lines: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(name, absent, block, n, words, spans): the words of each source in rows of ``block`` words, the last one shorter.
+    def __init__(self, name: str, absent: bool, block: int):
+        self.name, self.absent, self.block, self.asked = name, absent, block, {}
+        self.k, self.words, self.spans = 0, [], []
 
-    ``lines(doc_id, source, text, start)``. Words are separated by one space. ``spans`` has (first, n, start, doc_id) in
-    order: n words from word ``first`` of the block are those of the document that starts at ``start``. The
-    source is ``name``, or null if ``absent``.
-    """
-    find = re.compile(_WORD).findall
-    kind = "name string, absent boolean, start long, doc_id long, block long, first int, n int, part string"
+    def add(self, doc_id: int | None, text_key: int, words: list[str]) -> Iterator[tuple]:
+        at = 0
+        while at < len(words):
+            n = min(self.block - len(self.words), len(words) - at)
+            self.spans.append((len(self.words), n, doc_id, text_key))
+            self.words += words[at : at + n]
+            at += n
+            if len(self.words) == self.block:
+                yield from self.give()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def give(self) -> Iterator[tuple]:
+        packed = {}
+        for shard, pos, nth, index, n in self.asked.pop(self.k, ()):
+            if n not in packed:
+                cut = [{"first": f, "n": min(m, n - f), "doc_id": d, "text_key": t} for f, m, d, t in self.spans if f < n]
+                packed[n] = zstandard.compress(" ".join(self.words[:n]).encode("utf-8", "replace"), _LEVEL), cut
+            yield self.name, self.absent, shard, pos, nth, index, n, *packed[n]
+        self.k, self.words, self.spans = self.k + 1, [], []
+
+
+def _fill(block: int, held: int = 8 << 20):
+    """Sorted rows of slots and documents, group by group, slots first -> filled slots."""
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        unpack, now, group = zstandard.ZstdDecompressor(), None, None
         for b in batches:
-            rows, cut = [], []
-            for k, (text, start) in enumerate(zip(b.column(4), b.column(2).to_pylist(), strict=True)):
-                words, at = find(text.as_py() or ""), 0
-                while at < len(words):
-                    first = (start + at) % block
-                    n = min(block - first, len(words) - at)
-                    rows.append(k)
-                    cut.append(((start + at) // block, first, n, " ".join(words[at : at + n])))
-                    at += n
-            kept = b.select([0, 1, 2, 3]).take(pa.array(rows, pa.int64()))
-            added = [pa.array([c[i] for c in cut], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *added], names=["name", "absent", "start", "doc_id", "block", "first", "n", "part"])
-
-    parts = _named(lines).select("name", "absent", "start", "doc_id", "text").mapInArrow(run, kind)
-    rows = parts.groupBy("name", "absent", "block").agg(F.array_sort(F.collect_list(F.struct("first", "n", "start", "doc_id", "part"))).alias("parts"))
-    spans = F.transform("parts", lambda x: F.struct(x["first"].alias("first"), x["n"].alias("n"), x["start"].alias("start"), x["doc_id"].alias("doc_id")))
-    n = F.element_at("parts", -1)
-    return rows.select("name", "absent", "block", (n["first"] + n["n"]).alias("n"), F.array_join("parts.part", " ").alias("words"), spans.alias("spans"))
-
-
-def write_shards(lines: DataFrame, goals: DataFrame, path: str, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+            for name, absent, of, k, doc_id, text_key, text, slot in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (name, absent, of) != now:
+                    if group and group.words:
+                        yield from group.give()
+                    now, group = (name, absent, of), _Group(name, absent, block)
+                if slot is not None:
+                    group.asked.setdefault(k, []).append((slot["shard"], slot["pos"], slot["pass"], slot["index"], slot["n_words"]))
+                else:
+                    yield from group.add(doc_id, text_key, unpack.decompress(text).decode().split(" "))
+        if group and group.words:
+            yield from group.give()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FILLED)], schema=_FILLED)
+        for r in filled(batches):
+            rows.append(r)
+            size += len(r[7]) + 64 * len(r[8])
+            if size > held:
+                yield batch()
+                rows, size = [], 0
+        yield batch()
+
+    return run
+
+
+def write_shards(docs: DataFrame, goals: DataFrame, sizes: DataFrame, path: str, block: int = BLOCK, seed: int = SEED, group_words: int = GROUP_WORDS) -> DataFrame:
     """The mix, written to ``path`` with a folder per shard: (shard, pos, source, pass, block, n_words, words, spans).
 
-    A shard's rows are its slots; files hold runs of them in order of ``pos``.
+    A shard's rows are its slots; files hold runs of them in order of ``pos``. ``words`` is compressed, see
+    :func:`read_words`. ``spans`` has (first, n, doc_id, text_key) in order: n words from word ``first`` are of that document.
     """
-    # Slots are made from a small table, so their number can't be estimated beforehand: never broadcast them.
-    reads = _named(slots(goals, block, seed=seed)).hint("merge")
-    met = reads.join(word_blocks(lines, block), ["name", "absent", "block"])
-    words = F.when(F.col("n_words") < F.col("n"), F.expr("substring_index(words, ' ', CAST(n_words AS INT))")).otherwise(F.col("words"))
-    spans = F.transform(
-        F.filter("spans", lambda x: x["first"] < F.col("n_words")),
-        lambda x: F.struct(x["first"].alias("first"), F.least(x["n"].cast("long"), F.col("n_words") - x["first"]).alias("n"), x["start"].alias("start"), x["doc_id"].alias("doc_id")),
-    )
-    source = F.when(~F.col("absent"), F.col("name"))
-    out = met.select("shard", "pos", source.alias("source"), "pass", "block", "n_words", words.alias("words"), spans.alias("spans"))
+    asked = slots(*block_index(sizes, goals, block, group_words), block, seed=seed)
+    slot = F.struct("shard", "pos", "pass", "index", "n_words")
+    none = lambda kind: F.lit(None).cast(kind)
+    reads = asked.select(*_SOURCE, "group", "k", none("long").alias("doc_id"), none("long").alias("text_key"), none("binary").alias("text"), slot.alias("slot"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = deal(_named(rows.withColumn("text_key", F.xxhash64("text"))), goals, group_words=group_words).select(*_SOURCE, "group", none("long").alias("k"), "doc_id", "text_key", "text")
+    rows = rows.mapInArrow(_squeeze, "name string, absent boolean, group int, k long, doc_id long, text_key long, text binary")
+    both = reads.union(rows.withColumn("slot", none("struct<shard:int,pos:int,pass:bigint,index:bigint,n_words:bigint>")))
+    # The sort puts a group's slots (k is not null) before its documents, and these in order.
+    dealt = both.repartition(*_SOURCE, "group").sortWithinPartitions(*_SOURCE, "group", F.col("k").asc_nulls_last(), "doc_id", "text_key")
+    filled = dealt.mapInArrow(_fill(block), "name string, absent boolean, shard int, pos int, pass long, block long, n_words long, words binary, spans array<struct<first:int,n:int,doc_id:bigint,text_key:bigint>>")
+    out = filled.select("shard", "pos", F.when(~F.col("absent"), F.col("name")).alias("source"), "pass", "block", "n_words", "words", "spans")
     out = out.repartition("shard", F.floor(F.col("pos") / _FILE_SLOTS)).sortWithinPartitions("shard", "pos")
     out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return out.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, path: str | None = None) -> DataFrame:
+def read_words(mixed: DataFrame) -> DataFrame:
+    """The shards of :func:`write_shards` with ``words`` as text, separated by one space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            k = b.schema.get_field_index("words")
+            yield b.set_column(k, "words", pa.array([unpack.decompress(w.as_py()).decode() for w in b.column(k)], pa.string()))
+
+    kinds = ", ".join(f"{f.name} {'string' if f.name == 'words' else f.dataType.simpleString()}" for f in mixed.schema)
+    return mixed.mapInArrow(run, kinds)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, path: str | None = None, group_words: int = GROUP_WORDS) -> DataFrame:
     """Every row of ``docs`` as (doc_id, size, source_size, target, taken); the mix itself is written to ``path``.
 
     ``path`` is a new path in the shared folder if not given, see :func:`write_shards`. ``taken`` counts the words of
-    the document in all shards, repeats included. Null texts have size 0 and are never taken; a null source is a
-    source of its own, the last; repeated rows are documents of their own. No document is taken more than ``most``
-    times its size.
+    the document in all shards, repeats included. Null and empty texts have size 0 and are never taken; a long text fills many
+    blocks; a null source is a source of its own, the last; rows without a doc_id and repeated rows are documents
+    of their own, and rows that nothing tells apart share what is taken of them evenly. No document is taken more than
+    ``most`` times its size. Without any word nothing is written but empty shards. Other columns aren't read.
     """
     sizes = materialise(document_sizes(docs), "sizes")
     goals = materialise(targets(sizes, weights, share, most), "targets")
-    mixed = write_shards(placed(_keyed(docs), sizes), goals, path or new_path(docs.sparkSession, "shards"), block, seed)
-    spans = mixed.select(F.col("source").alias("s"), F.explode("spans").alias("x"))
-    taken = spans.groupBy("s", F.col("x.start").alias("at")).agg(F.sum("x.n").alias("taken"))
-    # Of rows with the same start only one has words.
-    met = placed(sizes, sizes).join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left").drop("s")
-    goals = goals.withColumnRenamed("source", "s")
-    return met.join(goals, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    mixed = write_shards(docs, goals, sizes, path or new_path(docs.sparkSession, "shards"), block, seed, group_words)
+    spans = _named(mixed.select("source", F.explode("spans").alias("x")))
+    taken = spans.select(*_SOURCE, "x.doc_id", "x.text_key", F.col("x.n").cast("long").alias("taken"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("copies"))
+    own = _named(sizes).select(*_SOURCE, "doc_id", "text_key", F.lit(0).cast("long").alias("taken"), "size", F.lit(1).alias("copies"))
+    per = own.union(taken).groupBy(*_SOURCE, "doc_id", "text_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.sum("copies").alias("copies"))
+    goals = _named(goals).hint("merge")
+    met = per.join(goals, _SOURCE).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    each = F.floor(F.col("taken") / F.col("copies")) + (F.col("copy") <= F.col("taken") % F.col("copies")).cast("long")
+    return met.select("doc_id", "size", "source_size", "target", each.cast("long").alias("taken"))

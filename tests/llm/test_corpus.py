@@ -90,7 +90,7 @@ def test_mixing(spark):
     for _, t, s in rows:
         sizes[s] += len(words(t))
     want = level(dict(sizes))
-    runs = [sorted(map(tuple, mixing.mix(docs, block=64).collect()), key=str) for _ in range(2)]
+    runs = [sorted(map(tuple, mixing.mix(d, block=64, group_words=9000).collect()), key=str) for d in (docs, docs.repartition(5))]
     assert runs[0] == runs[1] and len(runs[0]) == len(rows)
     taken, source = Counter(), {i: s for i, _, s in rows}
     for i, size, source_size, target, took in runs[0]:
@@ -109,42 +109,55 @@ def test_permutations_are_permutations():
 
 
 def test_slots_meet_targets_and_shards_share_them(spark):
-    goals = spark.createDataFrame([("a", 100_000, 150_000.0), ("b", 30_000, 60_000.0), (None, 5, 7.5), ("e", 0, 0.0)], "source string, source_size long, target double")
-    got = mixing.slots(goals, block=64, shard_slots=100).collect()
+    kind = "source string, source_size long, target double"
+    goals = spark.createDataFrame([("a", 100_000, 150_000.0), ("b", 30_000, 60_000.0), (None, 5, 7.5), ("e", 0, 0.0), ("c", 7000, 13_990.0)], kind)
+    sizes = spark.createDataFrame([(i, s, n, i) for s, parts in (("a", [100] * 1000), ("b", [30_000]), (None, [5]), ("e", [0]), ("c", [7] * 1000)) for i, n in enumerate(parts)], "doc_id long, source string, size long, text_key long")
+    blocks, plan = mixing.block_index(sizes, goals, block=64, group_words=3000)
+    index = {((None if r.absent else r.name), r["index"]): r.n for r in blocks.collect()}
+    for source, size in (("a", 100_000), ("b", 30_000), (None, 5), ("c", 7000)):
+        own = [index[source, k] for k in range(sum(x == source for x, _ in index))]  # numbered without gaps, whole ones first
+        assert sum(own) == size and own == [n for n in own if n == 64] + [n for n in own if n < 64]
+    got = [(None if r.absent else r.name, r["pass"], r["index"], r.n_words, r.shard, r.pos) for r in mixing.slots(blocks, plan, block=64, shard_slots=100).collect()]
     per = Counter()
     for r in got:
-        per[r.source] += r.n_words
-    assert per == {"a": 150_000, "b": 60_000, None: 8}
-    shards = Counter(r.shard for r in got)
+        per[r[0]] += r[3]
+    assert per == {"a": 150_000, "b": 60_000, None: 8, "c": 13_990}
+    shards = Counter(r[4] for r in got)
     assert len(shards) > 20 and max(shards.values()) < 180
-    reads = Counter((r.source, r["pass"], r.block) for r in got)
-    assert max(reads.values()) == 1
+    assert {s: sorted(r[5] for r in got if r[4] == s) for s in shards} == {s: list(range(n)) for s, n in shards.items()}
+    assert max(Counter(r[:3] for r in got).values()) == 1
+    cut = Counter(r[0] for r in got if r[3] < index[r[0], r[2]])
+    assert max(cut.values()) == 1  # only the last slot of a source is cut
 
 
 def test_mix_is_written_as_shards(spark, tmp_path):
     rnd = random.Random(8)
-    rows = [(i, " \n".join(f"w{i}.{k}" for k in range(rnd.randint(0, 150))), rnd.choice(["a", "a", "b", None])) for i in range(120)] + [(500, "é z", "b")] * 2
-    path = str(tmp_path / "shards")
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=32, path=path).collect()
-    lines = {s: [w for _, t, x in sorted(rows, key=lambda r: r[0]) if x == s for w in words(t)] for s in ("a", "b", None)}
-    source, seen, blocks = {w: s for _, t, s in rows for w in words(t)}, Counter(), {}
-    mixed = spark.read.parquet(path).collect()
-    for r in mixed:
-        ws = r.words.split(" ")
-        assert len(ws) == r.n_words == sum(x.n for x in r.spans) and all(source[w] == r.source for w in ws)
-        for x in r.spans:
-            assert all(w in ("é", "z") if x.doc_id == 500 else w.startswith(f"w{x.doc_id}.") for w in ws[x["first"] : x["first"] + x.n])
-        seen.update(ws)
-        blocks[r.source, r.block] = max(blocks.get((r.source, r.block), []), ws, key=len)
-    for s, line in lines.items():  # a source's blocks, one after another, are all its words, if they are read at all
-        whole = [w for k in sorted(k for x, k in blocks if x == s) for w in blocks[s, k]]
-        assert set(whole) <= set(line) and (len(whole) < len(line) or Counter(whole) == Counter(line))
-    assert sorted(r.pos for r in mixed if r.shard == 0) == list(range(sum(r.shard == 0 for r in mixed)))
-    taken = Counter()
-    for r in got:
-        taken[r.doc_id] += r.taken
-    for i, t, _ in rows:
-        assert taken[i] == sum(seen[w] for w in set(words(t)))
+    rows = [(i, " \n".join(f"w{i}.{k}" for k in range(rnd.randint(0, 150))), rnd.choice(["a", "a", "b", None])) for i in range(120)] + [(500, "é z", "b")] * 2 + [(None, "q q q", "a")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, group int, size int")
+    source, texts = {w: s for _, t, s in rows for w in words(t)}, {i: words(t) for i, t, _ in rows}
+    for group_words, path in ((1 << 20, str(tmp_path / "one")), (1500, str(tmp_path / "several"))):
+        got = mixing.mix(docs, block=32, path=path, group_words=group_words).collect()
+        seen, blocks = Counter(), {}
+        mixed = mixing.read_words(spark.read.parquet(path)).collect()
+        for r in mixed:
+            ws = r.words.split(" ")
+            assert len(ws) == r.n_words == sum(x.n for x in r.spans) <= 32 and all(source[w] == r.source for w in ws)
+            for x in r.spans:  # the span's words stand in its document in that order
+                part, own = ws[x["first"] : x["first"] + x.n], texts[x.doc_id]
+                assert any(own[k : k + x.n] == part for k in range(len(own)))
+            seen.update(ws)
+            blocks[r.source, r.block] = max(blocks.get((r.source, r.block), []), ws, key=len)
+        lines = {s: Counter(w for _, t, x in rows if x == s for w in words(t)) for s in ("a", "b", None)}
+        for s, line in lines.items():  # a source's blocks together are all its words, if they are all read
+            whole = Counter(w for (x, _), k in blocks.items() if x == s for w in k)
+            assert whole <= line and (sum(whole.values()) < sum(line.values()) or whole == line)
+        assert sorted(r.pos for r in mixed if r.shard == 0) == list(range(sum(r.shard == 0 for r in mixed)))
+        taken = Counter()
+        for r in got:
+            taken[r.doc_id] += r.taken
+        for i, t, _ in rows:
+            assert taken[i] == sum(seen[w] for w in set(words(t)))
+        assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
 
 
 def test_mixing_empty(spark):
