@@ -1,7 +1,7 @@
 """The folder that driver and executors share, and tables written there to cut lineage.
 
-The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-temporary folder of this machine stands in for it.
+The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and everything runs on
+one machine, as in tests, a temporary folder stands in for it; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="isoloom-")
         sc.setCheckpointDir(path)
     return path
