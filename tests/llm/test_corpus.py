@@ -233,3 +233,55 @@ def test_keep_one_with_repeats_and_missing_ids(spark):
     got = sorted((tuple(r) for r in simhash.keep_one(docs).collect()), key=str)
     assert got == sorted([(1, "a b c d e", "x"), (None, "only here q r s", "z"), (7, None, None)], key=str)
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+# ---- paths of the De Bruijn graph
+
+
+def unitigs(edges):
+    """Maximal nonbranching paths of distinct edges (u, v, name), circles cut anywhere, walked edge by edge."""
+    out, into = {}, {}
+    for e in edges:
+        out.setdefault(e[0], []).append(e)
+        into.setdefault(e[1], []).append(e)
+    through = lambda n: len(out.get(n, [])) == 1 == len(into.get(n, []))
+    paths, used = [], set()
+    for e in [e for e in edges if not through(e[0])] + list(edges):
+        if e in used:
+            continue
+        path = [e]
+        used.add(e)
+        while through(path[-1][1]) and (f := out[path[-1][1]][0]) not in used:
+            used.add(f)
+            path.append(f)
+        paths.append(path)
+    return paths
+
+
+def test_paths_are_maximal_and_unbranched(spark):
+    rnd = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(5, 60))) for _ in range(30)]
+    texts += ["".join(t[k:] for t, k in zip(rnd.choices(texts, k=3), rnd.choices(range(20), k=3), strict=True)) for _ in range(60)]
+    texts += ["abcde" * 9, "cdeab" * 7, "z" * 12, "y" * 9 + "z" * 12]
+    first = {}
+    for d, t in enumerate(texts):
+        for k in range(len(t) - 3):
+            first.setdefault(t[k : k + 4], (d, k))
+    number = {n: k for k, n in enumerate(sorted({x for w in first for x in (w[:3], w[1:])}))}
+    rows = [(number[w[:3]], number[w[1:]], hash(w) % 1000, d, k) for w, (d, k) in first.items()]
+    name = {(u, v, x): (u, v, x) for u, v, x, _, _ in rows}
+    assert len(name) == len(rows)
+    got = {}
+    for r in substrings.compact(spark.createDataFrame(rows, "u long, v long, x int, source long, source_at long")).collect():
+        got.setdefault(r.path, []).append((r.step, (r.u, r.v, r.x)))
+    assert sum(map(len, got.values())) == len(rows)
+    for p in got.values():
+        assert sorted(s for s, _ in p) == list(range(len(p)))
+    mine = {tuple(e for _, e in sorted(p)) for p in got.values()}
+    want = unitigs(sorted(name))
+    circles = {e for p in want if p[0][0] == p[-1][1] for e in p}
+    assert {p for p in mine if not set(p) & circles} == {tuple(p) for p in want if not set(p) & circles}
+    for p in mine:  # also circles are walked in order, along nodes passed through
+        assert all(a[1] == b[0] for a, b in zip(p, p[1:], strict=False))
+    assert len(mine) < len(rows) / 2 and any(len(p) > 10 for p in mine) and circles
