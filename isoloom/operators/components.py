@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from isoloom.shared import discard, materialise
 
+#: Up to so many edges the smallest neighbours are joined as they come; beyond, they are written first.
+_FEW = 1 << 20
+
 
 def _large_star(edges: DataFrame, least_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,41 +26,41 @@ def _small_star(edges: DataFrame, least_of: Callable[[DataFrame], DataFrame]) ->
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every edge goes from a node with no other edge to a centre."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` -> ``(node, component)``: the smallest node reachable, for every node of an edge.
 
-    Both star steps keep the components and only re-hang edges on smaller nodes; when a round changes
-    nothing the graph is one star per component. A round is two aggregations and two joins of the edge
-    table, whatever the shape of the components. The smallest neighbours are written before they are joined:
-    both sides of the join are then plain shuffles, so that adaptive execution can split a hub's edges. Each
-    round is written to the shared folder, and a lost executor repeats one round at most. Self loops
-    give a node its own component; null ends are dropped.
+    Both star steps keep the components and only re-hang edges on smaller nodes; the end is reached when all edges
+    make stars, one per component. A round is two aggregations and two joins of the edge
+    table, whatever the shape of the components. The edges are written before the first round. In graphs of more than a
+    million edges the smallest neighbours are written before they are joined: both sides of the join are then plain shuffles, so
+    that adaptive execution can split a hub's edges. Each round is written to the shared folder, and a lost
+    executor repeats one round at most. Self loops give a node its own component; null ends are dropped.
     """
     written: list[DataFrame] = []
+    edges = materialise(edges.select("u", "v").where("u is not null and v is not null"), "graph")
+    few = edges.count() <= _FEW
 
     def least_of(df: DataFrame) -> DataFrame:
+        if few:
+            return df
         written.append(materialise(df, "least"))
         return written[-1]
 
-    edges = edges.select("u", "v").where("u is not null and v is not null")
     loops = edges.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
     now = materialise(_small_star(edges.where("u <> v"), least_of).distinct(), "components")
-    state = _state(now)
-    for _ in range(max_rounds):
+    while not _is_stars(now):
         large = materialise(_large_star(now, least_of).distinct(), "components")
         after = materialise(_small_star(large, least_of).distinct(), "components")
         for old in (now, large, *written):
             discard(old)
         written.clear()
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+        now = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.union(centres).union(loops).groupBy("node").agg(F.min("component").alias("component"))
