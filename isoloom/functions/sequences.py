@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Amino acids of the standard code, codons in the order T, C, A, G of each base.
@@ -13,6 +15,15 @@ ALPHABET = "ATGCUSWRYKMBVHDN"
 BINS = (1, 2, 5, 10, 20, 40, 80, 160, 320, 640)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are evaluated once a row, however often and where they are used.
+
+    The optimizer merges projections and so repeats an expression wherever its column is used, in a lambda for each
+    element; a generator of one row isn't merged.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def rev_comp(c: Column) -> Column:
     """Reverse complement in upper case, U read as T; see :func:`is_nucleotides` for rows it is defined on."""
     return F.reverse(F.translate(F.upper(c), "ACGTU", "TGCAA"))
@@ -31,18 +42,30 @@ def limit_alphabet(c: Column, symbols: str = ALPHABET) -> Column:
     return F.regexp_replace(c, f"[^{symbols}]", symbols[0])
 
 
+def sums_before(values: Column, chunk: int = 64) -> Column:
+    """For every element of an array of numbers the sum of those before it, as longs.
+
+    Arrays are appended to chunk by chunk, so that a long one isn't copied for each of its elements.
+    """
+    number = F.ceil(F.size(values) / chunk).cast("int")
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(number, F.lit(1))), lambda k: F.slice(values, ((k - 1) * chunk + 1).cast("int"), F.lit(chunk)))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("all"))
+    grown = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+    whole = lambda acc, c: F.aggregate(c, start(acc["at"]), grown, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["all"], r["all"]).alias("all")))
+    return F.aggregate(chunks, start(F.lit(0).cast("long")), whole, lambda r: r["all"])
+
+
 def find_all(c: Column, motif: str) -> Column:
-    """0-based starts of ``motif``, overlaps included.
+    """0-based starts of ``motif``, overlaps included; none of an empty one.
 
     The text is split before every occurrence; starts are running sums of the lengths of the pieces, so the
     whole text is walked once however many occurrences there are.
     """
-    pieces = F.split(c, f"(?={motif})")
-    starts = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-    )["all"]
-    return F.when(c.startswith(motif), starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
+    if not motif:
+        return F.when(c.isNotNull(), F.array().cast("array<bigint>"))
+    pieces = F.split(c, "(?=" + re.escape(motif) + ")")
+    starts = sums_before(F.transform(pieces, F.length))
+    return F.when(c.startswith(motif), starts).otherwise(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))))
 
 
 def translate_frame(c: Column, frame: int = 0) -> Column:
@@ -52,37 +75,41 @@ def translate_frame(c: Column, frame: int = 0) -> Column:
     return F.array_join(F.transform(codons, lambda k: table[k]), "")
 
 
-#: Reading on in frame: codons before an ATG, then the ATG and all up to its stop.
-_ORF = r"\G(?:(?!ATG)...)*+(ATG(?:(?!TAA|TAG|TGA)...)*+(?:TAA|TAG|TGA))"
-
-
 def longest_orf(c: Column) -> Column:
-    """Longest translation from an ATG to the first stop in its frame; without a stop there is none.
+    """Longest translation from an M to the first stop in its frame; without a stop there is none.
 
     A struct (protein, offset): among equally long ones the first in the sequence; empty with offset -1 if
-    there is none. ``c`` holds upper-case ACGT. Each frame is read once by a pattern; only the longest is translated.
+    there is none. ``c`` holds upper-case ACGT. Each frame is translated once and cut at its stops; of a piece that a
+    stop ends, the reading begins at its first M. One pass over the pieces keeps the longest. To be used with
+    :func:`once`, or the optimizer evaluates all of this once per field.
     """
-    best = []
-    for frame in range(3):
-        rest = F.substring(c, frame + 1, 2**31 - 1)
-        found = F.arrays_zip(F.regexp_extract_all(rest, F.lit(_ORF), F.lit(0)).alias("read"), F.regexp_extract_all(rest, F.lit(_ORF), F.lit(1)).alias("orf"))
-        none = F.struct(F.lit(frame).alias("at"), F.lit(0).alias("n"), F.lit(1).alias("first"), F.lit("").alias("orf"))
+    # at: codons before the piece; n, first: length of the best and minus its offset, so that greater is better
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("first"), F.lit("").alias("orf"), F.lit(0).alias("at"))
 
+    def longest(frame: int) -> Column:
         def longer(acc, x):
-            at, n = acc["at"] + F.length(x["read"]), F.length(x["orf"])
-            return F.when(n > acc["n"], F.struct(at.alias("at"), n.alias("n"), (n - at).alias("first"), x["orf"].alias("orf"))).otherwise(F.struct(at.alias("at"), acc["n"].alias("n"), acc["first"].alias("first"), acc["orf"].alias("orf")))
+            m, after = F.instr(x, "M"), (acc["at"] + F.length(x) + 1).alias("at")
+            n = F.length(x) - m + 1
+            found = F.struct(n.alias("n"), (-(acc["at"] + m - 1) * 3 - frame).alias("first"), F.substr(x, m).alias("orf"), after)
+            return F.when((m > 0) & (n > acc["n"]), found).otherwise(F.struct(acc["n"].alias("n"), acc["first"].alias("first"), acc["orf"].alias("orf"), after))
 
-        top = F.aggregate(found, none, longer)
-        best.append(F.struct(top["n"].alias("n"), top["first"].alias("first"), top["orf"].alias("orf")))
-    top = F.greatest(*best)  # the longest, then the least offset
-    return F.struct(F.rtrim(translate_frame(top["orf"]), F.lit("*")).alias("protein"), (-top["first"]).alias("offset"))
+        pieces = F.split(translate_frame(c, frame), "[*]")
+        return F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), none, longer)
+
+    best = F.array(*map(longest, range(3)))
+    return F.aggregate(best, none, lambda acc, x: F.greatest(acc, x), lambda top: F.struct(top["orf"].alias("protein"), (-top["first"]).alias("offset")))
 
 
 def parse_attributes(c: Column) -> Column:
-    """``key "value"; key "value"`` -> map; the first blank-separated part of a value, without quotes."""
-    pairs = F.filter(F.split(c, ";"), lambda p: F.trim(p) != "")
-    entries = F.transform(pairs, lambda p: F.split(F.trim(p), " "))
-    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e[0].alias("key"), F.replace(F.coalesce(F.get(e, F.lit(1)), F.lit("")), F.lit('"'), F.lit("")).alias("value"))))
+    """``key "value"; key "value";`` -> map; the first blank-separated part of a value, without quotes.
+
+    Of a key that is there several times the last value counts.
+    """
+    pairs = F.filter(F.transform(F.split(c, ";"), lambda p: F.trim(p)), lambda p: p != "")
+    entries = F.transform(pairs, lambda p: F.split(p, " "))
+    value = lambda e: F.replace(F.coalesce(F.get(e, F.lit(1)), F.lit("")), F.lit('"'), F.lit(""))
+    set_ = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e[0]), F.create_map(e[0], value(e)))
+    return F.when(c.isNotNull(), F.aggregate(entries, F.create_map().cast("map<string,string>"), set_))
 
 
 def support_of(c: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoloom.operators.components import connected_components
+from isoloom.shared import materialise
 
 
 def primary_alignments(aln: DataFrame) -> DataFrame:
@@ -14,14 +15,23 @@ def primary_alignments(aln: DataFrame) -> DataFrame:
     return aln.where(F.col("flag").bitwiseAND(F.lit(0x904)) == 0)
 
 
-def collapse_by_chain(reads: DataFrame) -> DataFrame:
-    """Spliced reads (read_id, contig, strand, introns) by exact introns: (contig, strand, introns, n, reads)."""
-    return reads.where(F.size("introns") > 0).groupBy("contig", "strand", "introns").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("read_id")).alias("reads"))
+def _collapsed(rows: DataFrame, key: list[str], names: bool) -> DataFrame:
+    more = [F.array_sort(F.collect_list("read_id")).alias("reads")] if names else []
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("read_id").alias("first_read"), *more)
 
 
-def collapse_unspliced(reads: DataFrame) -> DataFrame:
+def collapse_by_chain(reads: DataFrame, names: bool = False) -> DataFrame:
+    """Spliced reads (read_id, contig, strand, introns) by exact introns: (contig, strand, introns, n, first_read).
+
+    With ``names`` also the list of their reads, which is one row however many they are; operators that need the
+    reads of a chain join them by its introns instead.
+    """
+    return _collapsed(reads.where(F.size("introns") > 0), ["contig", "strand", "introns"], names)
+
+
+def collapse_unspliced(reads: DataFrame, names: bool = False) -> DataFrame:
     """Reads without introns by exact interval."""
-    return reads.where(F.size("introns") == 0).groupBy("contig", "strand", "start", "end").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("read_id")).alias("reads"))
+    return _collapsed(reads.where(F.size("introns") == 0), ["contig", "strand", "start", "end"], names)
 
 
 def junction_weights(chains: DataFrame) -> DataFrame:
@@ -53,36 +63,78 @@ def splice_clusters(chains: DataFrame) -> DataFrame:
     return named.join(parts, named["first"] == parts.node).select("contig", "strand", "introns", "component")
 
 
-def assign_reads(chains: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(read_id, cluster): clusters numbered by (contig, strand, smallest chain), from 0 within each contig.
+def _ahead(rows: DataFrame, key: list[str], bin_: Column, carry: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``bin`` and, for each name of ``carry``, that aggregate of a bin carried over all bins before it.
+
+    ``bin_`` must not decrease along the order that matters. Names that begin with n are summed, others are maxima. Windows
+    run over rows of one bin, and over bins, never over all rows of a key.
+    """
+    binned = rows.withColumn("bin", bin_)
+    per = binned.groupBy(*key, "bin").agg(*(c.alias(n) for n, c in carry.items()))
+    before = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*key, "bin", *((F.coalesce(F.sum(n).over(before), F.lit(0)) if n.startswith("n") else F.max(n).over(before)).alias(n) for n in carry))
+    return binned.join(materialise(per, "bins"), [*key, "bin"])
+
+
+def ranked(rows: DataFrame, key: list[str], order: list[str], bin_: Column) -> DataFrame:
+    """``rows`` with ``rank`` from 1 within ``key``, by ``order``; ``bin_`` must not decrease along it."""
+    w = W.partitionBy(*key, "bin").orderBy(*order)
+    return _ahead(rows, key, bin_, {"n_ahead": F.count("*")}).withColumn("rank", F.row_number().over(w) + F.col("n_ahead")).drop("bin", "n_ahead")
 
-    Numbers go on from one strand to the other. They are ranks among a contig's clusters, never among reads.
+
+_WIDTH = 1 << 14  # positions in a bin
+
+
+def assign_reads(reads: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(contig, read_id, cluster): clusters numbered by (contig, strand, smallest chain), from 0 within each contig.
+
+    Numbers go on from one strand to the other. They are ranks among a contig's clusters, never among reads. ``clusters`` has
+    a row per chain and is written, so that adaptive execution can split the reads of a hot chain.
     """
     key = ["contig", "strand", "introns"]
+    clusters = materialise(clusters.select(*key, "component"), "clusters")
     least = clusters.groupBy("contig", "strand", "component").agg(F.min("introns").alias("least"))
-    numbers = least.withColumn("cluster", F.row_number().over(W.partitionBy("contig").orderBy("strand", "least")) - 1).drop("least")
-    with_number = clusters.join(numbers, ["contig", "strand", "component"]).select(*key, "cluster")
-    return chains.join(with_number, key).select("contig", F.explode("reads").alias("read_id"), "cluster")
+    # Strands in order: - comes after + in no bin, so the strand leads the bin.
+    place = F.when(F.col("strand") == "+", 0).when(F.col("strand") == "-", 1).otherwise(2) * F.lit(1 << 40) + F.floor(F.get("least", F.lit(0))["s"] / _WIDTH)
+    numbers = ranked(least, ["contig"], ["strand", "least"], place).select("contig", "strand", "component", (F.col("rank") - 1).alias("cluster"))
+    with_number = materialise(clusters.join(numbers, ["contig", "strand", "component"]).select(*key, "cluster"), "numbers")
+    return reads.where(F.size("introns") > 0).join(with_number, key).select("contig", "read_id", "cluster")
 
 
 def sort_chains(chains: DataFrame) -> DataFrame:
     """Rank of each chain in its contig and strand: by intron pairs, a prefix first."""
-    return chains.withColumn("rank", F.row_number().over(W.partitionBy("contig", "strand").orderBy("introns")))
+    return ranked(chains, ["contig", "strand"], ["introns"], F.floor(F.get("introns", F.lit(0))["s"] / _WIDTH))
+
+
+def sort_unspliced(reads: DataFrame) -> DataFrame:
+    """Rank of each unspliced read or interval in its contig and strand: by start, then end."""
+    return ranked(reads, ["contig", "strand"], ["start", "end"], F.floor(F.col("start") / _WIDTH))
 
 
 def overlap_clusters(reads: DataFrame) -> DataFrame:
-    """(contig, strand, start, end, island): merged closed intervals of unspliced reads, numbered from 1."""
-    w = W.partitionBy("contig", "strand").orderBy("start", "end")
-    ahead = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.when(ahead.isNull() | (F.col("start") > ahead), 1).otherwise(0)
-    return reads.withColumn("opens", opens).withColumn("island", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("opens")
+    """(contig, strand, start, end, island): merged closed intervals of unspliced reads, numbered from 1.
+
+    The furthest end before each bin of starts is carried over the bins, as is then the number of islands.
+    """
+    key = ["contig", "strand"]
+    w = W.partitionBy(*key, "bin").orderBy("start", "end")
+    at = F.floor(F.col("start") / _WIDTH)
+    rows = _ahead(reads, key, at, {"furthest": F.max("end")})
+    ahead = F.greatest(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("furthest"))
+    rows = materialise(rows.withColumn("opens", F.when(ahead.isNull() | (F.col("start") > ahead), 1).otherwise(0)).drop("furthest", "bin"), "opens")
+    rows = _ahead(rows, key, at, {"n_islands": F.sum("opens")})
+    return rows.withColumn("island", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("n_islands")).drop("opens", "bin", "n_islands")
 
 
 def group_sites(sites: DataFrame, gap: int = 15) -> DataFrame:
     """``sites(contig, pos, weight)`` with the number of the group: a step beyond ``gap`` begins a new one."""
-    w = W.partitionBy("contig").orderBy("pos")
-    opens = F.when(F.col("pos") - F.lag("pos").over(w) > gap, 1).otherwise(0)
-    return sites.withColumn("opens", opens).withColumn("grp", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("opens")
+    w = W.partitionBy("contig", "bin").orderBy("pos")
+    at = F.floor(F.col("pos") / _WIDTH)
+    rows = _ahead(sites, ["contig"], at, {"last": F.max("pos")})
+    before = F.coalesce(F.lag("pos").over(w), F.col("last"))
+    rows = materialise(rows.withColumn("opens", F.when(F.col("pos") - before > gap, 1).otherwise(0)).drop("last", "bin"), "opens")
+    rows = _ahead(rows, ["contig"], at, {"n_groups": F.sum("opens")})
+    return rows.withColumn("grp", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("n_groups")).drop("opens", "bin", "n_groups")
 
 
 def kde_maxima(sites: DataFrame, gap: int = 15, window: int = 30, stddev: float = 10.0) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoloom.shared import materialise
+
 INTRON = ["chr", "s", "e"]
 
 
@@ -39,10 +42,14 @@ def assign_by_overlap(query: DataFrame, genes: DataFrame, width: int = 1 << 10)
 
     A gene is listed under each bin of ``width`` it touches, a query joins the bins it touches, and the range
     test decides: an equi-join whatever the intervals. The smallest match is taken by aggregation, so
-    meeting in several bins doesn't matter.
+    meeting in several bins doesn't matter. Of the genes of a bin that begin before it only the first of each end that no
+    earlier one reaches can be a first match there, so long genes that lie over one another aren't all listed.
     """
     bins = lambda: F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))
     right = genes.select(F.col("chr"), F.col("gid"), F.col("s").alias("gs"), F.col("e").alias("ge"), F.explode(bins()).alias("bin"))
+    # A gene is of use in a bin if it reaches further than all that come before it in order.
+    earlier = W.partitionBy("chr", "bin").orderBy("gs", "ge", "gid").rowsBetween(W.unboundedPreceding, -1)
+    right = materialise(right.withColumn("reached", F.max("ge").over(earlier)).where("reached is null or ge > reached").drop("reached"), "genes")
     left = query.select("qid", "chr", "s", "e", F.explode(bins()).alias("bin"))
     met = left.join(right, ["chr", "bin"]).where("s <= ge and e >= gs")
     first = met.groupBy("qid").agg(F.min(F.struct("gs", "ge", "gid")).alias("g")).select("qid", F.col("g.gid").cast("string").alias("gene"))
@@ -70,8 +77,8 @@ def compare_sets(reference: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def best_hit(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query, subject, evalue): the first listed match of every query, ``----`` without one."""
-    first = hits.groupBy("query").agg(F.min(F.struct("match_rank", "subject", "evalue")).alias("h"))
+    """(query, subject, evalue): the first listed match of every query and its first stretch, ``----`` without one."""
+    first = hits.groupBy("query").agg(F.min(F.struct("match_rank", "hsp_rank", "subject", "evalue")).alias("h"))
     return queries.join(first, "query", "left").select("query", F.coalesce(F.col("h.subject").cast("string"), F.lit("----")).alias("subject"), F.col("h.evalue").alias("evalue"))
 
 
@@ -87,7 +94,13 @@ def compare_hits(reference: DataFrame, queries: DataFrame, hits: DataFrame) -> D
 
 
 def hit_percentages(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("id_pct", F.try_divide(F.col("id_num") * 100.0, F.col("id_den")))
+    """``hits`` with the percentages of identities, positives and gaps: 100 * numerator / denominator."""
+    return hits.withColumns({f"{n}_pct": F.try_divide(F.col(f"{n}_num") * 100.0, F.col(f"{n}_den")) for n in ("id", "pos", "gap")})
+
+
+def as_metrics(row: DataFrame) -> DataFrame:
+    """A row of figures as rows (metric, value)."""
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns))).alias("x")).select("x.*")
 
 
 def membership(chains: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,32 +50,54 @@ def edge_log_likelihood(edges: DataFrame) -> DataFrame:
 
 def best_successor(edges: DataFrame) -> DataFrame:
     """(cluster, u, v, weight): the heaviest edge out of each node, the smallest node among equals."""
-    top = edges.groupBy("cluster", "u").agg(F.max(F.struct("weight", (-F.col("v")).alias("v"))).alias("x"))
-    return top.select("cluster", "u", (-F.col("x.v")).alias("v"), "x.weight")
+    top = edges.groupBy("cluster", "u").agg(F.min(F.struct((-F.col("weight")).alias("w"), "v")).alias("x"))
+    return top.select("cluster", "u", "x.v", (-F.col("x.w")).alias("weight"))
 
 
 def best_predecessor(edges: DataFrame) -> DataFrame:
-    top = edges.groupBy("cluster", "v").agg(F.max(F.struct("weight", (-F.col("u")).alias("u"))).alias("x"))
-    return top.select("cluster", "v", (-F.col("x.u")).alias("u"), "x.weight")
+    top = edges.groupBy("cluster", "v").agg(F.min(F.struct((-F.col("weight")).alias("w"), "u")).alias("x"))
+    return top.select("cluster", "v", "x.u", (-F.col("x.w")).alias("weight"))
+
+
+def _twice(jump: DataFrame) -> DataFrame:
+    """A function (cluster, u, v) applied twice."""
+    return materialise(jump.alias("a").join(jump.alias("b"), F.expr("a.cluster = b.cluster and a.v = b.u")).select("a.cluster", "a.u", "b.v"), "jump")
 
 
-def _reach(following: DataFrame, starts: DataFrame) -> DataFrame:
+def reach(following: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(cluster, source, node, step): what each start reaches along a function (cluster, u, v), by doubling.
 
-    Known prefixes of the walks double in each round, so the rounds are the logarithm of the longest walk.
+    Known prefixes of the walks double in each round, so the rounds are the logarithm of the longest walk, or of
+    ``most`` steps. A round writes what it adds. No walk may run into a circle.
     """
     jump = materialise(following.select("cluster", "u", "v"), "jump")
-    reach = materialise(starts.select("cluster", F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("step")), "reach")
+    parts = [materialise(starts.select("cluster", F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("step")), "reach")]
     length = 1
-    while True:
-        more = reach.join(jump, (reach.cluster == jump.cluster) & (reach.node == jump.u)).select(reach.cluster, "source", F.col("v").alias("node"), (F.col("step") + length).alias("step"))
-        longer = materialise(reach.union(more), "reach")
-        twice = materialise(jump.alias("a").join(jump.alias("b"), F.expr("a.cluster = b.cluster and a.v = b.u")).select("a.cluster", "a.u", "b.v"), "jump")
-        discard(reach)
+    while most is None or length <= most:
+        known = reduce(DataFrame.union, parts)
+        more = known.join(jump, (known.cluster == jump.cluster) & (known.node == jump.u)).select(known.cluster, "source", F.col("v").alias("node"), (F.col("step") + length).alias("step"))
+        more = materialise(more if most is None else more.where(F.col("step") <= most), "reach")
+        if more.isEmpty():
+            break
+        parts.append(more)
+        jump, old, length = _twice(jump), jump, length * 2
+        discard(old)
+    return reduce(DataFrame.union, parts)
+
+
+def owners(following: DataFrame, starts: DataFrame) -> DataFrame:
+    """(cluster, node, owner): the smallest of ``starts(cluster, node)`` from which the function (cluster, u, v) leads to
+    the node. One row per node and round, however many starts lead there."""
+    jump = materialise(following.select("cluster", "u", "v"), "jump")
+    now = materialise(starts.select("cluster", "node", F.col("node").alias("owner")), "owners")
+    while not jump.isEmpty():
+        pushed = now.join(jump, (now.cluster == jump.cluster) & (now.node == jump.u)).select(now.cluster, F.col("v").alias("node"), "owner")
+        after = materialise(now.union(pushed).groupBy("cluster", "node").agg(F.min("owner").alias("owner")), "owners")
+        twice = _twice(jump)
+        discard(now)
         discard(jump)
-        reach, jump, length = longer, twice, length * 2
-        if jump.isEmpty():
-            return reach
+        now, jump = after, twice
+    return now
 
 
 def greedy_walks(paths: DataFrame, tail: int = 15) -> DataFrame:
@@ -81,25 +105,33 @@ def greedy_walks(paths: DataFrame, tail: int = 15) -> DataFrame:
 
     A walk that meets a node of an earlier one takes it and up to ``tail`` more, and ends. Successors
     are a function, so walks that meet stay together and the walk that owns a node is the smallest source that
-    reaches it. A first node on an earlier walk begins no walk.
+    reaches it. A first node on an earlier walk begins no walk. A walk is what its source owns, which no other
+    walk has, and the steps beyond: rows grow with the nodes, not with sources times nodes.
     """
-    starts = paths.groupBy(*READ).agg(F.min("node").alias("node")).select("cluster", "node").distinct()
-    reach = _reach(best_successor(edge_weights(paths)), starts)
-    owner = reach.groupBy("cluster", "node").agg(F.min("source").alias("owner"))
-    owned = reach.join(owner, ["cluster", "node"])
-    free = owned.where("step = 0 and owner = source").select("cluster", "source")
-    # The first node that an earlier source owns; all after it are owned by earlier sources too.
-    left = owned.where("owner <> source").groupBy("cluster", "source").agg(F.min("step").alias("left"))
-    kept = owned.join(free, ["cluster", "source"], "left_semi").join(left, ["cluster", "source"], "left")
-    return kept.where(F.col("left").isNull() | (F.col("step") <= F.col("left") + tail)).select("cluster", "source", "step", "node")
-
-
-def align_paths(paths: DataFrame, walk: DataFrame) -> DataFrame:
+    starts = materialise(paths.groupBy(*READ).agg(F.min("node").alias("node")).select("cluster", "node").distinct(), "starts")
+    following = materialise(best_successor(edge_weights(paths)).select("cluster", "u", "v"), "following")
+    owner = owners(following, starts)
+    of = lambda c: owner.select("cluster", F.col("node").alias(c), F.col("owner").alias(f"of_{c}"))
+    own = following.join(of("u"), ["cluster", "u"]).join(of("v"), ["cluster", "v"]).where("of_u = of_v")
+    free = starts.join(owner.where("node = owner"), ["cluster", "node"], "left_semi")
+    owned = materialise(reach(own, free), "owned")
+    last = owned.groupBy("cluster", "source").agg(F.max("step").alias("steps"), F.max_by("node", "step").alias("last"))
+    beyond = reach(following, last.select("cluster", F.col("last").alias("node")), tail + 1).where("step > 0").withColumnRenamed("source", "last")
+    after = beyond.join(last, ["cluster", "last"]).select("cluster", "source", (F.col("step") + F.col("steps")).alias("step"), "node")
+    return owned.select("cluster", "source", "step", "node").union(after)
+
+
+def align_paths(paths: DataFrame, walk: DataFrame, inside: bool = False) -> DataFrame:
     """Every read of ``paths`` merged with its cluster's ``walk(cluster, node)`` in node order: (cluster, read, node, op).
 
-    op is M for nodes of both, I for the read's alone, D for the walk's alone.
+    op is M for nodes of both, I for the read's alone, D for the walk's alone; with ``inside`` only those of the walk's that lie
+    between the read's first and last node.
     """
-    wanted = paths.select(*READ).distinct().join(walk.select("cluster", "node"), "cluster")
+    if inside:
+        spans = paths.groupBy(*READ).agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+        wanted = spans.join(walk.select("cluster", "node"), "cluster").where("node between lo and hi")
+    else:
+        wanted = paths.select(*READ).distinct().join(walk.select("cluster", "node"), "cluster")
     both = paths.select(*READ, "node", F.lit(1).alias("p"), F.lit(0).alias("w")).union(wanted.select(*READ, "node", F.lit(0), F.lit(1)))
     each = both.groupBy(*READ, "node").agg(F.max("p").alias("p"), F.max("w").alias("w"))
     return each.select(*READ, "node", F.when((F.col("p") == 1) & (F.col("w") == 1), "M").when(F.col("p") == 1, "I").otherwise("D").alias("op"))
@@ -115,7 +147,7 @@ def correct_paths(paths: DataFrame, walk: DataFrame, psi: int = 35, correct_ends
     ``correct_ends`` drops a shorter one.
     """
     w = W.partitionBy(*READ)
-    rows = align_paths(paths, walk).withColumn("match", (F.col("op") == "M").cast("int"))
+    rows = align_paths(paths, walk, inside=True).withColumn("match", (F.col("op") == "M").cast("int"))
     rows = rows.withColumn("island", F.sum("match").over(w.orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("matches", F.sum("match").over(w))
     isle = W.partitionBy(*READ, "island")
     rows = rows.withColumn("ins", F.count_if(F.col("op") == "I").over(isle)).withColumn("dels", F.count_if(F.col("op") == "D").over(isle))
@@ -134,12 +166,40 @@ def correct_paths(paths: DataFrame, walk: DataFrame, psi: int = 35, correct_ends
     return kept.join(support, READ).select("cluster", "read", "support", "pos", "node"), flags
 
 
+def correct_by_walks(paths: DataFrame, walks: DataFrame, psi: int = 35, correct_ends: bool = False, detect_ends: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(paths, flags): :func:`correct_paths` by each of a cluster's ``walks(cluster, source, node)``, in order of their sources,
+    each on what the one before left. A read differs if it differs from every walk.
+
+    A round is one job for all clusters that have so many walks; the others are done.
+    """
+    ranked = materialise(walks.select("cluster", "source", "node").withColumn("rank", F.dense_rank().over(W.partitionBy("cluster").orderBy("source"))).select("cluster", "rank", "node"), "walks")
+    columns = ["cluster", "read", "support", "pos", "node"]
+    now, done, flags, rank = materialise(paths.select(columns), "paths"), [], [], 1
+    while True:
+        walk = ranked.where(F.col("rank") == rank).select("cluster", "node")
+        clusters = walk.select("cluster").distinct()
+        done.append(materialise(now.join(clusters, "cluster", "left_anti").select(columns), "corrected"))
+        fixed, told = correct_paths(now.join(clusters, "cluster", "left_semi").select(columns), walk, psi, correct_ends, detect_ends)
+        after = materialise(fixed.select(columns), "paths")
+        flags.append(materialise(told, "flags"))
+        discard(now)
+        now, rank = after, rank + 1
+        if now.isEmpty():
+            break
+    return reduce(DataFrame.union, done), reduce(DataFrame.union, flags).groupBy(*READ).agg(F.bool_and("differs").alias("differs"))
+
+
+def sum_support(groups: DataFrame, key: str = "cluster") -> DataFrame:
+    """The support of each group: the sum over the reads that it accounts for."""
+    return groups.groupBy(key).agg(F.sum("support").alias("support"))
+
+
 def heaviest_path(paths: DataFrame) -> DataFrame:
     """(cluster, node): from the most supported node of each cluster along heaviest edges both ways."""
     edges = materialise(edge_weights(paths), "edges")
     top = node_support(paths).groupBy("cluster").agg(F.max(F.struct("support", (-F.col("node")).alias("node"))).alias("x")).select("cluster", (-F.col("x.node")).alias("node"))
-    on = _reach(best_successor(edges), top).select("cluster", "node")
-    back = _reach(best_predecessor(edges).select("cluster", F.col("v").alias("u"), F.col("u").alias("v")), top).select("cluster", "node")
+    on = reach(best_successor(edges), top).select("cluster", "node")
+    back = reach(best_predecessor(edges).select("cluster", F.col("v").alias("u"), F.col("u").alias("v")), top).select("cluster", "node")
     return on.union(back).distinct()
 
 
@@ -159,32 +219,29 @@ def compatible_reads(paths: DataFrame, walk: DataFrame, ends_delta: int = 35) ->
     return told.where(F.col("n_read").isNull() | same).select(*READ, "support")
 
 
-def decompose_paths(paths: DataFrame, ends_delta: int = 35, max_rounds: int = 50) -> DataFrame:
+def decompose_paths(paths: DataFrame, ends_delta: int = 35) -> DataFrame:
     """(cluster, isoform, pos, node, support): repeat until no reads are left: the heaviest path of each cluster is
     an isoform, supported by the compatible reads, which go. Where none is compatible, the best supported read's
-    own path is the isoform, so that every round makes progress in every cluster.
+    own path (the smallest read among equals) is the isoform, so that every round makes progress in every cluster and there
+    are as many rounds as the cluster with most isoforms has.
     """
-    rest, out, number = materialise(paths, "rest"), [], 0
+    rest, out = materialise(paths.select("cluster", "read", "support", "pos", "node"), "rest"), []
     while not rest.isEmpty():
-        if number >= max_rounds:
-            raise RuntimeError(f"reads are left after {max_rounds} rounds")
         walk = materialise(heaviest_path(rest), "walk")
         taken = materialise(compatible_reads(rest, walk, ends_delta), "taken")
-        stuck = rest.select("cluster").distinct().join(taken.select("cluster").distinct(), "cluster", "left_anti")
-        best = rest.join(stuck, "cluster", "left_semi").groupBy("cluster").agg(F.max(F.struct("support", (-F.col("read")).alias("r"))).alias("x")).select("cluster", (-F.col("x.r")).alias("read"), F.col("x.support").alias("support"))
+        stuck = materialise(rest.select("cluster").distinct().join(taken.select("cluster").distinct(), "cluster", "left_anti"), "stuck")
+        best = rest.join(stuck, "cluster", "left_semi").groupBy("cluster").agg(F.min(F.struct((-F.col("support")).alias("s"), "read")).alias("x")).select("cluster", "x.read", (-F.col("x.s")).alias("support"))
+        best = materialise(best, "best")
         own = rest.join(best, READ, "left_semi").select("cluster", "node")
         walk = walk.join(stuck, "cluster", "left_anti").union(own)
         taken = materialise(taken.union(best), "taken")
-        support = taken.groupBy("cluster").agg(F.sum("support").alias("support"))
         order = F.row_number().over(W.partitionBy("cluster").orderBy("node"))
-        out.append(materialise(walk.withColumn("pos", order).join(support, "cluster").select("cluster", F.lit(number).alias("isoform"), "pos", "node", "support"), "isoform"))
-        after = materialise(rest.join(taken, READ, "left_anti"), "rest")
+        number = F.lit(len(out))
+        out.append(materialise(walk.withColumn("pos", order).join(sum_support(taken), "cluster").select("cluster", number.alias("isoform"), "pos", "node", "support"), "isoform"))
+        after = materialise(rest.join(taken, READ, "left_anti").select("cluster", "read", "support", "pos", "node"), "rest")
         discard(rest)
-        rest, number = after, number + 1
-    result = out[0] if out else paths.select("cluster", F.lit(0).alias("isoform"), "pos", "node", "support").limit(0)
-    for o in out[1:]:
-        result = result.union(o)
-    return result
+        rest = after
+    return reduce(DataFrame.union, out) if out else paths.select("cluster", F.lit(0).alias("isoform"), "pos", "node", "support").limit(0)
 
 
 def path_sequence(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -193,40 +250,71 @@ def path_sequence(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return letters.groupBy(*READ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nts"))), lambda x: x["nts"]), "").alias("seq"))
 
 
-def topological_layers(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(cluster, node, layer): longest distance from a source, relaxed to a fixed point."""
+def _chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cluster, source, node, step): every node with the head of its maximal run of nodes with one way on and one way in."""
+    d = materialise(degrees(edges), "degrees")
+    outs, ins = d.where("outdegree = 1").select("cluster", F.col("node").alias("u")), d.where("indegree = 1").select("cluster", F.col("node").alias("v"))
+    link = materialise(edges.select("cluster", "u", "v").join(outs, ["cluster", "u"], "left_semi").join(ins, ["cluster", "v"], "left_semi"), "link")
+    heads = nodes.select("cluster", "node").join(link.select("cluster", F.col("v").alias("node")), ["cluster", "node"], "left_anti")
+    return reach(link, heads)
+
+
+def topological_layers(edges: DataFrame) -> DataFrame:
+    """(cluster, node, layer): longest distance from a source.
+
+    Runs of nodes with one way on and one way in are fused first, by doubling; the layers of their heads are then relaxed to a
+    fixed point, so rounds are the runs on the longest path, not its nodes. A graph with a circle is an error.
+    """
     edges = materialise(edges.select("cluster", "u", "v").distinct(), "edges")
-    nodes = edges.select("cluster", F.col("u").alias("node")).union(edges.select("cluster", "v")).distinct()
-    now = materialise(nodes.withColumn("layer", F.lit(0)), "layers")
-    total = -1
-    for _ in range(max_rounds):
-        # A round carries the present layers over the edges; layers only grow, so their sum tells a fixed point.
-        pushed = now.join(edges, (now.cluster == edges.cluster) & (now.node == edges.u)).select(now.cluster, F.col("v").alias("node"), (F.col("layer") + 1).alias("layer"))
+    nodes = materialise(edges.select("cluster", F.col("u").alias("node")).union(edges.select("cluster", "v")).distinct(), "nodes")
+    run = materialise(_chains(edges, nodes), "runs")
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("size"))
+    if run.count() < nodes.count():
+        raise ValueError("the graph has a circle")
+    heads = run.where("step = 0").select("cluster", "node")
+    tail = run.select("cluster", F.col("node").alias("u"), F.col("source").alias("from"), (F.col("step") + 1).alias("far"))
+    hops = materialise(edges.join(heads.withColumnRenamed("node", "v"), ["cluster", "v"], "left_semi").join(tail, ["cluster", "u"]).groupBy("cluster", "from", "v").agg(F.max("far").alias("far")), "hops")
+    now, total = materialise(heads.withColumn("layer", F.lit(0).cast("long")), "layers"), -1
+    while True:
+        # A round carries the present layers over the hops; layers only grow, so their sum tells a fixed point.
+        pushed = now.join(hops, (now.cluster == hops.cluster) & (now.node == F.col("from"))).select(now.cluster, F.col("v").alias("node"), (F.col("layer") + F.col("far")).alias("layer"))
         after = materialise(now.union(pushed).groupBy("cluster", "node").agg(F.max("layer").alias("layer")), "layers")
         discard(now)
         now, before, total = after, total, after.agg(F.sum("layer")).first()[0]
         if total == before or total is None:
-            return now
-    raise RuntimeError("the graph has a cycle")
+            break
+        if not now.join(sizes, "cluster").where("layer >= size").isEmpty():
+            raise ValueError("the graph has a circle")
+    of_head = now.select("cluster", F.col("node").alias("source"), "layer")
+    return run.join(of_head, ["cluster", "source"]).select("cluster", "node", (F.col("layer") + F.col("step")).cast("int").alias("layer"))
 
 
 def compact_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cluster, head, nts, n): maximal runs where out-degree and in-degree are 1, letters joined in order."""
-    d = degrees(edges)
-    outs, ins = d.where("outdegree = 1").select("cluster", F.col("node").alias("u")), d.where("indegree = 1").select("cluster", F.col("node").alias("v"))
-    link = materialise(edges.select("cluster", "u", "v").join(outs, ["cluster", "u"], "left_semi").join(ins, ["cluster", "v"], "left_semi"), "link")
-    heads = nodes.select("cluster", "node").join(link.select("cluster", F.col("v").alias("node")), ["cluster", "node"], "left_anti")
-    run = _reach(link, heads)
-    letters = run.join(nodes, ["cluster", "node"]).groupBy("cluster", F.col("source").alias("head"))
+    letters = _chains(edges, nodes).join(nodes, ["cluster", "node"]).groupBy("cluster", F.col("source").alias("head"))
     return letters.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "nts"))), lambda x: x["nts"]), "").alias("nts"), F.count("*").alias("n"))
 
 
 def select_paths(paths: DataFrame, reads: DataFrame, keep: bool = True) -> DataFrame:
     """Only the listed reads, or all others, with the nodes that are left renumbered from 0 in each cluster."""
     some = paths.join(reads, READ, "left_semi" if keep else "left_anti")
-    left = some.select("cluster", "node").distinct()
-    renamed = left.withColumn("new", F.row_number().over(W.partitionBy("cluster").orderBy("node")) - 1)
-    return some.join(renamed, ["cluster", "node"]).select("cluster", "read", "support", "pos", F.col("new").alias("node"))
+    return some.join(_numbers(some), ["cluster", "node"]).select("cluster", "read", "support", "pos", F.col("new").alias("node"))
+
+
+def _numbers(paths: DataFrame) -> DataFrame:
+    left = paths.select("cluster", "node").distinct()
+    return left.withColumn("new", F.row_number().over(W.partitionBy("cluster").orderBy("node")) - 1)
+
+
+def select_links(paths: DataFrame, reads: DataFrame, keep_foreign: bool = False) -> DataFrame:
+    """(cluster, u, v, weight, n_reads): the edges of :func:`select_paths`, in its numbers.
+
+    With ``keep_foreign`` the edges between nodes that are left stay even where only reads that are gone take them.
+    """
+    some = paths.join(reads, READ, "left_semi")
+    new, edges = _numbers(some), edge_weights(paths if keep_foreign else some)
+    name = lambda c: new.select("cluster", F.col("node").alias(c), F.col("new").alias(f"new_{c}"))
+    return edges.join(name("u"), ["cluster", "u"]).join(name("v"), ["cluster", "v"]).select("cluster", F.col("new_u").alias("u"), F.col("new_v").alias("v"), "weight", "n_reads")
 
 
 def alignment_columns(rings: DataFrame) -> DataFrame:
@@ -235,18 +323,35 @@ def alignment_columns(rings: DataFrame) -> DataFrame:
 
 
 def gapped_rows(paths: DataFrame, letter, columns: DataFrame) -> DataFrame:
-    """(cluster, read, row): one letter per column of the cluster, ``-`` where the read has none."""
-    every = paths.select(*READ).distinct().join(columns, "cluster")
-    there = paths.select(*READ, "node", letter.alias("nts"))
-    full = every.join(there, [*READ, "node"], "left").select(*READ, "node", F.coalesce("nts", F.lit("-")).alias("nts"))
-    return full.groupBy(*READ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "nts"))), lambda x: x["nts"]), "").alias("row"))
+    """(cluster, read, row): one letter per column of the cluster, ``-`` where the read has none.
+
+    ``columns(cluster, node, column)`` gives each node its ring; a column is there if any node of it is, in order of
+    ``column``. A read has one node of a ring at most.
+    """
+    every = paths.select(*READ).distinct().join(columns.select("cluster", "column").distinct(), "cluster")
+    there = paths.select(*READ, "node", letter.alias("nts")).join(columns.select("cluster", "node", "column"), ["cluster", "node"]).select(*READ, "column", "nts")
+    full = every.join(there, [*READ, "column"], "left").select(*READ, "column", F.coalesce("nts", F.lit("-")).alias("nts"))
+    return full.groupBy(*READ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "nts"))), lambda x: x["nts"]), "").alias("row"))
 
 
-def linear_graph(records: DataFrame) -> DataFrame:
-    """One node per base of ``records(ref, seq)``: (ref, node, nts)."""
-    return records.select("ref", F.posexplode(F.split("seq", "")).alias("node", "nts")).where("nts <> ''")
+def linear_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of ``records(ref, seq)``: a node per base (ref, node, nts), and (ref, u, v, weight) of weight 1 between
+    neighbours. The record's path is its nodes in order."""
+    nodes = records.select("ref", F.posexplode(F.split("seq", "")).alias("node", "nts")).where("nts <> ''")
+    n = F.length("seq")
+    edges = records.where(n > 1).select("ref", F.explode(F.sequence(F.lit(0), n - 2)).alias("u")).select("ref", "u", (F.col("u") + 1).alias("v"), F.lit(1).cast("long").alias("weight"))
+    return nodes, edges
 
 
-def consensus_graph(paths: DataFrame) -> DataFrame:
-    """Edges of the graph that the paths induce when each of them counts once, with their log likelihoods."""
-    return edge_log_likelihood(edge_weights(paths.withColumn("support", F.lit(1))))
+def consensus_graph(paths: DataFrame, rings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the graph that the chosen paths induce, each of them counting once.
+
+    edges(cluster, u, v, weight, n_reads, nll); nodes(cluster, node, new, indegree, outdegree, partner): ``new`` numbers them in
+    order, partner is their ring partner of ``rings(cluster, node, partner)``, null where that isn't in the graph.
+    """
+    edges = edge_log_likelihood(edge_weights(paths.withColumn("support", F.lit(1))))
+    nodes = _numbers(paths).join(degrees(edges), ["cluster", "node"], "left").select("cluster", "node", "new", F.coalesce("indegree", F.lit(0)).alias("indegree"), F.coalesce("outdegree", F.lit(0)).alias("outdegree"))
+    if rings is None:
+        return nodes.withColumn("partner", F.lit(None).cast("long")), edges
+    left = rings.join(nodes.select("cluster", F.col("node").alias("partner")), ["cluster", "partner"], "left_semi").select("cluster", "node", "partner")
+    return nodes.join(left, ["cluster", "node"], "left").select("cluster", "node", "new", "indegree", "outdegree", "partner"), edges

@@ -1,13 +1,14 @@
 """Short-read pileups on backbones, polishing and the per-cluster fixed point.
 
-``aln(rid, ref, start, cigar, seq)`` with =, X, I, D and S operations (0-based start).
+``aln(rid, ref, start, cigar, seq)`` with =, X, I, D and S operations (0-based start). A read is one row until its bases are
+needed: operations are placed, trimmed, dropped and named inside the row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,76 +16,122 @@ from isoloom.functions import sequences as S
 from isoloom.operators import paths as P
 from isoloom.shared import discard, materialise
 
+_ON_REF, _ON_READ = ("=", "X", "D"), ("=", "X", "I", "S")
+READ = ["rid", "ref", "start"]
 
-def expand_cigar(aln: DataFrame) -> DataFrame:
+
+def aligned_ops(aln: DataFrame) -> DataFrame:
+    """(rid, ref, start, seq, ops): operations as structs (i, op, n, r, q), with the offsets on reference and read where
+    they begin. M is no valid operation here."""
+    reads = S.once(aln.select("rid", "ref", "start", "seq", "cigar"), o=F.filter(S.cigar_ops(F.col("cigar")), lambda o: o["n"] > 0))
+    length = lambda kinds: S.sums_before(F.transform("o", lambda o: F.when(o["op"].isin(*kinds), o["n"]).otherwise(0)))
+    reads = S.once(reads, z=F.arrays_zip(F.col("o.op").alias("op"), F.col("o.n").alias("n"), length(_ON_REF).alias("r"), length(_ON_READ).alias("q")))
+    placed = F.transform("z", lambda z, i: F.struct(i.alias("i"), z["op"].alias("op"), z["n"].alias("n"), (F.col("start") + z["r"]).alias("r"), z["q"].alias("q")))
+    return S.once(reads.drop("o", "cigar"), ops=placed).drop("z")
+
+
+def trim_to_matches(reads: DataFrame) -> DataFrame:
+    """Operations from the first to the last = of each read of :func:`aligned_ops`; reads without any have none left."""
+    reads = S.once(reads, matches=F.transform(F.filter("ops", lambda o: o["op"] == "="), lambda o: o["i"]))
+    reads = S.once(reads, lo=F.array_min("matches"), hi=F.array_max("matches"))
+    kept = S.once(reads, kept=F.filter("ops", lambda o: (o["i"] >= F.col("lo")) & (o["i"] <= F.col("hi"))))
+    return kept.select("rid", "ref", "start", "seq", F.col("kept").alias("ops"))
+
+
+def _text(o: Column) -> Column:
+    """The read's bases in an operation."""
+    return F.substr(F.col("seq"), (o["q"] + 1).cast("int"), o["n"])
+
+
+def drop_ambiguous(reads: DataFrame) -> DataFrame:
+    """Without the reads that have N inside an I or X."""
+    return reads.where(~F.coalesce(F.exists("ops", lambda o: o["op"].isin("I", "X") & F.contains(_text(o), F.lit("N"))), F.lit(False)))
+
+
+def base_steps(reads: DataFrame) -> DataFrame:
     """One row per base step: (rid, ref, i, op, k, rpos, qpos, base).
 
     ``i`` numbers the operation, ``k`` the step within it; ``rpos`` is the reference offset (of the anchor before
-    them for I), ``qpos`` the read offset; base is the read's, null for D. M is no valid operation here.
+    them for I and S), ``qpos`` the read offset; base is the read's, null for D.
     """
-    ref, read = F.col("o.op").isin("=", "X", "D"), F.col("o.op").isin("=", "X", "I", "S")
-    w = W.partitionBy("rid", "ref", "start").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    ops = aln.select("rid", "ref", "start", "seq", F.posexplode(S.cigar_ops(F.col("cigar"))).alias("i", "o"))
-    ops = ops.withColumn("r0", F.col("start") + F.coalesce(F.sum(F.when(ref, F.col("o.n")).otherwise(0)).over(w), F.lit(0)))
-    ops = ops.withColumn("q0", F.coalesce(F.sum(F.when(read, F.col("o.n")).otherwise(0)).over(w), F.lit(0)))
-    each = ops.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("o.n") - 1)))
-    rpos = F.when(ref, F.col("r0") + F.col("k")).otherwise(F.col("r0") - 1)
-    qpos = F.when(read, F.col("q0") + F.col("k")).otherwise(F.col("q0") - 1)
-    return each.select("rid", "ref", "i", F.col("o.op").alias("op"), "k", rpos.cast("long").alias("rpos"), qpos.cast("long").alias("qpos"), F.when(read, F.col("seq").substr((F.col("q0") + F.col("k") + 1).cast("int"), F.lit(1))).alias("base"))
+    each = reads.select("rid", "ref", "seq", F.explode("ops").alias("o")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("o.n") - 1)))
+    on_ref, on_read = F.col("o.op").isin(*_ON_REF), F.col("o.op").isin(*_ON_READ)
+    rpos = F.when(on_ref, F.col("o.r") + F.col("k")).otherwise(F.col("o.r") - 1)
+    qpos = F.when(on_read, F.col("o.q") + F.col("k")).otherwise(F.col("o.q") - 1)
+    return each.select("rid", "ref", F.col("o.i").alias("i"), F.col("o.op").alias("op"), "k", rpos.cast("long").alias("rpos"), qpos.cast("long").alias("qpos"), F.when(on_read, F.col("seq").substr((qpos + 1).cast("int"), F.lit(1))).alias("base"))
 
 
-def trim_to_matches(ops: DataFrame) -> DataFrame:
-    """Steps from the first to the last = operation of each read."""
-    w = W.partitionBy("rid", "ref")
-    match = F.when(F.col("op") == "=", F.col("i"))
-    return ops.withColumn("lo", F.min(match).over(w)).withColumn("hi", F.max(match).over(w)).where("i between lo and hi").drop("lo", "hi")
+def expand_cigar(aln: DataFrame) -> DataFrame:
+    return base_steps(aligned_ops(aln))
 
 
-def drop_ambiguous(ops: DataFrame) -> DataFrame:
-    """Without the reads that have N inside an I or X."""
-    bad = F.bool_or(F.col("op").isin("I", "X") & (F.col("base") == "N")).over(W.partitionBy("rid", "ref"))
-    return ops.withColumn("bad", F.coalesce(bad, F.lit(False))).where("not bad").drop("bad")
+def backbone_node(pos: Column) -> Column:
+    return F.concat(F.lpad(pos.cast("string"), 10, "0"), F.lit("="))
+
+
+def position(node: Column) -> Column:
+    return F.substr(node, F.lit(1), F.lit(10)).cast("long")
 
 
-def alignment_nodes(ops: DataFrame) -> DataFrame:
-    """(rid, ref, step, node): the nodes a read passes, named so that equal variants share a name.
+def kind(node: Column) -> Column:
+    """``=`` for backbone nodes, ``X`` and ``i`` for others."""
+    return F.substr(node, F.lit(11), F.lit(1))
 
-    = is the backbone node ``r:pos``, X an alternative ``x:pos:base``, I a node per inserted base
-    ``i:anchor:text:k`` with the whole inserted text; D passes no node.
+
+def read_paths(reads: DataFrame) -> DataFrame:
+    """(rid, ref, start, nodes): the names of the nodes a read passes; equal variants share a name.
+
+    = is the backbone node ``pos=``, X an alternative ``posXbase``, I a node per inserted base
+    ``positext:k`` with the anchor and the whole inserted text; D and S pass no node. Positions have ten digits, so
+    names are in path order.
     """
-    inserted = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "base"))), lambda x: x["base"]), "")
-    texts = ops.where("op = 'I'").groupBy("rid", "ref", "i").agg(inserted.alias("text"))
-    named = ops.where("op <> 'D' and op <> 'S'").join(texts, ["rid", "ref", "i"], "left")
-    node = F.when(F.col("op") == "=", F.concat_ws(":", F.lit("r"), "rpos")).when(F.col("op") == "X", F.concat_ws(":", F.lit("x"), "rpos", "base")).otherwise(F.concat_ws(":", F.lit("i"), "rpos", "text", "k"))
-    step = F.row_number().over(W.partitionBy("rid", "ref").orderBy("i", "k"))
-    return named.select("rid", "ref", step.alias("step"), node.alias("node"))
+    at = lambda pos: F.lpad(pos.cast("string"), 10, "0")
+    steps = lambda o: F.sequence(F.lit(0), o["n"] - 1)
+    same = lambda o: F.transform(steps(o), lambda k: backbone_node(o["r"] + k))
+    other = lambda o: F.transform(steps(o), lambda k: F.concat(at(o["r"] + k), F.lit("X"), F.substr(F.col("seq"), (o["q"] + k + 1).cast("int"), F.lit(1))))
+    added = lambda o: F.transform(steps(o), lambda k: F.concat(at(o["r"] - 1), F.lit("i"), _text(o), F.lit(":"), F.lpad(k.cast("string"), 5, "0")))
+    none = F.array().cast("array<string>")
+    nodes = F.flatten(F.transform("ops", lambda o: F.when(o["op"] == "=", same(o)).when(o["op"] == "X", other(o)).when(o["op"] == "I", added(o)).otherwise(none)))
+    return S.once(reads, nodes=nodes).select(*READ, "nodes")
+
+
+def alignment_nodes(paths: DataFrame) -> DataFrame:
+    """(rid, ref, start, step, node), one row per node of :func:`read_paths`."""
+    return paths.select(*READ, F.posexplode("nodes").alias("step", "node")).withColumn("step", F.col("step") + 1)
+
+
+def read_edges(paths: DataFrame) -> DataFrame:
+    """(rid, ref, start, u, v) of the steps of :func:`read_paths`."""
+    n = F.size("nodes")
+    pairs = F.arrays_zip(F.slice("nodes", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("u"), F.slice("nodes", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("v"))
+    return paths.select(*READ, F.explode(pairs).alias("e")).select(*READ, "e.u", "e.v")
 
 
 def backbone_edges(backbone: DataFrame) -> DataFrame:
     """(ref, u, v) of the steps along each backbone, weight 1."""
     n = F.length("seq")
-    return backbone.where(n > 1).select("ref", F.explode(F.sequence(F.lit(0), n - 2)).alias("k")).select("ref", F.concat_ws(":", F.lit("r"), "k").alias("u"), F.concat_ws(":", F.lit("r"), F.col("k") + 1).alias("v"), F.lit(1).cast("long").alias("weight"))
-
+    return backbone.where(n > 1).select("ref", F.explode(F.sequence(F.lit(0), n - 2)).alias("k")).select("ref", backbone_node(F.col("k")).alias("u"), backbone_node(F.col("k") + 1).alias("v"), F.lit(1).cast("long").alias("weight"))
 
-def read_edges(nodes: DataFrame) -> DataFrame:
-    w = W.partitionBy("rid", "ref").orderBy("step")
-    return nodes.withColumn("v", F.lead("node").over(w)).where("v is not null").select("rid", "ref", F.col("node").alias("u"), "v")
 
-
-def pileup_edges(backbone: DataFrame, nodes: DataFrame, short_weight: int = 10) -> DataFrame:
+def pileup_edges(backbone: DataFrame, paths: DataFrame, short_weight: int = 10) -> DataFrame:
     """(ref, u, v, weight): each step of a short read adds ``short_weight`` to what long reads give."""
-    short = read_edges(nodes).groupBy("ref", "u", "v").agg((F.count("*") * short_weight).alias("weight"))
+    short = read_edges(paths).groupBy("ref", "u", "v").agg((F.count("*") * short_weight).alias("weight"))
     return backbone_edges(backbone).union(short.select("ref", "u", "v", "weight")).groupBy("ref", "u", "v").agg(F.sum("weight").alias("weight"))
 
 
-def supported(nodes: DataFrame) -> DataFrame:
+def supported(paths: DataFrame) -> DataFrame:
     """(ref, u, v) touched by any short read."""
-    return read_edges(nodes).select("ref", "u", "v").distinct()
+    return read_edges(paths).select("ref", "u", "v").distinct()
+
+
+def alignments_by_target(reads: DataFrame, aln: DataFrame) -> DataFrame:
+    """The alignments whose contig is the name of one of ``reads(read_id, ...)``, with what is known of that read."""
+    return reads.join(aln, reads["read_id"] == aln["contig"])
 
 
 def stringency_check(backbone: DataFrame, support: DataFrame, tolerance: int = 100) -> DataFrame:
     """(ref, ok): every step into positions tolerance .. n - tolerance - 1 is supported; shorter ones pass."""
-    k = F.split_part("v", F.lit(":"), F.lit(2)).cast("int")
+    k = position(F.col("v"))
     inner = backbone_edges(backbone).join(backbone.select("ref", F.length("seq").alias("n")), "ref").where((k >= tolerance) & (k < F.col("n") - tolerance))
     hit = inner.join(support.withColumn("hit", F.lit(True)), ["ref", "u", "v"], "left").groupBy("ref").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("ok"))
     return backbone.select("ref").join(hit, "ref", "left").select("ref", F.coalesce("ok", F.lit(True)).alias("ok"))
@@ -93,54 +140,143 @@ def stringency_check(backbone: DataFrame, support: DataFrame, tolerance: int = 1
 def branch_support(nodes: DataFrame) -> DataFrame:
     """(ref, branch, n_reads): maximal stretches off the backbone with the nodes beside them, and their reads.
 
-    branch is the node names joined by a blank; a jump over deleted nodes is a branch of its two ends.
+    ``nodes`` as from :func:`alignment_nodes`. branch is the node names joined by a blank; a jump over deleted nodes is a
+    branch of its two ends.
     """
-    w = W.partitionBy("rid", "ref").orderBy("step")
-    on = F.col("node").startswith("r:")
-    pos = F.when(on, F.split_part("node", F.lit(":"), F.lit(2)).cast("int"))
-    rows = nodes.withColumn("on", on).withColumn("pos", pos)
+    w = W.partitionBy(*READ).orderBy("step")
+    pos = F.when(kind(F.col("node")) == "=", position(F.col("node")))
+    rows = nodes.withColumn("pos", pos).withColumn("on", F.col("pos").isNotNull())
     rows = rows.withColumn("jump", F.coalesce(F.col("on") & F.lag("on").over(w) & (F.col("pos") - F.lag("pos").over(w) > 1), F.lit(False)))
     rows = rows.withColumn("opens", (~F.col("on") & F.coalesce(F.lag("on").over(w), F.lit(True))) | F.col("jump"))
     rows = rows.withColumn("b", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     # The stretch itself, the node before it and the node after it.
-    inside = rows.where("not on").select("rid", "ref", "b", "step", "node")
-    before = rows.withColumn("b", F.lead("b").over(w)).withColumn("next_opens", F.lead("opens").over(w)).where("on and next_opens").select("rid", "ref", "b", "step", "node")
-    after = rows.withColumn("first", F.lag("on").over(w)).where("on and (jump or not first)").select("rid", "ref", "b", "step", "node")
-    parts = inside.union(before).union(after).where("b > 0").groupBy("rid", "ref", "b")
+    inside = rows.where("not on").select(*READ, "b", "step", "node")
+    before = rows.withColumn("b", F.lead("b").over(w)).withColumn("next_opens", F.lead("opens").over(w)).where("on and next_opens").select(*READ, "b", "step", "node")
+    after = rows.withColumn("first", F.lag("on").over(w)).where("on and (jump or not first)").select(*READ, "b", "step", "node")
+    parts = inside.union(before).union(after).where("b > 0").groupBy(*READ, "b")
     branch = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]), " ")
     return parts.agg(branch.alias("branch")).groupBy("ref", "branch").agg(F.count("*").alias("n_reads"))
 
 
-def drop_branches(branches: DataFrame, walk: DataFrame, alive: DataFrame | None = None) -> DataFrame:
-    """``branches(ref, branch, n_reads)`` that stay beside ``walk(ref, node)``.
+def branch_edges(branches: DataFrame) -> DataFrame:
+    """(ref, u, v, n_branches): how many distinct branches take each step."""
+    n = F.size("x")
+    pairs = F.arrays_zip(F.slice("x", F.lit(1), n - 1).alias("u"), F.slice("x", F.lit(2), n - 1).alias("v"))
+    steps = branches.select("ref", "branch").distinct().select("ref", F.split("branch", " ").alias("x")).where(n > 1).select("ref", F.explode(pairs).alias("e"))
+    return steps.groupBy("ref", "e.u", "e.v").agg(F.count("*").alias("n_branches"))
+
+
+def branch_nodes(branches: DataFrame) -> DataFrame:
+    """(ref, node, n_branches): how many distinct branches have the node between their ends."""
+    x = F.split("branch", " ")
+    inner = F.slice(x, F.lit(2), F.greatest(F.size(x) - 2, F.lit(0)))
+    return branches.select("ref", "branch").distinct().select("ref", F.explode(inner).alias("node")).groupBy("ref", "node").agg(F.count("*").alias("n_branches"))
+
+
+def branch_fates(branches: DataFrame, walk: DataFrame, alive: DataFrame | None = None) -> DataFrame:
+    """``branches(ref, branch, n_reads)`` with ``fate`` beside ``walk(ref, node)``.
 
-    A branch both of whose ends are on the walk is settled by it, whether it agrees or not, and goes; one that runs off the
-    walk stays, unless an end of it is no node of ``alive(ref, node)`` any more.
+    dead: an end is no node of ``alive(ref, node)`` any more; same: the walk takes the very same nodes from the first to
+    the last; settled: both ends are on the walk, which goes another way between them; open: it runs off the walk.
     """
-    ends = branches.withColumn("nodes", F.split("branch", " ")).withColumn("a", F.get("nodes", F.lit(0))).withColumn("z", F.element_at("nodes", -1))
-    on = lambda c, name: walk.select(F.col("ref"), F.col("node").alias(c), F.lit(True).alias(name))
+    nodes = F.split("branch", " ")
+    ends = branches.withColumn("x", nodes).withColumn("a", F.get("x", F.lit(0))).withColumn("z", F.element_at("x", -1)).withColumn("n", F.size("x"))
+    key = ["ref", "branch"]
+    on = ends.select(*key, F.explode("x").alias("node")).join(walk.select("ref", "node"), ["ref", "node"], "left_semi").groupBy(*key).agg(F.count("*").alias("n_on"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    reach = ends.select(*key, "a", "z").join(walk.select("ref", "node"), "ref").where("node between a and z").groupBy(*key).agg(F.count("*").alias("n_walk"))
+    told = ends.join(on, key, "left").join(reach, key, "left")
+    dead = F.lit(False)
     if alive is not None:
         for end in ("a", "z"):
-            ends = ends.join(alive.select("ref", F.col("node").alias(end)), ["ref", end], "left_semi")
-    told = ends.join(on("a", "on_a"), ["ref", "a"], "left").join(on("z", "on_z"), ["ref", "z"], "left")
-    return told.where(~(F.coalesce("on_a", F.lit(False)) & F.coalesce("on_z", F.lit(False)))).select("ref", "branch", "n_reads")
+            told = told.join(alive.select("ref", F.col("node").alias(end), F.lit(True).alias(f"alive_{end}")).distinct(), ["ref", end], "left")
+            dead = dead | F.col(f"alive_{end}").isNull()
+    both = F.coalesce((F.col("lo") == F.col("a")) & (F.col("hi") == F.col("z")), F.lit(False))
+    same = both & (F.col("n_on") == F.col("n")) & (F.col("n_walk") == F.col("n"))
+    return told.select("ref", "branch", "n_reads", F.when(dead, "dead").when(same, "same").when(both, "settled").otherwise("open").alias("fate"))
 
 
-def pileup_consensus(backbone: DataFrame, aln: DataFrame, short_weight: int = 10) -> DataFrame:
-    """(ref, seq): each position takes its best supported base, or none where a deletion outweighs it.
+def drop_branches(branches: DataFrame, walk: DataFrame, alive: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, support): the open branches, and (ref, u, v, n_branches) without the support of those that are dead or settled.
 
-    Votes are ``short_weight`` per short read and 1 for the backbone; equal votes keep the backbone, then the
-    smallest base. One aggregation by (ref, position), one by ref.
+    A branch that the walk takes itself goes from the list but leaves its support.
     """
-    ops = drop_ambiguous(trim_to_matches(expand_cigar(aln))).where("op in ('=', 'X', 'D')")
-    letters = backbone.select("ref", F.posexplode(F.split("seq", "")).alias("rpos", "own")).where("own <> ''")
-    bases = ops.where("op <> '='").select("ref", "rpos", F.coalesce("base", F.lit("")).alias("base"))
-    same = ops.where("op = '='").groupBy("ref", "rpos").agg(F.count("*").alias("n"))
-    own = letters.join(same, ["ref", "rpos"], "left").select("ref", "rpos", F.col("own").alias("base"), (F.coalesce("n", F.lit(0)) * short_weight + 1).alias("votes"), F.lit(1).alias("is_own"))
-    other = bases.groupBy("ref", "rpos", "base").agg((F.count("*") * short_weight).alias("votes")).withColumn("is_own", F.lit(0))
-    votes = own.unionByName(other).groupBy("ref", "rpos", "base").agg(F.sum("votes").alias("votes"), F.max("is_own").alias("is_own"))
-    first = votes.join(backbone.select("ref", F.length("seq").alias("n")), "ref").where("rpos >= 0 and rpos < n").groupBy("ref", "rpos").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("is_own")).alias("o"), "base")).alias("x"))
-    return first.groupBy("ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rpos", "x.base"))), lambda x: x["base"]), "").alias("seq"))
+    told = branch_fates(branches, walk, alive)
+    return told.where("fate = 'open'").drop("fate"), branch_edges(told.where("fate in ('open', 'same')"))
+
+
+def _turns(paths: DataFrame, short_weight: int) -> tuple[DataFrame, DataFrame]:
+    """(short, turns): edges of short reads (ref, u, v, n), and the steps (ref, u, v) of best successors that don't just
+    go on along the backbone.
+
+    Where no short read goes on from a backbone node, the walk follows the backbone, so only touched nodes are rows.
+    """
+    short = materialise(read_edges(paths).groupBy("ref", "u", "v").agg(F.count("*").alias("n")), "short")
+    on = short.where(kind(F.col("u")) == "=").select("ref", "u", backbone_node(position(F.col("u")) + 1).alias("v")).distinct()
+    weights = short.select("ref", "u", "v", (F.col("n") * short_weight).alias("weight")).union(on.select("ref", "u", "v", F.lit(1).cast("long"))).groupBy("ref", "u", "v").agg(F.sum("weight").alias("weight"))
+    best = P.best_successor(weights.withColumnRenamed("ref", "cluster")).select(F.col("cluster").alias("ref"), "u", "v")
+    return short, materialise(best.where(~((kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1)))), "turns")
+
+
+def _islands(backbone: DataFrame, turns: DataFrame) -> DataFrame:
+    """(ref, b, q, text): where the greedy walk from the first base leaves the backbone after position b, and comes back at q,
+    and the letters it takes between them."""
+    u, v = F.col("u"), F.col("v")
+    leaves = turns.where(kind(u) == "=").select("ref", position(u).alias("pos"), position(u).alias("leave"))
+    lands = turns.where(kind(v) == "=").select("ref", position(v).alias("pos")).union(backbone.select("ref", F.lit(0).cast("long"))).distinct()
+    # From each landing the walk follows the backbone to the nearest place where it leaves it.
+    ahead = W.partitionBy("ref").orderBy(F.col("pos").desc(), F.col("leave").desc_nulls_last())
+    every = leaves.union(lands.withColumn("leave", F.lit(None).cast("long"))).withColumn("next", F.last("leave", ignorenulls=True).over(ahead.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = materialise(every.where("leave is null and next is not null").select("ref", "pos", "next"), "runs")
+    via = turns.withColumn("pos", F.when(kind(v) == "=", position(v))).join(runs, ["ref", "pos"], "left")
+    hops = via.select(F.col("ref").alias("cluster"), "u", F.when(kind(v) == "=", F.when(F.col("next").isNotNull(), backbone_node(F.col("next")))).otherwise(v).alias("v")).where("v is not null")
+    starts = runs.where("pos = 0").select(F.col("ref").alias("cluster"), backbone_node(F.col("next")).alias("node"))
+    walked = P.reach(hops, starts).select(F.col("cluster").alias("ref"), F.col("node").alias("u"), "step").join(turns, ["ref", "u"])
+    order = W.partitionBy("ref").orderBy("step")
+    walked = walked.withColumn("isle", F.sum(F.when(kind(u) == "=", 1).otherwise(0)).over(order))
+    letter = F.when(kind(u) == "X", F.substr(u, F.lit(12), F.lit(1))).when(kind(u) == "i", F.substr(u, F.lit(12) + F.split_part(u, F.lit(":"), F.lit(2)).cast("int"), F.lit(1))).otherwise("")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", letter.alias("x")))), lambda x: x["x"]), "")
+    per = walked.groupBy("ref", "isle").agg(F.min(F.when(kind(u) == "=", position(u))).alias("b"), F.max_by(position(v), "step").alias("q"), text.alias("text"))
+    return per.select("ref", "b", "q", "text")
+
+
+def polish_linear(backbone: DataFrame, aln: DataFrame, short_weight: int = 10, psi: int = 35, tolerance: int = 100, stringent: bool = True) -> DataFrame:
+    """(ref, seq, ok): every backbone corrected towards the greedy walk of its pileup; ``ok`` is the stringency check.
+
+    Backbone and short reads make one graph, whose heaviest edges are walked from the first base. Where the walk leaves
+    the backbone, fewer than ``psi`` skipped bases are taken out and fewer than ``psi`` bases of the walk are put in;
+    larger differences stay as they are. The check asks that every step into positions tolerance .. n - tolerance - 1 of
+    the result is taken by a short read; with ``stringent`` only backbones that pass are returned. All
+    backbones are polished in one job, and rows are what short reads touch, not bases.
+    """
+    short, turns = _turns(read_paths(drop_ambiguous(trim_to_matches(aligned_ops(aln)))), short_weight)
+    isles = _islands(backbone, turns).withColumn("gap", F.col("q") - F.col("b") - 1).where(F.col("gap") < psi)
+    isles = isles.withColumn("left_out", F.length("text") >= psi).withColumn("text", F.when(F.length("text") < psi, F.col("text")).otherwise(""))
+    order = W.partitionBy("ref").orderBy("b")
+    before = F.coalesce(F.sum(F.length("text") - F.col("gap")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    isles = materialise(isles.withColumn("before", before), "isles")
+    # The sequence: slices of the backbone and what stands between them.
+    per = isles.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("b", "q", "text"))).alias("isles"))
+    slice_ = lambda lo, hi: F.substr(F.col("seq"), (lo + 1).cast("int"), (hi - lo).cast("int"))
+    at = lambda i: F.coalesce(F.get("isles", i)["q"], F.lit(0))
+    pieces = F.transform("isles", lambda x, i: F.concat(slice_(at(i - 1), x["b"] + 1), x["text"]))
+    last = slice_(at(F.size("isles") - 1), F.length("seq"))
+    fixed = backbone.select("ref", "seq").join(per, "ref", "left").select("ref", F.when(F.col("isles").isNull(), F.col("seq")).otherwise(F.concat(F.array_join(pieces, ""), last)).alias("seq"))
+    # The check: supported steps by their place in the result. A step of the backbone has moved with the island before it.
+    plain = short.where((kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1))).select("ref", position(F.col("u")).alias("pos"))
+    rows = plain.select("ref", "pos", F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("shift")).union(isles.select("ref", "b", "q", F.col("before") + F.length("text") - F.col("gap")))
+    near = W.partitionBy("ref").orderBy("pos", F.col("q").asc_nulls_last())
+    last_of = lambda c: F.last(c, ignorenulls=True).over(near)
+    moved = rows.withColumn("is_plain", F.col("q").isNull()).withColumn("to", F.coalesce(last_of("q"), F.lit(0))).withColumn("by", F.coalesce(last_of("shift"), F.lit(0))).where("is_plain and pos >= to")
+    steps = moved.select("ref", (F.col("pos") + 1 + F.col("by")).alias("first"), (F.col("pos") + 1 + F.col("by")).alias("last"))
+    into = F.col("b") + 1 + F.col("before")
+    direct = short.select("ref", "u", "v", F.lit(True).alias("direct"))
+    joint = isles.withColumn("u", backbone_node(F.col("b"))).withColumn("v", backbone_node(F.col("q"))).join(direct, ["ref", "u", "v"], "left").where(~F.col("left_out") | F.col("direct"))
+    steps = steps.union(joint.select("ref", into, into + F.length("text")))
+    ends = fixed.select("ref", F.length("seq").alias("n"))
+    inside = F.greatest(F.lit(0), F.least("last", F.col("n") - tolerance - 1) - F.greatest("first", F.lit(tolerance)) + 1)
+    hit = steps.join(ends, "ref").groupBy("ref").agg(F.sum(inside).alias("hit"))
+    told = fixed.join(hit, "ref", "left").withColumn("ok", F.coalesce("hit", F.lit(0)) >= F.length("seq") - 2 * tolerance).drop("hit")
+    return told.where("ok") if stringent else told
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:
@@ -148,6 +284,14 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("cluster", "u", "v").agg(F.sum("weight").alias("weight"))
 
 
+def merge_isoforms(isoforms: DataFrame, ends_delta: int = 35) -> DataFrame:
+    """The isoforms (cluster, chunk, isoform, pos, node, support) of the chunks of each cluster, decomposed again as reads with
+    their supports: (cluster, isoform, pos, node, support). All chunks are merged at once, so their order doesn't matter."""
+    reads = isoforms.select("cluster", F.struct("chunk", "isoform").alias("read"), "support", "pos", "node")
+    number = reads.select("cluster", "read").distinct().withColumn("n", F.row_number().over(W.partitionBy("cluster").orderBy("read")))
+    return P.decompose_paths(reads.join(number, ["cluster", "read"]).select("cluster", F.col("n").alias("read"), "support", "pos", "node"), ends_delta)
+
+
 def iterate_until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, max_iterations: int = 5) -> DataFrame:
     """Repeat ``step`` on clusters whose rows still change; a cluster that comes out as it went in is frozen.
 
@@ -172,6 +316,11 @@ def iterate_until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame
     return out
 
 
+def unconverged_only(state: DataFrame, frozen: DataFrame, key: str = "cluster") -> DataFrame:
+    """Rows of the clusters that aren't among ``frozen(key)``."""
+    return state.join(frozen.select(key).distinct(), key, "left_anti")
+
+
 def correct_until_stable(paths: DataFrame, max_iterations: int = 5, psi: int = 35) -> DataFrame:
-    """Reads corrected towards their cluster's heaviest path until nothing changes."""
-    return iterate_until_stable(paths, lambda now: P.correct_paths(now, P.heaviest_path(now), psi)[0], "cluster", max_iterations)
+    """Reads corrected towards the greedy walks of their cluster, one after another, until nothing changes."""
+    return iterate_until_stable(paths, lambda now: P.correct_by_walks(now, P.greedy_walks(now), psi)[0], "cluster", max_iterations)

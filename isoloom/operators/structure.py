@@ -82,7 +82,7 @@ def alignment_summary(aln: DataFrame, stranded: bool = True) -> DataFrame:
         intron = F.array(F.struct(acc["at"].alias("s"), to.alias("e")))
         return F.struct(to.alias("at"), F.when(o["op"] == "N", F.concat(acc["introns"], intron)).otherwise(acc["introns"]).alias("introns"))
 
-    walked = aln.withColumn("x", F.aggregate(S.cigar_ops(F.col("cigar")), begin, step))
+    walked = S.once(aln, x=F.aggregate(S.cigar_ops(F.col("cigar")), begin, step))
     strand = F.when(F.lit(not stranded) | (F.col("flag").bitwiseAND(F.lit(16)) != 0), "-").otherwise("+")
     return walked.select("rid", "contig", strand.alias("strand"), F.col("start").cast("long").alias("start"), F.col("x.at").alias("end"), F.col("x.introns").alias("introns"))
 
@@ -97,7 +97,7 @@ def genome_corrected(aln: DataFrame, genome: DataFrame, width: int = 1 << 16) ->
     """(rid, seq): genome sequence over the exon segments of each read, reverse-complemented on the minus strand."""
     found = alignment_summary(aln)
     edges = F.concat(F.array("start"), F.flatten(F.transform("introns", lambda x: F.array(x["s"], x["e"]))), F.array("end"))
-    segments = found.select("rid", "contig", "strand", edges.alias("p")).select("rid", "contig", "strand", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1), lambda k: F.struct(F.get("p", (k * 2).cast("int")).alias("s"), F.get("p", (k * 2 + 1).cast("int")).alias("e")))).alias("i", "x"))
+    segments = S.once(found, p=edges).select("rid", "contig", "strand", "p").select("rid", "contig", "strand", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1), lambda k: F.struct(F.get("p", (k * 2).cast("int")).alias("s"), F.get("p", (k * 2 + 1).cast("int")).alias("e")))).alias("i", "x"))
     parts = segments.where("x.e > x.s").select("rid", "contig", "strand", "i", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.explode(F.sequence(F.floor(F.col("x.s") / width), F.floor((F.col("x.e") - 1) / width))).alias("chunk"))
     joined = parts.join(genome_chunks(genome, width), ["contig", "chunk"])
     lo, hi = F.greatest("s", F.col("chunk") * width) - F.col("chunk") * width, F.least("e", (F.col("chunk") + 1) * width) - F.col("chunk") * width

@@ -30,31 +30,30 @@ VIEWS: dict[str, str] = {
                l_partkey, l_suppkey FROM lineitem""",
     "v_gene": "SELECT p_partkey AS gid, p_partkey % 5 AS chr, p_partkey * 10 AS s, p_partkey * 10 + p_size AS e FROM part",
     "v_hit": """
-        SELECT l_orderkey AS query, l_partkey AS subject, l_discount AS evalue, CAST(l_quantity AS INT) AS id_num, 50 AS id_den,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS match_rank FROM lineitem""",
+        SELECT l_orderkey AS query, l_partkey AS subject, l_discount AS evalue, CAST(l_quantity AS INT) AS id_num, 50 AS id_den, least(50, CAST(l_quantity AS INT) + 5) AS pos_num, 50 AS pos_den, l_linenumber AS gap_num, 50 AS gap_den,
+               dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS match_rank, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_discount) AS hsp_rank FROM lineitem""",
+    # read = user, node = place of the event in the user's order and its kind; events at one place are aligned
     "v_path": """
-        SELECT user_id % 10 AS cluster, user_id AS read, 1 + user_id % 3 AS support, row_number() OVER (PARTITION BY user_id ORDER BY node) AS pos, node
-        FROM (SELECT user_id, d * 5 + CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS node
-              FROM (SELECT user_id, event_type, d, row_number() OVER (PARTITION BY user_id, d ORDER BY ts, event_id) AS rn
-                    FROM (SELECT *, extract(day FROM ts) - 1 AS d FROM events) a) b WHERE rn = 1) c""",
+        SELECT user_id - user_id % 6 AS cluster, user_id AS read, 1 + user_id % 3 AS support, k AS pos, (k - 1) * 5 + CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS node
+        FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) a""",
     "v_site": """
         SELECT pos, count(*) AS weight FROM (
           SELECT (extract(day FROM ts) - 1) * 1440 + extract(hour FROM ts) * 60 + CAST(floor(extract(minute FROM ts)) AS INT) AS pos FROM events) x GROUP BY pos""",
-    "v_backbone": """
-        SELECT k AS ref, repeat(translate(md5('ref' || k), '0123456789abcdef', 'ACGTACGTACGTACGT'), 8) AS seq
-        FROM (SELECT DISTINCT l_orderkey % 50 AS k FROM lineitem) x""",
+    "v_backbone": "SELECT read_id AS ref, seq FROM v_seq",
+    # short reads cut from the backbones: matches, wrong bases, inserted ones, matches, skipped ones, matches
     "v_aln": """
         SELECT rid, ref, start, a || '=' || b || 'X' || c || 'I' || '4=' || d || 'D' || (28 - a - b - c) || '=' AS cigar,
-               translate(md5('read' || rid), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq
-        FROM (SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS rid, l_orderkey % 50 AS ref, l_partkey % 150 AS start,
-                     5 + l_partkey % 5 AS a, 1 + l_suppkey % 2 AS b, 1 + l_linenumber % 3 AS c, 1 + CAST(min(l_quantity) AS INT) % 3 AS d
-              FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) x""",
+               substr(seq, start + 1, a) || translate(substr(seq, start + a + 1, b), 'ACGT', 'CGTA') || substr(ins, 1, c) || substr(seq, start + a + b + 1, 4) || substr(seq, start + a + b + d + 5, 28 - a - b - c) AS seq
+        FROM (SELECT rid, ref, seq, CAST(p * 16 % least(length(seq) - 40, 400) AS INT) AS start, CAST(5 + p % 5 AS INT) AS a, CAST(1 + p % 2 AS INT) AS b, CAST(1 + ln % 3 AS INT) AS c, CAST(1 + p % 3 AS INT) AS d,
+                     CASE WHEN q % 11 = 0 THEN 'TNA' ELSE 'TCA' END AS ins
+              FROM (SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS rid, l_orderkey % (SELECT count(*) FROM documents) AS k, l_partkey AS p, l_linenumber AS ln, CAST(min(l_quantity) AS INT) AS q
+                    FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) x JOIN v_backbone ON k = ref WHERE length(seq) > 60) y""",
     "v_spliced": """
         SELECT tx AS read_id, tx % 500 AS contig, strand, n, s, e FROM (
           SELECT tx, strand, n, lag(e) OVER (PARTITION BY tx ORDER BY n) AS s, s AS e FROM v_exon) x WHERE s IS NOT NULL""",
     "v_dup": "SELECT user_id AS key, event_id AS ord, event_type AS val FROM events",
 }
-NEEDS = {"v_intron": ["v_exon"], "v_spliced": ["v_exon"]}
+NEEDS = {"v_intron": ["v_exon"], "v_spliced": ["v_exon"], "v_backbone": ["v_seq"], "v_aln": ["v_backbone"]}
 
 
 def _closure(names: list[str]) -> list[str]:

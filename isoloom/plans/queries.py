@@ -74,11 +74,11 @@ def scalar_translate_frame(v: Fixtures) -> DataFrame:
     return v.v_seq.select("read_id", F.explode(frames).alias("x")).select("read_id", "x.*")
 
 
-@query("SELECT doc_id, 'x' || doc_id || 'y' AS gene_id, lang, 'a' AS note, 3 AS n FROM documents")
+@query("SELECT doc_id, 'x' || doc_id || 'y' AS gene_id, lang, 'a' AS note, 'last' AS tag, 4 AS n FROM documents")
 def scalar_parse_attributes(v: Fixtures) -> DataFrame:
-    line = F.concat(F.lit('gene_id "x'), "doc_id", F.lit('y"; lang "'), "lang", F.lit('"; note "a b";'))
+    line = F.concat(F.lit('gene_id "x'), "doc_id", F.lit('y"; tag "basic"; lang "'), "lang", F.lit('"; note "a b"; tag "last";'))
     x = v.documents.select("doc_id", S.parse_attributes(line).alias("x"))
-    return x.select("doc_id", "x.gene_id", "x.lang", "x.note", F.size("x").alias("n"))
+    return x.select("doc_id", "x.gene_id", "x.lang", "x.note", "x.tag", F.size("x").alias("n"))
 
 
 @query(duck("v_intron", "SELECT tx, s, 'int' || tx AS head, CAST(support AS BIGINT) AS support, chr, CAST(s AS BIGINT) AS first, CAST(e AS BIGINT) AS last, strand FROM v_intron"))
@@ -217,9 +217,12 @@ def alignment_summary(v: Fixtures) -> DataFrame:
     return I.alignment_summary(_genomic(v)).withColumn("introns", _text("introns"))
 
 
-@query(duck("v_backbone v_aln", "SELECT rid, substr(g.seq, CAST(start + 1 AS INT), CAST(least(start + 20, 256) - start AS INT)) || substr(g.seq, CAST(start + 31 AS INT), 20) AS seq FROM v_aln a JOIN v_backbone g ON a.ref = g.ref"))
+@query(duck("v_aln", """SELECT rid, CASE WHEN rid % 2 = 1 THEN reverse(translate(t, 'ACGT', 'TGCA')) ELSE t END AS seq FROM (
+    SELECT rid, substr(g.seq, CAST(start + 1 AS INT), CAST(5 + rid % 7 AS INT)) || substr(g.seq, CAST(start + 6 + 2 * (rid % 7) + 10 AS INT), CAST(4 + rid % 3 AS INT)) AS t FROM v_aln a JOIN v_backbone g ON a.ref = g.ref) x"""))
 def genome_corrected(v: Fixtures) -> DataFrame:
-    aln = v.v_aln.select("rid", F.col("ref").alias("contig"), "start", F.lit("20M10N20M").alias("cigar"), F.lit(0).alias("flag"))
+    n = F.col("rid") % 7
+    cigar = F.concat("n", F.lit("S"), n + 5, F.lit("M"), n + 10, F.lit("N"), F.col("rid") % 3 + 4, F.lit("M"))
+    aln = v.v_aln.withColumn("n", n + 1).select("rid", F.col("ref").alias("contig"), "start", cigar.alias("cigar"), F.when(F.col("rid") % 2 == 1, 16).otherwise(0).alias("flag"))
     return I.genome_corrected(aln, v.v_backbone.select(F.col("ref").alias("contig"), "seq"), width=64)
 
 
@@ -272,10 +275,13 @@ def assign_by_overlap(v: Fixtures) -> DataFrame:
     return C.assign_by_overlap(q, v.v_gene).select("qid.*", "gene")
 
 
-@query("SELECT o_orderkey AS read_id, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE lower(l_returnflag) IN ('u', 'p', 'y', 'i', 'x', 's', 'n'))")
+_CODE = "CASE l_linenumber % 7 WHEN 0 THEN 'u' WHEN 1 THEN '=' WHEN 2 THEN 'c' WHEN 3 THEN 'j' WHEN 4 THEN 'k' WHEN 5 THEN 'i' ELSE 'o' END"
+
+
+@query(f"SELECT o_orderkey AS read_id, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE {_CODE} IN ('u', 'p', 'y', 'i', 'x', 's'))")
 def novel_loci(v: Fixtures) -> DataFrame:
-    tracking = v.lineitem.select(F.col("l_orderkey").alias("read_id"), F.lower("l_returnflag").alias("code"))
-    return C.novel_loci(v.orders.select(F.col("o_orderkey").alias("read_id"), "o_totalprice"), tracking, ("u", "p", "y", "i", "x", "s", "n"))
+    tracking = v.lineitem.select(F.col("l_orderkey").alias("read_id"), F.expr(_CODE).alias("code"))
+    return C.novel_loci(v.orders.select(F.col("o_orderkey").alias("read_id"), "o_totalprice"), tracking)
 
 
 @query("SELECT count(*) FILTER (WHERE r AND q) AS tp, count(*) FILTER (WHERE q AND NOT r) AS fp, count(*) FILTER (WHERE r AND NOT q) AS fn, count(*) FILTER (WHERE r AND q) / nullif(count(*) FILTER (WHERE q), 0)::DOUBLE AS precision, count(*) FILTER (WHERE r AND q) / nullif(count(*) FILTER (WHERE r), 0)::DOUBLE AS recall FROM (SELECT doc_id, bool_or(r) AS r, bool_or(q) AS q FROM (SELECT doc_id, true AS r, false AS q FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, false, true FROM documents WHERE n_chars > 1000) x GROUP BY doc_id) y")
@@ -284,14 +290,22 @@ def compare_sets(v: Fixtures) -> DataFrame:
     return C.compare_sets(truth, found)
 
 
-@query("""SELECT count(*) FILTER (WHERE r AND q) AS tp, count(*) FILTER (WHERE q AND NOT r) AS fp, count(*) FILTER (WHERE r AND NOT q) AS fn,
+_TEXTS = """SELECT count(*) FILTER (WHERE r AND q) AS tp, count(*) FILTER (WHERE q AND NOT r) AS fp, count(*) FILTER (WHERE r AND NOT q) AS fn,
     count(*) FILTER (WHERE r AND q) / nullif(count(*) FILTER (WHERE q), 0)::DOUBLE AS precision, count(*) FILTER (WHERE r AND q) / nullif(count(*) FILTER (WHERE r), 0)::DOUBLE AS recall
-    FROM (SELECT text, bool_or(r) AS r, bool_or(q) AS q FROM (SELECT text, true AS r, false AS q FROM documents UNION ALL SELECT text, false, true FROM benchmark) x GROUP BY text) y""")
+    FROM (SELECT text, bool_or(r) AS r, bool_or(q) AS q FROM (SELECT text, true AS r, false AS q FROM documents UNION ALL SELECT text, false, true FROM benchmark) x GROUP BY text) y"""
+
+
+@query(_TEXTS)
 def compare_texts(v: Fixtures) -> DataFrame:
     return C.compare_sets(v.documents.select("text"), v.benchmark.select("text"))
 
 
-_TOP = "top AS (SELECT o_orderkey AS query, coalesce(CAST(subject AS VARCHAR), '----') AS subject, evalue FROM orders LEFT JOIN (SELECT * FROM v_hit WHERE match_rank = 1) h ON h.query = o_orderkey)"
+@query(f"""SELECT metric, value FROM (SELECT unnest(['tp', 'fp', 'fn', 'precision', 'recall']) AS metric, unnest([CAST(tp AS DOUBLE), fp, fn, precision, recall]) AS value FROM ({_TEXTS}) m) x""")
+def compare_metrics(v: Fixtures) -> DataFrame:
+    return C.as_metrics(C.compare_sets(v.documents.select("text"), v.benchmark.select("text")))
+
+
+_TOP = "top AS (SELECT o_orderkey AS query, coalesce(CAST(subject AS VARCHAR), '----') AS subject, evalue FROM orders LEFT JOIN (SELECT * FROM v_hit WHERE match_rank = 1 AND hsp_rank = 1) h ON h.query = o_orderkey)"
 
 
 @query(duck("v_hit", "SELECT * FROM top", more=_TOP))
@@ -306,9 +320,9 @@ def compare_hits(v: Fixtures) -> DataFrame:
     return C.compare_hits(v.part.select(F.col("p_partkey").alias("subject")), v.orders.select(F.col("o_orderkey").alias("query")), v.v_hit)
 
 
-@query(duck("v_hit", "SELECT query, subject, match_rank, id_num * 100.0::DOUBLE / id_den AS id_pct FROM v_hit"))
+@query(duck("v_hit", "SELECT query, subject, match_rank, hsp_rank, id_num * 100.0::DOUBLE / id_den AS id_pct, pos_num * 100.0::DOUBLE / pos_den AS pos_pct, gap_num * 100.0::DOUBLE / gap_den AS gap_pct FROM v_hit"))
 def hit_percentages(v: Fixtures) -> DataFrame:
-    return C.hit_percentages(v.v_hit).select("query", "subject", "match_rank", "id_pct")
+    return C.hit_percentages(v.v_hit).select("query", "subject", "match_rank", "hsp_rank", "id_pct", "pos_pct", "gap_pct")
 
 
 _MEMBER = _CHAIN + ", member AS (SELECT chr, strand, chain, bool_or(kind = 'O') AS q, bool_or(kind = 'F') AS r1, bool_or(kind = 'P') AS r2 FROM chain GROUP BY chr, strand, chain)"
@@ -349,7 +363,12 @@ _CHAINS = _READS + ", chains AS (SELECT contig, strand, introns, count(*) AS n,
 
 @query(duck("v_spliced", "SELECT * FROM chains", more=_CHAINS))
 def collapse_by_chain(v: Fixtures) -> DataFrame:
-    return L.collapse_by_chain(_reads(v)).select("contig", "strand", _text("introns").alias("introns"), "n", F.array_join(F.transform("reads", lambda r: r.cast("string")), ",").alias("reads"))
+    return L.collapse_by_chain(_reads(v), names=True).select("contig", "strand", _text("introns").alias("introns"), "n", F.array_join(F.transform("reads", lambda r: r.cast("string")), ",").alias("reads"))
+
+
+@query(duck("v_spliced", "SELECT DISTINCT contig, strand, introns, site FROM (SELECT contig, strand, introns, unnest([s, e]) AS site FROM reads JOIN (SELECT read_id, s, e FROM v_spliced) x USING (read_id)) y", more=_READS))
+def site_graph(v: Fixtures) -> DataFrame:
+    return L.site_graph(L.collapse_by_chain(_reads(v))).withColumn("introns", _text("introns"))
 
 
 def _unspliced(v: Fixtures) -> DataFrame:
@@ -361,7 +380,12 @@ _UNSPLICED = "u AS (SELECT qid AS read_id, chr AS contig, CASE WHEN l_suppkey %
 
 @query(duck("v_query_iv", "SELECT contig, strand, start, end_ AS \"end\", count(*) AS n, string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY read_id) AS reads FROM u GROUP BY contig, strand, start, end_", more=_UNSPLICED))
 def collapse_unspliced(v: Fixtures) -> DataFrame:
-    return L.collapse_unspliced(_unspliced(v)).withColumn("reads", F.array_join(F.transform("reads", lambda r: r.cast("string")), ","))
+    return L.collapse_unspliced(_unspliced(v), names=True).drop("first_read").withColumn("reads", F.array_join(F.transform("reads", lambda r: r.cast("string")), ","))
+
+
+@query(duck("v_query_iv", "SELECT contig, strand, start, end_ AS \"end\", row_number() OVER (PARTITION BY contig, strand ORDER BY start, end_) AS rank FROM (SELECT DISTINCT contig, strand, start, end_ FROM u) d", more=_UNSPLICED))
+def sort_unspliced(v: Fixtures) -> DataFrame:
+    return L.sort_unspliced(_unspliced(v).select("contig", "strand", "start", "end").distinct())
 
 
 @query(duck("v_spliced", "SELECT contig, kind, pos, sum(n) AS weight FROM (SELECT contig, 'donor' AS kind, s AS pos, 1 AS n FROM v_spliced UNION ALL SELECT contig, 'acceptor', e, 1 FROM v_spliced) x GROUP BY contig, kind, pos"))
@@ -381,12 +405,12 @@ def splice_clusters(v: Fixtures) -> DataFrame:
     chains = L.collapse_by_chain(_reads(v))
     parts = L.splice_clusters(chains)
     full = chains.join(parts, ["contig", "strand", "introns"])
-    return full.groupBy("contig", "strand", "component").agg(F.min(F.array_min(F.transform("introns", lambda x: x["s"]))).alias("least_site"), F.sum("n").alias("n_reads"), F.min(F.array_min("reads")).alias("first_read")).drop("component")
+    return full.groupBy("contig", "strand", "component").agg(F.min(F.array_min(F.transform("introns", lambda x: x["s"]))).alias("least_site"), F.sum("n").alias("n_reads"), F.min("first_read").alias("first_read")).drop("component")
 
 
 def _assigned(v: Fixtures) -> DataFrame:
-    chains = L.collapse_by_chain(_reads(v))
-    return L.assign_reads(chains, L.splice_clusters(chains))
+    reads = _reads(v)
+    return L.assign_reads(reads, L.splice_clusters(L.collapse_by_chain(reads)))
 
 
 _ASSIGN = _COMPONENTS + """, lists AS (SELECT read_id, list([s, e] ORDER BY n) AS ch FROM v_spliced GROUP BY read_id),
@@ -437,7 +461,7 @@ _GROUPED = "g AS (SELECT pos, weight, sum(opens) OVER (ORDER BY pos ROWS UNBOUND
 
 @query(duck("v_site", "SELECT pos, weight, grp FROM g", more=_GROUPED))
 def group_sites(v: Fixtures) -> DataFrame:
-    return L.group_sites(v.v_site.withColumn("contig", F.lit("c"))).select("pos", "weight", "grp")
+    return L.group_sites(v.v_site.withColumn("contig", F.lit("c")), gap=15).select("pos", "weight", "grp")
 
 
 @query(duck("v_site", """SELECT grp, cell AS pos FROM (SELECT grp, cell, d, coalesce(lag(d) OVER (PARTITION BY grp ORDER BY cell), 0) AS b, coalesce(lead(d) OVER (PARTITION BY grp ORDER BY cell), 0) AS a FROM (
@@ -551,7 +575,7 @@ def rebuild_graph(v: Fixtures) -> DataFrame:
 
 
 _COMPATIBLE = _HEAVY + """, len AS (SELECT *, count(*) OVER (PARTITION BY cluster, read) AS n FROM v_path),
-  mid AS (SELECT cluster, read, node FROM len WHERE pos > 12 AND pos <= n - 12),
+  mid AS (SELECT cluster, read, node FROM len WHERE pos > 30 AND pos <= n - 30),
   span AS (SELECT cluster, read, min(node) AS lo, max(node) AS hi, count(*) AS n FROM mid GROUP BY cluster, read),
   cmp AS (SELECT s.cluster, s.read, s.n, (SELECT count(*) FROM mid m JOIN heavy h ON h.cluster = m.cluster AND h.node = m.node WHERE m.cluster = s.cluster AND m.read = s.read) AS b,
     (SELECT count(*) FROM heavy h WHERE h.cluster = s.cluster AND h.node BETWEEN s.lo AND s.hi) AS w FROM span s)"""
@@ -559,12 +583,27 @@ _COMPATIBLE = _HEAVY + """, len AS (SELECT *, count(*) OVER (PARTITION BY cluste
 
 @query(duck("v_path", "SELECT DISTINCT p.cluster, p.read, support FROM v_path p LEFT JOIN cmp c ON c.cluster = p.cluster AND c.read = p.read WHERE c.n IS NULL OR (c.n = c.b AND c.n = c.w)", recursive=True, more=_COMPATIBLE))
 def compatible_reads(v: Fixtures) -> DataFrame:
-    return P.compatible_reads(v.v_path, P.heaviest_path(v.v_path), ends_delta=12)
+    return P.compatible_reads(v.v_path, P.heaviest_path(v.v_path), ends_delta=30)
+
+
+@query(duck("v_path", "SELECT cluster, sum(support) AS support FROM (SELECT DISTINCT p.cluster, p.read, support FROM v_path p LEFT JOIN cmp c ON c.cluster = p.cluster AND c.read = p.read WHERE c.n IS NULL OR (c.n = c.b AND c.n = c.w)) x GROUP BY cluster", recursive=True, more=_COMPATIBLE))
+def sum_support(v: Fixtures) -> DataFrame:
+    return P.sum_support(P.compatible_reads(v.v_path, P.heaviest_path(v.v_path), ends_delta=30))
 
 
 @query()
 def decompose_paths(v: Fixtures) -> DataFrame:
-    return P.decompose_paths(v.v_path)
+    return P.decompose_paths(v.v_path, ends_delta=30)
+
+
+@query()
+def correct_by_walks(v: Fixtures) -> DataFrame:
+    return P.correct_by_walks(v.v_path, P.greedy_walks(v.v_path), psi=3)[0]
+
+
+@query()
+def differs_from_walks(v: Fixtures) -> DataFrame:
+    return P.correct_by_walks(v.v_path, P.greedy_walks(v.v_path), psi=3)[1]
 
 
 _LETTER = "substr('ACGT', CAST(node % 4 + 1 AS INT), 1)"
@@ -592,36 +631,70 @@ def compact_chains(v: Fixtures) -> DataFrame:
     return P.compact_chains(edges, v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER)))
 
 
-@query(duck("v_path", "SELECT p.cluster, p.read, p.support, p.pos, dense_rank() OVER (PARTITION BY p.cluster ORDER BY p.node) - 1 AS node FROM v_path p JOIN (SELECT cluster, read FROM v_path GROUP BY cluster, read HAVING count(*) > 20) k ON k.cluster = p.cluster AND k.read = p.read"))
+_LONG = "k AS (SELECT cluster, read FROM v_path GROUP BY cluster, read HAVING count(*) > 66), sel AS (SELECT p.* FROM v_path p JOIN k ON k.cluster = p.cluster AND k.read = p.read), num AS (SELECT cluster, node, row_number() OVER (PARTITION BY cluster ORDER BY node) - 1 AS new FROM (SELECT DISTINCT cluster, node FROM sel) d)"
+
+
+def _long(v: Fixtures) -> DataFrame:
+    return v.v_path.groupBy("cluster", "read").agg(F.count("*").alias("n")).where("n > 66").select("cluster", "read")
+
+
+@query(duck("v_path", "SELECT p.cluster, p.read, p.support, p.pos, num.new AS node FROM sel p JOIN num ON num.cluster = p.cluster AND num.node = p.node", more=_LONG))
 def select_paths(v: Fixtures) -> DataFrame:
-    long = v.v_path.groupBy("cluster", "read").agg(F.count("*").alias("n")).where("n > 20").select("cluster", "read")
-    return P.select_paths(v.v_path, long)
+    return P.select_paths(v.v_path, _long(v))
+
 
+@query(duck("v_path", "SELECT e.cluster, a.new AS u, b.new AS v, weight, n_reads FROM edge e JOIN num a ON a.cluster = e.cluster AND a.node = e.u JOIN num b ON b.cluster = e.cluster AND b.node = e.v", more=_EDGE + ", " + _LONG))
+def select_links(v: Fixtures) -> DataFrame:
+    return P.select_links(v.v_path, _long(v), keep_foreign=True)
 
-@query(duck("", """SELECT node, min(m) AS column_id FROM reach GROUP BY node""", recursive=True, more="""pair AS (SELECT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1),
+
+@query(duck("", """SELECT node, min(m) AS column_id FROM reach GROUP BY node""", recursive=True, more="""pair AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber % 10 AS a, l_orderkey * 10 + (l_partkey + l_suppkey) % 10 AS b FROM lineitem UNION SELECT l_orderkey * 10 + l_linenumber % 10, (l_orderkey - l_orderkey % 2) * 10 FROM lineitem WHERE l_quantity > 40),
   both_ AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach AS (SELECT DISTINCT a AS node, a AS m FROM both_ UNION SELECT r.node, b.b FROM reach r JOIN both_ b ON b.a = r.m)"""))
 def alignment_columns(v: Fixtures) -> DataFrame:
-    pairs = v.lineitem.where("l_quantity = 50 and l_discount = 0.1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b"))
-    return P.alignment_columns(pairs)
+    a = F.col("l_orderkey") * 10 + F.col("l_linenumber") % 10
+    pairs = v.lineitem.select(a.alias("a"), (F.col("l_orderkey") * 10 + (F.col("l_partkey") + F.col("l_suppkey")) % 10).alias("b"))
+    return P.alignment_columns(pairs.union(v.lineitem.where("l_quantity > 40").select(a, (F.col("l_orderkey") - F.col("l_orderkey") % 2) * 10)))
+
+
+# The events at one place of their users' orders are a ring.
+_RING = "CAST(floor(node / 5) AS BIGINT)"
 
 
-@query(duck("v_path", f"SELECT r.cluster, r.read, string_agg(coalesce(p.nts, '-'), '' ORDER BY c.node) AS row FROM (SELECT DISTINCT cluster, read FROM v_path) r JOIN (SELECT DISTINCT cluster, node FROM v_path) c ON c.cluster = r.cluster LEFT JOIN (SELECT cluster, read, node, {_LETTER} AS nts FROM v_path) p ON p.cluster = r.cluster AND p.read = r.read AND p.node = c.node GROUP BY r.cluster, r.read"))
+@query(duck("v_path", f"SELECT r.cluster, r.read, string_agg(coalesce(p.nts, '-'), '' ORDER BY c.k) AS row FROM (SELECT DISTINCT cluster, read FROM v_path) r JOIN (SELECT DISTINCT cluster, {_RING} AS k FROM v_path) c ON c.cluster = r.cluster LEFT JOIN (SELECT cluster, read, {_RING} AS k, {_LETTER} AS nts FROM v_path) p ON p.cluster = r.cluster AND p.read = r.read AND p.k = c.k GROUP BY r.cluster, r.read"))
 def gapped_matrix(v: Fixtures) -> DataFrame:
-    return P.gapped_rows(v.v_path, F.expr(_LETTER), v.v_path.select("cluster", "node").distinct())
+    return P.gapped_rows(v.v_path, F.expr(_LETTER), v.v_path.select("cluster", "node").distinct().withColumn("column", F.expr(_RING)))
 
 
 @query(duck("v_backbone", "SELECT ref, k AS node, substr(seq, CAST(k + 1 AS INT), 1) AS nts FROM (SELECT ref, seq, unnest(range(length(seq))) AS k FROM v_backbone) x"))
 def linear_graph(v: Fixtures) -> DataFrame:
-    return P.linear_graph(v.v_backbone)
+    return P.linear_graph(v.v_backbone)[0]
+
+
+@query(duck("v_backbone", "SELECT ref, k AS u, k + 1 AS v, CAST(1 AS BIGINT) AS weight FROM (SELECT ref, unnest(range(length(seq) - 1)) AS k FROM v_backbone) x"))
+def linear_graph_edges(v: Fixtures) -> DataFrame:
+    return P.linear_graph(v.v_backbone)[1]
 
 
 @query(duck("v_path", "SELECT cluster, u, v, n_reads AS weight, round(0.0 - ln(n_reads / (sum(n_reads) OVER (PARTITION BY cluster, u))::DOUBLE), 9) AS nll FROM edge", more=_EDGE))
 def consensus_graph(v: Fixtures) -> DataFrame:
-    return P.consensus_graph(v.v_path).select("cluster", "u", "v", "weight", F.round("nll", 9).alias("nll"))
+    return P.consensus_graph(v.v_path)[1].select("cluster", "u", "v", "weight", F.round("nll", 9).alias("nll"))
+
+
+@query(duck("v_path", """SELECT n.cluster, n.node, row_number() OVER (PARTITION BY n.cluster ORDER BY n.node) - 1 AS new, coalesce(i.n, 0) AS indegree, coalesce(o.n, 0) AS outdegree, r.node AS partner FROM (SELECT DISTINCT cluster, node FROM sel) n
+    LEFT JOIN (SELECT cluster, v AS node, count(*) AS n FROM few GROUP BY cluster, v) i ON i.cluster = n.cluster AND i.node = n.node LEFT JOIN (SELECT cluster, u AS node, count(*) AS n FROM few GROUP BY cluster, u) o ON o.cluster = n.cluster AND o.node = n.node
+    LEFT JOIN (SELECT DISTINCT cluster, node FROM sel) r ON r.cluster = n.cluster AND r.node = n.node - n.node % 5 + (n.node % 5 + 1) % 3""", more=_LONG + """,
+    few AS (SELECT DISTINCT cluster, u, v FROM (SELECT cluster, node AS u, lead(node) OVER (PARTITION BY cluster, read ORDER BY pos) AS v FROM sel) x WHERE v IS NOT NULL)"""))
+def consensus_nodes(v: Fixtures) -> DataFrame:
+    nodes = v.v_path.select("cluster", "node").distinct()
+    rings = nodes.withColumn("partner", F.expr("node - node % 5 + (node % 5 + 1) % 3"))
+    return P.consensus_graph(v.v_path.join(_long(v), ["cluster", "read"], "left_semi"), rings)[0]
+
 
+_NODE_LINES = f"""lines AS (SELECT n.cluster, n.node, {_LETTER.replace('node', 'n.node')} || ':' || coalesce((SELECT string_agg('L' || u, '' ORDER BY u) FROM edge e WHERE e.cluster = n.cluster AND e.v = n.node), '')
+    || coalesce((SELECT string_agg('S' || read, '' ORDER BY read) FROM v_path p WHERE p.cluster = n.cluster AND p.node = n.node), '') AS line FROM (SELECT DISTINCT cluster, node FROM v_path) n)"""
 
-@query(duck("v_path", f"""SELECT n.cluster, n.node, {_LETTER.replace('node', 'n.node')} || ':' || coalesce((SELECT string_agg('L' || u, '' ORDER BY u) FROM edge e WHERE e.cluster = n.cluster AND e.v = n.node), '')
-    || coalesce((SELECT string_agg('S' || read, '' ORDER BY read) FROM v_path p WHERE p.cluster = n.cluster AND p.node = n.node), '') AS line FROM (SELECT DISTINCT cluster, node FROM v_path) n""", more=_EDGE))
+
+@query(duck("v_path", "SELECT * FROM lines", more=f"{_EDGE}, {_NODE_LINES}"))
 def graph_node_lines(v: Fixtures) -> DataFrame:
     nodes = v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER))
     return IO.graph_node_lines(nodes, P.edge_weights(v.v_path), v.v_path.select("cluster", "node", "read"))
@@ -633,70 +706,138 @@ _STEPS = """part AS (SELECT rid, ref, start, seq, unnest(regexp_extract_all(ciga
   op AS (SELECT rid, ref, start, seq, i, right(o, 1) AS op, CAST(left(o, length(o) - 1) AS INT) AS n FROM part),
   placed AS (SELECT *, start + coalesce(sum(CASE WHEN op = 'I' THEN 0 ELSE n END) OVER w, 0) AS r0, coalesce(sum(CASE WHEN op = 'D' THEN 0 ELSE n END) OVER w, 0) AS q0
     FROM op WINDOW w AS (PARTITION BY rid, ref, start ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  step AS (SELECT rid, ref, i, op, k, CAST(CASE WHEN op = 'I' THEN r0 - 1 ELSE r0 + k END AS BIGINT) AS rpos, CAST(CASE WHEN op = 'D' THEN q0 - 1 ELSE q0 + k END AS BIGINT) AS qpos,
+  step AS (SELECT rid, ref, start, i, op, k, CAST(CASE WHEN op = 'I' THEN r0 - 1 ELSE r0 + k END AS BIGINT) AS rpos, CAST(CASE WHEN op = 'D' THEN q0 - 1 ELSE q0 + k END AS BIGINT) AS qpos,
     CASE WHEN op <> 'D' THEN substr(seq, CAST(q0 + k + 1 AS INT), 1) END AS base FROM (SELECT *, unnest(range(n)) AS k FROM placed) x)"""
-_NODES = _STEPS + """, ins AS (SELECT rid, ref, i, string_agg(base, '' ORDER BY k) AS text FROM step WHERE op = 'I' GROUP BY rid, ref, i),
-  node AS (SELECT rid, ref, row_number() OVER (PARTITION BY rid, ref ORDER BY i, k) AS step,
-    CASE WHEN op = '=' THEN 'r:' || rpos WHEN op = 'X' THEN 'x:' || rpos || ':' || base ELSE 'i:' || rpos || ':' || text || ':' || k END AS node FROM step LEFT JOIN ins USING (rid, ref, i) WHERE op <> 'D'),
-  link AS (SELECT rid, ref, u, v FROM (SELECT rid, ref, node AS u, lead(node) OVER (PARTITION BY rid, ref ORDER BY step) AS v FROM node) x WHERE v IS NOT NULL),
-  base AS (SELECT ref, 'r:' || k AS u, 'r:' || (k + 1) AS v, k + 1 AS at_, n FROM (SELECT ref, length(seq) AS n, unnest(range(length(seq) - 1)) AS k FROM v_backbone) x)"""
+_NODES = _STEPS + """, ins AS (SELECT rid, ref, start, i, string_agg(base, '' ORDER BY k) AS text FROM step WHERE op = 'I' GROUP BY rid, ref, start, i),
+  node AS (SELECT rid, ref, start, row_number() OVER (PARTITION BY rid, ref, start ORDER BY i, k) AS step, lpad(CAST(rpos AS VARCHAR), 10, '0') ||
+    CASE WHEN op = '=' THEN '=' WHEN op = 'X' THEN 'X' || base ELSE 'i' || text || ':' || lpad(CAST(k AS VARCHAR), 5, '0') END AS node FROM step LEFT JOIN ins USING (rid, ref, start, i) WHERE op <> 'D'),
+  link AS (SELECT rid, ref, u, v FROM (SELECT rid, ref, node AS u, lead(node) OVER (PARTITION BY rid, ref, start ORDER BY step) AS v FROM node) x WHERE v IS NOT NULL),
+  base AS (SELECT ref, lpad(CAST(k AS VARCHAR), 10, '0') || '=' AS u, lpad(CAST(k + 1 AS VARCHAR), 10, '0') || '=' AS v, k + 1 AS at_, n FROM (SELECT ref, length(seq) AS n, unnest(range(length(seq) - 1)) AS k FROM v_backbone) x)"""
+
+
+def _short(v: Fixtures) -> DataFrame:
+    return U.read_paths(U.aligned_ops(v.v_aln))
+
+
+_STEP_COLUMNS = "rid, ref, i, op, k, rpos, qpos, base"
 
 
-@query(duck("v_aln", "SELECT * FROM step", more=_STEPS))
+@query(duck("v_aln", f"SELECT {_STEP_COLUMNS} FROM step", more=_STEPS))
 def expand_cigar(v: Fixtures) -> DataFrame:
     return U.expand_cigar(v.v_aln)
 
 
-@query(duck("v_aln", "SELECT * FROM step WHERE op <> 'D'", more=_STEPS))
+@query(duck("v_aln", f"SELECT {_STEP_COLUMNS} FROM step s WHERE op <> 'D' AND NOT EXISTS (SELECT 1 FROM step t WHERE t.rid = s.rid AND t.ref = s.ref AND t.op IN ('I', 'X') AND t.base = 'N')", more=_STEPS))
 def drop_ambiguous(v: Fixtures) -> DataFrame:
-    return U.drop_ambiguous(U.trim_to_matches(U.expand_cigar(v.v_aln))).where("op <> 'D'")
+    return U.base_steps(U.drop_ambiguous(U.trim_to_matches(U.aligned_ops(v.v_aln)))).where("op <> 'D'")
 
 
-@query(duck("v_aln v_backbone", "SELECT rid, ref, step, node FROM node", more=_NODES))
+@query(duck("v_aln", "SELECT rid, ref, start, step, node FROM node", more=_NODES))
 def alignment_nodes(v: Fixtures) -> DataFrame:
-    return U.alignment_nodes(U.expand_cigar(v.v_aln))
+    return U.alignment_nodes(_short(v))
 
 
-@query(duck("v_aln v_backbone", "SELECT ref, u, v, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT ref, u, v, 10 AS w FROM link UNION ALL SELECT ref, u, v, 1 FROM base) x GROUP BY ref, u, v", more=_NODES))
+@query(duck("v_aln", "SELECT 'doc' || b.ref AS read_id, length(b.seq) AS n_bases, rid, start, cigar FROM v_backbone b JOIN v_aln a ON a.ref = b.ref WHERE b.ref % 3 > 0"))
+def alignments_by_target(v: Fixtures) -> DataFrame:
+    reads = v.v_backbone.where("ref % 3 > 0").select(F.concat(F.lit("doc"), "ref").alias("read_id"), F.length("seq").cast("long").alias("n_bases"))
+    aln = v.v_aln.select(F.concat(F.lit("doc"), "ref").alias("contig"), "rid", "start", "cigar")
+    return U.alignments_by_target(reads, aln).drop("contig")
+
+
+@query(duck("v_aln", "SELECT ref, u, v, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT ref, u, v, 10 AS w FROM link UNION ALL SELECT ref, u, v, 1 FROM base) x GROUP BY ref, u, v", more=_NODES))
 def pileup_edges(v: Fixtures) -> DataFrame:
-    return U.pileup_edges(v.v_backbone, U.alignment_nodes(U.expand_cigar(v.v_aln)))
+    return U.pileup_edges(v.v_backbone, _short(v))
 
 
-@query(duck("v_aln v_backbone", "SELECT ref, bool_and(EXISTS (SELECT 1 FROM link l WHERE l.ref = b.ref AND l.u = b.u AND l.v = b.v) OR NOT (at_ >= 100 AND at_ < n - 100)) AS ok FROM base b GROUP BY ref", more=_NODES))
+@query(duck("v_aln", "SELECT b.ref, coalesce(bool_and(l.ref IS NOT NULL) FILTER (WHERE at_ >= 100 AND at_ < n - 100), true) AS ok FROM (SELECT ref, u, v, at_, n FROM base UNION ALL SELECT ref, '', '', -1, 0 FROM v_backbone) b LEFT JOIN (SELECT DISTINCT ref, u, v FROM link) l ON l.ref = b.ref AND l.u = b.u AND l.v = b.v GROUP BY b.ref", more=_NODES))
 def stringency_check(v: Fixtures) -> DataFrame:
-    return U.stringency_check(v.v_backbone, U.supported(U.alignment_nodes(U.expand_cigar(v.v_aln))))
+    return U.stringency_check(v.v_backbone, U.supported(_short(v)))
 
 
-_BRANCH = _NODES + """, flag AS (SELECT *, node LIKE 'r:%' AS on_, CASE WHEN node LIKE 'r:%' THEN CAST(substr(node, 3) AS INT) END AS p FROM node),
-  seen AS (SELECT *, lag(on_) OVER w AS before_on, lag(p) OVER w AS before_p, lag(node) OVER w AS before_node FROM flag WINDOW w AS (PARTITION BY rid, ref ORDER BY step)),
+_BRANCH = _NODES + """, flag AS (SELECT *, substr(node, 11, 1) = '=' AS on_, CASE WHEN substr(node, 11, 1) = '=' THEN CAST(substr(node, 1, 10) AS INT) END AS p FROM node),
+  seen AS (SELECT *, lag(on_) OVER w AS before_on, lag(p) OVER w AS before_p, lag(node) OVER w AS before_node FROM flag WINDOW w AS (PARTITION BY rid, ref, start ORDER BY step)),
   jumps AS (SELECT rid, ref, before_node || ' ' || node AS branch FROM seen WHERE on_ AND before_on AND p - before_p > 1),
-  runs AS (SELECT *, sum(CASE WHEN on_ THEN 1 ELSE 0 END) OVER (PARTITION BY rid, ref ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM flag),
-  offs AS (SELECT r.rid, r.ref, r.g, string_agg(r.node, ' ' ORDER BY r.step) AS mid FROM runs r WHERE NOT on_ GROUP BY r.rid, r.ref, r.g),
-  branch AS (SELECT o.rid, o.ref, coalesce(a.node || ' ', '') || mid || coalesce(' ' || z.node, '') AS branch FROM offs o LEFT JOIN runs a ON a.rid = o.rid AND a.ref = o.ref AND a.g = o.g AND a.on_ LEFT JOIN runs z ON z.rid = o.rid AND z.ref = o.ref AND z.g = o.g + 1 AND z.on_
+  runs AS (SELECT *, sum(CASE WHEN on_ THEN 1 ELSE 0 END) OVER (PARTITION BY rid, ref, start ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM flag),
+  offs AS (SELECT r.rid, r.ref, r.start, r.g, string_agg(r.node, ' ' ORDER BY r.step) AS mid FROM runs r WHERE NOT on_ GROUP BY r.rid, r.ref, r.start, r.g),
+  branch AS (SELECT o.rid, o.ref, coalesce(a.node || ' ', '') || mid || coalesce(' ' || z.node, '') AS branch FROM offs o LEFT JOIN runs a ON a.rid = o.rid AND a.ref = o.ref AND a.start = o.start AND a.g = o.g AND a.on_ LEFT JOIN runs z ON z.rid = o.rid AND z.ref = o.ref AND z.start = o.start AND z.g = o.g + 1 AND z.on_
     UNION ALL SELECT * FROM jumps),
-  branches AS (SELECT ref, branch, count(*) AS n_reads FROM branch GROUP BY ref, branch)"""
+  branches AS (SELECT ref, branch, count(*) AS n_reads FROM branch GROUP BY ref, branch),
+  part_ AS (SELECT ref, branch, string_split(branch, ' ') AS x FROM branches),
+  nodes_of AS (SELECT ref, branch, x[1] AS a, x[-1] AS z, len(x) AS n, unnest(x) AS node, unnest(range(len(x))) AS i FROM part_),
+  walk AS (SELECT ref, lpad(CAST(k AS VARCHAR), 10, '0') || '=' AS node FROM (SELECT ref, unnest(range(length(seq))) AS k FROM v_backbone) x WHERE k % 4 > 0),
+  on_walk AS (SELECT p.ref, p.branch, p.a, p.z, p.n, count(w.node) AS n_on, bool_or(w.node = p.a) AND bool_or(w.node = p.z) AS both_ FROM nodes_of p LEFT JOIN walk w ON w.ref = p.ref AND w.node = p.node GROUP BY p.ref, p.branch, p.a, p.z, p.n),
+  fate AS (SELECT ref, branch, CASE WHEN CAST(substr(a, 1, 10) AS INT) % 9 = 0 OR CAST(substr(z, 1, 10) AS INT) % 9 = 0 THEN 'dead'
+    WHEN both_ AND n_on = n AND (SELECT count(*) FROM walk w WHERE w.ref = o.ref AND w.node BETWEEN o.a AND o.z) = n THEN 'same' WHEN both_ THEN 'settled' ELSE 'open' END AS fate FROM on_walk o)"""
+
+
+def _branches(v: Fixtures) -> DataFrame:
+    return U.branch_support(U.alignment_nodes(_short(v)))
+
 
+def _beside(v: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """A walk that leaves out every fourth base, and the nodes that are alive: those at positions that 9 doesn't divide."""
+    nodes = P.linear_graph(v.v_backbone)[0].select("ref", U.backbone_node(F.col("node")).alias("node"), F.col("node").alias("k"))
+    ends = _branches(v).select("ref", F.explode(F.split("branch", " ")).alias("node")).distinct()
+    return nodes.where("k % 4 > 0").select("ref", "node"), ends.where(U.position(F.col("node")) % 9 > 0)
 
-@query(duck("v_aln v_backbone", "SELECT * FROM branches", more=_BRANCH))
+
+@query(duck("v_aln", "SELECT * FROM branches", more=_BRANCH))
 def branch_support(v: Fixtures) -> DataFrame:
-    return U.branch_support(U.alignment_nodes(U.expand_cigar(v.v_aln)))
+    return _branches(v)
 
 
-@query(duck("v_aln v_backbone", "SELECT * FROM branches WHERE NOT (CAST(string_split(string_split(branch, ' ')[1], ':')[2] AS INT) % 3 > 0 AND CAST(string_split(string_split(branch, ' ')[-1], ':')[2] AS INT) % 3 > 0)", more=_BRANCH))
-def drop_branches(v: Fixtures) -> DataFrame:
-    nodes = U.alignment_nodes(U.expand_cigar(v.v_aln))
-    walk = P.linear_graph(v.v_backbone).where("node % 3 > 0").select("ref", F.concat(F.lit("r:"), "node").alias("node"))
-    return U.drop_branches(U.branch_support(nodes), walk)
+@query(duck("v_aln", "SELECT ref, node AS u, next AS v, count(*) AS n_branches FROM (SELECT ref, branch, node, lead(node) OVER (PARTITION BY ref, branch ORDER BY i) AS next FROM nodes_of) x WHERE next IS NOT NULL GROUP BY ref, node, next", more=_BRANCH))
+def branch_edges(v: Fixtures) -> DataFrame:
+    return U.branch_edges(_branches(v))
+
+
+@query(duck("v_aln", "SELECT ref, node, count(*) AS n_branches FROM nodes_of WHERE i > 0 AND i < n - 1 GROUP BY ref, node", more=_BRANCH))
+def branch_nodes(v: Fixtures) -> DataFrame:
+    return U.branch_nodes(_branches(v))
+
+
+@query(duck("v_aln", "SELECT * FROM branches JOIN fate USING (ref, branch)", more=_BRANCH))
+def branch_fates(v: Fixtures) -> DataFrame:
+    return U.branch_fates(_branches(v), *_beside(v))
 
 
-@query(duck("v_aln v_backbone", """SELECT ref, string_agg(base, '' ORDER BY rpos) AS seq FROM (
-    SELECT ref, rpos, base, row_number() OVER (PARTITION BY ref, rpos ORDER BY votes DESC, own DESC, base) AS rn FROM (
-      SELECT ref, rpos, base, sum(w) AS votes, max(own) AS own FROM (
-        SELECT s.ref, s.rpos, CASE WHEN op = '=' THEN substr(b.seq, CAST(rpos + 1 AS INT), 1) ELSE coalesce(s.base, '') END AS base, 10 AS w, 0 AS own FROM step s JOIN v_backbone b ON b.ref = s.ref WHERE op <> 'I' AND rpos < length(b.seq)
-        UNION ALL SELECT ref, k, substr(seq, CAST(k + 1 AS INT), 1), 1, 1 FROM (SELECT ref, seq, unnest(range(length(seq))) AS k FROM v_backbone) y) x
-      GROUP BY ref, rpos, base) z) q WHERE rn = 1 GROUP BY ref""", more=_STEPS))
+@query(duck("v_aln", "SELECT ref, branch, n_reads FROM branches JOIN fate USING (ref, branch) WHERE fate = 'open'", more=_BRANCH))
+def drop_branches(v: Fixtures) -> DataFrame:
+    return U.drop_branches(_branches(v), *_beside(v))[0]
+
+
+@query(duck("v_aln", "SELECT ref, node AS u, next AS v, count(*) AS n_branches FROM (SELECT ref, branch, node, lead(node) OVER (PARTITION BY ref, branch ORDER BY i) AS next FROM nodes_of) x JOIN fate USING (ref, branch) WHERE next IS NOT NULL AND fate IN ('open', 'same') GROUP BY ref, node, next", more=_BRANCH))
+def branch_edges_left(v: Fixtures) -> DataFrame:
+    return U.drop_branches(_branches(v), *_beside(v))[1]
+
+
+# The ways off the backbone that the best successors take, those that the walk meets, and its nodes merged with the backbone's.
+_POLISHED = _NODES + """, clear AS (SELECT l.ref, l.u, l.v FROM link l WHERE l.rid NOT IN (SELECT rid FROM step WHERE op IN ('I', 'X') AND base = 'N')),
+  both_ AS (SELECT ref, u, v, sum(w) AS weight FROM (SELECT ref, u, v, 10 AS w FROM clear UNION ALL SELECT ref, u, v, 1 FROM base) x GROUP BY ref, u, v),
+  best AS (SELECT ref, u, arg_min(v, v) AS v FROM (SELECT *, rank() OVER (PARTITION BY ref, u ORDER BY weight DESC) AS r FROM both_) x WHERE r = 1 GROUP BY ref, u),
+  turn AS (SELECT ref, u, v, substr(u, 11, 1) = '=' AS from_own, substr(v, 11, 1) = '=' AS to_own FROM best WHERE NOT (substr(u, 11, 1) = '=' AND v = lpad(CAST(CAST(substr(u, 1, 10) AS INT) + 1 AS VARCHAR), 10, '0') || '=')),
+  chain AS (SELECT ref, u AS b, v AS at_, to_own AS ended, CAST([] AS VARCHAR[]) AS nodes FROM turn WHERE from_own
+    UNION ALL SELECT c.ref, c.b, t.v, t.to_own, list_append(c.nodes, c.at_) FROM chain c JOIN turn t ON t.ref = c.ref AND t.u = c.at_ WHERE NOT c.ended),
+  way AS (SELECT ref, CAST(substr(b, 1, 10) AS INT) AS b, CAST(substr(at_, 1, 10) AS INT) AS q, nodes FROM chain WHERE ended),
+  nearest AS (SELECT l.ref, l.q, min(w.b) AS b FROM (SELECT ref, q FROM way UNION SELECT ref, 0 FROM v_backbone) l JOIN way w ON w.ref = l.ref AND w.b >= l.q GROUP BY l.ref, l.q),
+  hop AS (SELECT n.ref, n.q AS from_, w.b, w.q, w.nodes FROM nearest n JOIN way w ON w.ref = n.ref AND w.b = n.b),
+  taken AS (SELECT ref, b, q, nodes FROM hop WHERE from_ = 0 UNION ALL SELECT h.ref, h.b, h.q, h.nodes FROM taken t JOIN hop h ON h.ref = t.ref AND h.from_ = t.q),
+  passed AS (SELECT ref, unnest(range(b + 1, q)) AS k FROM taken),
+  walk AS (SELECT x.ref, lpad(CAST(x.k AS VARCHAR), 10, '0') || '=' AS node FROM (SELECT ref, unnest(range(length(seq))) AS k FROM v_backbone) x LEFT JOIN passed p ON p.ref = x.ref AND p.k = x.k WHERE p.k IS NULL UNION ALL SELECT ref, unnest(nodes) FROM taken),
+  own AS (SELECT ref, lpad(CAST(k AS VARCHAR), 10, '0') || '=' AS node, substr(seq, CAST(k + 1 AS INT), 1) AS x FROM (SELECT ref, seq, unnest(range(length(seq))) AS k FROM v_backbone) y),
+  merged AS (SELECT ref, node, max(x) AS x, bool_or(p) AS p, bool_or(w) AS w FROM (SELECT ref, node, x, true AS p, false AS w FROM own UNION ALL SELECT ref, node, NULL, false, true FROM walk) y GROUP BY ref, node),
+  isle AS (SELECT *, sum(CASE WHEN p AND w THEN 1 ELSE 0 END) OVER (PARTITION BY ref ORDER BY node ROWS UNBOUNDED PRECEDING) AS g FROM merged),
+  sized AS (SELECT *, count(*) FILTER (WHERE p AND NOT w) OVER (PARTITION BY ref, g) AS i, count(*) FILTER (WHERE w AND NOT p) OVER (PARTITION BY ref, g) AS d FROM isle),
+  kept AS (SELECT ref, node, CASE WHEN p THEN x WHEN substr(node, 11, 1) = 'X' THEN substr(node, 12, 1) ELSE substr(node, CAST(12 + CAST(string_split(node, ':')[2] AS INT) AS INT), 1) END AS x
+    FROM sized WHERE (p AND w) OR (p AND i >= 35) OR (w AND NOT p AND i < 35 AND d < 35)),
+  placed_ AS (SELECT ref, node, x, lag(node) OVER o AS before, row_number() OVER o - 1 AS at_, count(*) OVER (PARTITION BY ref) AS n FROM kept WINDOW o AS (PARTITION BY ref ORDER BY node)),
+  told AS (SELECT s.ref, string_agg(s.x, '' ORDER BY s.node) AS seq, coalesce(bool_and(c.ref IS NOT NULL) FILTER (WHERE at_ >= 100 AND at_ < n - 100), true) AS ok
+    FROM placed_ s LEFT JOIN (SELECT DISTINCT ref, u, v FROM clear) c ON c.ref = s.ref AND c.u = s.before AND c.v = s.node GROUP BY s.ref)"""
+
+
+@query(duck("v_aln", "SELECT b.ref, coalesce(t.seq, '') AS seq, coalesce(ok, true) AS ok FROM v_backbone b LEFT JOIN told t ON t.ref = b.ref", recursive=True, more=_POLISHED))
 def pileup_consensus(v: Fixtures) -> DataFrame:
-    return U.pileup_consensus(v.v_backbone, v.v_aln)
+    return U.polish_linear(v.v_backbone, v.v_aln, stringent=False)
 
 
 @query(duck("v_path", "SELECT cluster, u, v, weight FROM edge", more=_EDGE))
@@ -705,6 +846,18 @@ def merge_chunks(v: Fixtures) -> DataFrame:
     return U.merge_chunks(chunked)
 
 
+@query()
+def merge_isoforms(v: Fixtures) -> DataFrame:
+    chunked = v.v_path.withColumn("chunk", F.col("read") % 2).withColumn("cluster", F.struct("cluster", "chunk")).drop("chunk")
+    parts = P.decompose_paths(chunked, ends_delta=30)
+    return U.merge_isoforms(parts.select("cluster.*", "isoform", "pos", "node", "support"), ends_delta=30)
+
+
+@query(duck("v_path", "SELECT * FROM v_path WHERE cluster NOT IN (SELECT cluster FROM v_path GROUP BY cluster HAVING count(*) % 2 = 0)"))
+def unconverged_only(v: Fixtures) -> DataFrame:
+    return U.unconverged_only(v.v_path, v.v_path.groupBy("cluster").agg(F.count("*").alias("n")).where("n % 2 = 0"))
+
+
 @query()
 def iterate_until_stable(v: Fixtures) -> DataFrame:
     return U.correct_until_stable(v.v_path.select("cluster", "read", "support", "pos", "node"), psi=3)
@@ -771,11 +924,14 @@ def read_tracking(v: Fixtures) -> DataFrame:
     return IO.read_tracking(v.spark, _written(v, lines, "tracking"))
 
 
-@query(SQL["bin_by_support"])
+@query(duck("v_name v_seq", SQL["bin_by_support"].partition("SELECT CASE")[1] + SQL["bin_by_support"].partition("SELECT CASE")[2].replace("count(*) AS n_records", "count(*) AS n_records, CAST(sum(length(seq)) AS BIGINT) AS n_bases").replace("AS n FROM v_name) x", "AS n, seq FROM v_name a JOIN v_seq b ON CAST(string_split(a.read_id, '_')[3] AS BIGINT) = b.read_id) x")))
 def write_by_bin(v: Fixtures) -> DataFrame:
     path = new_path(v.spark, "bins")
-    IO.write_by(T.bin_by_support(v.v_name).withColumn("sequence", F.lit("A")), "bin", path)
-    return v.spark.read.text(path).where("value like '>%'").groupBy("bin").agg(F.count("*").alias("n_records"))
+    seqs = v.v_seq.select(F.col("read_id").alias("doc_id"), F.col("seq").alias("sequence"))
+    records = v.v_name.withColumn("doc_id", F.split_part("read_id", F.lit("_"), F.lit(3)).cast("long")).join(seqs, "doc_id")
+    IO.write_by(T.bin_by_support(records), "bin", path)
+    head = F.col("value").startswith(">")
+    return v.spark.read.text(path).groupBy("bin").agg(F.count_if(head).alias("n_records"), F.sum(F.when(head, 0).otherwise(F.length("value"))).cast("long").alias("n_bases"))
 
 
 @query("SELECT lang AS cluster, count(*) AS n_records FROM documents GROUP BY lang")
@@ -783,3 +939,90 @@ def write_by_cluster(v: Fixtures) -> DataFrame:
     path = new_path(v.spark, "clusters")
     IO.write_by(v.v_seq.select("cluster", F.col("read_id").cast("string").alias("read_id"), F.col("seq").alias("sequence")), "cluster", path)
     return v.spark.read.text(path).where("value like '>%'").groupBy("cluster").agg(F.count("*").alias("n_records"))
+
+
+@query(duck("v_seq", "SELECT cluster, CAST(read_id AS VARCHAR) AS read_id, seq AS sequence FROM v_seq"))
+def read_cluster_dir(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "cluster-files")
+    named = v.v_seq.select("cluster", F.col("read_id").cast("string").alias("read_id"), F.col("seq").alias("sequence"))
+    IO.write_by(named, "cluster", path)
+    return IO.read_cluster_dir(v.spark, path).select("cluster", "read_id", "sequence")
+
+
+@query(duck("v_seq", "SELECT 'chr' || read_id AS contig, seq FROM v_seq"))
+def read_genome(v: Fixtures) -> DataFrame:
+    text = v.v_seq.select(F.concat(F.lit("chr"), "read_id", F.lit(" some text")).alias("read_id"), F.lower("seq").alias("sequence"))
+    return IO.read_genome(v.spark, _written(v, IO.fasta_text(text), "genome"))
+
+
+@query(duck("v_seq", "SELECT CAST(read_id AS VARCHAR) AS read_id, seq AS sequence FROM v_seq"))
+def fastq_to_fasta(v: Fixtures) -> DataFrame:
+    path, out = new_path(v.spark, "fastq"), new_path(v.spark, "fasta")
+    IO.write_fastq(v.v_seq.select(F.col("read_id").cast("string").alias("read_id"), F.translate("seq", "T", "U").alias("sequence"), F.translate("seq", "ACGT", "@@@@").alias("qualities")), path)
+    IO.write_fasta(IO.fastq_to_fasta(IO.read_fastq(v.spark, path)), out)
+    return IO.read_fasta(v.spark, out).select("read_id", "sequence")
+
+
+@query(duck("v_intron", "SELECT chr, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(tx AS VARCHAR) AS name, '.' AS score, strand FROM v_intron"))
+def write_bed(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "introns")
+    IO.write_bed(v.v_intron.withColumnRenamed("tx", "name"), path)
+    return v.spark.read.schema("chr string, s long, e long, name string, score string, strand string").option("sep", "\t").csv(path)
+
+
+@query(duck("v_intron", f"SELECT chr, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, 'query_intron' AS note FROM v_intron q WHERE kind = 'O' AND support >= 5 AND NOT {_REF}"))
+def write_novel_bed(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "novel")
+    IO.write_novel_bed(C.novel_introns(*_novel(v)), path)
+    return v.spark.read.schema("chr string, s long, e long, note string").option("sep", "\t").csv(path)
+
+
+@query(duck("v_exon", """SELECT CAST(q.tx AS VARCHAR) AS tx, coalesce(CAST(r.ref AS VARCHAR), '.') AS ref FROM chain q LEFT JOIN
+    (SELECT chr, chain, min(tx) AS ref FROM chain WHERE kind = 'F' AND chain <> '' GROUP BY chr, chain) r ON r.chr = q.chr AND r.chain = q.chain WHERE q.kind = 'O' AND q.chain <> ''""", more=_CHAIN))
+def write_tsv(v: Fixtures) -> DataFrame:
+    path, chains = new_path(v.spark, "tsv"), _chains(v)
+    IO.write_tsv(C.assign_by_chain(chains.where("kind = 'O'"), chains.where("kind = 'F'")).withColumn("ref", F.nullif("ref", F.lit("."))), path)
+    return v.spark.read.schema("tx string, ref string").option("sep", "\t").csv(path)
+
+
+def _report(v: Fixtures) -> DataFrame:
+    """A search report as text: a block for each order, with or without matches."""
+    share = lambda name, n: F.concat(F.lit(f"{name} = "), f"{n}_num", F.lit("/"), f"{n}_den", F.lit(" ("), F.col(f"{n}_num") * 2, F.lit("%)"))
+    hsp = F.concat(F.lit(" Score = 50.5 bits (119),  Expect = "), "evalue", F.lit("\n "), share("Identities", "id"), F.lit(", "), share("Positives", "pos"), F.lit(", "), share("Gaps", "gap"), F.lit("\n\nQuery  1  MK-L  4\nSbjct  1  MKAL  4\n"))
+    gather = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t")))), lambda x: x["t"]), "\n")
+    matches = v.v_hit.withColumn("h", hsp).groupBy("query", "match_rank", "subject").agg(gather("hsp_rank", "h").alias("h"))
+    matches = matches.withColumn("m", F.concat(F.lit("> part "), "subject", F.lit("\nLength=50\n\n"), "h")).groupBy("query").agg(gather("match_rank", "m").alias("m"))
+    block = F.concat(F.lit("Query= order "), "o_orderkey", F.lit("\n\nLength=77\n"), F.coalesce(F.concat(F.lit("\n"), "m"), F.lit("\n***** No hits found *****\n")))
+    return v.orders.join(matches, F.col("o_orderkey") == F.col("query"), "left").select(block.alias("value"))
+
+
+@query(duck("v_hit", """SELECT 'order ' || o_orderkey AS query, CAST(77 AS BIGINT) AS query_length, match_rank - 1 AS match_rank, 'part ' || subject AS subject, hsp_rank - 1 AS hsp_rank, evalue, CAST(id_num AS BIGINT) AS id_num, CAST(id_den AS BIGINT) AS id_den,
+    pos_num * 100.0::DOUBLE / pos_den AS pos_pct, gap_num * 100.0::DOUBLE / gap_den AS gap_pct, CASE WHEN subject IS NULL THEN '' ELSE 'MK-L' END AS query_seq FROM orders LEFT JOIN v_hit ON query = o_orderkey"""))
+def read_blastp_report(v: Fixtures) -> DataFrame:
+    rows = IO.read_blastp_report(v.spark, _written(v, _report(v), "report"))
+    return rows.select("query", "query_length", "match_rank", F.nullif("subject", F.lit("")).alias("subject"), "hsp_rank", "evalue", "id_num", "id_den", "pos_pct", "gap_pct", F.coalesce("query_seq", F.lit("")).alias("query_seq"))
+
+
+def _graph_files(v: Fixtures) -> dict[str, DataFrame]:
+    path = new_path(v.spark, "graphs")
+    nodes = v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER))
+    IO.write_graph_text(nodes, v.v_path, path)
+    return IO.read_graph_text(v.spark, path)
+
+
+_NUMBERED = "num AS (SELECT cluster, node, row_number() OVER (PARTITION BY cluster ORDER BY node) - 1 AS new FROM (SELECT DISTINCT cluster, node FROM v_path) x), rd AS (SELECT cluster, read, row_number() OVER (PARTITION BY cluster ORDER BY read) - 1 AS i FROM (SELECT DISTINCT cluster, read FROM v_path) x)"
+
+
+@query(duck("v_path", f"SELECT n.cluster AS graph, new AS node, {_LETTER.replace('node', 'n.node')} AS nts FROM num n", more=_NUMBERED))
+def graph_text_nodes(v: Fixtures) -> DataFrame:
+    return _graph_files(v)["nodes"].select(F.col("graph").cast("long").alias("graph"), "node", "nts")
+
+
+@query(duck("v_path", "SELECT e.cluster AS graph, a.new AS u, b.new AS v FROM edge e JOIN num a ON a.cluster = e.cluster AND a.node = e.u JOIN num b ON b.cluster = e.cluster AND b.node = e.v", more=f"{_EDGE}, {_NUMBERED}"))
+def graph_text_edges(v: Fixtures) -> DataFrame:
+    return _graph_files(v)["edges"].select(F.col("graph").cast("long").alias("graph"), "u", "v")
+
+
+@query(duck("v_path", "SELECT p.cluster AS graph, i AS read, CAST(p.read AS VARCHAR) AS name, new AS node FROM v_path p JOIN num n ON n.cluster = p.cluster AND n.node = p.node JOIN rd ON rd.cluster = p.cluster AND rd.read = p.read", more=_NUMBERED))
+def graph_text_paths(v: Fixtures) -> DataFrame:
+    return _graph_files(v)["paths"].select(F.col("graph").cast("long").alias("graph"), "read", "name", "node")

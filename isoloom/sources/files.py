@@ -5,7 +5,7 @@ Readers return one row per record with the file and its place, so that order can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,9 +83,16 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return aln.where(F.col("flag").bitwiseAND(F.lit(0x904)) == 0)
 
 
+def _folder(name: str) -> Column:
+    """The value of the folder ``name=value`` that a file is in; empty if it is in none."""
+    return F.url_decode(F.regexp_extract("file", f"/{name}=([^/]+)/[^/]*$", 1))
+
+
 def read_cluster_dir(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA records of every file of a folder; cluster is the file name up to its first dot."""
-    return read_fasta(spark, path).withColumn("cluster", F.regexp_extract("file", r"([^/.]+)[^/]*$", 1))
+    """FASTA records of every file of a folder; cluster is that of its folder ``cluster=``, as :func:`write_by` makes
+    them, or else the file's name up to its first dot."""
+    own = F.regexp_extract("file", r"([^/.]+)[^/]*$", 1)
+    return read_fasta(spark, path).withColumn("cluster", F.when(_folder("cluster") != "", _folder("cluster")).otherwise(own))
 
 
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
@@ -111,19 +118,37 @@ def read_blastp_report(spark: SparkSession, path: str) -> DataFrame:
     return hsps.select("file", "ord", "query", "query_length", "match_rank", "subject", "subject_length", "hsp_rank", number(r"^\s*([0-9.]+) bits", "double").alias("score"), number(r"Expect = ([0-9.e+-]+)", "double").alias("evalue"), *shares, lines("Query").alias("query_seq"), lines("Sbjct").alias("subject_seq"))
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines(file, block, id, ...)`` with ``n``, their number in the file, from 0. A block is numbered by itself, and
+    begins after those before it."""
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("rows"))
+    ahead = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("id")) - 1
+    return lines.withColumn("inside", inside).join(blocks, ["file", "block"]).withColumn("n", F.col("ahead") + F.col("inside")).drop("ahead", "inside", "block", "id")
+
+
 def read_graph_text(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``nodes(file, node, nts)``, ``edges(file, u, v)``, ``paths(file, read, name, node)``, ``rings(file, a, b)`` of graph text."""
-    lines = spark.read.text(path, wholetext=True).select(F.col(_FILE).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "t"))
-    node_line = r"^([^:\s]+):((?:[LSA][0-9]+)*)$"
-    node = F.row_number().over(W.partitionBy("file").orderBy("line")) - 1
-    nodes = lines.where(F.col("t").rlike(node_line)).select("file", node.alias("node"), F.regexp_extract("t", node_line, 1).alias("nts"), F.regexp_extract("t", node_line, 2).alias("x"))
-    numbers = lambda letter: F.explode(F.transform(F.regexp_extract_all("x", F.lit(letter + "([0-9]+)"), F.lit(1)), lambda n: n.cast("int")))
-    names = lines.where(F.col("t").startswith("SOURCENAME=")).select("file", (F.row_number().over(W.partitionBy("file").orderBy("line")) - 1).alias("read"), F.expr("substr(t, 12)").alias("name"))
+    """``nodes(file, graph, node, nts)``, ``edges(file, graph, u, v)``, ``paths(file, graph, read, name, node)`` and
+    ``rings(file, graph, a, b)`` of graph text.
+
+    ``graph`` is that of the file's folder ``graph=``, as :func:`write_graph_text` makes them, or else its NAME line. Nodes and
+    sources are numbered by their lines; a file may be many blocks.
+    """
+    lines = spark.read.text(path).select(F.col(_FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim("value", F.lit("\r")).alias("t"))
+    node_line = r"^([^:\s=]+):((?:[LSA][0-9]+)*)$"
+    own = lines.where(F.col("t").startswith("NAME=")).groupBy("file").agg(F.min(F.expr("substr(t, 6)")).alias("own"))
+    graph = F.when(_folder("graph") != "", _folder("graph")).otherwise(F.col("own"))
+    named = lambda df: df.join(own, "file", "left").withColumn("graph", graph).drop("own")
+    nodes = _numbered(lines.where(F.col("t").rlike(node_line)))
+    nodes = named(nodes.select("file", F.col("n").alias("node"), F.regexp_extract("t", node_line, 1).alias("nts"), F.regexp_extract("t", node_line, 2).alias("x")))
+    numbers = lambda letter: F.explode(F.transform(F.regexp_extract_all("x", F.lit(letter + "([0-9]+)"), F.lit(1)), lambda n: n.cast("long")))
+    names = _numbered(lines.where(F.col("t").startswith("SOURCENAME="))).select("file", F.col("n").alias("read"), F.expr("substr(t, 12)").alias("name"))
     return {
-        "nodes": nodes.drop("x"),
-        "edges": nodes.select("file", numbers("L").alias("u"), F.col("node").alias("v")),
-        "paths": nodes.select("file", numbers("S").alias("read"), "node").join(names, ["file", "read"], "left"),
-        "rings": nodes.select("file", F.col("node").alias("a"), numbers("A").alias("b")),
+        "nodes": nodes.select("file", "graph", "node", "nts"),
+        "edges": nodes.select("file", "graph", numbers("L").alias("u"), F.col("node").alias("v")),
+        "paths": nodes.select("file", "graph", numbers("S").alias("read"), "node").join(names, ["file", "read"], "left").select("file", "graph", "read", "name", "node"),
+        "rings": nodes.select("file", "graph", F.col("node").alias("a"), numbers("A").alias("b")),
     }
 
 
@@ -155,6 +180,11 @@ def write_bed(introns: DataFrame, path: str) -> None:
     introns.select("chr", "s", "e", "name", F.lit(".").alias("score"), "strand").write.option("sep", "\t").csv(path)
 
 
+def write_novel_bed(introns: DataFrame, path: str) -> None:
+    """The four columns of a list of novel introns: chromosome, start, end and a fixed name."""
+    introns.select("chr", "s", "e", F.lit("query_intron").alias("name")).write.option("sep", "\t").csv(path)
+
+
 def write_tsv(df: DataFrame, path: str, missing: str = ".") -> None:
     df.select([F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias(c) for c in df.columns]).write.option("sep", "\t").csv(path)
 
@@ -172,3 +202,27 @@ def graph_node_lines(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> Da
     members = joined(paths, "node", "S", "read")
     every = nodes.join(before, ["cluster", "node"], "left").join(members, ["cluster", "node"], "left")
     return every.select("cluster", "node", F.concat("nts", F.lit(":"), F.coalesce("L", F.lit("")), F.coalesce("S", F.lit(""))).alias("line"))
+
+
+def write_graph_text(nodes: DataFrame, paths: DataFrame, path: str) -> None:
+    """A graph per cluster of ``nodes(cluster, node, nts)`` and ``paths(cluster, read, pos, node)``, in folders ``graph=``.
+
+    Nodes and reads are numbered from 0 in their order; a graph is one file: a header, two lines for each
+    read, and a line for each node with its predecessors and reads.
+    """
+    by_cluster = W.partitionBy("cluster")
+    number = nodes.select("cluster", "node", (F.row_number().over(by_cluster.orderBy("node")) - 1).cast("long").alias("new"))
+    lengths = paths.groupBy("cluster", "read").agg(F.count("*").alias("n"))
+    reads = lengths.withColumn("i", F.row_number().over(by_cluster.orderBy("read")) - 1)
+    steps = paths.join(number, ["cluster", "node"]).join(reads.select("cluster", "read", "i"), ["cluster", "read"])
+    before = F.lag("new").over(W.partitionBy("cluster", "read").orderBy("pos"))
+    edges = steps.withColumn("u", before).where("u is not null").select("cluster", "u", F.col("new").alias("v")).distinct()
+    lines = graph_node_lines(nodes.join(number, ["cluster", "node"]).select("cluster", F.col("new").alias("node"), "nts"), edges, steps.select("cluster", F.col("new").alias("node"), F.col("i").alias("read")))
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("length")).join(lengths.groupBy("cluster").agg(F.count("*").alias("sources")), "cluster", "left")
+    head = F.array(F.lit("VERSION=LPO.0.1"), F.concat(F.lit("NAME="), "cluster"), F.lit("TITLE=untitled"), F.concat(F.lit("LENGTH="), "length"), F.concat(F.lit("SOURCECOUNT="), F.coalesce("sources", F.lit(0))))
+    source = F.array(F.concat(F.lit("SOURCENAME="), "read"), F.concat(F.lit("SOURCEINFO="), "n", F.lit(" 0 1 -1 untitled")))
+    rows = sizes.select("cluster", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.posexplode(head).alias("j", "value"))
+    rows = rows.union(reads.select("cluster", F.lit(1), F.col("i").cast("long"), F.posexplode(source))).union(lines.select("cluster", F.lit(2), F.col("node"), F.lit(0), "line"))
+    # The writer sorts by folder, and the sort below keeps a graph's lines in order within it.
+    ordered = rows.withColumnRenamed("cluster", "graph").repartition("graph").sortWithinPartitions("graph", "part", "k", "j")
+    ordered.select("graph", "value").write.partitionBy("graph").text(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoloom.functions import sequences as S
-from isoloom.operators import components, paths, pileup
+from isoloom.operators import clusters, components, paths, pileup
 from isoloom.operators import structure as I
 
 
@@ -62,19 +62,231 @@ def test_correct_paths(spark, ends):
         assert (got.get(key, []), told[key]) == (want, differs)
 
 
-def test_decompose_takes_every_read_once(spark):
-    rnd = random.Random(4)
-    rows = []
+def heaviest(reads):
+    """From the most supported node along heaviest edges both ways; smallest nodes among equals. reads: id -> (support, nodes)."""
+    node, edge = {}, {}
+    for s, ns in reads.values():
+        for n in ns:
+            node[n] = node.get(n, 0) + s
+        for e in zip(ns, ns[1:]):
+            edge[e] = edge.get(e, 0) + s
+    top = min(node, key=lambda n: (-node[n], n))
+    walk, at = {top}, top
+    while out := [e for e in edge if e[0] == at]:
+        at = min(out, key=lambda e: (-edge[e], e[1]))[1]
+        walk.add(at)
+    at = top
+    while into := [e for e in edge if e[1] == at]:
+        at = min(into, key=lambda e: (-edge[e], e[0]))[0]
+        walk.add(at)
+    return walk
+
+
+def decomposed(reads, delta):
+    reads, out = dict(reads), []
+    while reads:
+        walk, taken = heaviest(reads), []
+        for r, (_, ns) in reads.items():
+            mid = ns[delta : len(ns) - delta]
+            if not mid or mid == sorted(n for n in walk if mid[0] <= n <= mid[-1]):
+                taken.append(r)
+        if not taken:
+            r = min(reads, key=lambda r: (-reads[r][0], r))
+            walk, taken = set(reads[r][1]), [r]
+        out.append((sorted(walk), sum(reads.pop(r)[0] for r in taken)))
+    return out
+
+
+def random_reads(rnd, clusters, reads, isoforms):
+    rows = {}
+    for c in range(clusters):
+        forms = [sorted(rnd.sample(range(60), 40)) for _ in range(isoforms)]
+        for r in range(reads):
+            own = [n for n in rnd.choice(forms) if rnd.random() < (1 if r % 2 else 0.97)]
+            rows[c, r] = 1 + rnd.randrange(3), own
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(c, r, s, i + 1, n) for (c, r), (s, ns) in rows.items() for i, n in enumerate(ns)], "cluster int, read int, support long, pos int, node int")
+
+
+def test_decomposition(spark):
+    rows = random_reads(random.Random(4), 3, 9, 3)
+    got = {}
+    for x in paths.decompose_paths(frame(spark, rows), ends_delta=6).collect():
+        got.setdefault((x.cluster, x.isoform), []).append((x.pos, x.node, x.support))
     for c in range(3):
-        for r in range(9):
-            base = sorted({n for n in range(40) if (n % 3 != r % 2) and rnd.random() < 0.95})
-            rows += [(c, r, 1 + r, i + 1, n) for i, n in enumerate(base)]
-    p = spark.createDataFrame(rows, "cluster int, read int, support long, pos int, node int")
-    out = paths.decompose_paths(p, ends_delta=4)
-    total = out.select("cluster", "isoform", "support").distinct().groupBy("cluster").agg(F.sum("support").alias("s"))
-    assert {r.s for r in total.collect()} == {sum(range(1, 10))}
-    steps = out.groupBy("cluster", "isoform").agg(F.max("pos").alias("n"), F.count("*").alias("m")).where("n <> m")
-    assert steps.count() == 0
+        want = decomposed({r: x for (k, r), x in rows.items() if k == c}, 6)
+        mine = [sorted(got[k]) for k in sorted(got) if k[0] == c]
+        assert [([n for _, n, _ in m], m[0][2]) for m in mine] == want and len(want) > 2
+    # As many rounds as it takes.
+    alone = {(0, r): (1, [r * 10, r * 10 + 1, r * 10 + 2]) for r in range(5)}
+    assert paths.decompose_paths(frame(spark, alone), ends_delta=0).select("isoform").distinct().count() == 5
+
+
+def test_merged_isoforms_are_decomposed_again(spark):
+    rows = random_reads(random.Random(5), 2, 6, 2)
+    isoforms = [(c, k, i, j + 1, n, s) for c in range(2) for k in range(2) for i, (ns, s) in enumerate(decomposed({r: x for (q, r), x in rows.items() if q == c and r % 2 == k}, 6)) for j, n in enumerate(ns)]
+    out = pileup.merge_isoforms(spark.createDataFrame(isoforms, "cluster int, chunk int, isoform int, pos int, node int, support long"), ends_delta=6)
+    got = {}
+    for x in out.collect():
+        got.setdefault((x.cluster, x.isoform), []).append((x.pos, x.node, x.support))
+    for c in range(2):
+        reads = {}
+        for _, k, i, _, n, s in sorted(x for x in isoforms if x[0] == c):
+            reads.setdefault((k, i), (s, []))[1].append(n)
+        want = decomposed({j: x for j, (_, x) in enumerate(sorted(reads.items()))}, 6)
+        assert [([n for _, n, _ in sorted(got[k])], got[k][0][2]) for k in sorted(got) if k[0] == c] == want
+
+
+def walks_of(reads, tail):
+    edge = {}
+    for s, ns in reads.values():
+        for e in zip(ns, ns[1:]):
+            edge[e] = edge.get(e, 0) + s
+    seen, out = set(), []
+    for first in sorted({ns[0] for _, ns in reads.values()}):
+        if first in seen:
+            continue
+        walk, left, at = [first], None, first
+        while (left is None or left < tail) and (ways := [e for e in edge if e[0] == at]):
+            at = min(ways, key=lambda e: (-edge[e], e[1]))[1]
+            left = (0 if at in seen else None) if left is None else left + 1
+            walk.append(at)
+        seen |= set(walk)
+        out.append(walk)
+    return out
+
+
+def test_walks_and_correction_by_all_of_them(spark):
+    rows = random_reads(random.Random(6), 4, 8, 3)
+    df = frame(spark, rows)
+    walks = paths.greedy_walks(df, tail=3)
+    got = {}
+    for x in walks.collect():
+        got.setdefault((x.cluster, x.source), []).append((x.step, x.node))
+    want = {(c, w[0]): w for c in range(4) for w in walks_of({r: x for (k, r), x in rows.items() if k == c}, 3)}
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == want and len(want) > 5
+    fixed, flags = paths.correct_by_walks(df, walks, psi=4)
+    mine = {(r.cluster, r.read): r.x for r in fixed.groupBy("cluster", "read").agg(F.array_sort(F.collect_list("node")).alias("x")).collect()}
+    told = {(r.cluster, r.read): r.differs for r in flags.collect()}
+    for (c, r), (_, ns) in rows.items():
+        now, differs = set(ns), True
+        for source in sorted(s for k, s in want if k == c):
+            out, d = scan(now, set(want[c, source]), 4, False, True)
+            now, differs = set(out), differs and d
+        assert (mine[c, r], told[c, r]) == (sorted(now), differs)
+    assert len(set(told.values())) == 2
+
+
+def test_layers_of_long_paths_and_circles(spark):
+    edges = [(0, k, k + 1) for k in range(3000)] + [(0, 10, 2000), (0, 5, 5000), (0, 5000, 2999), (1, 1, 2)]
+    got = {(r.cluster, r.node): r.layer for r in paths.topological_layers(spark.createDataFrame(edges, "cluster int, u long, v long")).collect()}
+    assert all(got[0, k] == k for k in range(3001)) and got[0, 5000] == 6 and got[1, 2] == 1
+    for circle in ([(0, 1, 2), (0, 2, 3), (0, 3, 1)], [(0, 0, 1), (0, 1, 2), (0, 2, 1), (0, 2, 3)]):
+        with pytest.raises(ValueError):
+            paths.topological_layers(spark.createDataFrame(circle, "cluster int, u long, v long"))
+
+
+def polished(seq, reads, weight, psi, tolerance):
+    """Node by node: the graph as a table, the walk, the merge, the check."""
+    edge, short = {}, set()
+    name = lambda p: (p, 0, "")
+    for p in range(len(seq) - 1):
+        edge[name(p), name(p + 1)] = 1
+    for start, ops, text in reads:
+        r, q, nodes = start, 0, []
+        for n, op in ops:
+            piece = text[q : q + n] if op != "D" else ""
+            nodes += [name(r + k) for k in range(n)] if op == "=" else [(r + k, 1, piece[k]) for k in range(n)] if op == "X" else [(r - 1, 2, (piece, k)) for k in range(n)] if op == "I" else []
+            r, q = r + (n if op in "=XD" else 0), q + (n if op in "=XI" else 0)
+        for e in zip(nodes, nodes[1:]):
+            edge[e] = edge.get(e, 0) + weight
+            short.add(e)
+    order = lambda n: (n[0], n[1], str(n[2]) if n[1] < 2 else n[2][0] + ":" + f"{n[2][1]:05d}")
+    walk = [name(0)]
+    out = {}
+    for (u, v), w in edge.items():
+        out.setdefault(u, []).append((-w, order(v), v))
+    while walk[-1] in out:
+        walk.append(min(out[walk[-1]])[2])
+    rank = {n: k for k, n in enumerate(sorted({*walk, *map(name, range(len(seq)))}, key=order))}
+    kept, _ = scan({rank[name(p)] for p in range(len(seq))}, {rank[n] for n in walk}, psi, False, True)
+    nodes = [n for n in sorted(rank, key=rank.get) if rank[n] in set(kept)]
+    letters = "".join(seq[n[0]] if n[1] == 0 else n[2] if n[1] == 1 else n[2][0][n[2][1]] for n in nodes)
+    ok = all((nodes[k - 1], nodes[k]) in short for k in range(max(tolerance, 1), len(nodes) - tolerance))
+    return letters, ok
+
+
+def test_polish(spark):
+    rnd = random.Random(7)
+    backbones, reads, rid = [], [], 0
+    for ref in range(12):
+        seq = "".join(rnd.choices("ACGT", k=rnd.choice([1, 30, 90, 160])))
+        backbones.append((ref, seq))
+        variants = {}  # the same way off at the same place, for some reads
+        for _ in range(60 if len(seq) > 30 else 0):
+            at, start, ops, text = 0, rnd.randrange(len(seq) - 20), [], ""
+            at = start
+            for _ in range(rnd.randint(1, 3)):
+                n = 8 - at % 8
+                if at + n + 14 >= len(seq):
+                    break
+                ops.append((n, "="))
+                text += seq[at : at + n]
+                at += n
+                kind = variants.setdefault(at, rnd.choice(["X", "I", "D", "XI", "DI", "", ""]))
+                for op in kind:
+                    m = 1 + at % 3 if op != "I" else 1 + at % 6
+                    ops.append((m, op))
+                    if op == "X":
+                        text += "".join("CGTA"["ACGT".index(c)] for c in seq[at : at + m])
+                    if op == "I":
+                        text += ("GATTACA" * 2)[at % 5 : at % 5 + m]
+                    at += m if op != "I" else 0
+            n = rnd.randint(1, len(seq) - at) if len(seq) - at < 12 else rnd.randint(1, 12)
+            ops.append((n, "="))
+            text += seq[at : at + n]
+            reads.append((rid := rid + 1, ref, start, ops, text))
+    aln = spark.createDataFrame([(i, ref, start, "".join(f"{n}{op}" for n, op in ops), text) for i, ref, start, ops, text in reads], "rid long, ref int, start int, cigar string, seq string")
+    back = spark.createDataFrame(backbones, "ref int, seq string")
+    changed = checked = 0
+    for weight, psi, tolerance in ((10, 35, 10), (1, 4, 20)):
+        got = {r.ref: (r.seq, r.ok) for r in pileup.polish_linear(back, aln, weight, psi, tolerance, stringent=False).collect()}
+        for ref, seq in backbones:
+            want = polished(seq, [(s, o, t) for _, x, s, o, t in reads if x == ref], weight, psi, tolerance)
+            assert got[ref] == want, (ref, psi)
+            changed += want[0] != seq
+            checked += not want[1]
+    assert changed > 8 and checked > 0
+    assert {r.ref for r in pileup.polish_linear(back, aln, tolerance=10).collect()} == {ref for ref, (_, ok) in ((r, polished(s, [(b, o, t) for _, x, b, o, t in reads if x == r], 10, 35, 10)) for r, s in backbones) if ok}
+
+
+def test_insertions_of_all_reads_are_taken_up(spark):
+    seq = "ACGTTGCAACGTGGCA" * 2
+    aln = spark.createDataFrame([(k, 0, 4, "6=2I6=", seq[4:10] + "TT" + seq[10:16]) for k in range(20)] + [(99, 0, 4, "6=2I6=", seq[4:10] + "NN" + seq[10:16])], "rid long, ref int, start int, cigar string, seq string")
+    got = pileup.polish_linear(spark.createDataFrame([(0, seq)], "ref int, seq string"), aln, stringent=False).first()
+    assert got.seq == seq[:10] + "TT" + seq[10:]
+
+
+def test_islands_over_many_bins(spark):
+    rnd = random.Random(8)
+    rows = sorted({(rnd.randrange(400_000), rnd.choice([3, 50, 90_000])) for _ in range(900)})
+    ivs = [("c", "+", s, s + n) for s, n in rows]
+    got = {(r.start, r.end): r.island for r in clusters.overlap_clusters(spark.createDataFrame(ivs, "contig string, strand string, start long, end long")).collect()}
+    island, reach = 0, -1
+    for _, _, s, e in sorted(ivs):
+        island, reach = island + (s > reach), max(reach, e)
+        assert got[s, e] == island
+    sites = sorted({rnd.randrange(300_000) for _ in range(4000)})
+    got = {r.pos: r.grp for r in clusters.group_sites(spark.createDataFrame([("c", p, 1) for p in sites], "contig string, pos long, weight int"), gap=60).collect()}
+    group = 0
+    for a, b in zip([sites[0], *sites], sites):
+        group += b - a > 60
+        assert got[b] == group
+    ranks = clusters.sort_unspliced(spark.createDataFrame(ivs, "contig string, strand string, start long, end long")).collect()
+    assert {(r.start, r.end): r.rank for r in ranks} == {x[2:]: k + 1 for k, x in enumerate(sorted(ivs))}
 
 
 def test_iteration_freezes_settled_clusters(spark):
@@ -102,9 +314,19 @@ def test_components(spark):
 
 def test_sequences(spark):
     df = spark.createDataFrame([("AAAA", "CCATGAAATGA"), ("ATGATG", "ATGTTTTAA"), ("", "ATGCCC")], "a string, b string")
-    got = df.select(S.find_all(F.col("a"), "AA").alias("x"), S.longest_orf(F.col("b")).alias("o"), S.rev_comp(F.lit("ACGU")).alias("r"), S.wrap_sequence(F.lit("abcdef"), 3).alias("w")).collect()
+    got = S.once(df.withColumn("x", S.find_all(F.col("a"), "AA")), o=S.longest_orf(F.col("b"))).select("x", "o", S.find_all(F.lit("a.b.."), ".").alias("dots"), S.rev_comp(F.lit("ACGU")).alias("r"), S.wrap_sequence(F.lit("abcdef"), 3).alias("w")).collect()
     assert [r.x for r in got] == [[0, 1, 2], [], []] and {r.r for r in got} == {"ACGT"} and {r.w for r in got} == {"abc\ndef"}
-    assert [tuple(r.o) for r in got] == [("MK", 2), ("MF", 0), ("", -1)]
+    assert [tuple(r.o) for r in got] == [("MK", 2), ("MF", 0), ("", -1)] and got[0].dots == [1, 3, 4]
+    rnd = random.Random(3)
+    values = [[rnd.randrange(9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 1000)]
+    sums = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v array<int>").select("k", S.sums_before(F.col("v")).alias("s")).collect()
+    assert {r.k: r.s for r in sums} == {k: [sum(v[:i]) for i in range(len(v))] for k, v in enumerate(values)}
+
+
+def test_repeated_attributes(spark):
+    rows = spark.createDataFrame([('gene_id "a"; tag "basic"; tag "CCDS"; note "x y";',), ("",), (None,), ("flag; k \"v\"",)], "t string")
+    got = [r.x for r in rows.select(S.parse_attributes(F.col("t")).alias("x")).collect()]
+    assert got == [{"gene_id": "a", "tag": "CCDS", "note": "x"}, {}, None, {"flag": "", "k": "v"}]
 
 
 def test_rejected_introns(spark):
