@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 1024
+_BEGUN = (20, 14, 9, 5)  # bytes of a piece after which its counts so far are remembered
 #: Fixed value: the split pattern of the byte-level pre-tokeniser.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -77,14 +78,15 @@ class PrefixCounter:
         names = {t["content"] for t in added}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in names}
         self.ranks, self.token, self.none = ranks, {i: token for token, i in ranks.items()}, max(ranks.values()) + 1
-        self.reach = [0] * 256  # the longest token that ends with each byte
+        self.reach: dict[bytes, int] = {}  # last four bytes -> the longest token that ends with them
         for token in ranks:
-            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
+            if len(token) > 3:
+                self.reach[token[-4:]] = max(self.reach.get(token[-4:], 4), len(token))
         self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.pieces = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(sorted(map(regex.escape, names), key=len, reverse=True))) if names else None
         self.spaces = regex.compile(r"\s{2,}(?=\S)").finditer
-        self.cached, self.counts, self.apart = cached, _Counts(self.points, short), {}
+        self.cached, self.counts, self.apart, self.begun = cached, _Counts(self.points, short), {}, {}
 
     def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
@@ -145,13 +147,23 @@ class PrefixCounter:
         return counts[1:]
 
     def inside(self, piece: bytes) -> list[int]:
-        """Token count of piece[:i] for every byte i, by the recurrence over last tokens."""
+        """Token count of piece[:i] for every byte i, by the recurrence over last tokens.
+
+        Counts of a prefix don't depend on what follows it, so pieces that begin alike go on from where they part.
+        """
         if len(self.apart) > self.cached:
             self.apart.clear()
-        rank, apart, reach = self.ranks.get, self.apart.get, self.reach
+        if len(self.begun) > self.cached:
+            self.begun.clear()
+        rank, apart, reach = self.ranks.get, self.apart.get, self.reach.get
         counts, last = [0], [self.none]
-        for i, end in enumerate(piece, 1):
-            for j in range(i - reach[end] if i > reach[end] else 0, i):
+        for k in _BEGUN:
+            if len(piece) > k and (known := self.begun.get(piece[:k])):
+                counts, last = known[0].copy(), known[1].copy()
+                break
+        for i in range(len(counts), len(piece) + 1):
+            far = reach(piece[i - 4 : i], 3) if i > 3 else 3
+            for j in range(i - far if i > far else 0, i):
                 token = rank(piece[j:i])
                 if token is None:
                     continue
@@ -163,6 +175,8 @@ class PrefixCounter:
                     counts.append(counts[j] + 1)
                     last.append(token)
                     break
+            if i in _BEGUN and i < len(piece):
+                self.begun[piece[:i]] = counts.copy(), last.copy()
         return counts
 
     def _stay_apart(self, a: int, b: int) -> bool:
