@@ -181,14 +181,21 @@ def slots(blocks: DataFrame, plan: DataFrame, block: int = BLOCK, shard_slots: i
     return met.select(*_SOURCE, "group", "k", "index", "pass", "shard", "pos", n.alias("n_words"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: their texts are held as Python objects only so many at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as their words joined by one space, compressed; rows without a word are left out."""
     pack, find = zstandard.ZstdCompressor(level=_LEVEL).compress, re.compile(_WORD).findall
-    for b in batches:
-        joined = [" ".join(find(t.as_py() or "")) for t in b.column("text")]
-        kept = pa.array([bool(t) for t in joined])
-        b = b.set_column(b.schema.get_field_index("text"), "text", pa.array([pack(t.encode("utf-8", "replace")) if t else None for t in joined], pa.binary()))
-        yield b.filter(kept)
+    for b in _slices(batches):
+        joined = (" ".join(find(t.as_py() or "")) for t in b.column("text"))
+        packed = pa.array([pack(t.encode("utf-8", "replace")) if t else None for t in joined], pa.binary())
+        b = b.set_column(b.schema.get_field_index("text"), "text", packed)
+        yield b.filter(packed.is_valid())
 
 
 _SPAN = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64())])
@@ -227,7 +234,7 @@ def _fill(block: int, held: int = 8 << 20):
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         unpack, now, group = zstandard.ZstdDecompressor(), None, None
-        for b in batches:
+        for b in _slices(batches):
             for name, absent, of, k, doc_id, text_key, text, slot in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (name, absent, of) != now:
                     if group and group.words:
