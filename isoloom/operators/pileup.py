@@ -204,17 +204,62 @@ def drop_branches(branches: DataFrame, walk: DataFrame, alive: DataFrame | None
     return told.where("fate = 'open'").drop("fate"), branch_edges(told.where("fate in ('open', 'same')"))
 
 
-def _turns(paths: DataFrame, short_weight: int) -> tuple[DataFrame, DataFrame]:
-    """(short, turns): edges of short reads (ref, u, v, n), and the steps (ref, u, v) of best successors that don't just
-    go on along the backbone.
+def _first(o: Column) -> Column:
+    """Name of the first node of an operation =, X or I; see :func:`read_paths`."""
+    at = lambda pos: F.lpad(pos.cast("string"), 10, "0")
+    added = F.concat(at(o["r"] - 1), F.lit("i"), _text(o), F.lit(":00000"))
+    return F.when(o["op"] == "=", backbone_node(o["r"])).when(o["op"] == "X", F.concat(at(o["r"]), F.lit("X"), F.substr(F.col("seq"), (o["q"] + 1).cast("int"), F.lit(1)))).otherwise(added)
+
+
+def _nth(o: Column, k: Column) -> Column:
+    """Name of the k-th node of an operation, from 0: that of an operation which begins there."""
+    later = F.struct(o["op"].alias("op"), (o["r"] + k).alias("r"), (o["q"] + k).alias("q"), F.lit(1).alias("n"))
+    added = F.concat(F.lpad((o["r"] - 1).cast("string"), 10, "0"), F.lit("i"), _text(o), F.lit(":"), F.lpad(k.cast("string"), 5, "0"))
+    return F.when(o["op"] == "I", added).otherwise(_first(later))
 
-    Where no short read goes on from a backbone node, the walk follows the backbone, so only touched nodes are rows.
+
+def read_turns(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, runs) of the reads of :func:`aligned_ops`: the steps of :func:`read_edges`, but those along the backbone as runs.
+
+    turns(ref, u, v): steps from one operation to the next and inside X and I; runs(ref, lo, hi): steps from lo to lo + 1, and so
+    on to hi. A long match is one row, not one per base.
+    """
+    passing = S.once(reads, p=F.filter("ops", lambda o: o["op"].isin("=", "X", "I"))).select("ref", "seq", "p")
+    n = F.size("p")
+    joints = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(_nth(F.get("p", i - 1), F.get("p", i - 1)["n"] - 1).alias("u"), _first(F.get("p", i)).alias("v")))
+    none = F.array().cast("array<struct<u:string,v:string>>")
+    inner = lambda o: F.transform(F.sequence(F.lit(1), o["n"] - 1), lambda k: F.struct(_nth(o, k - 1).alias("u"), _nth(o, k).alias("v")))
+    inside = F.flatten(F.transform("p", lambda o: F.when((o["op"] != "=") & (o["n"] > 1), inner(o)).otherwise(none)))
+    steps = passing.select("ref", F.explode(F.concat(F.when(n > 1, joints).otherwise(none), inside)).alias("e")).select("ref", "e.u", "e.v")
+    along = (kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1))
+    matches = F.filter("p", lambda o: (o["op"] == "=") & (o["n"] > 1))
+    runs = passing.select("ref", F.explode(matches).alias("o")).select("ref", F.col("o.r").cast("long").alias("lo"), (F.col("o.r") + F.col("o.n") - 1).cast("long").alias("hi"))
+    return steps.where(~along), runs.union(steps.where(along).select("ref", position(F.col("u")), position(F.col("u")) + 1))
+
+
+def coverage(runs: DataFrame) -> DataFrame:
+    """(ref, pos, depth): how many of ``runs(ref, lo, hi)`` cover the steps from each of their ends on, to the next."""
+    ends = runs.select("ref", F.col("lo").alias("pos"), F.lit(1).alias("d")).union(runs.select("ref", "hi", F.lit(-1)))
+    order = W.partitionBy("ref").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return ends.groupBy("ref", "pos").agg(F.sum("d").alias("d")).select("ref", "pos", F.sum("d").over(order).alias("depth"))
+
+
+def _turns(reads: DataFrame, short_weight: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(off, depth, turns): the steps of short reads off the backbone (ref, u, v, n), how many take each step along it, and the
+    steps (ref, u, v) of best successors that don't just go on along the backbone.
+
+    Where no short read turns off at a backbone node, the walk follows the backbone, so only places where one does are looked at.
     """
-    short = materialise(read_edges(paths).groupBy("ref", "u", "v").agg(F.count("*").alias("n")), "short")
-    on = short.where(kind(F.col("u")) == "=").select("ref", "u", backbone_node(position(F.col("u")) + 1).alias("v")).distinct()
-    weights = short.select("ref", "u", "v", (F.col("n") * short_weight).alias("weight")).union(on.select("ref", "u", "v", F.lit(1).cast("long"))).groupBy("ref", "u", "v").agg(F.sum("weight").alias("weight"))
+    steps, runs = read_turns(reads)
+    off = materialise(steps.groupBy("ref", "u", "v").agg(F.count("*").alias("n")), "off")
+    depth = materialise(coverage(runs), "depth")
+    asked = off.where(kind(F.col("u")) == "=").select("ref", position(F.col("u")).alias("pos")).distinct()
+    near = W.partitionBy("ref").orderBy("pos", F.col("depth").asc_nulls_last())
+    known = depth.union(asked.withColumn("depth", F.lit(None).cast("long"))).withColumn("here", F.coalesce(F.last("depth", ignorenulls=True).over(near), F.lit(0)))
+    on = known.where("depth is null").select("ref", backbone_node(F.col("pos")).alias("u"), backbone_node(F.col("pos") + 1).alias("v"), (F.col("here") * short_weight + 1).alias("weight"))
+    weights = off.select("ref", "u", "v", (F.col("n") * short_weight).alias("weight")).union(on)
     best = P.best_successor(weights.withColumnRenamed("ref", "cluster")).select(F.col("cluster").alias("ref"), "u", "v")
-    return short, materialise(best.where(~((kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1)))), "turns")
+    return off, depth, materialise(best.where(~((kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1)))), "turns")
 
 
 def _islands(backbone: DataFrame, turns: DataFrame) -> DataFrame:
@@ -248,7 +293,7 @@ def polish_linear(backbone: DataFrame, aln: DataFrame, short_weight: int = 10, p
     the result is taken by a short read; with ``stringent`` only backbones that pass are returned. All
     backbones are polished in one job, and rows are what short reads touch, not bases.
     """
-    short, turns = _turns(read_paths(drop_ambiguous(trim_to_matches(aligned_ops(aln)))), short_weight)
+    off, depth, turns = _turns(drop_ambiguous(trim_to_matches(aligned_ops(aln))), short_weight)
     isles = _islands(backbone, turns).withColumn("gap", F.col("q") - F.col("b") - 1).where(F.col("gap") < psi)
     isles = isles.withColumn("left_out", F.length("text") >= psi).withColumn("text", F.when(F.length("text") < psi, F.col("text")).otherwise(""))
     order = W.partitionBy("ref").orderBy("b")
@@ -261,15 +306,18 @@ def polish_linear(backbone: DataFrame, aln: DataFrame, short_weight: int = 10, p
     pieces = F.transform("isles", lambda x, i: F.concat(slice_(at(i - 1), x["b"] + 1), x["text"]))
     last = slice_(at(F.size("isles") - 1), F.length("seq"))
     fixed = backbone.select("ref", "seq").join(per, "ref", "left").select("ref", F.when(F.col("isles").isNull(), F.col("seq")).otherwise(F.concat(F.array_join(pieces, ""), last)).alias("seq"))
-    # The check: supported steps by their place in the result. A step of the backbone has moved with the island before it.
-    plain = short.where((kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1))).select("ref", position(F.col("u")).alias("pos"))
-    rows = plain.select("ref", "pos", F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("shift")).union(isles.select("ref", "b", "q", F.col("before") + F.length("text") - F.col("gap")))
-    near = W.partitionBy("ref").orderBy("pos", F.col("q").asc_nulls_last())
-    last_of = lambda c: F.last(c, ignorenulls=True).over(near)
-    moved = rows.withColumn("is_plain", F.col("q").isNull()).withColumn("to", F.coalesce(last_of("q"), F.lit(0))).withColumn("by", F.coalesce(last_of("shift"), F.lit(0))).where("is_plain and pos >= to")
-    steps = moved.select("ref", (F.col("pos") + 1 + F.col("by")).alias("first"), (F.col("pos") + 1 + F.col("by")).alias("last"))
+    # The check: supported steps by their place in the result. Steps along the backbone have moved with the island before them;
+    # pieces between places where depth changes or an island begins or ends are counted as one.
+    marks = depth.select("ref", "pos", "depth", F.lit(None).cast("long").alias("moved"), F.lit(None).cast("boolean").alias("kept"))
+    marks = marks.union(isles.select("ref", "b", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(False)))
+    marks = marks.union(isles.select("ref", "q", F.lit(None).cast("long"), F.col("before") + F.length("text") - F.col("gap"), F.lit(True)))
+    near = W.partitionBy("ref").orderBy("pos", F.col("kept").desc_nulls_first())  # an island that begins where one ends comes after it
+    last_of = lambda c, start: F.coalesce(F.last(c, ignorenulls=True).over(near), F.lit(start))
+    pieces = marks.select("ref", "pos", F.lead("pos").over(near).alias("next"), last_of("depth", 0).alias("depth"), last_of("moved", 0).alias("moved"), last_of("kept", True).alias("kept"))
+    pieces = pieces.where("kept and depth > 0 and next > pos")
+    steps = pieces.select("ref", (F.col("pos") + 1 + F.col("moved")).alias("first"), (F.col("next") + F.col("moved")).alias("last"))
     into = F.col("b") + 1 + F.col("before")
-    direct = short.select("ref", "u", "v", F.lit(True).alias("direct"))
+    direct = off.select("ref", "u", "v", F.lit(True).alias("direct"))
     joint = isles.withColumn("u", backbone_node(F.col("b"))).withColumn("v", backbone_node(F.col("q"))).join(direct, ["ref", "u", "v"], "left").where(~F.col("left_out") | F.col("direct"))
     steps = steps.union(joint.select("ref", into, into + F.length("text")))
     ends = fixed.select("ref", F.length("seq").alias("n"))

@@ -39,21 +39,26 @@ VIEWS: dict[str, str] = {
     "v_site": """
         SELECT pos, count(*) AS weight FROM (
           SELECT (extract(day FROM ts) - 1) * 1440 + extract(hour FROM ts) * 60 + CAST(floor(extract(minute FROM ts)) AS INT) AS pos FROM events) x GROUP BY pos""",
-    "v_backbone": "SELECT read_id AS ref, seq FROM v_seq",
+    # backbone = turn of a conversation
+    "v_backbone": """
+        SELECT conv_id * 100 + turn AS ref, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', ''{G}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq
+        FROM conversations""",
     # short reads cut from the backbones: matches, wrong bases, inserted ones, matches, skipped ones, matches
     "v_aln": """
         SELECT rid, ref, start, a || '=' || b || 'X' || c || 'I' || '4=' || d || 'D' || (28 - a - b - c) || '=' AS cigar,
                substr(seq, start + 1, a) || translate(substr(seq, start + a + 1, b), 'ACGT', 'CGTA') || substr(ins, 1, c) || substr(seq, start + a + b + 1, 4) || substr(seq, start + a + b + d + 5, 28 - a - b - c) AS seq
-        FROM (SELECT rid, ref, seq, CAST(p * 16 % least(length(seq) - 40, 400) AS INT) AS start, CAST(5 + p % 5 AS INT) AS a, CAST(1 + p % 2 AS INT) AS b, CAST(1 + ln % 3 AS INT) AS c, CAST(1 + p % 3 AS INT) AS d,
+        FROM (SELECT rid, ref, seq, CAST(p * 16 % (length(seq) - 40) AS INT) AS start, CAST(5 + p % 5 AS INT) AS a, CAST(1 + p % 2 AS INT) AS b, CAST(1 + ln % 3 AS INT) AS c, CAST(1 + p % 3 AS INT) AS d,
                      CASE WHEN q % 11 = 0 THEN 'TNA' ELSE 'TCA' END AS ins
-              FROM (SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS rid, l_orderkey % (SELECT count(*) FROM documents) AS k, l_partkey AS p, l_linenumber AS ln, CAST(min(l_quantity) AS INT) AS q
-                    FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) x JOIN v_backbone ON k = ref WHERE length(seq) > 60) y""",
+              FROM (SELECT l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS rid, l_orderkey % (SELECT count(DISTINCT conv_id) FROM conversations) AS k, l_partkey AS p, l_linenumber AS ln, CAST(min(l_quantity) AS INT) AS q
+                    FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) x
+              JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id) t ON k = conv_id
+              JOIN v_backbone ON ref = conv_id * 100 + p % turns WHERE length(seq) > 60) y""",
     "v_spliced": """
         SELECT tx AS read_id, tx % 500 AS contig, strand, n, s, e FROM (
           SELECT tx, strand, n, lag(e) OVER (PARTITION BY tx ORDER BY n) AS s, s AS e FROM v_exon) x WHERE s IS NOT NULL""",
     "v_dup": "SELECT user_id AS key, event_id AS ord, event_type AS val FROM events",
 }
-NEEDS = {"v_intron": ["v_exon"], "v_spliced": ["v_exon"], "v_backbone": ["v_seq"], "v_aln": ["v_backbone"]}
+NEEDS = {"v_intron": ["v_exon"], "v_spliced": ["v_exon"], "v_aln": ["v_backbone"]}
 
 
 def _closure(names: list[str]) -> list[str]:

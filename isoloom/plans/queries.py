@@ -924,7 +924,7 @@ def read_tracking(v: Fixtures) -> DataFrame:
     return IO.read_tracking(v.spark, _written(v, lines, "tracking"))
 
 
-@query(duck("v_name v_seq", SQL["bin_by_support"].partition("SELECT CASE")[1] + SQL["bin_by_support"].partition("SELECT CASE")[2].replace("count(*) AS n_records", "count(*) AS n_records, CAST(sum(length(seq)) AS BIGINT) AS n_bases").replace("AS n FROM v_name) x", "AS n, seq FROM v_name a JOIN v_seq b ON CAST(string_split(a.read_id, '_')[3] AS BIGINT) = b.read_id) x")))
+@query(duck("v_name v_seq", SQL["bin_by_support"].partition("SELECT CASE")[1] + SQL["bin_by_support"].partition("SELECT CASE")[2].replace("count(*) AS n_records", "count(*) AS n_records, CAST(sum(length(seq)) AS BIGINT) AS n_bases").replace("string_split(read_id,", "string_split(a.read_id,").replace("AS n FROM v_name) x", "AS n, seq FROM v_name a JOIN v_seq b ON CAST(string_split(a.read_id, '_')[3] AS BIGINT) = b.read_id) x")))
 def write_by_bin(v: Fixtures) -> DataFrame:
     path = new_path(v.spark, "bins")
     seqs = v.v_seq.select(F.col("read_id").alias("doc_id"), F.col("seq").alias("sequence"))
