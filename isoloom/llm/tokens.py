@@ -225,3 +225,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool
     n = F.element_at("counts", -1).cast("long")
     rows = prefix_counts(docs, path).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), "counts")
     return rows if prefixes else rows.drop("counts")
+
+
+def prefixes_within(rows: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_points, n_tokens): the longest prefix of at most ``budget`` tokens of every row of :func:`prefix_counts`, in
+    code points, and its count, both looked up in the stored counts. A budget below 0 is met by the empty prefix only."""
+    numbered = F.transform("counts", lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    best = F.array_max(F.filter(numbered, lambda x: (x["c"] <= budget) | (x["i"] == 0)))
+    return rows.select("doc_id", best.alias("best")).select("doc_id", F.col("best.i").alias("n_points"), F.col("best.c").alias("n_tokens"))

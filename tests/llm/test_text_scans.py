@@ -215,6 +215,11 @@ def test_prefix_counts_cover_every_position(spark):
         assert r.counts == want and r.n_tokens == want[-1]
         for budget in (0, 1, 7, 100, 10_000):
             assert counter.truncate(t, budget) == max(n for n, c in enumerate(want) if c <= budget)
+    stored = tokens.prefix_counts(docs, path)
+    for budget in (0, 7):
+        for r in tokens.prefixes_within(stored, budget).collect():
+            t = texts[r.doc_id] or ""
+            assert r.n_points == max(n for n in range(len(t) + 1) if count(t[:n]) <= budget) and r.n_tokens == count(t[: r.n_points])
 
 
 # ---- benchmark
