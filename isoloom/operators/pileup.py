@@ -218,11 +218,11 @@ def _nth(o: Column, k: Column) -> Column:
     return F.when(o["op"] == "I", added).otherwise(_first(later))
 
 
-def read_turns(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns, runs) of the reads of :func:`aligned_ops`: the steps of :func:`read_edges`, but those along the backbone as runs.
+def read_turns(reads: DataFrame) -> DataFrame:
+    """(ref, u, v, n, along): the steps of the reads of :func:`aligned_ops` with how many take them, those along the backbone as runs.
 
-    turns(ref, u, v): steps from one operation to the next and inside X and I; runs(ref, lo, hi): steps from lo to lo + 1, and so
-    on to hi. A long match is one row, not one per base.
+    Not ``along``: steps from one operation to the next and inside X and I. ``along``: all steps of one match from backbone node u
+    on to v. A long match is one row, not one per base.
     """
     passing = S.once(reads, p=F.filter("ops", lambda o: o["op"].isin("=", "X", "I"))).select("ref", "seq", "p")
     n = F.size("p")
@@ -230,16 +230,17 @@ def read_turns(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<struct<u:string,v:string>>")
     inner = lambda o: F.transform(F.sequence(F.lit(1), o["n"] - 1), lambda k: F.struct(_nth(o, k - 1).alias("u"), _nth(o, k).alias("v")))
     inside = F.flatten(F.transform("p", lambda o: F.when((o["op"] != "=") & (o["n"] > 1), inner(o)).otherwise(none)))
-    steps = passing.select("ref", F.explode(F.concat(F.when(n > 1, joints).otherwise(none), inside)).alias("e")).select("ref", "e.u", "e.v")
-    along = (kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1))
-    matches = F.filter("p", lambda o: (o["op"] == "=") & (o["n"] > 1))
-    runs = passing.select("ref", F.explode(matches).alias("o")).select("ref", F.col("o.r").cast("long").alias("lo"), (F.col("o.r") + F.col("o.n") - 1).cast("long").alias("hi"))
-    return steps.where(~along), runs.union(steps.where(along).select("ref", position(F.col("u")), position(F.col("u")) + 1))
+    runs = F.transform(F.filter("p", lambda o: (o["op"] == "=") & (o["n"] > 1)), lambda o: F.struct(_first(o).alias("u"), _nth(o, o["n"] - 1).alias("v")))
+    tell = lambda steps, along: F.transform(steps, lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), F.lit(along).alias("along")))
+    every = F.concat(tell(F.when(n > 1, joints).otherwise(none), False), tell(inside, False), tell(runs, True))
+    steps = passing.select("ref", F.explode(every).alias("e")).groupBy("ref", "e.u", "e.v", "e.along").agg(F.count("*").alias("n"))
+    plain = (kind(F.col("u")) == "=") & (F.col("v") == backbone_node(position(F.col("u")) + 1))
+    return steps.select("ref", "u", "v", "n", (F.col("along") | plain).alias("along"))
 
 
 def coverage(runs: DataFrame) -> DataFrame:
-    """(ref, pos, depth): how many of ``runs(ref, lo, hi)`` cover the steps from each of their ends on, to the next."""
-    ends = runs.select("ref", F.col("lo").alias("pos"), F.lit(1).alias("d")).union(runs.select("ref", "hi", F.lit(-1)))
+    """(ref, pos, depth): how many of ``runs(ref, lo, hi, n)`` cover the steps from each of their ends on, to the next."""
+    ends = runs.select("ref", F.col("lo").alias("pos"), F.col("n").alias("d")).union(runs.select("ref", "hi", -F.col("n")))
     order = W.partitionBy("ref").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     return ends.groupBy("ref", "pos").agg(F.sum("d").alias("d")).select("ref", "pos", F.sum("d").over(order).alias("depth"))
 
@@ -250,9 +251,9 @@ def _turns(reads: DataFrame, short_weight: int) -> tuple[DataFrame, DataFrame, D
 
     Where no short read turns off at a backbone node, the walk follows the backbone, so only places where one does are looked at.
     """
-    steps, runs = read_turns(reads)
-    off = materialise(steps.groupBy("ref", "u", "v").agg(F.count("*").alias("n")), "off")
-    depth = materialise(coverage(runs), "depth")
+    steps = materialise(read_turns(reads), "steps")
+    off = steps.where("not along").select("ref", "u", "v", "n")
+    depth = materialise(coverage(steps.where("along").select("ref", position(F.col("u")).alias("lo"), position(F.col("v")).alias("hi"), "n")), "depth")
     asked = off.where(kind(F.col("u")) == "=").select("ref", position(F.col("u")).alias("pos")).distinct()
     near = W.partitionBy("ref").orderBy("pos", F.col("depth").asc_nulls_last())
     known = depth.union(asked.withColumn("depth", F.lit(None).cast("long"))).withColumn("here", F.coalesce(F.last("depth", ignorenulls=True).over(near), F.lit(0)))
