@@ -1,6 +1,7 @@
 """From raw documents to a training mix: quality, near duplicates, benchmark passages, secrets, mixing.
 
-Every stage takes all that its predecessor kept and, but for the last, returns the columns of ``documents``.
+Every stage takes all that its predecessor kept and, but for the last, returns the columns of ``documents``. Rows without a
+doc_id and repeated rows are documents like others; an empty table goes through all stages and comes out empty.
 """
 
 from __future__ import annotations
@@ -12,27 +13,28 @@ from isoloom.shared import materialise
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, each row judged by its whole text; see ``quality.keep_good``."""
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One document of every group of near duplicates, that with the smallest doc_id; see ``simhash.keep_one``."""
     return simhash.keep_one(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages; null and empty texts stay; see ``decontaminate.decontaminate``."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced in their texts."""
+    """All documents, secrets replaced in their texts; see ``secrets.redact``."""
     return secrets.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document: doc_id, size, source_size, target, taken."""
+    """The mix, written as shards of word blocks, and what it takes of every document: doc_id, size, source_size, target,
+    taken; see ``mixing.mix``."""
     return mixing.mix(docs)
 
 
