@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isoloom.llm import decontaminate, embeddings, licenses, mixing, quality, secrets, simhash, substrings, tokens, warc
+from isoloom.llm import decontaminate, embeddings, licenses, mixing, quality, secrets, sharding, simhash, substrings, tokens, warc
 from isoloom.shared import new_path
 
 
@@ -56,7 +56,11 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_mixing, op5_substrings, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_mixing, op5_substrings, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings, op11_sharding)}
 
 SQL: dict[str, str] = {
     "op1_warc": """
@@ -108,4 +112,21 @@ SQL: dict[str, str] = {
         n AS (SELECT u AS vec_id, count(*) AS n_links FROM link GROUP BY u)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM v LEFT JOIN n USING (vec_id) LEFT JOIN comp USING (vec_id)""",
+    "op11_sharding": """
+        WITH RECURSIVE step AS (
+          SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS c, 0 AS k FROM range(256) t(b)
+          UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+        hex AS (SELECT list('' || substr('0123456789ABCDEF', CAST(b // 16 + 1 AS INT), 1) || substr('0123456789ABCDEF', CAST(b % 16 + 1 AS INT), 1) ORDER BY b) AS h FROM range(256) x(b)),
+        two AS (SELECT map(h, range(256)) AS of FROM hex),
+        d AS (
+          SELECT row_number() OVER () AS r, doc_id, coalesce('k' || doc_id, 'n') AS key, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+                 xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST(of[x] AS BIGINT)),
+                     lambda c, x: xor(t[CAST((xor(c, x) & 255) + 1 AS INT)], c >> 8), 4294967295)) AS text_crc32
+          FROM documents, crc, two),
+        u AS (SELECT r, s, -1.0 / ln((CAST('0x' || substr(md5(key || ':' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS score FROM d, range(17) x(s)),
+        best AS (SELECT r, CAST(arg_max(s, score) FILTER (s < 16) AS INT) AS shard, CAST(arg_max(s, score) AS INT) AS grown_shard FROM u GROUP BY r),
+        o AS (SELECT *, CAST('0x' || substr(md5(key || '/' || text_crc32), 1, 13) AS BIGINT) AS o FROM d JOIN best USING (r))
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY o, doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard
+        FROM o""",
 }
