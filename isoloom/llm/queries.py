@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isoloom.llm import decontaminate, embeddings, licenses, mixing, quality, secrets, sharding, simhash, substrings, tokens, warc
+from isoloom.llm import decontaminate, embeddings, licenses, mixing, quality, search, secrets, sharding, simhash, substrings, tokens, warc
 from isoloom.shared import new_path
 
 
@@ -60,7 +60,11 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_mixing, op5_substrings, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings, op11_sharding)}
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_mixing, op5_substrings, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings, op11_sharding, op12_search)}
 
 SQL: dict[str, str] = {
     "op1_warc": """
@@ -129,4 +133,16 @@ SQL: dict[str, str] = {
         o AS (SELECT *, CAST('0x' || substr(md5(key || '/' || text_crc32), 1, 13) AS BIGINT) AS o FROM d JOIN best USING (r))
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY o, doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard
         FROM o""",
+    "op12_search": r"""
+        WITH t AS (
+          SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+          UNION ALL SELECT 'q', 0, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+        c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS l FROM t WHERE side = 'd' AND len(ws) > 0),
+        tf AS (SELECT side, r, id, term, count(*) AS tf FROM (SELECT side, r, id, unnest(ws) AS term FROM t) x GROUP BY side, r, id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c WHERE side = 'd' GROUP BY term, n_docs),
+        m AS (SELECT r, 25 + (75 * CAST(len(ws) AS BIGINT) * n_docs) // l AS m FROM t, c WHERE side = 'd'),
+        s AS (SELECT q.id AS item_id, d.r, d.id AS doc_id, CAST(sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m))) AS BIGINT) AS score
+              FROM tf q JOIN tf d ON q.term = d.term AND q.side = 'q' AND d.side = 'd' JOIN w ON w.term = d.term JOIN m ON m.r = d.r GROUP BY q.id, d.r, d.id),
+        k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM k WHERE rank <= 10""",
 }
