@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isoloom.llm import decontaminate, embeddings, licenses, mixing, quality, search, secrets, sharding, simhash, substrings, tokens, warc
+from isoloom.llm import collocations, decontaminate, embeddings, licenses, mixing, quality, search, secrets, sharding, simhash, substrings, tokens, warc
 from isoloom.shared import new_path
 
 
@@ -64,7 +64,11 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_mixing, op5_substrings, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings, op11_sharding, op12_search)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_mixing, op5_substrings, op6_secrets, op7_licenses, op8_simhash, op9_tokens, op10_embeddings, op11_sharding, op12_search, op13_collocations)}
 
 SQL: dict[str, str] = {
     "op1_warc": """
@@ -145,4 +149,19 @@ SQL: dict[str, str] = {
               FROM tf q JOIN tf d ON q.term = d.term AND q.side = 'q' AND d.side = 'd' JOIN w ON w.term = d.term JOIN m ON m.r = d.r GROUP BY q.id, d.r, d.id),
         k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
         SELECT * FROM k WHERE rank <= 10""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) x(m) WHERE len(ws) >= m) y),
+        f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+        t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        s AS (SELECT c.lang, c.m, c.phrase, c.a, k, l.a AS l, r.a AS r, n, CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+              FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1 : k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1 : c.m], ' ') JOIN t ON t.lang = c.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, array_to_string(ws[p : p + z - 1], ' ') AS phrase, a FROM (
+                SELECT lang, ws, m, a, z, unnest(range(1, m - z + 2)) AS p FROM (SELECT DISTINCT lang, ws, m, a, unnest(range(2, m)) AS z FROM c WHERE m > 2) x) y),
+        o AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY lang, phrase),
+        k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR longer < a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM k WHERE rank <= 2000""",
 }
