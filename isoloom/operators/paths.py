@@ -121,22 +121,23 @@ def greedy_walks(paths: DataFrame, tail: int = 15) -> DataFrame:
     return owned.select("cluster", "source", "step", "node").union(after)
 
 
-def align_paths(paths: DataFrame, walk: DataFrame, inside: bool = False) -> DataFrame:
+def align_paths(paths: DataFrame, walk: DataFrame) -> DataFrame:
     """Every read of ``paths`` merged with its cluster's ``walk(cluster, node)`` in node order: (cluster, read, node, op).
 
-    op is M for nodes of both, I for the read's alone, D for the walk's alone; with ``inside`` only those of the walk's that lie
-    between the read's first and last node.
+    op is M for nodes of both, I for the read's alone, D for the walk's alone. All walk nodes are listed for all reads, which is the
+    result; what only needs their number takes ranks on the walk, see :func:`walk_ranks`.
     """
-    if inside:
-        spans = paths.groupBy(*READ).agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        wanted = spans.join(walk.select("cluster", "node"), "cluster").where("node between lo and hi")
-    else:
-        wanted = paths.select(*READ).distinct().join(walk.select("cluster", "node"), "cluster")
+    wanted = paths.select(*READ).distinct().join(walk.select("cluster", "node"), "cluster")
     both = paths.select(*READ, "node", F.lit(1).alias("p"), F.lit(0).alias("w")).union(wanted.select(*READ, "node", F.lit(0), F.lit(1)))
     each = both.groupBy(*READ, "node").agg(F.max("p").alias("p"), F.max("w").alias("w"))
     return each.select(*READ, "node", F.when((F.col("p") == 1) & (F.col("w") == 1), "M").when(F.col("p") == 1, "I").otherwise("D").alias("op"))
 
 
+def walk_ranks(walk: DataFrame, key: str = "cluster") -> DataFrame:
+    """(cluster, node, rank): the nodes of each walk numbered along it. Two nodes with ranks p < q have q - p - 1 between them."""
+    return walk.select(key, "node").distinct().withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("node")))
+
+
 def correct_paths(paths: DataFrame, walk: DataFrame, psi: int = 35, correct_ends: bool = False, detect_ends: bool = True) -> tuple[DataFrame, DataFrame]:
     """(paths, flags): small differences of each read to the walk are taken back; flags(cluster, read, differs).
 
@@ -144,49 +145,27 @@ def correct_paths(paths: DataFrame, walk: DataFrame, psi: int = 35, correct_ends
     raise the flag and stay, and the walk's nodes are then ignored; otherwise fewer than ``psi`` of the
     walk's alone are added, more raise the flag. Before the first and after the last match the walk's nodes are
     ignored; with ``detect_ends`` or ``correct_ends`` a run of ``psi`` or more raises the flag, and only
-    ``correct_ends`` drops a shorter one.
+    ``correct_ends`` drops a shorter one. Walk nodes between matches are counted by their ranks; only those that are added become rows.
     """
     w = W.partitionBy(*READ)
-    rows = align_paths(paths, walk, inside=True).withColumn("match", (F.col("op") == "M").cast("int"))
-    rows = rows.withColumn("island", F.sum("match").over(w.orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("matches", F.sum("match").over(w))
+    ranks = materialise(walk_ranks(walk), "ranks")
+    rows = paths.select(*READ, "support", "node").join(ranks, ["cluster", "node"], "left").withColumn("match", F.col("rank").isNotNull().cast("int"))
+    ahead = F.last("rank", ignorenulls=True).over(w.orderBy(F.col("node").desc()).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("next", F.when(F.col("match") == 1, ahead))
+    rows = rows.withColumn("island", F.sum("match").over(w.orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)))
     isle = W.partitionBy(*READ, "island")
-    rows = rows.withColumn("ins", F.count_if(F.col("op") == "I").over(isle)).withColumn("dels", F.count_if(F.col("op") == "D").over(isle))
-    inner = (F.col("island") > 0) & (F.col("island") < F.col("matches"))
+    rows = rows.withColumn("ins", F.sum(1 - F.col("match")).over(isle)).withColumn("dels", F.max(F.col("next") - F.col("rank") - 1).over(isle))
+    inner = F.col("dels").isNotNull()
     large_ins, large_del = F.col("ins") >= psi, (F.col("dels") >= psi) & (F.col("ins") < psi)
-    ends = F.lit(detect_ends or correct_ends)
-    rows = rows.withColumn("differs", F.when(inner, large_ins | large_del).otherwise(ends & large_ins))
-    keep = (
-        F.when(F.col("op") == "M", True)
-        .when(F.col("op") == "I", F.when(inner, large_ins).otherwise(F.lit(not correct_ends) | large_ins))
-        .otherwise(inner & (F.col("dels") < psi) & (F.col("ins") < psi))
-    )
+    rows = rows.withColumn("differs", F.when(inner, large_ins | large_del).otherwise(F.lit(detect_ends or correct_ends) & large_ins))
+    rows = materialise(rows, "islands")
     flags = rows.groupBy(*READ).agg(F.bool_or("differs").alias("differs"))
-    kept = rows.where(keep).withColumn("pos", F.row_number().over(w.orderBy("node")))
-    support = paths.groupBy(*READ).agg(F.max("support").alias("support"))
-    return kept.join(support, READ).select("cluster", "read", "support", "pos", "node"), flags
-
-
-def correct_by_walks(paths: DataFrame, walks: DataFrame, psi: int = 35, correct_ends: bool = False, detect_ends: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(paths, flags): :func:`correct_paths` by each of a cluster's ``walks(cluster, source, node)``, in order of their sources,
-    each on what the one before left. A read differs if it differs from every walk.
-
-    A round is one job for all clusters that have so many walks; the others are done.
-    """
-    ranked = materialise(walks.select("cluster", "source", "node").withColumn("rank", F.dense_rank().over(W.partitionBy("cluster").orderBy("source"))).select("cluster", "rank", "node"), "walks")
-    columns = ["cluster", "read", "support", "pos", "node"]
-    now, done, flags, rank = materialise(paths.select(columns), "paths"), [], [], 1
-    while True:
-        walk = ranked.where(F.col("rank") == rank).select("cluster", "node")
-        clusters = walk.select("cluster").distinct()
-        done.append(materialise(now.join(clusters, "cluster", "left_anti").select(columns), "corrected"))
-        fixed, told = correct_paths(now.join(clusters, "cluster", "left_semi").select(columns), walk, psi, correct_ends, detect_ends)
-        after = materialise(fixed.select(columns), "paths")
-        flags.append(materialise(told, "flags"))
-        discard(now)
-        now, rank = after, rank + 1
-        if now.isEmpty():
-            break
-    return reduce(DataFrame.union, done), reduce(DataFrame.union, flags).groupBy(*READ).agg(F.bool_and("differs").alias("differs"))
+    kept = rows.where((F.col("match") == 1) | large_ins | (~inner & F.lit(not correct_ends))).select(*READ, "support", "node")
+    gaps = rows.where((F.col("match") == 1) & (F.col("dels") > 0) & (F.col("dels") < psi) & ~large_ins)
+    gaps = gaps.select(*READ, "support", F.explode(F.sequence(F.col("rank") + 1, F.col("next") - 1)).alias("rank"))
+    added = gaps.join(ranks, ["cluster", "rank"]).select(*READ, "support", "node")
+    out = kept.union(added).withColumn("pos", F.row_number().over(w.orderBy("node")))
+    return out.select("cluster", "read", "support", "pos", "node"), flags
 
 
 def sum_support(groups: DataFrame, key: str = "cluster") -> DataFrame:
@@ -206,42 +185,17 @@ def heaviest_path(paths: DataFrame) -> DataFrame:
 def compatible_reads(paths: DataFrame, walk: DataFrame, ends_delta: int = 35) -> DataFrame:
     """(cluster, read, support): reads that, but for ``ends_delta`` nodes at either end, equal the walk over their span.
 
-    Reads of at most twice ``ends_delta`` nodes have nothing to compare and are compatible.
+    Reads of at most twice ``ends_delta`` nodes have nothing to compare and are compatible. A read equals the walk where all its nodes are on it
+    and their ranks have no gap.
     """
     n = F.count("*").over(W.partitionBy(*READ))
-    middle = paths.withColumn("n", n).where((F.col("pos") > ends_delta) & (F.col("pos") <= F.col("n") - ends_delta))
-    span = middle.groupBy(*READ).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n_read"))
-    on_walk = middle.join(walk.select("cluster", "node"), ["cluster", "node"], "left_semi").groupBy(*READ).agg(F.count("*").alias("n_both"))
-    in_span = span.join(walk.select("cluster", "node"), "cluster").where("node between lo and hi").groupBy(*READ).agg(F.count("*").alias("n_walk"))
-    reads = paths.groupBy(*READ).agg(F.max("support").alias("support"))
-    told = reads.join(span, READ, "left").join(on_walk, READ, "left").join(in_span, READ, "left")
-    same = (F.col("n_read") == F.coalesce("n_both", F.lit(0))) & (F.col("n_read") == F.coalesce("n_walk", F.lit(0)))
-    return told.where(F.col("n_read").isNull() | same).select(*READ, "support")
-
-
-def decompose_paths(paths: DataFrame, ends_delta: int = 35) -> DataFrame:
-    """(cluster, isoform, pos, node, support): repeat until no reads are left: the heaviest path of each cluster is
-    an isoform, supported by the compatible reads, which go. Where none is compatible, the best supported read's
-    own path (the smallest read among equals) is the isoform, so that every round makes progress in every cluster and there
-    are as many rounds as the cluster with most isoforms has.
-    """
-    rest, out = materialise(paths.select("cluster", "read", "support", "pos", "node"), "rest"), []
-    while not rest.isEmpty():
-        walk = materialise(heaviest_path(rest), "walk")
-        taken = materialise(compatible_reads(rest, walk, ends_delta), "taken")
-        stuck = materialise(rest.select("cluster").distinct().join(taken.select("cluster").distinct(), "cluster", "left_anti"), "stuck")
-        best = rest.join(stuck, "cluster", "left_semi").groupBy("cluster").agg(F.min(F.struct((-F.col("support")).alias("s"), "read")).alias("x")).select("cluster", "x.read", (-F.col("x.s")).alias("support"))
-        best = materialise(best, "best")
-        own = rest.join(best, READ, "left_semi").select("cluster", "node")
-        walk = walk.join(stuck, "cluster", "left_anti").union(own)
-        taken = materialise(taken.union(best), "taken")
-        order = F.row_number().over(W.partitionBy("cluster").orderBy("node"))
-        number = F.lit(len(out))
-        out.append(materialise(walk.withColumn("pos", order).join(sum_support(taken), "cluster").select("cluster", number.alias("isoform"), "pos", "node", "support"), "isoform"))
-        after = materialise(rest.join(taken, READ, "left_anti").select("cluster", "read", "support", "pos", "node"), "rest")
-        discard(rest)
-        rest = after
-    return reduce(DataFrame.union, out) if out else paths.select("cluster", F.lit(0).alias("isoform"), "pos", "node", "support").limit(0)
+    middle = (F.col("pos") > ends_delta) & (F.col("pos") <= F.col("n") - ends_delta)
+    rows = paths.withColumn("n", n).join(walk_ranks(walk), ["cluster", "node"], "left")
+    told = rows.groupBy(*READ).agg(
+        F.max("support").alias("support"), F.count_if(middle).alias("n_read"), F.count_if(middle & F.col("rank").isNotNull()).alias("n_both"),
+        (F.max(F.when(middle, F.col("rank"))) - F.min(F.when(middle, F.col("rank"))) + 1).alias("n_walk"),
+    )
+    return told.where("n_read = 0 or (n_read = n_both and n_read = n_walk)").select(*READ, "support")
 
 
 def path_sequence(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -326,12 +280,19 @@ def gapped_rows(paths: DataFrame, letter, columns: DataFrame) -> DataFrame:
     """(cluster, read, row): one letter per column of the cluster, ``-`` where the read has none.
 
     ``columns(cluster, node, column)`` gives each node its ring; a column is there if any node of it is, in order of
-    ``column``. A read has one node of a ring at most.
+    ``column``. A read has one node of a ring at most. Columns are numbered once and gaps filled by their width, so rows are those of reads.
     """
-    every = paths.select(*READ).distinct().join(columns.select("cluster", "column").distinct(), "cluster")
-    there = paths.select(*READ, "node", letter.alias("nts")).join(columns.select("cluster", "node", "column"), ["cluster", "node"]).select(*READ, "column", "nts")
-    full = every.join(there, [*READ, "column"], "left").select(*READ, "column", F.coalesce("nts", F.lit("-")).alias("nts"))
-    return full.groupBy(*READ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "nts"))), lambda x: x["nts"]), "").alias("row"))
+    w = W.partitionBy("cluster")
+    ranks = columns.select("cluster", "column").distinct().withColumn("rank", F.row_number().over(w.orderBy("column"))).withColumn("width", F.count("*").over(w))
+    ranks = materialise(ranks, "columns")
+    placed = columns.select("cluster", "node", "column").join(ranks.drop("width"), ["cluster", "column"]).select("cluster", "node", "rank")
+    there = paths.select(*READ, "node", letter.alias("nts")).join(placed, ["cluster", "node"], "left")
+    rows = there.groupBy(*READ).agg(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "nts")))).alias("x"))
+    rows = rows.join(ranks.select("cluster", "width").distinct(), "cluster")
+    before = lambda i: F.coalesce(F.get("x", i - 1)["rank"], F.lit(0))
+    parts = F.transform("x", lambda c, i: F.concat(F.repeat(F.lit("-"), c["rank"] - before(i) - 1), c["nts"]))
+    last = F.coalesce(F.get("x", F.size("x") - 1)["rank"], F.lit(0))
+    return rows.select(*READ, F.concat(F.array_join(parts, ""), F.repeat(F.lit("-"), (F.col("width") - last).cast("int"))).alias("row"))
 
 
 def linear_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoloom.functions import sequences as S
+from isoloom.operators import decompose as D
 from isoloom.operators import paths as P
 from isoloom.shared import discard, materialise
 
@@ -182,9 +183,10 @@ def branch_fates(branches: DataFrame, walk: DataFrame, alive: DataFrame | None =
     nodes = F.split("branch", " ")
     ends = branches.withColumn("x", nodes).withColumn("a", F.get("x", F.lit(0))).withColumn("z", F.element_at("x", -1)).withColumn("n", F.size("x"))
     key = ["ref", "branch"]
-    on = ends.select(*key, F.explode("x").alias("node")).join(walk.select("ref", "node"), ["ref", "node"], "left_semi").groupBy(*key).agg(F.count("*").alias("n_on"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    reach = ends.select(*key, "a", "z").join(walk.select("ref", "node"), "ref").where("node between a and z").groupBy(*key).agg(F.count("*").alias("n_walk"))
-    told = ends.join(on, key, "left").join(reach, key, "left")
+    ranks = P.walk_ranks(walk, "ref")
+    on = ends.select(*key, F.explode("x").alias("node")).join(ranks, ["ref", "node"]).groupBy(*key)
+    on = on.agg(F.count("*").alias("n_on"), F.min("node").alias("lo"), F.max("node").alias("hi"), (F.max("rank") - F.min("rank") + 1).alias("n_walk"))
+    told = ends.join(on, key, "left")
     dead = F.lit(False)
     if alive is not None:
         for end in ("a", "z"):
@@ -328,19 +330,11 @@ def polish_linear(backbone: DataFrame, aln: DataFrame, short_weight: int = 10, p
     return told.where("ok") if stringent else told
 
 
-def merge_chunks(chunks: DataFrame) -> DataFrame:
-    """Edges of chunk results with their weights: sums don't depend on the order in which chunks are merged."""
+def sum_edges(chunks: DataFrame) -> DataFrame:
+    """Edges of chunk results (cluster, u, v, weight) with the sums of their weights."""
     return chunks.groupBy("cluster", "u", "v").agg(F.sum("weight").alias("weight"))
 
 
-def merge_isoforms(isoforms: DataFrame, ends_delta: int = 35) -> DataFrame:
-    """The isoforms (cluster, chunk, isoform, pos, node, support) of the chunks of each cluster, decomposed again as reads with
-    their supports: (cluster, isoform, pos, node, support). All chunks are merged at once, so their order doesn't matter."""
-    reads = isoforms.select("cluster", F.struct("chunk", "isoform").alias("read"), "support", "pos", "node")
-    number = reads.select("cluster", "read").distinct().withColumn("n", F.row_number().over(W.partitionBy("cluster").orderBy("read")))
-    return P.decompose_paths(reads.join(number, ["cluster", "read"]).select("cluster", F.col("n").alias("read"), "support", "pos", "node"), ends_delta)
-
-
 def iterate_until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, max_iterations: int = 5) -> DataFrame:
     """Repeat ``step`` on clusters whose rows still change; a cluster that comes out as it went in is frozen.
 
@@ -372,4 +366,4 @@ def unconverged_only(state: DataFrame, frozen: DataFrame, key: str = "cluster")
 
 def correct_until_stable(paths: DataFrame, max_iterations: int = 5, psi: int = 35) -> DataFrame:
     """Reads corrected towards the greedy walks of their cluster, one after another, until nothing changes."""
-    return iterate_until_stable(paths, lambda now: P.correct_by_walks(now, P.greedy_walks(now), psi)[0], "cluster", max_iterations)
+    return iterate_until_stable(paths, lambda now: D.correct_by_walks(now, P.greedy_walks(now), psi)[0], "cluster", max_iterations)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoloom.functions import sequences as S
 from isoloom.operators import clusters as L
 from isoloom.operators import compare as C
+from isoloom.operators import decompose as D
 from isoloom.operators import paths as P
 from isoloom.operators import pileup as U
 from isoloom.operators import structure as I
@@ -593,17 +594,17 @@ def sum_support(v: Fixtures) -> DataFrame:
 
 @query()
 def decompose_paths(v: Fixtures) -> DataFrame:
-    return P.decompose_paths(v.v_path, ends_delta=30)
+    return D.decompose_paths(v.v_path, ends_delta=30)
 
 
 @query()
 def correct_by_walks(v: Fixtures) -> DataFrame:
-    return P.correct_by_walks(v.v_path, P.greedy_walks(v.v_path), psi=3)[0]
+    return D.correct_by_walks(v.v_path, P.greedy_walks(v.v_path), psi=3)[0]
 
 
 @query()
 def differs_from_walks(v: Fixtures) -> DataFrame:
-    return P.correct_by_walks(v.v_path, P.greedy_walks(v.v_path), psi=3)[1]
+    return D.correct_by_walks(v.v_path, P.greedy_walks(v.v_path), psi=3)[1]
 
 
 _LETTER = "substr('ACGT', CAST(node % 4 + 1 AS INT), 1)"
@@ -841,16 +842,23 @@ def pileup_consensus(v: Fixtures) -> DataFrame:
 
 
 @query(duck("v_path", "SELECT cluster, u, v, weight FROM edge", more=_EDGE))
-def merge_chunks(v: Fixtures) -> DataFrame:
+def sum_chunk_edges(v: Fixtures) -> DataFrame:
     chunked = P.steps(v.v_path).withColumn("chunk", F.pmod(F.xxhash64("read"), F.lit(7))).groupBy("cluster", "chunk", "u", "v").agg(F.sum("support").alias("weight"))
-    return U.merge_chunks(chunked)
+    return U.sum_edges(chunked)
+
+
+@query()
+def merge_chunks(v: Fixtures) -> DataFrame:
+    chunked = v.v_path.withColumn("cluster", F.struct("cluster", (F.col("read") % 5).alias("chunk")))
+    parts = D.decompose_paths(chunked, ends_delta=3)
+    return D.merge_isoforms(parts.select("cluster.*", "isoform", "pos", "node", "support"), ends_delta=3)
 
 
 @query()
 def merge_isoforms(v: Fixtures) -> DataFrame:
     chunked = v.v_path.withColumn("chunk", F.col("read") % 2).withColumn("cluster", F.struct("cluster", "chunk")).drop("chunk")
-    parts = P.decompose_paths(chunked, ends_delta=30)
-    return U.merge_isoforms(parts.select("cluster.*", "isoform", "pos", "node", "support"), ends_delta=30)
+    parts = D.decompose_paths(chunked, ends_delta=30)
+    return D.merge_isoforms(parts.select("cluster.*", "isoform", "pos", "node", "support"), ends_delta=30)
 
 
 @query(duck("v_path", "SELECT * FROM v_path WHERE cluster NOT IN (SELECT cluster FROM v_path GROUP BY cluster HAVING count(*) % 2 = 0)"))

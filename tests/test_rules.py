@@ -1,12 +1,14 @@
 """Rules that SQL doesn't state well, against row-by-row restatements on random cases."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from isoloom.functions import sequences as S
-from isoloom.operators import clusters, components, paths, pileup
+from isoloom.operators import clusters, components, decompose, paths, pileup
 from isoloom.operators import structure as I
 
 
@@ -62,41 +64,73 @@ def test_correct_paths(spark, ends):
         assert (got.get(key, []), told[key]) == (want, differs)
 
 
-def heaviest(reads):
-    """From the most supported node along heaviest edges both ways; smallest nodes among equals. reads: id -> (support, nodes)."""
-    node, edge = {}, {}
-    for s, ns in reads.values():
-        for n in ns:
-            node[n] = node.get(n, 0) + s
-        for e in zip(ns, ns[1:]):
-            edge[e] = edge.get(e, 0) + s
-    top = min(node, key=lambda n: (-node[n], n))
-    walk, at = {top}, top
-    while out := [e for e in edge if e[0] == at]:
-        at = min(out, key=lambda e: (-edge[e], e[1]))[1]
-        walk.add(at)
-    at = top
-    while into := [e for e in edge if e[1] == at]:
-        at = min(into, key=lambda e: (-edge[e], e[0]))[0]
-        walk.add(at)
-    return walk
-
-
-def decomposed(reads, delta):
-    reads, out = dict(reads), []
-    while reads:
-        walk, taken = heaviest(reads), []
-        for r, (_, ns) in reads.items():
-            mid = ns[delta : len(ns) - delta]
-            if not mid or mid == sorted(n for n in walk if mid[0] <= n <= mid[-1]):
-                taken.append(r)
-        if not taken:
-            r = min(reads, key=lambda r: (-reads[r][0], r))
-            walk, taken = set(reads[r][1]), [r]
-        out.append((sorted(walk), sum(reads.pop(r)[0] for r in taken)))
+def conditioned(reads, delta):
+    """Isoforms of one chunk by sets: reads is a list of (support, nodes)."""
+    rest, out = dict(enumerate(reads)), []
+    while rest:
+        nodes, edges = {}, {}
+        for s, ns in rest.values():
+            for n in ns:
+                nodes[n] = nodes.get(n, 0) + s
+            for e in zip(ns, ns[1:]):
+                edges.setdefault(e, s)
+        seed = min(nodes, key=lambda n: (-nodes[n], n))
+        readers = {r for r, (_, ns) in rest.items() if seed in ns}
+        walk = [seed]
+        # Readers open at an end of the walk: the high end is True, the low end False.
+        room = lambda r, n, high: len(rest[r][1]) - rest[r][1].index(n) if high else rest[r][1].index(n)
+        open_ = {h: {r for r in readers if room(r, seed, h) >= delta} for h in (True, False)}
+        beside = lambda r, n, high: dict(zip(rest[r][1], rest[r][1][1:]) if high else zip(rest[r][1][1:], rest[r][1])).get(n)
+        while True:
+            best = {}
+            for high in (False, True):
+                at = walk[-1] if high else walk[0]
+                ways = {v for u, v in edges if u == at} if high else {u for u, v in edges if v == at}
+                if len(ways) == 1:
+                    best[high] = (float("inf"), *ways)
+                for who in (open_[high] & readers, readers):
+                    votes = {}
+                    for r in who:
+                        if (n := beside(r, at, high) if at in rest[r][1] else None) is not None:
+                            votes[n] = votes.get(n, 0) + rest[r][0]
+                    if votes and high not in best:
+                        n = min(votes, key=lambda n: (-votes[n], n))
+                        best[high] = (votes[n], n)
+            if not best:
+                break
+            high = max(best, key=lambda h: (best[h][0], not h))
+            at, to = walk[-1] if high else walk[0], best[high][1]
+            for r in [*open_[high] & readers]:
+                n = beside(r, at, high)
+                if n is None:
+                    open_[high].discard(r)
+                elif n != to:
+                    readers.discard(r)
+                elif room(r, to, high) < delta:
+                    open_[high].discard(r)
+            walk = [*walk, to] if high else [to, *walk]
+        out.append((walk, sum(rest.pop(r)[0] for r in sorted(readers))))
     return out
 
 
+def distinct(reads):
+    out = {}
+    for s, ns in reads:
+        out[tuple(ns)] = out.get(tuple(ns), 0) + s
+    return [(s, list(ns)) for ns, s in sorted(out.items())]
+
+
+def listed(forms):
+    return sorted(forms, key=lambda x: (-x[1], x[0]))
+
+
+def isoforms(df):
+    got = {}
+    for x in df.collect():
+        got.setdefault(x.cluster, {}).setdefault(x.isoform, []).append((x.pos, x.node, x.support))
+    return {c: [([n for _, n, _ in sorted(m)], m[0][2]) for _, m in sorted(forms.items())] for c, forms in got.items()}
+
+
 def random_reads(rnd, clusters, reads, isoforms):
     rows = {}
     for c in range(clusters):
@@ -111,33 +145,62 @@ def frame(spark, rows):
     return spark.createDataFrame([(c, r, s, i + 1, n) for (c, r), (s, ns) in rows.items() for i, n in enumerate(ns)], "cluster int, read int, support long, pos int, node int")
 
 
-def test_decomposition(spark):
-    rows = random_reads(random.Random(4), 3, 9, 3)
-    got = {}
-    for x in paths.decompose_paths(frame(spark, rows), ends_delta=6).collect():
-        got.setdefault((x.cluster, x.isoform), []).append((x.pos, x.node, x.support))
+@pytest.mark.parametrize("delta", [0, 3, 6])
+def test_decomposition(spark, delta):
+    rows = random_reads(random.Random(4), 5, 20, 4)
+    got = isoforms(decompose.decompose_paths(frame(spark, rows), ends_delta=delta))
+    want = {c: listed(conditioned(distinct([x for (k, _), x in rows.items() if k == c]), delta)) for c in range(5)}
+    assert got == want and max(map(len, want.values())) > 3
+    assert any(s > 3 for forms in want.values() for _, s in forms)
+
+
+def test_walks_depend_on_the_readers_they_have():
+    # Most paths through 5 come from 0, but those that go on to 8 come from 1: no walk joins 0 and 8.
+    reads = [(1, [0, 5, 6, 9])] * 3 + [(1, [1, 5, 6, 8])] * 2 + [(1, [6, 8])] * 3
+    assert conditioned(distinct(reads), 0) == [([1, 5, 6, 8], 5), ([0, 5, 6, 9], 3)]
+    for k in range(200):
+        rnd = random.Random(k)
+        reads = distinct([(rnd.randint(1, 3), sorted(rnd.sample(range(9), rnd.randint(1, 6)))) for _ in range(rnd.randint(1, 12))])
+        delta = rnd.randint(0, 4)
+        got = [(p.tolist(), s) for p, s in decompose.isoforms_of([np.array(n) for _, n in reads], np.array([s for s, _ in reads]), delta)]
+        assert got == conditioned(reads, delta), (k, reads, delta)
+
+
+def test_many_isoforms_in_one_cluster(spark):
+    # 500 isoforms: one chunk, then chunks that are merged level by level.
+    alone = {(0, r): (1 + r % 3, [r * 10 + k for k in range(6)]) for r in range(500)}
+    began = time.time()
+    for chunk in (1000, 40):
+        got = isoforms(decompose.decompose_paths(frame(spark, alone), ends_delta=2, chunk=chunk))
+        assert got == {0: listed([(ns, s) for s, ns in alone.values()])}
+    assert time.time() - began < 60
+
+
+def test_merging_keeps_supports_and_reunites_equal_isoforms(spark):
+    rnd = random.Random(5)
+    rows = random_reads(rnd, 3, 60, 3)
+    for chunk in (7, 200):
+        got = isoforms(decompose.decompose_paths(frame(spark, rows), ends_delta=6, chunk=chunk))
+        for c in range(3):
+            assert sum(s for _, s in got[c]) == sum(s for (k, _), (s, _) in rows.items() if k == c)
+            assert len({tuple(p) for p, _ in got[c]}) == len(got[c])
+    parts = [(c, k, i, j + 1, n, s) for c in range(3) for k in range(2) for i, (ns, s) in enumerate(listed(conditioned(distinct([x for (q, r), x in rows.items() if q == c and r % 2 == k]), 6))) for j, n in enumerate(ns)]
+    out = isoforms(decompose.merge_isoforms(spark.createDataFrame(parts, "cluster int, chunk int, isoform int, pos int, node int, support long"), ends_delta=6))
     for c in range(3):
-        want = decomposed({r: x for (k, r), x in rows.items() if k == c}, 6)
-        mine = [sorted(got[k]) for k in sorted(got) if k[0] == c]
-        assert [([n for _, n, _ in m], m[0][2]) for m in mine] == want and len(want) > 2
-    # As many rounds as it takes.
-    alone = {(0, r): (1, [r * 10, r * 10 + 1, r * 10 + 2]) for r in range(5)}
-    assert paths.decompose_paths(frame(spark, alone), ends_delta=0).select("isoform").distinct().count() == 5
-
-
-def test_merged_isoforms_are_decomposed_again(spark):
-    rows = random_reads(random.Random(5), 2, 6, 2)
-    isoforms = [(c, k, i, j + 1, n, s) for c in range(2) for k in range(2) for i, (ns, s) in enumerate(decomposed({r: x for (q, r), x in rows.items() if q == c and r % 2 == k}, 6)) for j, n in enumerate(ns)]
-    out = pileup.merge_isoforms(spark.createDataFrame(isoforms, "cluster int, chunk int, isoform int, pos int, node int, support long"), ends_delta=6)
-    got = {}
-    for x in out.collect():
-        got.setdefault((x.cluster, x.isoform), []).append((x.pos, x.node, x.support))
-    for c in range(2):
-        reads = {}
-        for _, k, i, _, n, s in sorted(x for x in isoforms if x[0] == c):
-            reads.setdefault((k, i), (s, []))[1].append(n)
-        want = decomposed({j: x for j, (_, x) in enumerate(sorted(reads.items()))}, 6)
-        assert [([n for _, n, _ in sorted(got[k])], got[k][0][2]) for k in sorted(got) if k[0] == c] == want
+        both = {}
+        for x in parts:
+            if x[0] == c:
+                both.setdefault((x[1], x[2]), (x[5], []))[1].append(x[4])
+        assert out[c] == listed(conditioned(distinct(both.values()), 6))
+
+
+def test_merging_takes_the_smallest_two_first(spark):
+    # Chunks of 1, 1 and 3 paths: the two small ones meet first.
+    paths_of = {0: [[1, 2]], 1: [[1, 2]], 2: [[5, 6], [7, 8], [1, 2, 3]]}
+    rows = [(0, k, i, j + 1, n, 1) for k, ps in paths_of.items() for i, ns in enumerate(ps) for j, n in enumerate(ns)]
+    for turn in ({0: 0, 1: 1, 2: 2}, {0: 2, 1: 0, 2: 1}):
+        df = spark.createDataFrame([(c, turn[k], i, j, n, s) for c, k, i, j, n, s in rows], "cluster int, chunk int, isoform int, pos int, node int, support long")
+        assert isoforms(decompose.merge_isoforms(df, ends_delta=0)) == {0: [([1, 2, 3], 3), ([5, 6], 1), ([7, 8], 1)]}
 
 
 def walks_of(reads, tail):
@@ -168,7 +231,7 @@ def test_walks_and_correction_by_all_of_them(spark):
         got.setdefault((x.cluster, x.source), []).append((x.step, x.node))
     want = {(c, w[0]): w for c in range(4) for w in walks_of({r: x for (k, r), x in rows.items() if k == c}, 3)}
     assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == want and len(want) > 5
-    fixed, flags = paths.correct_by_walks(df, walks, psi=4)
+    fixed, flags = decompose.correct_by_walks(df, walks, psi=4, chunk=3)
     mine = {(r.cluster, r.read): r.x for r in fixed.groupBy("cluster", "read").agg(F.array_sort(F.collect_list("node")).alias("x")).collect()}
     told = {(r.cluster, r.read): r.differs for r in flags.collect()}
     for (c, r), (_, ns) in rows.items():
