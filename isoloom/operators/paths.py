@@ -100,16 +100,16 @@ def owners(following: DataFrame, starts: DataFrame) -> DataFrame:
     return now
 
 
-def greedy_walks(paths: DataFrame, tail: int = 15) -> DataFrame:
-    """(cluster, source, step, node): heaviest walks from the distinct first nodes, in ascending order.
+def walks_from(edges: DataFrame, starts: DataFrame, tail: int = 15) -> DataFrame:
+    """(cluster, source, step, node): heaviest walks along ``edges(cluster, u, v, weight)`` from ``starts(cluster, node)``, in ascending order.
 
     A walk that meets a node of an earlier one takes it and up to ``tail`` more, and ends. Successors
     are a function, so walks that meet stay together and the walk that owns a node is the smallest source that
-    reaches it. A first node on an earlier walk begins no walk. A walk is what its source owns, which no other
+    reaches it. A start on an earlier walk begins no walk. A walk is what its source owns, which no other
     walk has, and the steps beyond: rows grow with the nodes, not with sources times nodes.
     """
-    starts = materialise(paths.groupBy(*READ).agg(F.min("node").alias("node")).select("cluster", "node").distinct(), "starts")
-    following = materialise(best_successor(edge_weights(paths)).select("cluster", "u", "v"), "following")
+    starts = materialise(starts, "starts")
+    following = materialise(best_successor(edges).select("cluster", "u", "v"), "following")
     owner = owners(following, starts)
     of = lambda c: owner.select("cluster", F.col("node").alias(c), F.col("owner").alias(f"of_{c}"))
     own = following.join(of("u"), ["cluster", "u"]).join(of("v"), ["cluster", "v"]).where("of_u = of_v")
@@ -121,6 +121,12 @@ def greedy_walks(paths: DataFrame, tail: int = 15) -> DataFrame:
     return owned.select("cluster", "source", "step", "node").union(after)
 
 
+def greedy_walks(paths: DataFrame, tail: int = 15) -> DataFrame:
+    """(cluster, source, step, node): :func:`walks_from` the distinct first nodes of the reads of ``paths``, along their edges."""
+    starts = paths.groupBy(*READ).agg(F.min("node").alias("node")).select("cluster", "node").distinct()
+    return walks_from(edge_weights(paths), starts, tail)
+
+
 def align_paths(paths: DataFrame, walk: DataFrame) -> DataFrame:
     """Every read of ``paths`` merged with its cluster's ``walk(cluster, node)`` in node order: (cluster, read, node, op).
 

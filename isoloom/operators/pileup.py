@@ -350,7 +350,7 @@ def iterate_until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame
         frozen = materialise(after.join(same, key, "left_semi").withColumn("iteration", F.lit(done)), "frozen")
         parts.append(frozen)
         discard(active)
-        active = materialise(after.join(frozen.select(key).distinct(), key, "left_anti"), "state")
+        active = materialise(unconverged_only(after, frozen, key), "state")
         if active.isEmpty():
             break
     out = active.withColumn("iteration", F.lit(done))

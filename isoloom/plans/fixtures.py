@@ -53,12 +53,31 @@ VIEWS: dict[str, str] = {
                     FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) x
               JOIN (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id) t ON k = conv_id
               JOIN v_backbone ON ref = conv_id * 100 + p % turns WHERE length(seq) > 60) y""",
+    # reads with clipped and ragged ends, and some without any match
+    "v_clip": """
+        SELECT rid, ref, CAST(start - CASE WHEN rid % 6 IN (1, 5) AND start >= 2 THEN 2 ELSE 0 END AS INT) AS start,
+               CASE rid % 6 WHEN 0 THEN '3S' || cigar || '2S' WHEN 1 THEN CASE WHEN start >= 2 THEN '2X' || cigar ELSE cigar END WHEN 2 THEN cigar || '2I1S'
+                            WHEN 3 THEN '1I' || cigar || '1D2X' WHEN 4 THEN replace(cigar, '=', 'X') ELSE CASE WHEN start >= 2 THEN '1S1I1X1D' || cigar || '1D' ELSE cigar END END AS cigar,
+               CASE rid % 6 WHEN 0 THEN 'GGG' || seq || 'TT' WHEN 1 THEN CASE WHEN start >= 2 THEN 'NN' || seq ELSE seq END WHEN 2 THEN seq || 'GNC'
+                            WHEN 3 THEN 'N' || seq || 'NN' WHEN 4 THEN seq ELSE CASE WHEN start >= 2 THEN 'ANA' || seq ELSE seq END END AS seq
+        FROM v_aln""",
+    # a cluster is a conversation, its nodes are the texts of turns; isoform 0 has all turns, isoform 1 the even ones
+    "v_turn": """
+        SELECT cluster, node, nts, CAST(coalesce(sum(length(nts)) OVER (PARTITION BY cluster ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+        FROM (SELECT CAST(floor(ref / 100) AS BIGINT) AS cluster, ref % 100 AS node, seq AS nts FROM v_backbone) x""",
+    "v_isoform": """
+        SELECT cluster, read, support, row_number() OVER (PARTITION BY cluster, read ORDER BY node) AS pos, node,
+               CAST(coalesce(sum(length(nts)) OVER (PARTITION BY cluster, read ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+        FROM (SELECT cluster, 0 AS read, 2 + cluster % 3 AS support, node, nts FROM v_turn UNION ALL SELECT cluster, 1, 1, node, nts FROM v_turn WHERE node % 2 = 0) x""",
+    "v_iso_aln": """
+        SELECT a.rid, i.cluster, i.read, CAST(i.before + a.start AS INT) AS start, a.cigar, a.seq, i.node
+        FROM v_aln a JOIN v_isoform i ON i.cluster * 100 + i.node = a.ref AND i.read = CASE WHEN a.ref % 2 = 0 THEN a.rid % 2 ELSE 0 END""",
     "v_spliced": """
         SELECT tx AS read_id, tx % 500 AS contig, strand, n, s, e FROM (
           SELECT tx, strand, n, lag(e) OVER (PARTITION BY tx ORDER BY n) AS s, s AS e FROM v_exon) x WHERE s IS NOT NULL""",
     "v_dup": "SELECT user_id AS key, event_id AS ord, event_type AS val FROM events",
 }
-NEEDS = {"v_intron": ["v_exon"], "v_spliced": ["v_exon"], "v_aln": ["v_backbone"]}
+NEEDS = {"v_intron": ["v_exon"], "v_spliced": ["v_exon"], "v_aln": ["v_backbone"], "v_clip": ["v_aln"], "v_turn": ["v_backbone"], "v_isoform": ["v_turn"], "v_iso_aln": ["v_aln", "v_isoform"]}
 
 
 def _closure(names: list[str]) -> list[str]:

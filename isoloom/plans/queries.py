@@ -9,6 +9,7 @@ from isoloom.functions import sequences as S
 from isoloom.operators import clusters as L
 from isoloom.operators import compare as C
 from isoloom.operators import decompose as D
+from isoloom.operators import graph as G
 from isoloom.operators import paths as P
 from isoloom.operators import pileup as U
 from isoloom.operators import structure as I
@@ -728,9 +729,36 @@ def expand_cigar(v: Fixtures) -> DataFrame:
     return U.expand_cigar(v.v_aln)
 
 
-@query(duck("v_aln", f"SELECT {_STEP_COLUMNS} FROM step s WHERE op <> 'D' AND NOT EXISTS (SELECT 1 FROM step t WHERE t.rid = s.rid AND t.ref = s.ref AND t.op IN ('I', 'X') AND t.base = 'N')", more=_STEPS))
+_CLIP = _STEPS.replace("[=XID]", "[=XIDS]").replace("FROM v_aln", "FROM v_clip").replace("CASE WHEN op = 'I' THEN 0 ELSE n END", "CASE WHEN op IN ('I', 'S') THEN 0 ELSE n END").replace("CASE WHEN op = 'I' THEN r0 - 1", "CASE WHEN op IN ('I', 'S') THEN r0 - 1")
+_TRIM = _CLIP + """, same AS (SELECT rid, ref, min(i) AS lo, max(i) AS hi FROM op WHERE op = '=' GROUP BY rid, ref),
+  kept AS (SELECT step.*, op.n, r0, q0 FROM step JOIN placed op USING (rid, ref, start, i, op) JOIN same USING (rid, ref) WHERE step.i BETWEEN lo AND hi),
+  ops AS (SELECT rid, ref, start, i, op, max(n) AS n, min(rpos) AS first, max(rpos) AS last, coalesce(string_agg(base, '' ORDER BY k), '') AS bases FROM kept GROUP BY rid, ref, start, i, op)"""
+_OPS = "SELECT rid, ref, op, count(*) AS n, min(rpos) AS first, max(rpos) AS last, coalesce(string_agg(base, '' ORDER BY i, k), '') AS bases FROM step GROUP BY rid, ref, op"
+
+
+@query(duck("v_clip", _OPS, more=_CLIP))
+def expand_clipped(v: Fixtures) -> DataFrame:
+    bases = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("base").isNotNull(), F.struct("i", "k", "base")))), lambda x: x["base"]), "")
+    return U.expand_cigar(v.v_clip).groupBy("rid", "ref", "op").agg(F.count("*").alias("n"), F.min("rpos").alias("first"), F.max("rpos").alias("last"), bases.alias("bases"))
+
+
+def _op_lines(reads: DataFrame) -> DataFrame:
+    """(rid, ref, start, ops): the operations of each read as text, with where they begin."""
+    line = F.transform("ops", lambda o: F.concat(o["n"].cast("string"), o["op"], F.lit("@"), o["r"].cast("string"), F.lit("/"), o["q"].cast("string")))
+    return reads.select("rid", "ref", "start", F.array_join(line, " ").alias("ops"))
+
+
+_LINES = "SELECT rid, ref, start, string_agg(n || op || '@' || r0 || '/' || q0, ' ' ORDER BY i) AS ops FROM (SELECT rid, ref, start, i, op, n, r0, q0 FROM placed JOIN same USING (rid, ref) WHERE i BETWEEN lo AND hi) x"
+
+
+@query(duck("v_clip", f"SELECT c.rid, c.ref, c.start, coalesce(ops, '') AS ops FROM v_clip c LEFT JOIN ({_LINES} GROUP BY rid, ref, start) t USING (rid, ref)", more=_TRIM))
+def trim_to_matches(v: Fixtures) -> DataFrame:
+    return _op_lines(U.trim_to_matches(U.aligned_ops(v.v_clip)).withColumn("ops", F.coalesce("ops", F.array().cast("array<struct<i:int,op:string,n:int,r:bigint,q:bigint>>"))))
+
+
+@query(duck("v_clip", f"SELECT * FROM ({_LINES} GROUP BY rid, ref, start) t WHERE NOT EXISTS (SELECT 1 FROM ops WHERE ops.rid = t.rid AND ops.ref = t.ref AND op IN ('I', 'X') AND bases LIKE '%N%')", more=_TRIM))
 def drop_ambiguous(v: Fixtures) -> DataFrame:
-    return U.base_steps(U.drop_ambiguous(U.trim_to_matches(U.aligned_ops(v.v_aln)))).where("op <> 'D'")
+    return _op_lines(U.drop_ambiguous(U.trim_to_matches(U.aligned_ops(v.v_clip))).where(F.size("ops") > 0))
 
 
 @query(duck("v_aln", "SELECT rid, ref, start, step, node FROM node", more=_NODES))
@@ -871,6 +899,43 @@ def iterate_until_stable(v: Fixtures) -> DataFrame:
     return U.correct_until_stable(v.v_path.select("cluster", "read", "support", "pos", "node"), psi=3)
 
 
+# ---- graphs of several isoforms ------------------------------------------------------------------
+
+_LIFTED = _NODES.replace("FROM v_aln", "FROM v_iso_aln_").replace("PARTITION BY rid, ref, start ", "PARTITION BY rid, ref, start ")
+_GRAPH = """v_iso_aln_ AS (SELECT a.rid, i.cluster AS ref, CAST(t.first + a.start - i.before AS INT) AS start, a.cigar, a.seq FROM v_iso_aln a JOIN v_isoform i USING (cluster, read, node) JOIN v_turn t USING (cluster, node)
+    WHERE a.cigar NOT LIKE '%S%'), """ + _LIFTED + """, bad AS (SELECT DISTINCT rid, ref FROM step WHERE op IN ('I', 'X') AND base = 'N'),
+  votes AS (SELECT ref AS cluster, u, v, count(*) AS n FROM link WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.rid = link.rid AND bad.ref = link.ref) GROUP BY ref, u, v)"""
+
+
+def _graph(v: Fixtures) -> tuple[DataFrame, DataFrame]:
+    return G.letter_graph(v.v_isoform.select("cluster", "read", "support", "pos", "node"), v.v_turn.select("cluster", "node", "nts"))
+
+
+@query(duck("v_iso_aln v_isoform v_turn", "SELECT * FROM votes", more=_GRAPH))
+def graph_votes(v: Fixtures) -> DataFrame:
+    return G.lifted_votes(_graph(v)[0], v.v_iso_aln)
+
+
+@query(duck("v_iso_aln v_isoform v_turn", """SELECT n.cluster, n.name, CASE substr(n.name, 11, 1) WHEN '=' THEN substr(nts, CAST(CAST(left(n.name, 10) AS BIGINT) - first + 1 AS INT), 1) WHEN 'X' THEN substr(n.name, 12, 1)
+      ELSE substr(n.name, CAST(12 + CAST(string_split(n.name, ':')[2] AS INT) AS INT), 1) END AS nts, CASE substr(n.name, 11, 1) WHEN 'i' THEN n.name ELSE left(n.name, 10) || '=' END AS place
+    FROM (SELECT cluster, u AS name FROM votes UNION SELECT cluster, v FROM votes UNION SELECT cluster, lpad(CAST(first + k AS VARCHAR), 10, '0') || '=' FROM (SELECT *, unnest(range(length(nts))) AS k FROM v_turn) y) n
+    LEFT JOIN v_turn t ON substr(n.name, 11, 1) = '=' AND t.cluster = n.cluster AND CAST(left(n.name, 10) AS BIGINT) >= first AND CAST(left(n.name, 10) AS BIGINT) < first + length(nts)""", more=_GRAPH))
+def graph_nodes(v: Fixtures) -> DataFrame:
+    nodes = G.lift(*_graph(v), v.v_iso_aln).nodes
+    return nodes.join(nodes.select("cluster", F.col("node").alias("column"), F.col("name").alias("place")), ["cluster", "column"]).select("cluster", "name", "nts", "place")
+
+
+@query()
+def polish_graph(v: Fixtures) -> DataFrame:
+    isoforms, nodes = G.polish_graph(v.v_isoform.select("cluster", "read", "support", "pos", "node"), v.v_turn.select("cluster", "node", "nts"), v.v_iso_aln)
+    return G.sequences(isoforms, nodes)
+
+
+@query()
+def polished_matrix(v: Fixtures) -> DataFrame:
+    return G.gapped(*G.polish_graph(v.v_isoform.select("cluster", "read", "support", "pos", "node"), v.v_turn.select("cluster", "node", "nts"), v.v_iso_aln))
+
+
 # ---- files: written from the tables to the shared folder and read back ---------------------------
 
 
