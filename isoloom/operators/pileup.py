@@ -6,8 +6,13 @@ needed: operations are placed, trimmed, dropped and named inside the row.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable
+from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 from isoloom.functions import sequences as S
 from isoloom.operators import decompose as D
 from isoloom.operators import paths as P
+from isoloom.operators.transcripts import latest_version
 from isoloom.shared import discard, materialise
 
 _ON_REF, _ON_READ = ("=", "X", "D"), ("=", "X", "I", "S")
@@ -266,8 +272,8 @@ def _turns(reads: DataFrame, short_weight: int) -> tuple[DataFrame, DataFrame, D
 
 
 def _islands(backbone: DataFrame, turns: DataFrame) -> DataFrame:
-    """(ref, b, q, text): where the greedy walk from the first base leaves the backbone after position b, and comes back at q,
-    and the letters it takes between them."""
+    """(ref, b, q, text, names): where the greedy walk from the first base leaves the backbone after position b, and comes back at q,
+    and the letters and nodes it takes between them."""
     u, v = F.col("u"), F.col("v")
     leaves = turns.where(kind(u) == "=").select("ref", position(u).alias("pos"), position(u).alias("leave"))
     lands = turns.where(kind(v) == "=").select("ref", position(v).alias("pos")).union(backbone.select("ref", F.lit(0).cast("long"))).distinct()
@@ -283,22 +289,32 @@ def _islands(backbone: DataFrame, turns: DataFrame) -> DataFrame:
     walked = walked.withColumn("isle", F.sum(F.when(kind(u) == "=", 1).otherwise(0)).over(order))
     letter = F.when(kind(u) == "X", F.substr(u, F.lit(12), F.lit(1))).when(kind(u) == "i", F.substr(u, F.lit(12) + F.split_part(u, F.lit(":"), F.lit(2)).cast("int"), F.lit(1))).otherwise("")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", letter.alias("x")))), lambda x: x["x"]), "")
-    per = walked.groupBy("ref", "isle").agg(F.min(F.when(kind(u) == "=", position(u))).alias("b"), F.max_by(position(v), "step").alias("q"), text.alias("text"))
-    return per.select("ref", "b", "q", "text")
+    names = F.transform(F.array_sort(F.collect_list(F.when(kind(u) != "=", F.struct("step", "u")))), lambda x: x["u"])
+    per = walked.groupBy("ref", "isle").agg(F.min(F.when(kind(u) == "=", position(u))).alias("b"), F.max_by(position(v), "step").alias("q"), text.alias("text"), names.alias("names"))
+    return per.select("ref", "b", "q", "text", "names")
 
 
 def polish_linear(backbone: DataFrame, aln: DataFrame, short_weight: int = 10, psi: int = 35, tolerance: int = 100, stringent: bool = True) -> DataFrame:
-    """(ref, seq, ok): every backbone corrected towards the greedy walk of its pileup; ``ok`` is the stringency check.
+    """(ref, seq, ok) of :func:`polish_with_islands`; with ``stringent`` only backbones that pass the check."""
+    told, _ = polish_with_islands(backbone, aln, short_weight, psi, tolerance)
+    return told.where("ok") if stringent else told
+
+
+def polish_with_islands(backbone: DataFrame, aln: DataFrame, short_weight: int = 10, psi: int = 35, tolerance: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(told, islands): told(ref, seq, ok), every backbone corrected towards the greedy walk of its pileup; ``ok`` is the stringency check.
 
     Backbone and short reads make one graph, whose heaviest edges are walked from the first base. Where the walk leaves
     the backbone, fewer than ``psi`` skipped bases are taken out and fewer than ``psi`` bases of the walk are put in;
     larger differences stay as they are. The check asks that every step into positions tolerance .. n - tolerance - 1 of
-    the result is taken by a short read; with ``stringent`` only backbones that pass are returned. All
+    the result is taken by a short read. islands(ref, b, q, text, names, before) are the places that changed: bases between b and q gave way
+    to text, made of the nodes ``names``, and ``before`` is by how much the places up to there have moved. All
     backbones are polished in one job, and rows are what short reads touch, not bases.
     """
     off, depth, turns = _turns(drop_ambiguous(trim_to_matches(aligned_ops(aln))), short_weight)
     isles = _islands(backbone, turns).withColumn("gap", F.col("q") - F.col("b") - 1).where(F.col("gap") < psi)
-    isles = isles.withColumn("left_out", F.length("text") >= psi).withColumn("text", F.when(F.length("text") < psi, F.col("text")).otherwise(""))
+    isles = isles.withColumn("left_out", F.length("text") >= psi).where("gap > 0 or not left_out")  # else nothing changes
+    isles = isles.withColumn("names", F.when(F.length("text") < psi, F.col("names")).otherwise(F.array().cast("array<string>")))
+    isles = isles.withColumn("text", F.when(F.length("text") < psi, F.col("text")).otherwise(""))
     order = W.partitionBy("ref").orderBy("b")
     before = F.coalesce(F.sum(F.length("text") - F.col("gap")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     isles = materialise(isles.withColumn("before", before), "isles")
@@ -327,7 +343,93 @@ def polish_linear(backbone: DataFrame, aln: DataFrame, short_weight: int = 10, p
     inside = F.greatest(F.lit(0), F.least("last", F.col("n") - tolerance - 1) - F.greatest("first", F.lit(tolerance)) + 1)
     hit = steps.join(ends, "ref").groupBy("ref").agg(F.sum(inside).alias("hit"))
     told = fixed.join(hit, "ref", "left").withColumn("ok", F.coalesce("hit", F.lit(0)) >= F.length("seq") - 2 * tolerance).drop("hit")
-    return told.where("ok") if stringent else told
+    return told, isles.select("ref", "b", "q", "text", "names", "before")
+
+
+def _carried(ops: list[tuple[int, str]], start: int, text: str, backbone: str, isles: list, places: dict[str, int]) -> tuple[int, str, str] | None:
+    """(start, cigar, seq) of a read on the polished backbone: nodes that it still has are matches, see :func:`carry`."""
+    ends = [i["b"] for i in isles]
+    letters: list[tuple[str, int]] = []  # each base of the read with its new place, or -1
+    r, q = start, 0
+    for n, op in ops:
+        if op == "=":
+            for k in range(n):
+                i = bisect_left(ends, r + k) - 1  # the last island that begins before
+                at = r + k if i < 0 else -1 if r + k < isles[i]["q"] else r + k + isles[i]["before"] + len(isles[i]["text"]) - (isles[i]["q"] - isles[i]["b"] - 1)
+                letters.append((text[q + k], at))
+        elif op == "X":
+            letters += [(text[q + k], places.get(f"{r + k:010d}X{text[q + k]}", -1)) for k in range(n)]
+        elif op == "I":
+            letters += [(text[q + k], places.get(f"{r - 1:010d}i{text[q : q + n]}:{k:05d}", -1)) for k in range(n)]
+        r, q = r + (n if op in _ON_REF else 0), q + (n if op in _ON_READ else 0)
+    kept = [k for k, (_, at) in enumerate(letters) if at >= 0]
+    if not kept:
+        return None
+    letters = letters[kept[0] : kept[-1] + 1]
+    steps, now, open_ = [], letters[0][1], ""
+    for c, at in letters:
+        if at < 0:
+            open_ += c
+            continue
+        both = min(len(open_), at - now)
+        steps += ["=" if open_[k] == backbone[now + k] else "X" for k in range(both)]
+        steps += ["I"] * (len(open_) - both) + ["D"] * (at - now - both) + ["="]
+        now, open_ = at + 1, ""
+    return letters[0][1], "".join(f"{len([*g])}{op}" for op, g in groupby(steps)), "".join(c for c, _ in letters)
+
+
+def carry(aln: DataFrame, told: DataFrame, islands: DataFrame, chunk: int = 2000) -> DataFrame:
+    """``aln`` carried over from backbones to what :func:`polish_with_islands` made of them, without an aligner.
+
+    A read's nodes that are in the polished backbone are matches at their new places: backbone bases that stayed, and the nodes of islands
+    that the read took too. Between two matches its other bases stand against the bases skipped there, equal ones as matches, and what
+    is left over is inserted or deleted. Bases before the first and after the last match are cut off, reads without any go. Reads that
+    touch no island only move. A backbone's reads are dealt to chunks, each of which meets the islands of that backbone.
+    """
+    sizes = materialise(aln.groupBy("ref").agg(F.ceil(F.count("*") / chunk).alias("n_parts")), "counts")
+    dealt = aln.select("rid", "ref", "start", "cigar", "seq").join(sizes, "ref").withColumn("part", F.pmod(F.xxhash64("rid", "start"), F.col("n_parts"))).drop("n_parts")
+    per = islands.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("b", "q", "before", "text", "names"))).alias("isles"))
+    new = told.select("ref", F.col("seq").alias("backbone")).join(per, "ref").join(sizes, "ref")
+    new = new.select("ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"), "backbone", "isles")
+    schema = aln.select("rid", "ref", "start", "cigar", "seq").schema
+
+    def run(reads: pa.Table, over: pa.Table) -> pa.Table:
+        if not over.num_rows:  # nothing changed on this backbone
+            return reads.select(["rid", "ref", "start", "cigar", "seq"])
+        isles, backbone = over["isles"][0].as_py(), over["backbone"][0].as_py()
+        places = {name: i["b"] + 1 + i["before"] + k for i in isles for k, name in enumerate(i["names"])}
+        rows, out = [], []
+        for k, (start, cigar, text) in enumerate(zip(reads["start"].to_pylist(), reads["cigar"].to_pylist(), reads["seq"].to_pylist(), strict=True)):
+            ops = [(int(n), op) for n, op in re.findall("([0-9]+)([=XIDS])", cigar)]
+            if (x := _carried(ops, start, text, backbone, isles, places)) is not None:
+                rows.append(k)
+                out.append(x)
+        ids = reads.select(["rid", "ref"]).take(pa.array(rows, pa.int64()))
+        start, cigar, text = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table([*ids.columns, pa.array(start, reads.schema.field("start").type), pa.array(cigar, pa.string()), pa.array(text, pa.string())], names=["rid", "ref", "start", "cigar", "seq"])
+
+    return dealt.groupBy("ref", "part").cogroup(new.groupBy("ref", "part")).applyInArrow(run, schema)
+
+
+def iterate_polish(backbone: DataFrame, aln: DataFrame, max_iterations: int = 5, short_weight: int = 10, psi: int = 35, tolerance: int = 100) -> DataFrame:
+    """(ref, seq, ok, iteration): backbones polished until they don't change, at most ``max_iterations`` times.
+
+    After each round the short reads of the backbones that go on are carried over to what these have become, see :func:`carry`. ``ok`` is the
+    stringency check of the last version by the reads as they lie on it.
+    """
+    rounds: list[DataFrame] = []
+
+    def step(now: DataFrame) -> DataFrame:
+        reads = (rounds[-1].drop("iteration") if rounds else aln).join(now.select("ref"), "ref", "left_semi").select("rid", "ref", "start", "cigar", "seq")
+        told, islands = polish_with_islands(now, reads, short_weight, psi, tolerance)
+        told = materialise(told, "polished")
+        rounds.append(materialise(carry(reads, told, islands).withColumn("iteration", F.lit(len(rounds) + 1)), "carried"))
+        return told.select("ref", "seq")
+
+    out = materialise(iterate_until_stable(backbone.select("ref", "seq"), step, "ref", max_iterations), "settled")
+    last = latest_version(reduce(DataFrame.union, rounds), "ref", "iteration").drop("iteration")
+    ok = stringency_check(out.select("ref", "seq"), supported(read_paths(drop_ambiguous(trim_to_matches(aligned_ops(last))))), tolerance)
+    return out.join(ok, "ref").select("ref", "seq", "ok", "iteration")
 
 
 def sum_edges(chunks: DataFrame) -> DataFrame:

@@ -899,6 +899,17 @@ def iterate_until_stable(v: Fixtures) -> DataFrame:
     return U.correct_until_stable(v.v_path.select("cluster", "read", "support", "pos", "node"), psi=3)
 
 
+@query()
+def iterate_polish(v: Fixtures) -> DataFrame:
+    return U.iterate_polish(v.v_backbone, v.v_aln, psi=4)
+
+
+@query()
+def iterate_polish_graph(v: Fixtures) -> DataFrame:
+    isoforms, nodes = G.iterate_polish_graph(v.v_isoform.select("cluster", "read", "support", "pos", "node"), v.v_turn.select("cluster", "node", "nts"), v.v_iso_aln, max_iterations=3)
+    return G.sequences(isoforms, nodes)
+
+
 # ---- graphs of several isoforms ------------------------------------------------------------------
 
 _LIFTED = _NODES.replace("FROM v_aln", "FROM v_iso_aln_").replace("PARTITION BY rid, ref, start ", "PARTITION BY rid, ref, start ")
