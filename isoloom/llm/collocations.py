@@ -1,8 +1,9 @@
 """Collocations from weighted acyclic automata.
 
 A count transducer is a tree-shaped automaton: arcs carry words in byte order, every state the number of times that the phrase leading
-to it occurs. It is cut to pieces by prefix: a piece holds what follows one prefix with words of one first byte, as (depth, word, weight) of
-its states, each before those below it. Pieces of all shards that have the same prefix have the same key.
+to it occurs. It is cut to pieces by ranges of prefixes: first words that begin alike share a piece; a common first word has pieces of its
+own, one for each first byte of the second. A piece is the words, depths and weights of its states, each before those below it.
+Pieces of all shards with the same range have the same key, and with more text ranges get narrower.
 
 1. Words. Shards of text count their words; sums over shards give the frequent ones and all occurrences per language.
 2. Pairs. Every shard sorts its pairs of frequent words and builds its automaton from them, one state for each new arc. Pieces are
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,8 +34,12 @@ LONGEST, LEAST, BEST = 5, 100, 2000
 SHARD_BYTES = 8 << 20
 _BITS, _PAGE = 27, 15
 KEY = ["lang", "prefix", "letter"]
-PIECES = "lang string, prefix string, letter int, depth array<tinyint>, word array<string>, weight array<long>"
-_SCHEMA = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("letter", pa.int32()), ("depth", pa.list_(pa.int8())), ("word", pa.list_(pa.string())), ("weight", pa.list_(pa.int64()))])
+#: words: those of all states, each with a blank after it; depth and weight: a byte and eight bytes a state.
+PIECES = "lang string, prefix string, letter int, words string, depth binary, weight binary"
+_SCHEMA = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("letter", pa.int32()), ("words", pa.string()), ("depth", pa.binary()), ("weight", pa.binary())])
+#: A word is common if it is more than one in so many of its language; so there are no more of them.
+COMMON = 1000
+_STATES = 1 << 18  # states of pieces united at a time, or those of one key
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
 
 
@@ -50,11 +55,12 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
         data, at = b"\n".join(held.pop(lang)), 0
         sizes.pop(lang)
         while at < len(data):
-            end = len(data) if len(data) - at <= 2 * size else max(data.rfind(b"\n", at, at + size), -1)
+            end = len(data) if len(data) - at <= size + size // 4 else data.rfind(b"\n", at, at + size)
             if end < 0:
                 end = data.find(b"\n", at + size)
                 end = len(data) if end < 0 else end
             yield lang, data[at:end]
+            pa.default_memory_pool().release_unused()
             at = end + 1
 
     for b in batches:
@@ -69,39 +75,67 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
         yield from cut(lang)
 
 
+def _split(data: np.ndarray, gap: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The runs of bytes between gaps as dictionary-coded text, and where they start."""
+    starts, ends = np.flatnonzero(~gap & np.r_[True, gap[:-1]]), np.flatnonzero(~gap & np.r_[gap[1:], True]) + 1
+    offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap].tobytes())]).dictionary_encode(), starts
+
+
+def _ordered(coded: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(vocabulary in byte order, number of every word there from 1 on)."""
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    return coded.dictionary.take(pa.array(order)).cast(pa.string()), rank[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def words(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(vocabulary in byte order, number of every word there from 1 on, whether a piece begins with it)."""
     data = np.frombuffer(text, np.uint8)
     line = data == 10
-    gap = line | (data == 32)
-    first = ~gap & np.r_[True, gap[:-1]]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(~gap & np.r_[gap[1:], True]) + 1
-    offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
-    every = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap].tobytes())]).dictionary_encode()
-    lines = np.cumsum(line)[starts] if len(starts) else np.zeros(0, int)
-    order = pc.sort_indices(every.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(1, len(order) + 1)
-    return every.dictionary.take(pa.array(order)).cast(pa.string()), rank[every.indices.to_numpy(zero_copy_only=False)], np.r_[True, lines[1:] != lines[:-1]][: len(starts)]
+    every, starts = _split(data, line | (data == 32))
+    lines = np.searchsorted(np.flatnonzero(line), starts)
+    return *_ordered(every), np.r_[True, lines[1:] != lines[:-1]][: len(starts)]
 
 
 def distinct(paths: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of a matrix of word numbers in order, and how often each is there, or the sums of ``counts``."""
     if not len(paths):
         return paths, np.zeros(0, np.int64)
-    width, rank = int(paths.max()) + 1, np.zeros(len(paths), np.int64)
-    for c in range(paths.shape[1]):
-        _, first, rank = np.unique(rank * width + paths[:, c], return_index=True, return_inverse=True)
-    sums = np.zeros(len(first), np.int64)
-    np.add.at(sums, rank, 1 if counts is None else counts)
-    return paths[first], sums
+    bits = [max(1, int(paths[:, c].max()).bit_length()) for c in range(paths.shape[1])]
+    keys: list[np.ndarray] = []  # several columns side by side in 62 bits
+    used = 63
+    for c, b in enumerate(bits):
+        if used + b > 62:
+            keys.append(np.zeros(len(paths), np.int64))
+            used = 0
+        keys[-1] = keys[-1] << b | paths[:, c]
+        used += b
+    if len(keys) == 1 and counts is None:
+        key = np.sort(keys[0])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, out = key[first], np.empty((len(first), len(bits)), np.int64)
+        for c in range(len(bits) - 1, -1, -1):
+            out[:, c] = key & (1 << bits[c]) - 1
+            key = key >> bits[c]
+        return out, np.diff(np.r_[first, len(paths)])
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    differs = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = np.flatnonzero(np.r_[True, differs])
+    return paths[order[first]], np.add.reduceat(np.ones(len(paths), np.int64) if counts is None else counts[order], first)
+
+
+def _preorder(paths: np.ndarray, emit: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, depth = np.nonzero(emit)
+    return row, depth, weight[row, depth]
 
 
 def states(paths: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, depth, weight) of the states below ``base`` words of the automaton of sorted distinct paths, in which 0 ends a path.
+    """(row, depth, weight) of the states of the automaton of sorted distinct paths, in which 0 ends a path.
 
     A path adds a state for each word from the first on in which it differs from the path before it; the weight of a state is the
-    sum of the counts of the paths through it.
+    sum of the counts of the paths through it, or 0 for phrases of up to ``base`` words, which are counted elsewhere.
     """
     differs = np.ones(paths.shape, bool)
     differs[1:] = np.logical_or.accumulate(paths[1:] != paths[:-1], axis=1)
@@ -109,28 +143,46 @@ def states(paths: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray
     for d in range(base, paths.shape[1]):
         at = np.flatnonzero(differs[:, d])
         weight[at, d] = np.add.reduceat(counts, at)
-    row, depth = np.nonzero(differs[:, base:] & (paths[:, base:] > 0))
-    return row, depth + base, weight[row, depth + base]
+    return _preorder(paths, differs & (paths > 0), weight)
 
 
 def first_bytes(vocabulary: pa.Array) -> np.ndarray:
     """First byte of every word, by its number; words aren't empty."""
+    if not len(vocabulary):
+        return np.zeros(1, np.uint8)
     offsets = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset : vocabulary.offset + len(vocabulary)]
-    return np.r_[0, np.frombuffer(vocabulary.buffers()[2], np.uint8)[offsets]] if len(vocabulary) else np.zeros(1, np.uint8)
+    return np.r_[0, np.frombuffer(vocabulary.buffers()[2], np.uint8)[offsets]]
+
+
+def _packed(keys: list[pa.Array], cuts: np.ndarray, word: pa.Array, depth: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """Pieces of states that begin at ``cuts``."""
+    none, blank = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    word = pc.binary_join_element_wise(word.cast(pa.large_string()), none, blank)
+    at = np.frombuffer(word.buffers()[1], np.int64)[word.offset : word.offset + len(word) + 1] if len(word) else np.zeros(1, np.int64)
+    ends = np.r_[cuts, len(word)]
+    text = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(at[ends].tobytes()), word.buffers()[2]]).cast(pa.string())
+    fixed = lambda x, size: pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * size).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+    return pa.RecordBatch.from_arrays([*keys, text, fixed(depth.astype(np.int8), 1), fixed(weight.astype("<i8"), 8)], schema=_SCHEMA)
 
 
-def pieces(lang: str, vocabulary: pa.Array, paths: np.ndarray, counts: np.ndarray, base: int) -> pa.RecordBatch:
-    """The pieces of the automaton of sorted distinct paths below all prefixes of ``base`` words."""
+def pieces(lang: str, vocabulary: pa.Array, paths: np.ndarray, counts: np.ndarray, base: int, width: int, common: pa.Array | None = None) -> pa.RecordBatch:
+    """The pieces of the automaton of sorted distinct paths; ranges are the first ``width`` characters of the first word, or a ``common`` one
+    and the first byte of the second."""
     row, depth, weight = states(paths, counts, base)
-    letter = first_bytes(vocabulary)[paths[row, base]]
-    key = np.column_stack([paths[row][:, :base], letter])
-    cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(row) else np.zeros(0, int)
-    offsets = pa.array(np.r_[cuts, len(row)], pa.int32())
+    often = np.zeros(len(vocabulary) + 1, bool)
+    often[1:] = pc.is_in(vocabulary, common if common is not None else pa.array([], pa.string())).to_numpy(zero_copy_only=False)
+    ranges = pc.if_else(pa.array(often[1:]), vocabulary, pc.utf8_slice_codeunits(vocabulary, 0, width)).dictionary_encode()
+    of = np.r_[-1, ranges.indices.to_numpy(zero_copy_only=False)]
+    first = paths[row, 0]
+    letter = np.where(often[first], first_bytes(vocabulary)[paths[row, 1]].astype(np.int32), -1)
+    # A state of one word leads to those of its path, so the letter of its row is that of the piece that begins there; where a
+    # common first word goes on to another letter, its state is said again.
+    again = np.flatnonzero((depth == 1) & np.r_[False, (letter[1:] != letter[:-1]) & (depth[:-1] >= 1)])
+    row, depth, weight, letter, first = (np.insert(x, again, y) for x, y in ((row, row[again]), (depth, 0), (weight, 0), (letter, letter[again]), (first, first[again])))
+    cuts = np.flatnonzero(np.r_[True, (of[first][1:] != of[first][:-1]) | (letter[1:] != letter[:-1])])
     take = lambda codes: vocabulary.take(pa.array(codes - 1))
-    heads = [take(paths[row[cuts], c]) for c in range(base)]
-    prefix = pc.binary_join_element_wise(*heads, " ") if base > 1 else heads[0]
-    lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array((depth + 1).astype(np.int8)), take(paths[row, depth]), pa.array(weight))]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(cuts), pa.string()), prefix, pa.array(letter[cuts].astype(np.int32)), *lists], schema=_SCHEMA)
+    keys = [pa.array([lang] * len(cuts), pa.string()), ranges.dictionary.take(pa.array(of[first[cuts]])), pa.array(letter[cuts].astype(np.int32))]
+    return _packed(keys, cuts, take(paths[row, depth]), depth + 1, weight)
 
 
 def _hashes(lang: str, vocabulary: pa.Array) -> np.ndarray:
@@ -172,7 +224,7 @@ def word_counts(docs: DataFrame, least: int, size: int = SHARD_BYTES) -> DataFra
     return every.where((F.col("n") >= least) | (F.col("word") == ""))
 
 
-def shard_automata(docs: DataFrame, frequent: np.ndarray, base: int, longest: int, size: int = SHARD_BYTES) -> DataFrame:
+def shard_automata(docs: DataFrame, frequent: np.ndarray, base: int, longest: int, width: int, common: dict[str, list[str]], size: int = SHARD_BYTES) -> DataFrame:
     """Pieces of the automata of all shards. ``base`` 1: pairs of words of the bitmap ``frequent``. ``base`` 2: phrases of three and more
     words whose pairs are all in it."""
 
@@ -197,63 +249,71 @@ def shard_automata(docs: DataFrame, frequent: np.ndarray, base: int, longest: in
                 on = on & joined[at + d - 1]
                 columns.append(np.where(on, said[np.minimum(at + d, len(said) - 1)], 0))
             if len(at):
-                yield pieces(lang, vocabulary, *distinct(np.column_stack(columns)), base)
+                yield pieces(lang, vocabulary, *distinct(np.column_stack(columns)), base, width, pa.array(common.get(lang, []), pa.string()))
 
     return _texts(docs).mapInArrow(run, PIECES)
 
 
 def unfold(batch: pa.RecordBatch | pa.Table, base: int, longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary, row, paths, weight) of all states of a batch of pieces: the words on the way to each, below the prefix."""
-    lists = [batch.column(c).combine_chunks() if isinstance(batch, pa.Table) else batch.column(c) for c in (3, 4, 5)]
-    depth, word, weight = (x.flatten() for x in lists)
-    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists[0]).to_numpy())
-    coded = word.dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(1, len(order) + 1)
-    code, depth = rank[coded.indices.to_numpy(zero_copy_only=False)], depth.to_numpy().astype(np.int64) - base - 1
-    paths, place = np.zeros((len(code), longest - base), np.int64), np.arange(len(code))
-    for d in range(longest - base):
-        last = np.maximum.accumulate(np.where(depth == d, place, -1))  # the state of this depth that a state lies below
-        paths[:, d] = np.where(depth >= d, code[last], 0)
-    return coded.dictionary.take(pa.array(order)), row, paths, weight.to_numpy()
+    """(vocabulary, row, paths, weight) of the states of more than ``base`` words of a batch of pieces: the words on the way to each."""
+    text, depth, weight = (b"".join(batch.column(c).cast(pa.binary()).to_pylist()) for c in (3, 4, 5))
+    row = np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column(4)).to_numpy())
+    data = np.frombuffer(text, np.uint8)
+    vocabulary, code = _ordered(_split(data, data == 32)[0])
+    depth, weight = np.frombuffer(depth, np.int8), np.frombuffer(weight, "<i8")
+    own = depth > base
+    paths, place = np.zeros((int(own.sum()), longest), np.int64), np.arange(len(code))
+    for d in range(longest):
+        last = np.maximum.accumulate(np.where(depth == d + 1, place, -1))[own]  # the state of this depth that a state lies below
+        paths[:, d] = np.where(depth[own] > d, code[last], 0)
+    return vocabulary, row[own], paths, weight[own]
 
 
 def _united(base: int, longest: int, least: int):
     """Unions of runs of pieces with equal keys, without states below ``least``."""
 
+    def changes(table: pa.Table) -> np.ndarray:
+        """Whether a row's key isn't that of the row before."""
+        n = table.num_rows
+        return np.r_[True, np.logical_or.reduce([pc.not_equal(x.slice(1), x.slice(0, n - 1)).to_numpy() for x in table.select(KEY).combine_chunks().columns])]
+
     def of(table: pa.Table) -> pa.RecordBatch | None:
-        keys = table.select(KEY).to_pylist()
-        number = np.cumsum([0] + [a != b for a, b in zip(keys, keys[1:], strict=False)])
+        number = np.cumsum(changes(table)) - 1
         vocabulary, row, paths, weight = unfold(table, base, longest)
         full, sums = distinct(np.column_stack([number[row], paths]), weight)
-        full = full[sums >= least]
-        sums = sums[sums >= least]
+        full, sums = full[sums >= least], sums[sums >= least]
         if not len(full):
             return None
-        depth = (full[:, 1:] > 0).sum(axis=1)
-        word = vocabulary.take(pa.array(full[np.arange(len(full)), depth] - 1))
-        cuts = np.flatnonzero(np.r_[True, full[1:, 0] != full[:-1, 0]])
-        offsets = pa.array(np.r_[cuts, len(full)], pa.int32())
-        of_key = table.select(KEY).take(pa.array(np.searchsorted(number, full[cuts, 0]))).combine_chunks()
-        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array((depth + base).astype(np.int8)), word, pa.array(sums))]
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in of_key.columns), *lists], schema=_SCHEMA)
+        # Every phrase has its own state, after those of its first words where these are new.
+        differs = np.ones(full.shape, bool)
+        differs[1:] = np.logical_or.accumulate(full[1:] != full[:-1], axis=1)
+        own = (np.arange(len(full)), (full[:, 1:] > 0).sum(axis=1) - 1)
+        emit, weights = np.zeros((len(full), longest), bool), np.zeros((len(full), longest), np.int64)
+        emit[:, :base] = differs[:, 1 : base + 1]
+        emit[own], weights[own] = True, sums
+        row, depth, weight = _preorder(full[:, 1:], emit, weights)
+        cuts = np.flatnonzero(np.r_[True, full[row[1:], 0] != full[row[:-1], 0]])
+        keys = table.select(KEY).take(pa.array(np.searchsorted(number, full[row[cuts], 0]))).combine_chunks()
+        return _packed([c.chunk(0) for c in keys.columns], cuts, vocabulary.take(pa.array(full[row, depth + 1] - 1)), depth + 1, weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
         for b in batches:
             if not b.num_rows:
                 continue
-            last = b.select(KEY).slice(b.num_rows - 1).to_pylist()[0]
-            same = [k == last for k in b.select(KEY).to_pylist()]
-            cut = same.index(True)  # pieces of the last key may go on in the next batch
-            if cut or (held and held[0].select(KEY).slice(0, 1).to_pylist()[0] != last):
-                done = of(pa.Table.from_batches([*held, b.slice(0, cut)]).cast(_SCHEMA))
-                held = []
-                if done is not None:
-                    yield done
-            held.append(b.slice(cut))
-        if held and (done := of(pa.Table.from_batches(held).cast(_SCHEMA))) is not None:
+            sizes = np.cumsum(pc.binary_length(b.column(4)).to_numpy())
+            cuts = np.unique(np.r_[np.searchsorted(sizes, np.arange(0, sizes[-1], _STATES)), b.num_rows])
+            for lo, hi in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True):
+                if hi == lo:
+                    continue
+                new = pa.Table.from_batches([b.slice(lo, hi - lo)]).cast(_SCHEMA)
+                held = new if held is None else pa.concat_tables([held, new])
+                last = int(np.flatnonzero(changes(held))[-1])  # pieces of the last key may go on
+                if last:
+                    if (done := of(held.slice(0, last))) is not None:
+                        yield done
+                    held = held.slice(last)
+        if held is not None and (done := of(held)) is not None:
             yield done
 
     return run
@@ -270,41 +330,45 @@ def phrases(automata: DataFrame, base: int, longest: int = LONGEST) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vocabulary, row, paths, weight = unfold(b, base, longest)
-            tails = [pc.if_else(pa.array(paths[:, d] > 0), vocabulary.take(pa.array(np.maximum(paths[:, d], 1) - 1)), None) for d in range(longest - base)]
-            phrase = pc.binary_join_element_wise(b.column(1).take(pa.array(row)), *tails, " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), phrase, pa.array(((paths > 0).sum(axis=1) + base).astype(np.int32)), pa.array(weight)], names=["lang", "phrase", "n_words", "a"])
+            parts = [pc.if_else(pa.array(paths[:, d] > 0), vocabulary.take(pa.array(np.maximum(paths[:, d], 1) - 1)), None) for d in range(longest)] if len(row) else [pa.array([], pa.string())]
+            phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), phrase, pa.array((paths > 0).sum(axis=1).astype(np.int32)), pa.array(weight)], names=["lang", "phrase", "n_words", "a"])
 
     return automata.mapInArrow(run, "lang string, phrase string, n_words int, a long")
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases that a piece and the sorted tails asked of it both lead to, with their weights."""
+    """The phrases that a piece and the parts asked of it both lead to, with their weights."""
     for b in batches:
         out: list[tuple[str, str, int]] = []
-        for lang, prefix, depth, word, weight, tails in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            asked, way = set(tails), []
-            for d, w, n in zip(depth, word, weight, strict=True):
-                del way[d - depth[0] :]
+        for lang, text, depth, weight, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            asked, way = set(parts), []
+            for d, w, n in zip(depth, text.split(" "), np.frombuffer(weight, "<i8").tolist(), strict=False):
+                del way[d - 1 :]
                 way.append(w)
-                if (tail := " ".join(way)) in asked:
-                    out.append((lang, f"{prefix} {tail}", n))
+                if n and (part := " ".join(way)) in asked:
+                    out.append((lang, part, n))
         columns = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "part", "f"])
 
 
-def _letter(word: Column) -> Column:
-    return F.conv(F.substring(F.hex(word), 1, 2), 16, 10).cast("int")
+def compose(parts: DataFrame, automata: DataFrame, width: int, common: DataFrame) -> DataFrame:
+    """(lang, part, f) of the ``parts(lang, part)`` of several words: pieces of both sides with the same key are walked together.
 
+    Parts are distinct, so what is asked of a piece is no more than the phrases it has. ``common(lang, word)`` are the first words whose
+    pieces are cut by the next word's first byte.
+    """
+    asked = parts.select("lang", "part", F.substring_index("part", " ", 1).alias("word"))
+    asked = asked.join(common.select("lang", "word", F.lit(True).alias("often")), ["lang", "word"], "left")
+    letter = F.when(F.col("often"), F.conv(F.substring(F.hex(F.split_part("part", F.lit(" "), F.lit(2))), 1, 2), 16, 10).cast("int")).otherwise(-1)
+    prefix = F.when(F.col("often"), F.col("word")).otherwise(F.substring("word", 1, width))
+    asked = asked.groupBy("lang", prefix.alias("prefix"), letter.alias("letter")).agg(F.collect_set("part").alias("parts"))
+    return automata.join(asked, KEY).select("lang", "words", "depth", "weight", "parts").mapInArrow(_walked, "lang string, part string, f long")
 
-def compose(parts: DataFrame, automata: DataFrame, base: int) -> DataFrame:
-    """(lang, part, f) of the ``parts(lang, part)`` of more than ``base`` words: pieces of both sides with the same key are walked together.
 
-    Parts are distinct, so what is asked of a piece is no more than the phrases it has.
-    """
-    prefix, tail = F.substring_index("part", " ", base), F.substr("part", F.length(F.substring_index("part", " ", base)) + 2)
-    asked = parts.select("lang", prefix.alias("prefix"), tail.alias("tail")).groupBy("lang", "prefix", _letter(F.col("tail")).alias("letter")).agg(F.collect_set("tail").alias("tails"))
-    both = automata.join(asked, KEY).select("lang", "prefix", "depth", "word", "weight", "tails")
-    return both.mapInArrow(_walked, "lang string, part string, f long")
+def range_width(n_words: int) -> int:
+    """How many characters of a first word make a range: one more for every 32 times as many words, from 3 on."""
+    return 3 + max(0, (n_words >> 30).bit_length() // 5)
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, best: int = BEST, size: int = SHARD_BYTES) -> DataFrame:
@@ -318,12 +382,17 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     """
     said = materialise(word_counts(docs, least, size), "words")
     frequent, total = said.where("word <> ''"), said.where("word = ''").select("lang", F.col("n").alias("total"))
-    pairs = materialise(shard_automata(docs, bitmap_of(frequent.select(F.xxhash64("lang", "word").alias("h"))), 1, longest, size), "automata")
-    of_pairs = materialise(union(pairs, 1, longest, least), "automaton")
-    two = phrases(of_pairs, 1, longest)
+    common = frequent.join(total, "lang").where(F.col("n") * COMMON > F.col("total")).select("lang", "word")
+    often: dict[str, list[str]] = {}
+    for lang, w in common.collect():
+        often.setdefault(lang, []).append(w)
+    width = range_width(total.agg(F.sum("total")).first()[0] or 0)
+    pairs = materialise(shard_automata(docs, bitmap_of(frequent.select(F.xxhash64("lang", "word").alias("h"))), 1, longest, width, often, size), "automata")
+    of_pairs = materialise(union(pairs, 1, 2, least), "automaton")
+    two = phrases(of_pairs, 1, 2)
     word = lambda k: F.xxhash64("lang", F.split_part("phrase", F.lit(" "), F.lit(k)))
     known = bitmap_of(two.select(word(1).bitwiseXOR(F.shiftleft(word(2), 1)).alias("h")))
-    more = materialise(shard_automata(docs, known, 2, longest, size), "automata")
+    more = materialise(shard_automata(docs, known, 2, longest, width, often, size), "automata")
     of_more = materialise(union(more, 2, longest, least), "automaton")
     for gone in (pairs, more):
         discard(gone)
@@ -333,7 +402,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     parts = cuts.select("lang", F.explode(F.array("left", "right")).alias("part")).distinct()
     parts = materialise(parts.withColumn("words", F.size(F.split("part", " "))), "parts")
     known = frequent.select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
-    known = known.union(compose(parts.where("words = 2"), of_pairs, 1)).union(compose(parts.where("words > 2"), of_more, 2))
+    known = known.union(compose(parts.where("words = 2"), of_pairs, width, common)).union(compose(parts.where("words > 2"), of_more, width, common))
     known = materialise(known, "parts")
     side = lambda name, f: known.select("lang", F.col("part").alias(name), F.col("f").alias(f))
     wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  products may pass 64 bits

@@ -66,28 +66,41 @@ def test_automaton_of_sorted_paths():
     full, counts = C.distinct(paths)
     assert Counter(map(tuple, paths.tolist())) == dict(zip(map(tuple, full.tolist()), counts.tolist(), strict=True)) and full.tolist() == sorted(full.tolist())
     vocabulary = pa.array(["a", "b", "cc"])
-    batch = C.pieces("en", vocabulary, full, counts, 1)
-    want = Counter(tuple(p[:d]) for p in paths.tolist() for d in range(2, 5) if p[d - 1])
-    back, row, below, weight = C.unfold(batch, 1, 4)
-    heads = [batch.column(1)[i].as_py() for i in row.tolist()]
-    names = [(h, *(back[c - 1].as_py() for c in p if c)) for h, p in zip(heads, below.tolist(), strict=True)]
-    assert dict(zip(names, weight.tolist(), strict=True)) == {tuple(vocabulary[c - 1].as_py() for c in p): n for p, n in want.items()}
-    assert len(names) == len(want)  # one state for each prefix
+    for width in (1, 3):
+        batch = C.pieces("en", vocabulary, full, counts, 1, width, pa.array(["b"]))
+        rows = batch.to_pylist()
+        assert {r["letter"] for r in rows if r["prefix"] == "b"} == {97, 98, 99} and {r["letter"] for r in rows if r["prefix"] != "b"} == {-1}
+        assert {r["prefix"] for r in rows} == {"a", "b", "cc"[:width]}
+        assert all(r["words"].split()[0].startswith(r["prefix"]) and r["depth"][0] == 1 for r in rows)
+        want = Counter(tuple(p[:d]) for p in paths.tolist() for d in range(2, 5) if p[d - 1])
+        back, _, below, weight = C.unfold(batch, 1, 4)
+        names = [tuple(back[c - 1].as_py() for c in p if c) for p in below.tolist()]
+        assert dict(zip(names, weight.tolist(), strict=True)) == {tuple(vocabulary[c - 1].as_py() for c in p): n for p, n in want.items()}
+        assert len(names) == len(want)  # one state for each phrase
 
 
 def test_union_sums_weights_whatever_the_batches(spark):
     vocabulary = pa.array(["a", "b", "cc", "d"])
     rnd = random.Random(2)
-    parts = [C.pieces("en", vocabulary, *C.distinct(np.array([[rnd.randint(1, 4), rnd.randint(1, 4)] for _ in range(50)])), 1) for _ in range(9)]
+    parts = [C.pieces("en", vocabulary, *C.distinct(np.array([[rnd.randint(1, 4), rnd.randint(1, 4)] for _ in range(50)])), 1, 3, pa.array(["a"])) for _ in range(9)]
     rows = sorted((r for p in parts for r in p.to_pylist()), key=lambda r: (r["lang"], r["prefix"], r["letter"]))
     want = Counter()
+
+
+    def said(r):
+        way = []
+        for w, d, n in zip(r["words"].split(), r["depth"], np.frombuffer(r["weight"], "<i8").tolist(), strict=True):
+            way[d - 1 :] = [w]
+            if d > 1:
+                yield tuple(way), n
+
     for r in rows:
-        for w, n in zip(r["word"], r["weight"], strict=True):
-            want[r["prefix"], w] += n
+        for p, n in said(r):
+            want[p] += n
     for size in (1, 2, 7, 1000):
         batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema=parts[0].schema) for i in range(0, len(rows), size)]
         out = [r for b in C._united(1, 5, 30)(iter(batches)) for r in b.to_pylist()]
-        assert {(r["prefix"], w): n for r in out for w, n in zip(r["word"], r["weight"], strict=True)} == {k: n for k, n in want.items() if n >= 30}
+        assert {p: n for r in out for p, n in said(r)} == {k: n for k, n in want.items() if n >= 30}
         assert len({(r["prefix"], r["letter"]) for r in out}) == len(out)
 
 
