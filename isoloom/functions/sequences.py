@@ -79,25 +79,22 @@ def longest_orf(c: Column) -> Column:
     """Longest translation from an M to the first stop in its frame; without a stop there is none.
 
     A struct (protein, offset): among equally long ones the first in the sequence; empty with offset -1 if
-    there is none. ``c`` holds upper-case ACGT. Each frame is translated once and cut at its stops; of a piece that a
-    stop ends, the reading begins at its first M. One pass over the pieces keeps the longest. To be used with
-    :func:`once`, or the optimizer evaluates all of this once per field.
+    there is none. ``c`` holds upper-case ACGT. Each frame is translated once; what stands between a stop or the beginning and the
+    last stop is searched for readings, which the text after the last stop can't hold. A longest reading is nowhere a part of
+    another one, so the first place of its text is its own. To be used with :func:`once`, or the optimizer evaluates all of this once per field.
     """
-    # at: codons before the piece; n, first: length of the best and minus its offset, so that greater is better
-    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("first"), F.lit("").alias("orf"), F.lit(0).alias("at"))
 
-    def longest(frame: int) -> Column:
-        def longer(acc, x):
-            m, after = F.instr(x, "M"), (acc["at"] + F.length(x) + 1).alias("at")
-            n = F.length(x) - m + 1
-            found = F.struct(n.alias("n"), (-(acc["at"] + m - 1) * 3 - frame).alias("first"), F.substr(x, m).alias("orf"), after)
-            return F.when((m > 0) & (n > acc["n"]), found).otherwise(F.struct(acc["n"].alias("n"), acc["first"].alias("first"), acc["orf"].alias("orf"), after))
-
-        pieces = F.split(translate_frame(c, frame), "[*]")
-        return F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), none, longer)
-
-    best = F.array(*map(longest, range(3)))
-    return F.aggregate(best, none, lambda acc, x: F.greatest(acc, x), lambda top: F.struct(top["orf"].alias("protein"), (-top["first"]).alias("offset")))
+    def longest(t: Column, frame: Column) -> Column:
+        closed = F.left(t, F.length(t) - F.length(F.substring_index(t, "*", -1)))
+        best = lambda found: F.get(found, F.array_position(F.transform(found, F.length), F.array_max(F.transform(found, F.length))).cast("int") - 1)
+        orf = F.get(F.transform(F.array(F.regexp_extract_all(closed, F.lit("M[^*]*[*]"), F.lit(0))), best), F.lit(0))
+        told = lambda x: F.struct((F.length(x) - 1).alias("n"), (-((F.instr(closed, x) - 1) * 3 + frame)).alias("first"), F.left(x, F.length(x) - 1).alias("orf"))
+        return F.get(F.transform(F.array(orf), told), F.lit(0))
+
+    frames = F.array(*(translate_frame(c, f) for f in range(3)))
+    best = F.array_max(F.filter(F.transform(frames, longest), lambda x: x["n"].isNotNull()))
+    top = lambda x: F.struct(F.coalesce(x["orf"], F.lit("")).alias("protein"), F.coalesce(-x["first"], F.lit(-1)).alias("offset"))
+    return F.get(F.transform(F.array(best), top), F.lit(0))
 
 
 def parse_attributes(c: Column) -> Column:

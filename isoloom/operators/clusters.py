@@ -140,14 +140,19 @@ def group_sites(sites: DataFrame, gap: int = 15) -> DataFrame:
 def kde_maxima(sites: DataFrame, gap: int = 15, window: int = 30, stddev: float = 10.0) -> DataFrame:
     """(contig, grp, pos): strict local maxima of the summed Gaussian density within each group of sites.
 
-    Density is defined on the cells from the first to the last position of the group and 0 outside.
+    Density is defined on the cells from the first to the last position of the group and 0 outside. Cells are compared with the two beside
+    them inside bins, whose first and last cells are also in the bins next to them, so that a long group is many tasks.
     """
-    grouped = group_sites(sites, gap)
-    w = W.partitionBy("contig", "grp")
-    spread = grouped.withColumn("lo", F.min("pos").over(w)).withColumn("hi", F.max("pos").over(w))
+    grouped = materialise(group_sites(sites, gap), "groups")
+    ends = grouped.groupBy("contig", "grp").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    spread = grouped.join(ends, ["contig", "grp"])
     cells = spread.withColumn("cell", F.explode(F.sequence(F.greatest("lo", F.col("pos") - window), F.least("hi", F.col("pos") + window))))
     x = (F.col("pos") - F.col("cell")).cast("double")
     density = cells.groupBy("contig", "grp", "cell").agg(F.round(F.sum(F.col("weight") * F.exp(-(x * x) / (2 * stddev * stddev))), 9).alias("d"))
-    o = w.orderBy("cell")
-    beside = lambda f: F.coalesce(f("d").over(o), F.lit(0.0))
-    return density.withColumn("before", beside(F.lag)).withColumn("after", beside(F.lead)).where("d > before and d > after").select("contig", "grp", F.col("cell").alias("pos"))
+    # Each cell with its bin, and with the bins of the cells beside it where these are others.
+    bins = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor((F.col("cell") + k) / _WIDTH)))
+    rows = density.withColumn("bin", F.explode(bins))
+    o = W.partitionBy("contig", "grp", "bin").orderBy("cell")
+    beside = lambda f, k: F.when(f("cell").over(o) == F.col("cell") + k, f("d").over(o)).otherwise(0.0)
+    rows = rows.withColumn("before", beside(F.lag, -1)).withColumn("after", beside(F.lead, 1)).where(F.col("bin") == F.floor(F.col("cell") / _WIDTH))
+    return rows.where("d > before and d > after").select("contig", "grp", F.col("cell").alias("pos"))

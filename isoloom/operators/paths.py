@@ -219,25 +219,55 @@ def _chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return reach(link, heads)
 
 
+def _roots(single: DataFrame, most: int) -> DataFrame:
+    """(cluster, node, to, far) of a function (cluster, node, to, far), followed until it ends, by doubling; ``far`` adds up."""
+    now, known = materialise(single, "roots"), 1
+    while True:
+        on = now.select("cluster", F.col("node").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        after = materialise(now.join(on, ["cluster", "to"], "left"), "roots")
+        if after.where("next is not null").isEmpty():
+            discard(after)
+            return now
+        if known > most:
+            raise ValueError("the graph has a circle")
+        discard(now)
+        now = materialise(after.select("cluster", "node", F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")), "roots")
+        discard(after)
+        known *= 2
+
+
 def topological_layers(edges: DataFrame) -> DataFrame:
     """(cluster, node, layer): longest distance from a source.
 
-    Runs of nodes with one way on and one way in are fused first, by doubling; the layers of their heads are then relaxed to a
-    fixed point, so rounds are the runs on the longest path, not its nodes. A graph with a circle is an error.
+    A node with one way in lies that far behind the node where it begins, so trees of such nodes are taken out, by doubling, and the
+    ways on from them go on from their roots. Of ways between the same two nodes the longest counts, which makes new nodes with one way in: runs,
+    bubbles, and bubbles of bubbles vanish in a round each. What has several ways in from different places is left, and is relaxed to a fixed
+    point; then all nodes taken out get their layers, last round first. A graph with a circle is an error.
     """
-    edges = materialise(edges.select("cluster", "u", "v").distinct(), "edges")
-    nodes = materialise(edges.select("cluster", F.col("u").alias("node")).union(edges.select("cluster", "v")).distinct(), "nodes")
-    run = materialise(_chains(edges, nodes), "runs")
+    hops = materialise(edges.select("cluster", "u", "v").distinct().withColumn("far", F.lit(1).cast("long")), "hops")
+    nodes = materialise(hops.select("cluster", F.col("u").alias("node")).union(hops.select("cluster", "v")).distinct(), "nodes")
     sizes = nodes.groupBy("cluster").agg(F.count("*").alias("size"))
-    if run.count() < nodes.count():
-        raise ValueError("the graph has a circle")
-    heads = run.where("step = 0").select("cluster", "node")
-    tail = run.select("cluster", F.col("node").alias("u"), F.col("source").alias("from"), (F.col("step") + 1).alias("far"))
-    hops = materialise(edges.join(heads.withColumnRenamed("node", "v"), ["cluster", "v"], "left_semi").join(tail, ["cluster", "u"]).groupBy("cluster", "from", "v").agg(F.max("far").alias("far")), "hops")
-    now, total = materialise(heads.withColumn("layer", F.lit(0).cast("long")), "layers"), -1
+    most, left, undo = nodes.count(), nodes, []
     while True:
+        single = hops.groupBy("cluster", "v").agg(F.count("*").alias("n"), F.min("u").alias("to"), F.max("far").alias("far")).where("n = 1")
+        single = materialise(single.select("cluster", F.col("v").alias("node"), "to", "far"), "single")
+        if not hops.where("u = v").isEmpty():
+            raise ValueError("the graph has a circle")
+        if single.isEmpty():
+            break
+        roots = _roots(single, most)
+        undo.append(roots)
+        of = roots.select("cluster", F.col("node").alias("u"), F.col("to").alias("root"), F.col("far").alias("more"))
+        kept = hops.join(single.select("cluster", F.col("node").alias("v")), ["cluster", "v"], "left_anti").join(of, ["cluster", "u"], "left")
+        moved = kept.select("cluster", F.coalesce("root", "u").alias("u"), "v", (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+        after = materialise(moved.groupBy("cluster", "u", "v").agg(F.max("far").alias("far")), "hops")
+        left = materialise(left.join(single, ["cluster", "node"], "left_anti"), "left")
+        discard(hops)
+        hops = after
+    now, total = materialise(left.withColumn("layer", F.lit(0).cast("long")), "layers"), -1
+    while not hops.isEmpty():
         # A round carries the present layers over the hops; layers only grow, so their sum tells a fixed point.
-        pushed = now.join(hops, (now.cluster == hops.cluster) & (now.node == F.col("from"))).select(now.cluster, F.col("v").alias("node"), (F.col("layer") + F.col("far")).alias("layer"))
+        pushed = now.join(hops, (now.cluster == hops.cluster) & (now.node == F.col("u"))).select(now.cluster, F.col("v").alias("node"), (F.col("layer") + F.col("far")).alias("layer"))
         after = materialise(now.union(pushed).groupBy("cluster", "node").agg(F.max("layer").alias("layer")), "layers")
         discard(now)
         now, before, total = after, total, after.agg(F.sum("layer")).first()[0]
@@ -245,8 +275,10 @@ def topological_layers(edges: DataFrame) -> DataFrame:
             break
         if not now.join(sizes, "cluster").where("layer >= size").isEmpty():
             raise ValueError("the graph has a circle")
-    of_head = now.select("cluster", F.col("node").alias("source"), "layer")
-    return run.join(of_head, ["cluster", "source"]).select("cluster", "node", (F.col("layer") + F.col("step")).cast("int").alias("layer"))
+    for roots in reversed(undo):
+        behind = roots.join(now.select("cluster", F.col("node").alias("to"), "layer"), ["cluster", "to"])
+        now = materialise(now.union(behind.select("cluster", "node", (F.col("layer") + F.col("far")).alias("layer"))), "layers")
+    return now.select("cluster", "node", F.col("layer").cast("int").alias("layer"))
 
 
 def compact_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -95,11 +95,16 @@ def genome_chunks(genome: DataFrame, width: int = 1 << 16) -> DataFrame:
 
 def genome_corrected(aln: DataFrame, genome: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(rid, seq): genome sequence over the exon segments of each read, reverse-complemented on the minus strand."""
+    return corrected_from(aln, genome_chunks(genome, width), width)
+
+
+def corrected_from(aln: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
+    """:func:`genome_corrected` with a genome that is cut already: ``chunks(contig, chunk, piece)`` of ``width`` bases."""
     found = alignment_summary(aln)
     edges = F.concat(F.array("start"), F.flatten(F.transform("introns", lambda x: F.array(x["s"], x["e"]))), F.array("end"))
     segments = S.once(found, p=edges).select("rid", "contig", "strand", "p").select("rid", "contig", "strand", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1), lambda k: F.struct(F.get("p", (k * 2).cast("int")).alias("s"), F.get("p", (k * 2 + 1).cast("int")).alias("e")))).alias("i", "x"))
     parts = segments.where("x.e > x.s").select("rid", "contig", "strand", "i", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.explode(F.sequence(F.floor(F.col("x.s") / width), F.floor((F.col("x.e") - 1) / width))).alias("chunk"))
-    joined = parts.join(genome_chunks(genome, width), ["contig", "chunk"])
+    joined = parts.join(chunks, ["contig", "chunk"])
     lo, hi = F.greatest("s", F.col("chunk") * width) - F.col("chunk") * width, F.least("e", (F.col("chunk") + 1) * width) - F.col("chunk") * width
     text = joined.select("rid", "strand", "i", "chunk", F.col("piece").substr((lo + 1).cast("int"), (hi - lo).cast("int")).alias("t"))
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "chunk", "t"))), lambda x: x["t"]), "")

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
-    # transcript = order, exon = line item, ascending and apart; set = status of the order
+    # transcript = order, exon = line item, ascending and apart; set = whether the order is finished
     "v_exon": """
         SELECT tx, chr, strand, kind, n, s, s + q AS e, cs, cs + 1 + q % 2 AS ce FROM (
-          SELECT l_orderkey AS tx, 'chr' || (l_orderkey % 5) AS chr, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderstatus AS kind,
+          SELECT l_orderkey AS tx, 'chr' || (l_orderkey % 5) AS chr, CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS kind,
                  CAST(l_quantity AS INT) AS q, n, n * 1000 + l_partkey % 10 AS s, n * 1000 + l_partkey % 2 AS cs
           FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) x
           JOIN orders ON l_orderkey = o_orderkey) y""",

@@ -17,6 +17,7 @@ from isoloom.operators import transcripts as T
 from isoloom.plans.fixtures import Fixtures, duck
 from isoloom.shared import new_path
 from isoloom.sources import files as IO
+from isoloom.sources import store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -228,6 +229,23 @@ def genome_corrected(v: Fixtures) -> DataFrame:
     return I.genome_corrected(aln, v.v_backbone.select(F.col("ref").alias("contig"), "seq"), width=64)
 
 
+@query(duck("v_aln", """SELECT rid, substr(g.seq, CAST(start + 1 AS INT), CAST(5 + rid % 7 AS INT)) || substr(g.seq, CAST(start + 6 + 2 * (rid % 7) + 10 AS INT), CAST(4 + rid % 3 AS INT)) AS seq FROM v_aln a JOIN v_backbone g ON a.ref = g.ref"""))
+def stored_genome(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "genome")
+    store.write_genome(v.v_backbone.select(F.col("ref").cast("string").alias("contig"), "seq"), path, chunk=64)
+    cigar = F.concat(F.col("rid") % 7 + 5, F.lit("M"), F.col("rid") % 7 + 11, F.lit("N"), F.col("rid") % 3 + 4, F.lit("M"))
+    aln = v.v_aln.select("rid", F.col("ref").cast("string").alias("contig"), "start", cigar.alias("cigar"), F.lit(0).alias("flag"))
+    return I.corrected_from(aln, store.read_genome(v.spark, path), 64)
+
+
+@query(duck("v_aln", """SELECT rid, ref, start, cigar FROM (SELECT *, start + list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[=XD]', 1), lambda x: CAST(x AS BIGINT))) AS e FROM v_aln) x
+    WHERE (ref IN (0, 201) AND start < 200 AND e > 20) OR (ref = 300 AND start < 100 AND e > 90)"""))
+def stored_alignments(v: Fixtures) -> DataFrame:
+    path = new_path(v.spark, "alignments")
+    store.write_alignments(v.v_aln.withColumn("contig", F.col("ref").cast("string")), path)
+    return store.read_alignments(v.spark, path, [("0", 20, 200), ("201", 20, 200), ("300", 90, 100)]).select("rid", "ref", "start", "cigar")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE (l_partkey % 4096) & 2308 = 0")
 def filter_primary_alignments(v: Fixtures) -> DataFrame:
     return L.primary_alignments(v.lineitem.withColumn("flag", (F.col("l_partkey") % 4096).cast("int"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

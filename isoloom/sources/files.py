@@ -28,13 +28,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "ord", head.alias("read_id"), F.when(F.instr("value", "\n") > 0, body).otherwise("").alias("sequence"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, read_id, sequence, qualities): strict records of four lines, U read as T.
+_FASTQ_FILES = "*.{fq,fastq}"
+
+
+def read_fastq(spark: SparkSession, path: str, only: str = "*") -> DataFrame:
+    """(file, ord, read_id, sequence, qualities): strict records of four lines, U read as T. ``only`` is a pattern of file names.
 
     Quality lines may begin with @, so records are counted by lines. A block of a file is read in order by one
     task, so a line's number is its place in the block plus the lines of the blocks before it: no sort, no single task.
     """
-    lines = spark.read.text(path).select(F.col(_FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    lines = spark.read.option("pathGlobFilter", only).text(path).select(F.col(_FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     ahead = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
@@ -89,10 +92,13 @@ def _folder(name: str) -> Column:
 
 
 def read_cluster_dir(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA records of every file of a folder; cluster is that of its folder ``cluster=``, as :func:`write_by` makes
-    them, or else the file's name up to its first dot."""
+    """(file, ord, read_id, sequence, cluster) of every file of a folder, FASTQ records of ``.fq`` and ``.fastq`` files and FASTA records
+    of others; cluster is that of its folder ``cluster=``, as :func:`write_by` makes them, or else the file's name up to its first dot."""
     own = F.regexp_extract("file", r"([^/.]+)[^/]*$", 1)
-    return read_fasta(spark, path).withColumn("cluster", F.when(_folder("cluster") != "", _folder("cluster")).otherwise(own))
+    columns = ["file", "ord", "read_id", "sequence"]
+    fasta = read_fasta(spark, path).where(~F.col("file").rlike(r"\.(fq|fastq)$")).select(columns)
+    reads = fasta.union(read_fastq(spark, path, _FASTQ_FILES).select(columns))
+    return reads.withColumn("cluster", F.when(_folder("cluster") != "", _folder("cluster")).otherwise(own))
 
 
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +141,7 @@ def read_graph_text(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     ``graph`` is that of the file's folder ``graph=``, as :func:`write_graph_text` makes them, or else its NAME line. Nodes and
     sources are numbered by their lines; a file may be many blocks.
     """
-    lines = spark.read.text(path).select(F.col(_FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim("value", F.lit("\r")).alias("t"))
+    lines = spark.read.option("pathGlobFilter", only).text(path).select(F.col(_FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim("value", F.lit("\r")).alias("t"))
     node_line = r"^([^:\s=]+):((?:[LSA][0-9]+)*)$"
     own = lines.where(F.col("t").startswith("NAME=")).groupBy("file").agg(F.min(F.expr("substr(t, 6)")).alias("own"))
     graph = F.when(_folder("graph") != "", _folder("graph")).otherwise(F.col("own"))

@@ -1,9 +1,14 @@
 """Readers and writers on small hand-made files."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from isoloom.operators import structure as I
 from isoloom.operators import transcripts as T
 from isoloom.sources import files as IO
+from isoloom.sources import store
 
 
 def put(tmp_path, name, text):
@@ -77,3 +82,43 @@ def test_graph_text(spark, tmp_path):
     assert rows(g["edges"], "u", "v") == [(0, 1), (0, 2), (1, 3), (2, 3)]
     assert rows(g["paths"], "name", "node") == [("r0", 0), ("r0", 1), ("r0", 3), ("r1", 0), ("r1", 2), ("r1", 3)]
     assert rows(g["rings"], "a", "b") == [(1, 2), (2, 1)]
+
+
+def test_cluster_folder_of_both_kinds(spark, tmp_path):
+    put(tmp_path, "c1.fa", ">a one\nAC\nGT\n>b\nTT\n")
+    put(tmp_path, "c2.fq", "@x\nAUG\n+\n>>>\n@y\nGG\n+\n@!\n")
+    put(tmp_path, "c3.fastq", "@z\nC\n+\n!\n")
+    got = IO.read_cluster_dir(spark, str(tmp_path))
+    assert rows(got, "cluster", "read_id", "sequence") == [("c1", "a one", "ACGT"), ("c1", "b", "TT"), ("c2", "x", "ATG"), ("c2", "y", "GG"), ("c3", "z", "C")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_genome_is_read_in_part(spark, tmp_path):
+    genome = spark.createDataFrame([(f"c{k}", "ACGTTGCA" * (k + 1)) for k in range(20)], "contig string, seq string")
+    path = str(tmp_path / "genome")
+    store.write_genome(genome, path, chunk=10, groups=8)
+    every = store.read_genome(spark, path, groups=8)
+    assert {(r.contig, r.chunk): r.piece for r in every.collect()} == {(f"c{k}", i): ("ACGTTGCA" * (k + 1))[i * 10 : i * 10 + 10] for k in range(20) for i in range(-(-8 * (k + 1) // 10))}
+    some = store.read_genome(spark, path, ["c3", "c17"], groups=8)
+    assert {r.contig for r in some.collect()} == {"c3", "c17"}
+    assert re.search(r"PartitionFilters: \[[^\]]*group", plan_of(some)) and "PushedFilters: [In(contig" in plan_of(some)
+    aln = spark.createDataFrame([(1, "c3", 4, "5M6N7M", 0), (2, "c17", 100, "9M", 16)], "rid long, contig string, start int, cigar string, flag int")
+    assert rows(I.corrected_from(aln, every, 10), "rid", "seq") == rows(I.genome_corrected(aln, genome), "rid", "seq")
+
+
+def test_stored_alignments_are_read_by_region(spark, tmp_path):
+    rnd = random.Random(4)
+    given = [(k, f"c{rnd.randrange(6)}", rnd.randrange(5000), f"{rnd.randint(1, 90)}M{rnd.randint(1, 400)}N{rnd.randint(1, 9)}=2I3S", "x") for k in range(400)]
+    aln = spark.createDataFrame(given, "rid long, contig string, start int, cigar string, note string")
+    path = str(tmp_path / "aln")
+    store.write_alignments(aln, path, groups=4)
+    assert store.read_alignments(spark, path, groups=4).count() == 400
+    regions = [("c1", 100, 900), ("c4", 4000, 4001)]
+    end = lambda start, cigar: start + sum(int(n) for n, op in re.findall(r"([0-9]+)([A-Z=])", cigar) if op in "MN=")
+    want = sorted(k for k, c, s, g, _ in given if any(c == x and s < hi and end(s, g) > lo for x, lo, hi in regions))
+    some = store.read_alignments(spark, path, regions, groups=4)
+    assert sorted(r.rid for r in some.collect()) == want and want
+    assert re.search(r"PartitionFilters: \[[^\]]*group", plan_of(some))

@@ -1,5 +1,6 @@
 """Rules that SQL doesn't state well, against row-by-row restatements on random cases."""
 
+import math
 import random
 import re
 import time
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isoloom.functions import sequences as S
-from isoloom.operators import clusters, components, decompose, paths, pileup
+from isoloom.operators import clusters, components, decompose, paths, pileup, transcripts
 from isoloom.operators import structure as I
 
 
@@ -253,6 +254,45 @@ def test_layers_of_long_paths_and_circles(spark):
             paths.topological_layers(spark.createDataFrame(circle, "cluster int, u long, v long"))
 
 
+def test_layers_of_many_bubbles(spark):
+    # 10,000 bubbles in a row, ways of one and of two nodes; bubbles inside bubbles; a grid, which has no node with one way in inside.
+    row = [(0, *e) for k in range(10_000) for e in ((k * 4, k * 4 + 1), (k * 4, k * 4 + 2), (k * 4 + 2, k * 4 + 3), (k * 4 + 1, k * 4 + 4), (k * 4 + 3, k * 4 + 4))]
+    grid = [(1, *e) for i in range(7) for j in range(7) for e in ((i * 8 + j, i * 8 + j + 1), (i * 8 + j, i * 8 + j + 8))]
+    rounds = []
+    real = paths.materialise
+    try:
+        paths.materialise = lambda df, name: rounds.append(name) or real(df, name)
+        got = {(r.cluster, r.node): r.layer for r in paths.topological_layers(spark.createDataFrame(row + grid, "cluster int, u long, v long")).collect()}
+    finally:
+        paths.materialise = real
+    assert all(got[0, k * 4] == k * 3 and got[0, k * 4 + 1] == k * 3 + 1 and got[0, k * 4 + 3] == k * 3 + 2 for k in range(10_000)) and got[0, 40_000] == 30_000
+    assert all(got[1, i * 8 + j] == i + j for i in range(7) for j in range(7))
+    assert rounds.count("single") < 16 and rounds.count("roots") < 90 and rounds.count("layers") < 20
+
+
+def test_maxima_across_bins(spark):
+    rnd = random.Random(10)
+    # One group over several bins of 16,384 positions, with a peak on either side of an edge.
+    at = sorted({16383, 16384, 32768, *(p for p in range(15_000, 34_000, 9) if rnd.random() < 0.9)})
+    sites = {p: rnd.randint(1, 5) for p in at} | {16383: 60, 16384: 61, 32768: 90}
+    got = sorted(r.pos for r in clusters.kde_maxima(spark.createDataFrame([("c", p, n) for p, n in sites.items()], "contig string, pos long, weight int"), gap=40).collect())
+    density = {}
+    for p, n in sites.items():
+        for c in range(max(at[0], p - 30), min(at[-1], p + 30) + 1):
+            density[c] = density.get(c, 0) + n * math.exp(-((p - c) ** 2) / 200)
+    density = {c: round(d, 9) for c, d in density.items()}
+    assert got == [c for c, d in sorted(density.items()) if d > density.get(c - 1, 0) and d > density.get(c + 1, 0)]
+
+
+def test_chunks_of_a_hot_cluster(spark):
+    rows = [(0, f"r{k:05d}") for k in range(5000)] + [(c, f"r{k}") for c in (1, 2) for k in range(c)]
+    df = spark.createDataFrame(rows, "cluster int, read_id string").repartition(7)
+    number = {(c, r): k for c in range(3) for k, r in enumerate(sorted(r for x, r in rows if x == c))}
+    assert {(r.cluster, r.read_id): r.chunk for r in transcripts.chunk_blocks(df, "cluster", "read_id", 300).collect()} == {x: k // 300 for x, k in number.items()}
+    chunks = {0: 17, 1: 1, 2: 1}
+    assert {(r.cluster, r.read_id): r.chunk for r in transcripts.chunk_strided(df, "cluster", "read_id", 300).collect()} == {x: k % chunks[x[0]] for x, k in number.items()}
+
+
 def trimmed(ops, text):
     """Operations from the first to the last match, with the read's bases between them; where they begin on the backbone."""
     same = [k for k, (_, op) in enumerate(ops) if op == "="]
