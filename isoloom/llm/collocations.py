@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from isoloom.shared import discard, materialise
 
 LONGEST, LEAST, BEST = 5, 100, 2000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _BITS, _PAGE = 27, 15
 KEY = ["lang", "prefix", "letter"]
 #: words: those of all states, each with a blank after it; depth and weight: a byte and eight bytes a state.
