@@ -120,8 +120,13 @@ class Automaton:
         self.final = at
         self.starts = self._moves({0})
         self.first = {w for s in self.starts for w in self.word[s]}
+        self.opens = [self.any[s][1] for s in self.starts if self.any[s]]  # patterns of replaceable regions that a match can begin with
         self.needs = max(sorted(set(self._mandatory(template))), key=len)
 
+    def begins(self, word: bytes) -> bool:
+        """Whether a match can begin with ``word``."""
+        return word in self.first or any(p.fullmatch(word) for p in self.opens)
+
     @staticmethod
     def _mandatory(template: str) -> list[bytes]:
         found, depth = [], 0
@@ -192,7 +197,7 @@ class Matcher:
                 continue
             i = 0
             while i < len(text):
-                end = a.match(text, i) if text[i] in a.first else None
+                end = a.match(text, i) if a.begins(text[i]) else None
                 if end:
                     found.append((i, end, label))
                 i = end or i + 1

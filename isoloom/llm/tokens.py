@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -193,16 +194,22 @@ class PrefixCounter:
         return int(within[-1]) if len(within) else 0
 
 
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> PrefixCounter:
+    """The counter of a vocabulary, one in each worker: what it remembers of pieces serves all tasks that run there."""
+    return PrefixCounter(path)
+
+
 def prefix_counts(docs: DataFrame, path: str, points: int = 1 << 20) -> DataFrame:
     """(doc_id, n_bytes, counts) for every row: ``counts[n]``, from 0, is the token count of the first n code points.
 
     ``path`` must be readable by every executor. Null texts count as empty: no bytes, no tokens. Texts of
     any length are encoded whole; repeated rows and null ids are returned as they are. Rows are handed on
-    when they have ``points`` counts together.
+    when they have ``points`` counts together. An empty table gives no rows; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
         for b in batches:
             first, n_bytes, counts, held = 0, [], [], 0
             for k, x in enumerate(b.column(1), 1):
@@ -221,7 +228,8 @@ def prefix_counts(docs: DataFrame, path: str, points: int = 1 << 20) -> DataFram
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for every row, from its prefix counts; with ``prefixes`` also these."""
+    """(doc_id, n_bytes, n_tokens, over_limit) for every row, from its prefix counts; with ``prefixes`` also these. Rows are those of
+    :func:`prefix_counts`, none of an empty table."""
     n = F.element_at("counts", -1).cast("long")
     rows = prefix_counts(docs, path).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"), "counts")
     return rows if prefixes else rows.drop("counts")
@@ -229,7 +237,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, prefixes: bool
 
 def prefixes_within(rows: DataFrame, budget: int) -> DataFrame:
     """(doc_id, n_points, n_tokens): the longest prefix of at most ``budget`` tokens of every row of :func:`prefix_counts`, in
-    code points, and its count, both looked up in the stored counts. A budget below 0 is met by the empty prefix only."""
+    code points, and its count, both looked up in the stored counts. A budget below 0 is met by the empty prefix only. Repeated rows and null
+    ids are kept; an empty text has the empty prefix, an empty table no rows."""
     numbered = F.transform("counts", lambda c, i: F.struct(i.alias("i"), c.alias("c")))
     best = F.array_max(F.filter(numbered, lambda x: (x["c"] <= budget) | (x["i"] == 0)))
     return rows.select("doc_id", best.alias("best")).select("doc_id", F.col("best.i").alias("n_points"), F.col("best.c").alias("n_tokens"))

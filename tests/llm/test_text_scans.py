@@ -157,19 +157,28 @@ def test_whole_license_texts():
     matcher = licenses.Matcher()
     for label, template in licenses.TEMPLATES:
         a = licenses.Automaton(template)
-        required = a._mandatory(template)
         for fill in (0, 1, 99):
             text = licenses.words("Some text before. " + plain(template, fill) + " And after.")
             got = matcher.accepted(text, b" " + b" ".join(text) + b" ")
             assert label in [x[2] for x in got], (label, fill)
-        # Any mandatory word changed, left out or said twice: not this template's text any more.
-        text = licenses.words(plain(template))
-        whole = a.match(text, 0)
-        assert whole is not None
-        at = next(k for k in range(len(text) // 2, len(text)) if text[k] in required and text.count(text[k]) == 1) if len(text) > 40 else None
-        if at:
-            for other in (text[:at] + [b"zzz"] + text[at + 1 :], text[:at] + text[at + 1 :]):
-                assert a.match(other, 0) is None
+        # Any mandatory word changed, left out or said twice, all regions full: not this template's text any more.
+        flagged, depth = [], 0
+        for piece in re.split(r"(<<[^>]*>>)", template):
+            depth += (piece == "<<beginOptional>>") - (piece == "<<endOptional>>")
+            flagged += [(w, not depth and not piece.startswith("<<")) for w in licenses.words(plain(piece, 99))]
+        text = [w for w, _ in flagged]
+        assert a.match(text, 0) == len(text), label
+        for at, (w, fixed) in enumerate(flagged):
+            if fixed:
+                assert a.match(text[:at] + [b"zzz"] + text[at + 1 :], 0) is None, (label, at)
+                if w not in text[at + 1 : at + 2]:
+                    assert a.match(text[:at] + text[at + 1 :], 0) is None, (label, at)
+                doubled = a.match(text[: at + 1] + text[at:], 0)
+                assert doubled is None or doubled <= at + 1, (label, at)  # all that is mandatory came before
+    a = licenses.Matcher([("x", "<<var;max=2>> licensed under foo"), ("y", "<<beginOptional>>the<<endOptional>> <<var;max=1;match=[0-9]+>> bar")])
+    told = lambda t: a.accepted(licenses.words(t), b" " + b" ".join(licenses.words(t)) + b" ")
+    assert told("code licensed under foo") == [(0, 4, "x")] and told("a b c licensed under foo") == [(1, 6, "x")]
+    assert told("the 12 bar") == [(0, 3, "y")] and told("12 bar") == [(0, 2, "y")] and told("no bar") == [(1, 2, "y")]
     assert [x for x in (licenses.Automaton("a <<var;max=2;match=[0-9]+>> b").match(licenses.words(t), 0) for t in ("a 1 2 b", "a x b", "a b"))] == [4, None, 2]
     for bad in ("a <<beginOptional>> b", "a <<alt>> b"):
         with pytest.raises(ValueError):
@@ -199,6 +208,17 @@ def test_token_counts(spark):
     assert counter.inside("unbelievably".encode()) == [0, *(len(library.encode("unbelievably"[:n], add_special_tokens=False).ids) for n in range(1, 13))]
 
 
+def test_one_very_long_piece(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(6)
+    texts = ["a" * 100_000, "".join(rnd.choices("abcdefghij", k=100_000)), " " * 8_000, "é" * 50_000, "1234567890" * 10_000]
+    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, n_tokens int, counts int")
+    for r in tokens.token_counts(docs, path).collect():
+        assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+    assert tokens.counter_of(path) is tokens.counter_of(path)
+
+
 def test_prefix_counts_cover_every_position(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
