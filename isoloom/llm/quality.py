@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row, repeated ones and those without a doc_id (never held out) too.
 
-    Null and empty texts get the share of label 1 in the sample; long ones are read whole. Other columns aren't read.
+    Null and empty texts get the share of label 1 in the sample; long ones are read whole. Other columns aren't read; an
+    empty table gives no rows, equal texts equal scores.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

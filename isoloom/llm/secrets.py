@@ -161,7 +161,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret replaced by ``[kind]``; overlapping spans are replaced as one.
 
     Texts without secrets, null and empty ones included, stay as they are, and ``n_chars`` follows the text. Every
-    row stays, repeated ones and those without a doc_id too, with all its columns.
+    row stays, repeated ones and those without a doc_id too, with all its columns, whatever their names; an empty table stays empty. Texts of any
+    length are read whole.
     """
     names = docs.columns
 

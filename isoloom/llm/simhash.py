@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     Only ``doc_id`` and ``text`` are read. Null or blank texts have fingerprint zero and link like any
     other. Equal texts share a fingerprint and so a component, without pairs among them. Repeated rows
     give repeated rows; rows without a doc_id are returned with the component of their fingerprint.
+    Texts of any length are read whole; an empty table gives no rows. A bit set in exactly half the shingles is 0.
     """
     return _grouped(docs, max_bits, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -167,7 +168,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` for each component of near duplicates, that with the smallest doc_id.
 
-    A row without a doc_id stays only if its whole component has none. All columns are returned.
+    A row without a doc_id stays only if its whole component has none. All columns are returned, whatever their names. Of rows that share
+    the smallest doc_id one stays, any of them if they are equal, else that of the smallest text hash. An empty table stays empty.
     """
     rows = _grouped(docs, max_bits, shingle)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))

@@ -364,6 +364,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The records written by :func:`write_pages`: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Payloads of responses are decoded and checked against their digests; of revisits only the headers are read.
+    An empty archive, as of an empty table, has no rows. Payloads are whole, however long; repeated pages are records of their own.
     """
     register(spark)
     records = spark.read.format("warc").schema(SCHEMA.rpartition(",")[0]).option("verify", "true").load(qualified(spark, path))

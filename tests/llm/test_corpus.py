@@ -330,7 +330,10 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert corpus_pipeline.run(spark, sf).count() == 0  # without labels nothing is known to be good
         for stage, f in corpus_pipeline.STAGES[1:4]:
             out = f(spark, docs, sf)
-            assert out.columns == docs.columns and out.count() == (len(set(some)) if stage == "near duplicates" and not some else out.count())
+            assert out.columns == docs.columns
+            # Null and empty texts share a fingerprint, and so do the texts of one repeated word with theirs; the smallest doc_id of each stays.
+            want = [1, 3, None] if stage == "near duplicates" else [x[0] for x in some]
+            assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(want if some else [], key=str), stage
         assert dict(corpus_pipeline.STAGES)["benchmark"](spark, docs, sf).count() == len(some) == dict(corpus_pipeline.STAGES)["secrets"](spark, docs, sf).count()
         mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, sf)
         assert mixed.columns == ["doc_id", "size", "source_size", "target", "taken"] and mixed.count() == len(some)

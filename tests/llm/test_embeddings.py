@@ -78,3 +78,12 @@ def test_empty_and_repeated(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (None, [1.0, 0.0], 0)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, schema)).select(F.coalesce("vec_id", F.lit(-1)), "n_links", "component_id", "kept").collect()
     assert sorted(tuple(r)[:2] for r in got) == [(-1, 0), (1, 1), (1, 1), (2, 1)]
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 40_000))
+    rows = [(k, (base[k % 6] + (k // 6) * 0.2 * rng.normal(size=40_000)).tolist(), k % 2) for k in range(18)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(docs).collect()}
+    assert got == brute(rows, 0.93) and any(n for n, _, _ in got.values())

@@ -125,7 +125,8 @@ def test_license_phrases(spark):
     rnd = random.Random(2)
     bits = ["mit", "MIT", "license", "License,", "apache", "General", "public", "-", "é", "9", ".", "MITlicense", "\n"]
     texts = ODD + [" ".join(rnd.choices(bits, k=rnd.randint(1, 40))) for _ in range(200)]
-    for r in licenses.scan(frame(spark, texts)).collect():
+    clash = frame(spark, texts).withColumnsRenamed({"spans": "labels", "n_tokens": "n_words"})
+    for r in licenses.scan(clash).collect():
         text = (texts[r.doc_id] if r.doc_id is not None else "dup") or ""
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         places = sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
