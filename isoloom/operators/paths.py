@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoloom.operators.clusters import ranked
 from isoloom.operators.components import connected_components
 from isoloom.shared import discard, materialise
 
@@ -294,8 +295,9 @@ def select_paths(paths: DataFrame, reads: DataFrame, keep: bool = True) -> DataF
 
 
 def _numbers(paths: DataFrame) -> DataFrame:
+    """(cluster, node, new): the nodes of each cluster from 0 in order, over bins of node numbers."""
     left = paths.select("cluster", "node").distinct()
-    return left.withColumn("new", F.row_number().over(W.partitionBy("cluster").orderBy("node")) - 1)
+    return ranked(left, ["cluster"], ["node"], F.floor(F.col("node") / (1 << 14))).select("cluster", "node", (F.col("rank") - 1).alias("new"))
 
 
 def select_links(paths: DataFrame, reads: DataFrame, keep_foreign: bool = False) -> DataFrame:

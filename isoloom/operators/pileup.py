@@ -120,10 +120,18 @@ def backbone_edges(backbone: DataFrame) -> DataFrame:
     return backbone.where(n > 1).select("ref", F.explode(F.sequence(F.lit(0), n - 2)).alias("k")).select("ref", backbone_node(F.col("k")).alias("u"), backbone_node(F.col("k") + 1).alias("v"), F.lit(1).cast("long").alias("weight"))
 
 
-def pileup_edges(backbone: DataFrame, paths: DataFrame, short_weight: int = 10) -> DataFrame:
-    """(ref, u, v, weight): each step of a short read adds ``short_weight`` to what long reads give."""
-    short = read_edges(paths).groupBy("ref", "u", "v").agg((F.count("*") * short_weight).alias("weight"))
-    return backbone_edges(backbone).union(short.select("ref", "u", "v", "weight")).groupBy("ref", "u", "v").agg(F.sum("weight").alias("weight"))
+def pileup_edges(backbone: DataFrame, reads: DataFrame, short_weight: int = 10) -> DataFrame:
+    """(ref, u, v, weight): each step of a short read of :func:`aligned_ops` adds ``short_weight`` to what long reads give.
+
+    Steps along a backbone are counted where their number changes, and become rows once per place, not once per read.
+    """
+    steps = materialise(read_turns(reads), "steps")
+    depth = coverage(steps.where("along").select("ref", position(F.col("u")).alias("lo"), position(F.col("v")).alias("hi"), "n"))
+    spans = depth.withColumn("next", F.lead("pos").over(W.partitionBy("ref").orderBy("pos"))).where("depth > 0")
+    on = spans.select("ref", "depth", F.explode(F.sequence("pos", F.col("next") - 1)).alias("k"))
+    on = on.select("ref", backbone_node(F.col("k")).alias("u"), backbone_node(F.col("k") + 1).alias("v"), (F.col("depth") * short_weight).alias("weight"))
+    off = steps.where("not along").select("ref", "u", "v", (F.col("n") * short_weight).alias("weight"))
+    return backbone_edges(backbone).union(on).union(off).groupBy("ref", "u", "v").agg(F.sum("weight").alias("weight"))
 
 
 def supported(paths: DataFrame) -> DataFrame:

@@ -651,6 +651,15 @@ def compact_chains(v: Fixtures) -> DataFrame:
     return P.compact_chains(edges, v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER)))
 
 
+@query(duck("v_path", "SELECT cluster, head, string_agg(" + _LETTER + ", '' ORDER BY step) AS nts, count(*) AS n FROM run GROUP BY cluster, head", recursive=True, more=_EDGE + """,
+  one AS (SELECT cluster, u, v FROM (SELECT *, count(*) OVER (PARTITION BY cluster, v) AS ins, count(*) OVER (PARTITION BY cluster, u) AS outs FROM edge) x WHERE ins = 1 AND outs = 1),
+  run AS (SELECT cluster, node AS head, node, 0 AS step FROM (SELECT DISTINCT cluster, node FROM v_path) n WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.cluster = n.cluster AND o.v = n.node)
+    UNION ALL SELECT r.cluster, r.head, o.v, r.step + 1 FROM run r JOIN one o ON o.cluster = r.cluster AND o.u = r.node)"""))
+def compact_graph(v: Fixtures) -> DataFrame:
+    nodes = v.v_path.select("cluster", "node").distinct().withColumn("nts", F.expr(_LETTER))
+    return P.compact_chains(P.edge_weights(v.v_path), nodes)
+
+
 _LONG = "k AS (SELECT cluster, read FROM v_path GROUP BY cluster, read HAVING count(*) > 66), sel AS (SELECT p.* FROM v_path p JOIN k ON k.cluster = p.cluster AND k.read = p.read), num AS (SELECT cluster, node, row_number() OVER (PARTITION BY cluster ORDER BY node) - 1 AS new FROM (SELECT DISTINCT cluster, node FROM sel) d)"
 
 
@@ -668,12 +677,12 @@ def select_links(v: Fixtures) -> DataFrame:
     return P.select_links(v.v_path, _long(v), keep_foreign=True)
 
 
-@query(duck("", """SELECT node, min(m) AS column_id FROM reach GROUP BY node""", recursive=True, more="""pair AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber % 10 AS a, l_orderkey * 10 + (l_partkey + l_suppkey) % 10 AS b FROM lineitem UNION SELECT l_orderkey * 10 + l_linenumber % 10, (l_orderkey - l_orderkey % 2) * 10 FROM lineitem WHERE l_quantity > 40),
+@query(duck("", """SELECT node, min(m) AS column_id FROM reach GROUP BY node""", recursive=True, more="""pair AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber % 10 AS a, l_orderkey * 10 + (l_partkey + l_suppkey) % 10 AS b FROM lineitem UNION SELECT l_orderkey * 10 + l_linenumber % 10, (l_orderkey - l_orderkey % 2) * 10 FROM lineitem),
   both_ AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach AS (SELECT DISTINCT a AS node, a AS m FROM both_ UNION SELECT r.node, b.b FROM reach r JOIN both_ b ON b.a = r.m)"""))
 def alignment_columns(v: Fixtures) -> DataFrame:
     a = F.col("l_orderkey") * 10 + F.col("l_linenumber") % 10
     pairs = v.lineitem.select(a.alias("a"), (F.col("l_orderkey") * 10 + (F.col("l_partkey") + F.col("l_suppkey")) % 10).alias("b"))
-    return P.alignment_columns(pairs.union(v.lineitem.where("l_quantity > 40").select(a, (F.col("l_orderkey") - F.col("l_orderkey") % 2) * 10)))
+    return P.alignment_columns(pairs.union(v.lineitem.select(a, (F.col("l_orderkey") - F.col("l_orderkey") % 2) * 10)))
 
 
 # The events at one place of their users' orders are a ring.
@@ -793,7 +802,7 @@ def alignments_by_target(v: Fixtures) -> DataFrame:
 
 @query(duck("v_aln", "SELECT ref, u, v, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT ref, u, v, 10 AS w FROM link UNION ALL SELECT ref, u, v, 1 FROM base) x GROUP BY ref, u, v", more=_NODES))
 def pileup_edges(v: Fixtures) -> DataFrame:
-    return U.pileup_edges(v.v_backbone, _short(v))
+    return U.pileup_edges(v.v_backbone, U.aligned_ops(v.v_aln))
 
 
 @query(duck("v_aln", "SELECT b.ref, coalesce(bool_and(l.ref IS NOT NULL) FILTER (WHERE at_ >= 100 AND at_ < n - 100), true) AS ok FROM (SELECT ref, u, v, at_, n FROM base UNION ALL SELECT ref, '', '', -1, 0 FROM v_backbone) b LEFT JOIN (SELECT DISTINCT ref, u, v FROM link) l ON l.ref = b.ref AND l.u = b.u AND l.v = b.v GROUP BY b.ref", more=_NODES))

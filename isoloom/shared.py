@@ -35,14 +35,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.isoloom_path = path
+    return table
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing reads any more."""
     spark = df.sparkSession
-    root = shared_dir(spark).rstrip("/").removeprefix("file://")
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"{root}/isoloom/" in parent:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name := getattr(df, "isoloom_path", None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
