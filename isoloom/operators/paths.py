@@ -242,8 +242,8 @@ def topological_layers(edges: DataFrame) -> DataFrame:
 
     A node with one way in lies that far behind the node where it begins, so trees of such nodes are taken out, by doubling, and the
     ways on from them go on from their roots. Of ways between the same two nodes the longest counts, which makes new nodes with one way in: runs,
-    bubbles, and bubbles of bubbles vanish in a round each. What has several ways in from different places is left, and is relaxed to a fixed
-    point; then all nodes taken out get their layers, last round first. A graph with a circle is an error.
+    bubbles, and bubbles of bubbles vanish in a round each. A cluster is done with this when a third of its nodes or less would go. What is left is
+    relaxed to a fixed point; then all nodes taken out get their layers, last round first. A graph with a circle is an error.
     """
     hops = materialise(edges.select("cluster", "u", "v").distinct().withColumn("far", F.lit(1).cast("long")), "hops")
     nodes = materialise(hops.select("cluster", F.col("u").alias("node")).union(hops.select("cluster", "v")).distinct(), "nodes")
@@ -252,6 +252,8 @@ def topological_layers(edges: DataFrame) -> DataFrame:
     while True:
         single = hops.groupBy("cluster", "v").agg(F.count("*").alias("n"), F.min("u").alias("to"), F.max("far").alias("far")).where("n = 1")
         single = materialise(single.select("cluster", F.col("v").alias("node"), "to", "far"), "single")
+        share = single.groupBy("cluster").agg(F.count("*").alias("n")).join(left.groupBy("cluster").agg(F.count("*").alias("of")), "cluster").where("n * 3 > of")
+        single = materialise(single.join(share.select("cluster"), "cluster", "left_semi"), "single")
         if not hops.where("u = v").isEmpty():
             raise ValueError("the graph has a circle")
         if single.isEmpty():
@@ -265,16 +267,19 @@ def topological_layers(edges: DataFrame) -> DataFrame:
         left = materialise(left.join(single, ["cluster", "node"], "left_anti"), "left")
         discard(hops)
         hops = after
-    now, total = materialise(left.withColumn("layer", F.lit(0).cast("long")), "layers"), -1
+    def pushed(now: DataFrame) -> DataFrame:
+        more = now.join(hops, (now.cluster == hops.cluster) & (now.node == F.col("u"))).select(now.cluster, F.col("v").alias("node"), (F.col("layer") + F.col("far")).alias("layer"))
+        return now.union(more).groupBy("cluster", "node").agg(F.max("layer").alias("layer"))
+
+    now, total, rounds = materialise(left.withColumn("layer", F.lit(0).cast("long")), "layers"), -1, 0
     while not hops.isEmpty():
-        # A round carries the present layers over the hops; layers only grow, so their sum tells a fixed point.
-        pushed = now.join(hops, (now.cluster == hops.cluster) & (now.node == F.col("u"))).select(now.cluster, F.col("v").alias("node"), (F.col("layer") + F.col("far")).alias("layer"))
-        after = materialise(now.union(pushed).groupBy("cluster", "node").agg(F.max("layer").alias("layer")), "layers")
+        # Layers only grow, so their sum tells a fixed point; in a circle they outgrow the number of nodes.
+        after = materialise(pushed(pushed(now)), "layers")
         discard(now)
-        now, before, total = after, total, after.agg(F.sum("layer")).first()[0]
-        if total == before or total is None:
+        now, before, total, rounds = after, total, after.agg(F.sum("layer")).first()[0], rounds + 1
+        if total == before:
             break
-        if not now.join(sizes, "cluster").where("layer >= size").isEmpty():
+        if rounds & rounds - 1 == 0 and not now.join(sizes, "cluster").where("layer >= size").isEmpty():
             raise ValueError("the graph has a circle")
     for roots in reversed(undo):
         behind = roots.join(now.select("cluster", F.col("node").alias("to"), "layer"), ["cluster", "to"])

@@ -267,7 +267,7 @@ def test_layers_of_many_bubbles(spark):
         paths.materialise = real
     assert all(got[0, k * 4] == k * 3 and got[0, k * 4 + 1] == k * 3 + 1 and got[0, k * 4 + 3] == k * 3 + 2 for k in range(10_000)) and got[0, 40_000] == 30_000
     assert all(got[1, i * 8 + j] == i + j for i in range(7) for j in range(7))
-    assert rounds.count("single") < 16 and rounds.count("roots") < 90 and rounds.count("layers") < 20
+    assert rounds.count("single") < 32 and rounds.count("roots") < 90 and rounds.count("layers") < 20
 
 
 def test_maxima_across_bins(spark):
