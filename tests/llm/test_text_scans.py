@@ -262,6 +262,25 @@ def test_short_items_are_never_missed():
     assert [i for i, f in enumerate(decontaminate.Index(items, 0.8).search([t for _, t in items])) if f != [(i, 1.0)]] == []
 
 
+def test_strewn_items_are_found():
+    # Items cut to parts, shuffled and set 400 words apart: no window of an item's length is like it, yet recall is to be 0.95 or more.
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=7))
+    items, texts = [], []
+    for i in range(300):
+        w = [word() for _ in range(rnd.randint(60, 240))]
+        parts = rnd.randint(2, min(9, 1 + (len(w) - 4) // 20))  # a cut breaks four shingles
+        cuts = sorted(rnd.sample(range(8, len(w) - 8), parts - 1))
+        pieces = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)])]
+        rnd.shuffle(pieces)
+        items.append((i, " ".join(w)))
+        texts.append(" ".join(x for p in pieces for x in [*(word() for _ in range(400)), *p]))
+    held = [len(shingle_set(t) & shingle_set(q)) >= 0.8 * len(shingle_set(q)) for (_, q), t in zip(items, texts)]
+    found = decontaminate.Index(items, 0.8).search(texts)
+    assert sum(held) > 250 and sum(bool(f) for f, h in zip(found, held) if h) >= 0.95 * sum(held)
+    assert all(not f or f[0][0] == i for i, f in enumerate(found))
+
+
 def test_decontamination(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choices("abcdefgh", k=3))
