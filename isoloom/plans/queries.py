@@ -233,7 +233,7 @@ def genome_corrected(v: Fixtures) -> DataFrame:
 def stored_genome(v: Fixtures) -> DataFrame:
     path = new_path(v.spark, "genome")
     store.write_genome(v.v_backbone.select(F.col("ref").cast("string").alias("contig"), "seq"), path, chunk=64)
-    cigar = F.concat(F.col("rid") % 7 + 5, F.lit("M"), F.col("rid") % 7 + 11, F.lit("N"), F.col("rid") % 3 + 4, F.lit("M"))
+    cigar = F.concat(F.col("rid") % 7 + 5, F.lit("M"), F.col("rid") % 7 + 10, F.lit("N"), F.col("rid") % 3 + 4, F.lit("M"))
     aln = v.v_aln.select("rid", F.col("ref").cast("string").alias("contig"), "start", cigar.alias("cigar"), F.lit(0).alias("flag"))
     return I.corrected_from(aln, store.read_genome(v.spark, path), 64)
 
