@@ -928,13 +928,7 @@ def iterate_until_stable(v: Fixtures) -> DataFrame:
 
 @query()
 def iterate_polish(v: Fixtures) -> DataFrame:
-    return U.iterate_polish(v.v_backbone, v.v_aln, psi=4)
-
-
-@query()
-def iterate_polish_graph(v: Fixtures) -> DataFrame:
-    isoforms, nodes = G.iterate_polish_graph(v.v_isoform.select("cluster", "read", "support", "pos", "node"), v.v_turn.select("cluster", "node", "nts"), v.v_iso_aln, max_iterations=3)
-    return G.sequences(isoforms, nodes)
+    return U.iterate_polish(v.v_backbone, v.v_aln, max_iterations=3, psi=4)
 
 
 # ---- graphs of several isoforms ------------------------------------------------------------------
