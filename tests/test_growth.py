@@ -4,6 +4,7 @@ import random
 import re
 
 from isoloom.operators import paths, pileup
+from isoloom.plans.queries import QUERIES
 from isoloom.shared import spread
 
 
@@ -67,3 +68,10 @@ def test_steps_are_counted_as_runs(spark):
     assert ok(0) == {7: False, 8: False, 9: True} and ok(1) == {7: False, 8: False, 9: True} and ok(2) == {7: False, 8: True, 9: True}
     checked = pileup.stringency_check(backbone, reads(spark).where("rid in (1, 6, 8, 7)"), 0)
     assert not checked.where("ref = 7").first().ok
+
+
+def test_chains_of_all_three_sets(spark):
+    sf = "/root/testdata/sf0.001"
+    kinds = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderstatus").distinct().collect()}
+    assert {r.kind for r in QUERIES["intron_chains"](spark, sf).select("kind").distinct().collect()} == kinds == {"F", "O", "P"}
+    assert QUERIES["novel_isoforms"](spark, sf).first().n_r2 > 0
