@@ -75,3 +75,32 @@ def test_chains_of_all_three_sets(spark):
     kinds = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderstatus").distinct().collect()}
     assert {r.kind for r in QUERIES["intron_chains"](spark, sf).select("kind").distinct().collect()} == kinds == {"F", "O", "P"}
     assert QUERIES["novel_isoforms"](spark, sf).first().n_r2 > 0
+
+
+def test_turns_are_told_a_batch_at_a_time(spark):
+    rng, rows = random.Random(11), []
+    for k in range(400):
+        ops = "".join(f"{rng.choice([1, 2, 3, 12])}{rng.choice('==XIDS')}" for _ in range(rng.randrange(8)))
+        rows.append((k, k % 3, rng.randrange(9), ops if k % 40 else None, "".join(rng.choice("ACGTé") for _ in range(rng.randrange(50))) if k % 30 else None))
+    want = {}
+    for _, ref, start, cigar, seq in rows:
+        r, q, runs = start, 0, []  # runs: the node names of each operation, None where the letter is unknown
+        for n, op in ((int(n), op) for n, op in re.findall("([0-9]+)([=XIDS])", cigar or "")):
+            if op in "=X":
+                runs.append((op, [f"{r + j:010d}=" if op == "=" else seq is not None and f"{r + j:010d}X{seq[q + j : q + j + 1]}" for j in range(n)]))
+            elif op == "I":
+                runs.append((op, [seq is not None and f"{f'{r - 1}'.rjust(10, '0')}i{seq[q : q + n]}:{j:05d}" for j in range(n)]))
+            r, q = r + n * (op in "=XD"), q + n * (op in "=XIS")
+        found = [(a[1][-1], b[1][0], False) for a, b in zip(runs, runs[1:])]
+        for op, x in runs:
+            found += [(x[0], x[-1], True)] * (len(x) > 1) if op == "=" else [(u, v, False) for u, v in zip(x, x[1:])]
+        for u, v, along in found:
+            if u and v:
+                along = along or (u[10] == v[10] == "=" and int(v[:10]) == int(u[:10]) + 1)
+                want[ref, u, v, along] = want.get((ref, u, v, along), 0) + 1
+    aln = spark.createDataFrame(rows, "rid long, ref long, start int, cigar string, seq string")
+    turns, got = pileup.read_turns(pileup.aligned_ops(aln)), {}
+    for r in turns.collect():
+        got[r.ref, r.u, r.v, r.along] = got.get((r.ref, r.u, r.v, r.along), 0) + r.n
+    assert got == want
+    assert len(re.findall(r"^.{0,20}MapInArrow", plan(turns), re.M)) == 2 and "Generate" not in plan(turns)  # counted by numbers, named after
