@@ -135,7 +135,7 @@ def align_paths(paths: DataFrame, walk: DataFrame) -> DataFrame:
     op is M for nodes of both, I for the read's alone, D for the walk's alone. All walk nodes are listed for all reads, which is the
     result; what only needs their number takes ranks on the walk, see :func:`walk_ranks`.
     """
-    wanted = paths.select(*READ).distinct().join(walk.select("cluster", "node"), "cluster")
+    wanted = paths.select(*READ).distinct().join(walk.select("cluster", "node").hint("merge"), "cluster")
     both = paths.select(*READ, "node", F.lit(1).alias("p"), F.lit(0).alias("w")).union(wanted.select(*READ, "node", F.lit(0), F.lit(1)))
     each = both.groupBy(*READ, "node").agg(F.max("p").alias("p"), F.max("w").alias("w"))
     return each.select(*READ, "node", F.when((F.col("p") == 1) & (F.col("w") == 1), "M").when(F.col("p") == 1, "I").otherwise("D").alias("op"))
@@ -198,7 +198,7 @@ def compatible_reads(paths: DataFrame, walk: DataFrame, ends_delta: int = 35) ->
     """
     n = F.count("*").over(W.partitionBy(*READ))
     middle = (F.col("pos") > ends_delta) & (F.col("pos") <= F.col("n") - ends_delta)
-    rows = paths.withColumn("n", n).join(walk_ranks(walk), ["cluster", "node"], "left")
+    rows = paths.withColumn("n", n).join(walk_ranks(walk).hint("merge"), ["cluster", "node"], "left")
     told = rows.groupBy(*READ).agg(
         F.max("support").alias("support"), F.count_if(middle).alias("n_read"), F.count_if(middle & F.col("rank").isNotNull()).alias("n_both"),
         (F.max(F.when(middle, F.col("rank"))) - F.min(F.when(middle, F.col("rank"))) + 1).alias("n_walk"),

@@ -19,6 +19,9 @@ def test_written_tables_are_not_broadcast(spark):
     reads = spark.createDataFrame(rows, "cluster long, read long, support int, pos int, node long")
     fixed, _ = paths.correct_paths(reads, paths.heaviest_path(reads), psi=3)
     assert "Broadcast" not in plan(fixed)
+    walk = paths.heaviest_path(reads)
+    for rows in (paths.align_paths(reads, walk), paths.compatible_reads(reads, walk, 0)):
+        assert "SortMergeJoin" in plan(rows) and "Broadcast" not in plan(rows)
 
 
 READS = [
