@@ -3,7 +3,10 @@
 import random
 import re
 
-from isoloom.operators import paths, pileup
+from pyspark.sql import functions as F
+
+from isoloom.functions import sequences
+from isoloom.operators import paths, pileup, transcripts
 from isoloom.plans.queries import QUERIES
 from isoloom.shared import spread
 
@@ -107,3 +110,16 @@ def test_turns_are_told_a_batch_at_a_time(spark):
         got[r.ref, r.u, r.v, r.along] = got.get((r.ref, r.u, r.v, r.along), 0) + r.n
     assert got == want
     assert len(re.findall(r"^.{0,20}MapInArrow", plan(turns), re.M)) == 2 and "Generate" not in plan(turns)  # counted by numbers, named after
+
+
+def test_orfs_of_both_strands_are_told_a_batch_at_a_time(spark):
+    rng = random.Random(7)
+    texts = ["", "A", "AT", "ATG", "ATGTAA", "ATGATGTGA", "CATATGTAAATGTAG", "UUAUGCCUAAé", None, "ATGNTAA"]
+    texts += ["".join(rng.choice("ATGGATAAéUacgR" if k % 3 == 0 else "ACGT") for _ in range(rng.randrange(300))) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+    got = transcripts._oriented(df)
+    assert "MapInArrow" in plan(got)
+    once = sequences.once(got, f=sequences.longest_orf(F.translate("seq", "U", "T")), r=sequences.longest_orf(F.col("rev")))
+    rows = once.select("read_id", "ahead", "back", "f.protein", F.col("r.protein").alias("other")).collect()
+    assert {r.read_id for r in rows} == {k for k, t in enumerate(texts) if t is not None and "N" not in t.upper()}
+    assert [(r.ahead, r.back) for r in rows] == [(r.protein, r.other) for r in rows]
