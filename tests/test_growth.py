@@ -2,13 +2,16 @@
 
 import random
 import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from isoloom.functions import sequences
-from isoloom.operators import paths, pileup, transcripts
+from isoloom.operators import decompose, paths, pileup, transcripts
 from isoloom.plans.queries import QUERIES
 from isoloom.shared import spread
+from tests.test_rules import frame, random_reads, walks_of
 
 
 def plan(df):
@@ -123,3 +126,29 @@ def test_orfs_of_both_strands_are_told_a_batch_at_a_time(spark):
     rows = once.select("read_id", "ahead", "back", "f.protein", F.col("r.protein").alias("other")).collect()
     assert {r.read_id for r in rows} == {k for k, t in enumerate(texts) if t is not None and "N" not in t.upper()}
     assert [(r.ahead, r.back) for r in rows] == [(r.protein, r.other) for r in rows]
+
+
+def test_walks_go_by_blocks(spark):
+    rows = random_reads(random.Random(8), 5, 9, 3)
+    edges = paths.edge_weights(frame(spark, rows))
+    starts = spark.createDataFrame(sorted({(c, min(x)) for (c, _), (_, x) in rows.items()}), "cluster int, node int")
+    want = {(c, w[0]): w for c in range(5) for w in walks_of({r: x for (k, r), x in rows.items() if k == c}, 3)}
+    for block in (3, 7, 1000):
+        got = {}
+        for x in paths.walks_from(edges, starts, 3, block).collect():
+            got.setdefault((x.cluster, x.source), []).append((x.step, x.node))
+        assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == want and all([s for s, _ in sorted(v)] == [*range(len(v))] for v in got.values())
+    # Rounds are those of blocks, not of nodes.
+    spark.sparkContext.setJobGroup("long walk", "")
+    line = spark.createDataFrame([(0, k, k + 1, 1) for k in range(4000)], "cluster int, u long, v long, weight long")
+    assert paths.walks_from(line, spark.createDataFrame([(0, 0), (0, 9)], "cluster int, node long")).count() == 4001
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("long walk")) < 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_single_ways_are_followed_at_once():
+    long = [np.arange(k % 2, 60_000 + k) for k in range(4)]
+    began = time.process_time()
+    got = decompose.isoforms_of(long, np.array([1, 2, 3, 4]), 35)
+    assert time.process_time() - began < 3
+    assert [(p[0], len(p), s) for p, s in got] == [(0, 60_003, 10)]
