@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from isoloom.shared import discard, materialise
 #: Up to so many edges the smallest neighbours are joined as they come; beyond, they are written first.
 _FEW = 1 << 20
 
+#: Edges that :func:`local_components` makes stars of at once.
+_RUN = 1 << 17
+
 
 def _large_star(edges: DataFrame, least_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -64,3 +69,57 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.union(centres).union(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node to the smallest of its component; one to itself where it is alone."""
+    names, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = code[: len(u)], code[len(u) :], np.arange(len(names))
+    while ((x := root[a]) != (y := root[b])).any():
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    far = (root != np.arange(len(names))) | (np.bincount(root, minlength=len(names))[root] == 1)
+    return names[far], names[root[far]]
+
+
+def _runs(batches):
+    """Batches of edges (u, v) as stars, ``_RUN`` edges at a time."""
+    held, n = [], 0
+
+    def starred() -> pa.RecordBatch:
+        u, v = (np.concatenate([x[c].to_numpy(zero_copy_only=False) for x in held]) for c in ("u", "v"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(u, v)], ["u", "v"])
+
+    for x in batches:
+        held.append(x)
+        n += x.num_rows
+        if n >= _RUN:
+            yield starred()
+            held, n = [], 0
+    if n:
+        yield starred()
+
+
+def local_components(edges: DataFrame) -> DataFrame:
+    """:func:`connected_components` of ``edges(u, v)`` of whole numbers, most of which join nodes of near numbers.
+
+    Edges become stars a run at a time, where they are read and again where they are dealt by blocks of numbers. A node that has one star's
+    centre as its only neighbour waits for that centre's component; only edges of other nodes, those in which runs meet, go through rounds.
+    Edges between far numbers gain nothing and go through all rounds.
+    """
+    some = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null")
+    dealt = some.mapInArrow(_runs, "u long, v long").withColumn("block", F.floor(F.col("u") / _RUN))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "u").select("u", "v")
+    stars = materialise(dealt.mapInArrow(_runs, "u long, v long"), "stars")
+    none = F.lit(None).cast("long")
+    ends = stars.select(F.col("u").alias("node"), F.when(F.col("u") != F.col("v"), F.col("v")).alias("to"), F.lit(False).alias("centre"))
+    ends = ends.union(stars.where("u <> v").select("v", none, F.lit(True)).distinct())
+    ends = ends.groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max("centre").alias("centre"))
+    waits = F.col("lo").isNotNull() & (F.col("lo") == F.col("hi")) & ~F.col("centre")
+    nodes = materialise(ends.select("node", F.when(waits, F.col("lo")).otherwise(F.col("node")).alias("key"), (F.col("lo").isNotNull() & ~waits).alias("meets")), "nodes")
+    meets = nodes.where("meets").select(F.col("node").alias("u"))
+    if meets.isEmpty():
+        return nodes.select("node", F.col("key").alias("component"))
+    core = connected_components(stars.join(meets, "u", "left_semi")).select(F.col("node").alias("key"), "component")
+    return nodes.join(core, "key", "left").select("node", F.coalesce("component", "key").alias("component"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from isoloom.functions import sequences
-from isoloom.operators import decompose, paths, pileup, transcripts
+from isoloom.operators import components, decompose, paths, pileup, transcripts
 from isoloom.plans.queries import QUERIES
 from isoloom.shared import spread
 from tests.test_rules import frame, random_reads, walks_of
@@ -147,8 +147,24 @@ def test_walks_go_by_blocks(spark):
 
 
 def test_single_ways_are_followed_at_once():
-    long = [np.arange(k % 2, 60_000 + k) for k in range(4)]
+    long = [np.arange(k % 2, 400_000 + k) for k in range(4)]
     began = time.process_time()
     got = decompose.isoforms_of(long, np.array([1, 2, 3, 4]), 35)
     assert time.process_time() - began < 3
-    assert [(p[0], len(p), s) for p, s in got] == [(0, 60_003, 10)]
+    assert [(p[0], len(p), s) for p, s in got] == [(0, 400_003, 10)]
+
+
+def test_components_of_runs_are_stars(spark, monkeypatch):
+    rng = random.Random(9)
+    odd = [(5, 5), (6, None), (None, 7), (-3, 8), (8, -3), (8, 8)]
+    strewn = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + odd
+    near = [(k, k + rng.randrange(3)) for k in range(900) if k % 50] + odd
+    for rows in (strewn, near, [(k + 1, k) for k in range(700)], odd[:1], []):
+        edges = spark.createDataFrame(rows, "u long, v long").repartition(5)
+        want = {r.node: r.component for r in components.connected_components(edges).collect()}
+        assert {r.node: r.component for r in components.local_components(edges).collect()} == want
+        assert components.local_components(edges).count() == len(want)
+    # Components that lie together in the input are done where they are read.
+    monkeypatch.setattr(components, "connected_components", None)
+    line = spark.range(0, 50_000, 1, 2).selectExpr("id as u", "id - id % 100 as v")
+    assert components.local_components(line).where("component <> node - node % 100").isEmpty()
