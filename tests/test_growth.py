@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from isoloom.functions import sequences
@@ -168,3 +169,27 @@ def test_components_of_runs_are_stars(spark, monkeypatch):
     monkeypatch.setattr(components, "connected_components", None)
     line = spark.range(0, 50_000, 1, 2).selectExpr("id as u", "id - id % 100 as v")
     assert components.local_components(line).where("component <> node - node % 100").isEmpty()
+
+
+def test_layers_go_by_blocks(spark, monkeypatch):
+    written, real = [], paths.materialise
+    monkeypatch.setattr(paths, "materialise", lambda df, name: written.append(name) or real(df, name))
+    deep = [(c, k * 3 + i, k * 3 + 3 + j) for c in (0, 1) for k in range(300) for i in range(3) for j in range(3)]
+    got = paths.topological_layers(spark.createDataFrame(deep, "cluster int, u int, v int"))
+    assert got.dtypes == [("cluster", "int"), ("node", "int"), ("layer", "int")] and {(r.node // 3, r.layer) for r in got.collect()} == {(k, k) for k in range(301)}
+    assert got.count() == 1806 and written.count("layers") == 1  # rounds are those of blocks, not of layers
+    rng, edges = random.Random(4), deep
+    for c in range(2, 6):  # numbers that don't ascend, dense and sparse, some in one block
+        name = rng.sample(range(-40, 10 if c == 2 else 90), 50)
+        edges = edges + [(c, name[i], name[j]) for i in range(50) for j in range(i + 1, 50) if rng.random() < (0.02, 0.1, 0.5)[c % 3]]
+    want = {}
+    for _ in range(301):
+        for c, u, v in edges:
+            want[c, v] = max(want.get((c, v), 0), want.setdefault((c, u), 0) + 1)
+    written.clear()
+    rows = paths.topological_layers(spark.createDataFrame(edges, "cluster int, u long, v long"), 64).collect()
+    assert len(rows) == len(want) and {(r.cluster, r.node): r.layer for r in rows} == want and written.count("layers") < 70
+    assert paths.topological_layers(spark.createDataFrame([], "cluster int, u long, v long")).isEmpty()
+    for circle in ([(1, 2), (2, 3), (3, 2)], [(1, 20), (2, 20), (20, 31), (20, 32), (31, 2), (32, 2), (1, 2)]):
+        with pytest.raises(ValueError, match="circle"):
+            paths.topological_layers(spark.createDataFrame([(0, *e) for e in circle], "cluster int, u long, v long"), 10)
