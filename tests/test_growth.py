@@ -193,3 +193,28 @@ def test_layers_go_by_blocks(spark, monkeypatch):
     for circle in ([(1, 2), (2, 3), (3, 2)], [(1, 20), (2, 20), (20, 31), (20, 32), (31, 2), (32, 2), (1, 2)]):
         with pytest.raises(ValueError, match="circle"):
             paths.topological_layers(spark.createDataFrame([(0, *e) for e in circle], "cluster int, u long, v long"), 10)
+
+
+def test_steps_of_one_place_are_counted_before_they_are_shuffled(spark):
+    import pyarrow as pa
+
+    rows = pa.table({"ref": pa.array([{"cluster": k % 3, "read": None if k % 2 else 0} for k in range(6000)]), "x": pa.array([None if k % 5 else "=" for k in range(6000)]), "n": pa.array([1] * 6000)})
+    few = pa.Table.from_batches([*pileup._summed(rows.to_batches(100), 250)])
+    assert few.num_rows < 1000 and few.schema == rows.schema  # 12 different ones
+    sums = {}
+    for r in few.to_pylist():
+        sums[str(r["ref"]), r["x"]] = sums.get((str(r["ref"]), r["x"]), 0) + r["n"]
+    assert len(sums) == 12 and sum(sums.values()) == 6000
+    aln = spark.createDataFrame([(k, k % 2, k % 7, "3=1X2I4=2D3=", "ACGTTTACGTACG") for k in range(500)], "rid long, ref long, start int, cigar string, seq string")
+    dealt = pileup.by_place(aln)
+    assert "rebalance" in plan(dealt).lower() and dealt.columns == aln.columns
+    told = [sorted(map(tuple, pileup.step_counts(pileup.aligned_ops(x), held).collect()), key=str) for x, held in ((aln, 1), (dealt, 50), (dealt, 1 << 20))]
+    assert told[0] == told[1] == told[2] and sum(r[3] for r in told[0] if r[2] is None) == 0
+    backbone = spark.createDataFrame([(0, "ACGTACGTAC" * 3), (1, "ACGTACGTAC" * 3)], "ref long, seq string")
+    weights = {(r.ref, r.u, r.v): r.weight for r in pileup.pileup_edges(backbone, pileup.aligned_ops(dealt), 1).collect()}
+    turns = {}
+    for r in pileup.read_turns(pileup.aligned_ops(aln)).collect():
+        for k in range(int(r.u[:10]), int(r.v[:10])) if r.along else [None]:
+            step = (r.ref, r.u, r.v) if k is None else (r.ref, f"{k:010d}=", f"{k + 1:010d}=")
+            turns[step] = turns.get(step, 0) + r.n
+    assert weights == {x: turns.get(x, 0) + (x[1][10] == x[2][10] == "=" and int(x[2][:10]) == int(x[1][:10]) + 1) for x in weights} and turns.keys() <= weights.keys()
