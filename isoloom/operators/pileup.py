@@ -213,9 +213,14 @@ def branch_support(reads: DataFrame) -> DataFrame:
 
 def branch_edges(branches: DataFrame) -> DataFrame:
     """(ref, u, v, n_branches): how many distinct branches take each step."""
+    return _edges_of(branches.select("ref", "branch").distinct())
+
+
+def _edges_of(branches: DataFrame) -> DataFrame:
+    """:func:`branch_edges` of branches that have one row each."""
     n = F.size("x")
     pairs = F.arrays_zip(F.slice("x", F.lit(1), n - 1).alias("u"), F.slice("x", F.lit(2), n - 1).alias("v"))
-    steps = branches.select("ref", "branch").distinct().select("ref", F.split("branch", " ").alias("x")).where(n > 1).select("ref", F.explode(pairs).alias("e"))
+    steps = branches.select("ref", F.split("branch", " ").alias("x")).where(n > 1).select("ref", F.explode(pairs).alias("e"))
     return steps.groupBy("ref", "e.u", "e.v").agg(F.count("*").alias("n_branches"))
 
 
@@ -226,28 +231,58 @@ def branch_nodes(branches: DataFrame) -> DataFrame:
     return branches.select("ref", "branch").distinct().select("ref", F.explode(inner).alias("node")).groupBy("ref", "node").agg(F.count("*").alias("n_branches"))
 
 
+_BLOCK = 64
+
+
+def _block(node: Column) -> Column:
+    return F.coalesce(F.floor(F.substr(node, F.lit(1), F.lit(10)).try_cast("long") / _BLOCK), F.lit(-1))
+
+
 def branch_fates(branches: DataFrame, walk: DataFrame, alive: DataFrame | None = None) -> DataFrame:
-    """``branches(ref, branch, n_reads)`` with ``fate`` beside ``walk(ref, node)``.
+    """``branches(ref, branch, n_reads)`` of :func:`branch_support` with ``fate`` beside ``walk(ref, node)``.
 
     dead: an end is no node of ``alive(ref, node)`` any more; same: the walk takes the very same nodes from the first to
     the last; settled: both ends are on the walk, which goes another way between them; open: it runs off the walk.
+
+    What is known of the nodes of a block of positions is one row, which a branch inside of the block meets once; only those of branches
+    over several blocks are looked up one by one.
     """
-    branches = materialise(branches, "branches")
-    ends = branches.withColumn("x", F.split("branch", " ")).withColumn("a", F.get("x", F.lit(0))).withColumn("z", F.element_at("x", -1)).withColumn("n", F.size("x"))
-    key = ["ref", "branch"]
+    branches = branches if hasattr(branches, "isoloom_path") else materialise(branches, "branches")
+    x, n = F.split("branch", " "), F.size("x")
+    ends = branches.select("ref", "branch", "n_reads", F.substring_index("branch", " ", 1).alias("a"), F.substring_index("branch", " ", -1).alias("z"))
+    ends = ends.withColumn("block", _block(F.col("a"))).withColumn("near", _block(F.col("z")) == F.col("block"))
     ranks = materialise(P.walk_ranks(walk, "ref"), "ranks")
-    on = ends.select(*key, F.explode("x").alias("node")).join(ranks, ["ref", "node"]).groupBy(*key)
-    on = on.agg(F.count("*").alias("n_on"), F.min("node").alias("lo"), F.max("node").alias("hi"), (F.max("rank") - F.min("rank") + 1).alias("n_walk"))
-    told = ends.join(on, key, "left")
-    dead = F.lit(False)
+    marks = ranks.select("ref", "node", "rank", F.lit(False).alias("alive"))
     if alive is not None:
         alive = materialise(alive.select("ref", "node").distinct(), "alive")
+        marks = marks.union(alive.select("ref", "node", F.lit(None).cast("int"), F.lit(True)))
+    marks = marks.groupBy("ref", "node").agg(F.max("rank").alias("rank"), F.max("alive").alias("alive")).groupBy("ref", _block(F.col("node")).alias("block"))
+    marks = materialise(marks.agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("rank", "alive")))).alias("marks")), "marks")
+
+    near = ends.where("near").join(marks, ["ref", "block"], "left")
+    known = lambda node: F.try_element_at("marks", node)
+    near = S.once(near, x=x, at_a=known(F.col("a")), at_z=known(F.col("z")))
+    inner = F.slice("x", F.lit(2), F.greatest(n - 2, F.lit(0)))
+    whole = F.forall(inner, lambda node: known(node)["rank"].isNotNull())
+    missing = ~F.coalesce(F.col("at_a.alive"), F.lit(False)) | ~F.coalesce(F.col("at_z.alive"), F.lit(False))
+    near = near.select("ref", "branch", "n_reads", _fate(F.lit(False) if alive is None else missing, F.col("at_a.rank"), F.col("at_z.rank"), n, whole).alias("fate"))
+
+    far, key = ends.where("not near").withColumn("x", x), ["ref", "branch"]
+    on = far.select(*key, "a", "z", F.explode("x").alias("node")).join(ranks, ["ref", "node"]).groupBy(*key)
+    of = lambda end: F.max(F.when(F.col("node") == F.col(end), F.col("rank"))).alias(f"rank_{end}")
+    told, dead = far.join(on.agg(F.count("*").alias("n_on"), of("a"), of("z")), key, "left"), F.lit(False)
+    if alive is not None:
         for end in ("a", "z"):
             told = told.join(alive.select("ref", F.col("node").alias(end), F.lit(True).alias(f"alive_{end}")), ["ref", end], "left")
             dead = dead | F.col(f"alive_{end}").isNull()
-    both = F.coalesce((F.col("lo") == F.col("a")) & (F.col("hi") == F.col("z")), F.lit(False))
-    same = both & (F.col("n_on") == F.col("n")) & (F.col("n_walk") == F.col("n"))
-    return told.select("ref", "branch", "n_reads", F.when(dead, "dead").when(same, "same").when(both, "settled").otherwise("open").alias("fate"))
+    told = told.select("ref", "branch", "n_reads", _fate(dead, F.col("rank_a"), F.col("rank_z"), n, F.col("n_on") == n).alias("fate"))
+    return near.union(told)
+
+
+def _fate(dead: Column, first: Column, last: Column, n: Column, whole: Column) -> Column:
+    """See :func:`branch_fates`: ``first`` and ``last`` are the ranks of the ends of ``n`` nodes, ``whole`` whether all others have one too."""
+    both = first.isNotNull() & last.isNotNull()
+    return F.when(dead, "dead").when(both & (last - first + 1 == n) & whole, "same").when(both, "settled").otherwise("open")
 
 
 def drop_branches(branches: DataFrame, walk: DataFrame, alive: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +291,7 @@ def drop_branches(branches: DataFrame, walk: DataFrame, alive: DataFrame | None
     A branch that the walk takes itself goes from the list but leaves its support.
     """
     told = branch_fates(branches, walk, alive)
-    return told.where("fate = 'open'").drop("fate"), branch_edges(told.where("fate in ('open', 'same')"))
+    return told.where("fate = 'open'").drop("fate"), _edges_of(told.where("fate in ('open', 'same')"))
 
 
 def _first(o: Column) -> Column:

@@ -218,3 +218,40 @@ def test_steps_of_one_place_are_counted_before_they_are_shuffled(spark):
             step = (r.ref, r.u, r.v) if k is None else (r.ref, f"{k:010d}=", f"{k + 1:010d}=")
             turns[step] = turns.get(step, 0) + r.n
     assert weights == {x: turns.get(x, 0) + (x[1][10] == x[2][10] == "=" and int(x[2][:10]) == int(x[1][:10]) + 1) for x in weights} and turns.keys() <= weights.keys()
+
+
+def test_fates_are_told_from_blocks(spark):
+    rng, at = random.Random(5), lambda k, x="=": f"{k:010d}{x}"
+    nodes = {ref: [at(k, x) for k in range(300) for x in ("=", "XC", "iGT:00000", "iGT:00001") if x == "=" or rng.random() < 0.4] for ref in (1, 2)}
+    walk = [(ref, x) for ref in nodes for x in nodes[ref] if rng.random() < 0.8]
+    alive = [(ref, x) for ref in nodes for x in nodes[ref] if rng.random() < 0.9]
+    on, rows = {ref: [x for r, x in walk if r == ref] for ref in nodes}, {}
+    for k in range(600):
+        ref, taken = 1 + k % 2, rng.choice((on, nodes))
+        lo = rng.randrange(len(taken[ref]) - 90)
+        some = taken[ref][lo : lo + rng.choice((1, 2, 3, 4, 90))]
+        rows[ref, " ".join(rng.choice((some, [*some[:1], *some[-1:]])) if len(some) > 1 else some)] = k
+    want = []
+    for (ref, branch), k in rows.items():
+        x = branch.split(" ")
+        both = x[0] in on[ref] and x[-1] in on[ref]
+        fate = "same" if both and [y for y in on[ref] if x[0] <= y <= x[-1]] == x else "settled" if both else "open"
+        want.append((ref, branch, k, fate, "dead" if not {(ref, x[0]), (ref, x[-1])} <= {*alive} else fate))
+    frame_ = lambda x: spark.createDataFrame(x, "ref long, node string")
+    branches = spark.createDataFrame([(*b, k) for b, k in rows.items()], "ref long, branch string, n_reads long")
+    for column, a in ((3, None), (4, frame_(alive))):
+        told = pileup.branch_fates(branches, frame_(walk), a)
+        assert sorted(map(tuple, told.collect())) == sorted((*x[:3], x[column]) for x in want)
+    assert {x[4] for x in want} == {"dead", "same", "settled", "open"} and any(x[3] == "same" and x[1].count(" ") > 80 for x in want)
+    kept, support = pileup.drop_branches(branches, frame_(walk), frame_(alive))
+    assert kept.count() == sum(x[4] == "open" for x in want)
+    edges = {}
+    for ref, branch, _, _, fate in want:
+        for u, v in zip(branch.split(" "), branch.split(" ")[1:]) if fate in ("open", "same") else ():
+            edges[ref, u, v] = edges.get((ref, u, v), 0) + 1
+    assert {tuple(r)[:3]: r.n_branches for r in support.collect()} == edges
+
+
+def test_branches_are_read_once(spark):
+    text = plan(QUERIES["branch_fates"](spark, "/root/testdata/sf0.001"))
+    assert "lineitem" not in text and "MapInArrow" not in text  # all from written branches and what is known of nodes
