@@ -2,7 +2,7 @@
 
 A count transducer is a tree-shaped automaton: arcs carry words in byte order, every state the number of times that the phrase leading
 to it occurs. It is cut to pieces by ranges of prefixes: first words that begin alike share a piece; a common first word has pieces of its
-own, one for each first byte of the second. A piece is the words, depths and weights of its states, each before those below it.
+own, one for each first byte of the second, or two in much text. A piece is the words, depths and weights of its states, each before those below it.
 Pieces of all shards with the same range have the same key, and with more text ranges get narrower.
 
 1. Words. Shards of text count their words; sums over shards give the frequent ones and all occurrences per language.
@@ -85,7 +85,7 @@ def _split(data: np.ndarray, gap: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 def _ordered(coded: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(vocabulary in byte order, number of every word there from 1 on)."""
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     return coded.dictionary.take(pa.array(order)).cast(pa.string()), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
@@ -146,12 +146,16 @@ def states(paths: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray
     return _preorder(paths, differs & (paths > 0), weight)
 
 
-def first_bytes(vocabulary: pa.Array) -> np.ndarray:
-    """First byte of every word, by its number; words aren't empty."""
+def first_bytes(vocabulary: pa.Array, n: int = 1) -> np.ndarray:
+    """The first ``n`` bytes of every word as a number, by the word's own; words aren't empty, short ones end with zeros."""
     if not len(vocabulary):
-        return np.zeros(1, np.uint8)
-    offsets = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset : vocabulary.offset + len(vocabulary)]
-    return np.r_[0, np.frombuffer(vocabulary.buffers()[2], np.uint8)[offsets]]
+        return np.zeros(1, np.int32)
+    offsets = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset : vocabulary.offset + len(vocabulary) + 1]
+    data, out = np.frombuffer(vocabulary.buffers()[2], np.uint8), np.zeros(len(vocabulary), np.int32)
+    for k in range(n):
+        inside = offsets[:-1] + k < offsets[1:]
+        out = (out << 8) + np.where(inside, data[np.where(inside, offsets[:-1] + k, 0)], 0)
+    return np.r_[0, out].astype(np.int32)
 
 
 def _packed(keys: list[pa.Array], cuts: np.ndarray, word: pa.Array, depth: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
@@ -165,16 +169,16 @@ def _packed(keys: list[pa.Array], cuts: np.ndarray, word: pa.Array, depth: np.nd
     return pa.RecordBatch.from_arrays([*keys, text, fixed(depth.astype(np.int8), 1), fixed(weight.astype("<i8"), 8)], schema=_SCHEMA)
 
 
-def pieces(lang: str, vocabulary: pa.Array, paths: np.ndarray, counts: np.ndarray, base: int, width: int, common: pa.Array | None = None) -> pa.RecordBatch:
+def pieces(lang: str, vocabulary: pa.Array, paths: np.ndarray, counts: np.ndarray, base: int, width: int, common: pa.Array | None = None, letters: int = 1) -> pa.RecordBatch:
     """The pieces of the automaton of sorted distinct paths; ranges are the first ``width`` characters of the first word, or a ``common`` one
-    and the first byte of the second."""
+    and the first ``letters`` bytes of the second."""
     row, depth, weight = states(paths, counts, base)
     often = np.zeros(len(vocabulary) + 1, bool)
     often[1:] = pc.is_in(vocabulary, common if common is not None else pa.array([], pa.string())).to_numpy(zero_copy_only=False)
     ranges = pc.if_else(pa.array(often[1:]), vocabulary, pc.utf8_slice_codeunits(vocabulary, 0, width)).dictionary_encode()
     of = np.r_[-1, ranges.indices.to_numpy(zero_copy_only=False)]
     first = paths[row, 0]
-    letter = np.where(often[first], first_bytes(vocabulary)[paths[row, 1]].astype(np.int32), -1)
+    letter = np.where(often[first], first_bytes(vocabulary, letters)[paths[row, 1]], -1)
     # A state of one word leads to those of its path, so the letter of its row is that of the piece that begins there; where a
     # common first word goes on to another letter, its state is said again.
     again = np.flatnonzero((depth == 1) & np.r_[False, (letter[1:] != letter[:-1]) & (depth[:-1] >= 1)])
@@ -224,7 +228,7 @@ def word_counts(docs: DataFrame, least: int, size: int = SHARD_BYTES) -> DataFra
     return every.where((F.col("n") >= least) | (F.col("word") == ""))
 
 
-def shard_automata(docs: DataFrame, frequent: np.ndarray, base: int, longest: int, width: int, common: dict[str, list[str]], size: int = SHARD_BYTES) -> DataFrame:
+def shard_automata(docs: DataFrame, frequent: np.ndarray, base: int, longest: int, width: int, common: dict[str, list[str]], size: int = SHARD_BYTES, letters: int = 1) -> DataFrame:
     """Pieces of the automata of all shards. ``base`` 1: pairs of words of the bitmap ``frequent``. ``base`` 2: phrases of three and more
     words whose pairs are all in it."""
 
@@ -249,7 +253,7 @@ def shard_automata(docs: DataFrame, frequent: np.ndarray, base: int, longest: in
                 on = on & joined[at + d - 1]
                 columns.append(np.where(on, said[np.minimum(at + d, len(said) - 1)], 0))
             if len(at):
-                yield pieces(lang, vocabulary, *distinct(np.column_stack(columns)), base, width, pa.array(common.get(lang, []), pa.string()))
+                yield pieces(lang, vocabulary, *distinct(np.column_stack(columns)), base, width, pa.array(common.get(lang, []), pa.string()), letters)
 
     return _texts(docs).mapInArrow(run, PIECES)
 
@@ -262,23 +266,24 @@ def unfold(batch: pa.RecordBatch | pa.Table, base: int, longest: int) -> tuple[p
     vocabulary, code = _ordered(_split(data, data == 32)[0])
     depth, weight = np.frombuffer(depth, np.int8), np.frombuffer(weight, "<i8")
     own = depth > base
-    paths, place = np.zeros((int(own.sum()), longest), np.int64), np.arange(len(code))
+    paths, place = np.zeros((int(own.sum()), longest), np.int32), np.arange(len(code), dtype=np.int32)
     for d in range(longest):
-        last = np.maximum.accumulate(np.where(depth == d + 1, place, -1))[own]  # the state of this depth that a state lies below
+        last = np.maximum.accumulate(np.where(depth == d + 1, place, np.int32(-1)))[own]  # the state of this depth that a state lies below
         paths[:, d] = np.where(depth[own] > d, code[last], 0)
     return vocabulary, row[own], paths, weight[own]
 
 
-def _united(base: int, longest: int, least: int):
-    """Unions of runs of pieces with equal keys, without states below ``least``."""
+def _united(base: int, longest: int, least: int, most: int = 4 * _STATES):
+    """Unions of runs of pieces with equal keys, without states below ``least``. Pieces of one key are united whenever they have ``most``
+    states, so that no more are held than twice the different ones, however many shards there are."""
 
     def changes(table: pa.Table) -> np.ndarray:
         """Whether a row's key isn't that of the row before."""
         n = table.num_rows
         return np.r_[True, np.logical_or.reduce([pc.not_equal(x.slice(1), x.slice(0, n - 1)).to_numpy() for x in table.select(KEY).combine_chunks().columns])]
 
-    def of(table: pa.Table) -> pa.RecordBatch | None:
-        number = np.cumsum(changes(table)) - 1
+    def of(table: pa.Table, least: int = least) -> pa.RecordBatch | None:
+        number = (np.cumsum(changes(table)) - 1).astype(np.int32)
         vocabulary, row, paths, weight = unfold(table, base, longest)
         full, sums = distinct(np.column_stack([number[row], paths]), weight)
         full, sums = full[sums >= least], sums[sums >= least]
@@ -298,6 +303,7 @@ def _united(base: int, longest: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        size, full = 0, most  # states of the last key, and how many are too many
         for b in batches:
             if not b.num_rows:
                 continue
@@ -312,7 +318,13 @@ def _united(base: int, longest: int, least: int):
                 if last:
                     if (done := of(held.slice(0, last))) is not None:
                         yield done
-                    held = held.slice(last)
+                    held, size, full = held.slice(last), 0, most
+                    new = held
+                size += pc.sum(pc.binary_length(new["depth"])).as_py()
+                if size >= full and (done := of(held, 1)) is not None:
+                    held = pa.Table.from_batches([done])
+                    size = pc.sum(pc.binary_length(held["depth"])).as_py()
+                    full = max(most, 2 * size)
         if held is not None and (done := of(held)) is not None:
             yield done
 
@@ -352,23 +364,28 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "part", "f"])
 
 
-def compose(parts: DataFrame, automata: DataFrame, width: int, common: DataFrame) -> DataFrame:
+def compose(parts: DataFrame, automata: DataFrame, width: int, common: DataFrame, letters: int = 1) -> DataFrame:
     """(lang, part, f) of the ``parts(lang, part)`` of several words: pieces of both sides with the same key are walked together.
 
     Parts are distinct, so what is asked of a piece is no more than the phrases it has. ``common(lang, word)`` are the first words whose
-    pieces are cut by the next word's first byte.
+    pieces are cut by the next word's first ``letters`` bytes.
     """
     asked = parts.select("lang", "part", F.substring_index("part", " ", 1).alias("word"))
     asked = asked.join(common.select("lang", "word", F.lit(True).alias("often")), ["lang", "word"], "left")
-    letter = F.when(F.col("often"), F.conv(F.substring(F.hex(F.split_part("part", F.lit(" "), F.lit(2))), 1, 2), 16, 10).cast("int")).otherwise(-1)
+    letter = F.when(F.col("often"), F.conv(F.rpad(F.hex(F.split_part("part", F.lit(" "), F.lit(2))), 2 * letters, "0"), 16, 10).cast("int")).otherwise(-1)
     prefix = F.when(F.col("often"), F.col("word")).otherwise(F.substring("word", 1, width))
     asked = asked.groupBy("lang", prefix.alias("prefix"), letter.alias("letter")).agg(F.collect_set("part").alias("parts"))
     return automata.join(asked, KEY).select("lang", "words", "depth", "weight", "parts").mapInArrow(_walked, "lang string, part string, f long")
 
 
 def range_width(n_words: int) -> int:
-    """How many characters of a first word make a range: one more for every 32 times as many words, from 3 on."""
-    return 3 + max(0, (n_words >> 30).bit_length() // 5)
+    """How many characters of a first word make a range: 3, from 2**29 words on 4, and one more for every 4 times as many."""
+    return 3 + (n_words >> 28).bit_length() // 2
+
+
+def range_letters(n_words: int) -> int:
+    """How many bytes of the word after a common first word make a range."""
+    return 1 if n_words < 1 << 29 else 2
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, best: int = BEST, size: int = SHARD_BYTES) -> DataFrame:
@@ -386,13 +403,14 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     often: dict[str, list[str]] = {}
     for lang, w in common.collect():
         often.setdefault(lang, []).append(w)
-    width = range_width(total.agg(F.sum("total")).first()[0] or 0)
-    pairs = materialise(shard_automata(docs, bitmap_of(frequent.select(F.xxhash64("lang", "word").alias("h"))), 1, longest, width, often, size), "automata")
+    n_words = total.agg(F.sum("total")).first()[0] or 0
+    width, letters = range_width(n_words), range_letters(n_words)
+    pairs = materialise(shard_automata(docs, bitmap_of(frequent.select(F.xxhash64("lang", "word").alias("h"))), 1, longest, width, often, size, letters), "automata")
     of_pairs = materialise(union(pairs, 1, 2, least), "automaton")
     two = phrases(of_pairs, 1, 2)
     word = lambda k: F.xxhash64("lang", F.split_part("phrase", F.lit(" "), F.lit(k)))
     known = bitmap_of(two.select(word(1).bitwiseXOR(F.shiftleft(word(2), 1)).alias("h")))
-    more = materialise(shard_automata(docs, known, 2, longest, width, often, size), "automata")
+    more = materialise(shard_automata(docs, known, 2, longest, width, often, size, letters), "automata")
     of_more = materialise(union(more, 2, longest, least), "automaton")
     for gone in (pairs, more):
         discard(gone)
@@ -402,7 +420,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     parts = cuts.select("lang", F.explode(F.array("left", "right")).alias("part")).distinct()
     parts = materialise(parts.withColumn("words", F.size(F.split("part", " "))), "parts")
     known = frequent.select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
-    known = known.union(compose(parts.where("words = 2"), of_pairs, width, common)).union(compose(parts.where("words > 2"), of_more, width, common))
+    known = known.union(compose(parts.where("words = 2"), of_pairs, width, common, letters)).union(compose(parts.where("words > 2"), of_more, width, common, letters))
     known = materialise(known, "parts")
     side = lambda name, f: known.select("lang", F.col("part").alias(name), F.col("f").alias(f))
     wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  products may pass 64 bits

@@ -104,6 +104,28 @@ def test_union_sums_weights_whatever_the_batches(spark):
         assert len({(r["prefix"], r["letter"]) for r in out}) == len(out)
 
 
+def test_union_holds_different_states_only(monkeypatch):
+    vocabulary = pa.array(["a", *(f"w{k:03d}" for k in range(300))])
+    paths = np.array([[1, k, 2, 2, 2] for k in range(2, 302)])
+    part = C.pieces("en", vocabulary, paths, np.ones(300, np.int64), 2, 3, pa.array(["a"]))
+    unfolded = []
+    whole = C.unfold
+    monkeypatch.setattr(C, "unfold", lambda batch, *x: unfolded.append(batch.num_rows) or whole(batch, *x))
+    out = [r for b in C._united(2, 5, 100, most=5000)(iter([part] * 100)) for r in b.to_pylist()]
+    assert len(out) == 1 and max(unfolded) < 20 and sum(np.frombuffer(out[0]["weight"], "<i8")) == 3 * 300 * 100
+    assert not [*C._united(2, 5, 101, most=5000)(iter([part] * 100))]  # what is rare goes at the end only
+
+
+def test_narrower_ranges_change_no_result(spark, monkeypatch):
+    assert [C.range_width(n) for n in (0, 1 << 28, 1 << 29, 1 << 31)] == [3, 3, 4, 5] and C.range_letters(1 << 30) == 2
+    assert C.first_bytes(pa.array(["a", "bc", "é", "日本"]), 2).tolist() == [0, 0x6100, 0x6263, 0xC3A9, 0xE697]
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, "text string, lang string, phrase string").repartition(5)
+    monkeypatch.setattr(C, "range_letters", lambda n: 2)
+    monkeypatch.setattr(C, "range_width", lambda n: 5)
+    assert sorted(map(tuple, C.collocations(docs, least=6, size=300).collect())) == plain(rows, 6)
+
+
 def test_hashes_and_bitmaps(spark):
     rows = spark.createDataFrame([("en", "é"), ("", "a"), ("de", "longer words")], "lang string, word string").withColumn("h", F.xxhash64("lang", "word"))
     for r in rows.collect():
