@@ -255,3 +255,38 @@ def test_fates_are_told_from_blocks(spark):
 def test_branches_are_read_once(spark):
     text = plan(QUERIES["branch_fates"](spark, "/root/testdata/sf0.001"))
     assert "lineitem" not in text and "MapInArrow" not in text  # all from written branches and what is known of nodes
+
+
+def test_reads_are_carried_together():
+    import pyarrow as pa
+
+    rng, dropped, kinds = random.Random(9), 0, set()
+    for k in range(60):
+        line = "".join(rng.choice("ACGT") for _ in range(120))
+        isles, before, b = [], 0, rng.randrange(12)
+        while b < 100:
+            q = b + 1 + rng.randrange(4)
+            names = [f"{b + 1:010d}X{rng.choice('ACGT')}"][: rng.randrange(2)] + [f"{b + 1:010d}iGA:{j:05d}" for j in range(rng.choice((0, 1, 2)))]
+            isles.append({"b": b, "q": q, "before": before, "text": "T" * len(names), "names": names})
+            before += len(names) - (q - b - 1)
+            b = q + rng.randrange(9)
+        places = {name: i["b"] + 1 + i["before"] + j for i in isles for j, name in enumerate(i["names"])}
+        polished, rows = "".join(rng.choice("ACGT") for _ in range(130 + before)), []
+        for _ in range(80):
+            ops = [(rng.choice((1, 1, 2, 5)), rng.choice("==XIDS")) for _ in range(rng.randrange(7))]
+            text = "".join("GA" if (n, op) == (2, "I") and rng.random() < 0.7 else "".join(rng.choice("ACGT") for _ in range(n)) for n, op in ops if op != "D")
+            rows.append((ops, rng.randrange(80), text))
+        if not k:
+            isles, places = [], {}
+        each = [(i, *x) for i, (ops, start, text) in enumerate(rows) if (x := pileup._carried(ops, start, text, polished, isles, places)) is not None]
+        columns = pa.array([s for _, s, _ in rows], pa.int32()), pa.array(["".join(f"{n}{op}" for n, op in ops) for ops, *_ in rows]), pa.array([t for *_, t in rows])
+        got = pileup._carried_together(*columns, polished, isles, places)
+        if got is None:
+            kinds.add("each")
+            continue
+        assert [*zip(*(c.to_pylist() for c in got), strict=True)] == each
+        dropped += len(rows) - len(each)
+        kinds |= {c for _, _, cigar, _ in each for c in cigar if not c.isdigit()}
+    assert dropped and {"=", "X", "I", "D"} <= kinds
+    assert pileup._carried_together(pa.array([0]), pa.array(["1="]), pa.array(["é"]), "A", [], {}) is None
+    assert pileup._carried_together(pa.array([0]), pa.array(["3="]), pa.array(["A"]), "ACG", [], {}) is None
